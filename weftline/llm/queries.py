@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, winnowing
+from . import line_dedup, mixing, quality_rules, winnowing
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_fingerprints": winnowing.op2_fingerprints,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,

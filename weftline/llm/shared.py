@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """Row ranges of a batch with about `most` bytes of text each, as (batch, Texts)."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(lengths), 0
     while start < len(lengths):
         done = ends[start - 1] if start else 0
@@ -74,7 +75,7 @@ class Texts:
     """The UTF-8 bytes of some texts side by side; nulls count as empty."""
 
     def __init__(self, column: pa.Array):
-        column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+        column = pc.fill_null(column.cast(pa.large_string()), "")
         _, offsets, data = column.buffers()
         bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
         raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
