@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules, winnowing
+from . import line_dedup, mixing, packing, quality_rules, winnowing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_fingerprints": winnowing.op2_fingerprints,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_packing": packing.op5_packing,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 
