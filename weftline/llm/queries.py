@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality_rules, winnowing
+from . import line_dedup, mixing, packing, quality_rules, token_files, winnowing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_fingerprints": winnowing.op2_fingerprints,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_packing": packing.op5_packing,
+        "op7_token_files": token_files.op7_token_files,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 
