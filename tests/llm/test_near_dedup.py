@@ -1,0 +1,123 @@
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import types as T
+
+from weftline.llm import near_dedup as nd
+from weftline.llm.components import components
+from weftline.llm.shared import Texts
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def brute_set(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[i : i + k]) for i in range(len(w) - k + 1)])
+
+
+def brute(rows, k, percent=80):
+    sets = {}
+    for d, t in rows:
+        sets[d] = brute_set(t, k)
+    ids = sorted(x for x in sets)
+    parent = {d: d for d in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d: (len(sets[d]), root(d), root(d) == d) for d in ids}
+
+
+def corpus(seed=1, base=30, copies=8, words=60):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(400)] + ["Straße", "ÉTÉ", "The"]
+    out = []
+    for _ in range(base):
+        text = list(rng.choice(vocabulary, rng.integers(1, words)))
+        out.append(" ".join(text))
+        for _ in range(rng.integers(0, copies)):
+            text = list(text)
+            for _ in range(rng.integers(0, 4)):
+                text[rng.integers(len(text))] = rng.choice(vocabulary)
+            out.append(" ".join(text))
+    rng.shuffle(out)
+    return out
+
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("component", T.StringType())])
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_components_against_all_pairs(spark, k):
+    texts = corpus() + ["", None, "  \n ", "one", "ONE", "one two", "One  two", "a b c d", "long text " * 20_000, "long text " * 20_001]
+    rows = [(5 * i + 3, t, "x") for i, t in enumerate(texts)]
+    out = nd.near_components(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == brute([r[:2] for r in rows], k)
+    assert len(out) == len(rows)
+
+
+def test_large_buckets_with_strays(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SMALL", 3)
+    monkeypatch.setattr(nd, "STRAY_BLOCK", 4)
+    monkeypatch.setattr(nd, "MEMBER_BLOCK", 10)
+    rng = np.random.default_rng(7)
+    base = [f"x{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for j in rng.choice(80, rng.integers(0, 9), replace=False):
+            text[j] = f"y{rng.integers(40)}"
+        rows.append((i, " ".join(text), ""))
+    out = nd.near_components(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == brute([r[:2] for r in rows], 2)
+
+
+def test_null_and_repeated_ids_and_no_rows(spark):
+    rows = [(None, "same words here", ""), (4, "same words here", ""), (4, "same words here", ""), (None, "alone", ""), (2, "", ""), (2, "", "")]
+    out = sorted(tuple(r) for r in nd.near_components(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 2).collect() if r.doc_id is not None)
+    assert out == [(2, 0, 2, True), (2, 0, 2, True), (4, 2, 4, True), (4, 2, 4, True)]
+    out = [(r.component_id, r.kept) for r in nd.near_components(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 2).collect() if r.doc_id is None]
+    assert sorted(out, key=str) == [(4, False), (None, False)]
+    assert nd.near_components(spark.createDataFrame([], SCHEMA), "doc_id", "text", 2).count() == 0
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(3)
+    errors, same = [], []
+    for n in (1, 3, 40, 600, 3000):
+        for j in (0.1, 0.5, 0.8, 0.95):
+            pool = np.unique(rng.integers(0, 1 << 48, 3 * n + 3, dtype=np.uint64))
+            both = max(1, round(2 * n * j / (1 + j)))
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : 2 * n - both]]))
+            regs = nd.sketch(np.concatenate([a, b, np.union1d(a, b)]), np.cumsum([0, len(a), len(b), len(np.union1d(a, b))]))
+            assert (np.maximum(regs[0], regs[1]) == regs[2]).all()
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            errors.append(nd.estimate(regs[:1], regs[1:2], np.array([len(a)]), np.array([len(b)]))[0] - true)
+            same.append((regs[0] == regs[1]).mean() - true)
+    assert np.abs(errors).max() < 0.11 and np.abs(np.mean(errors)) < 0.03 and np.abs(np.mean(same)) < 0.03
+
+
+def test_a_set_s_sketch_does_not_depend_on_its_neighbours():
+    texts = ["a b c d e f", "x", "", "the quick brown fox " * 40]
+    alone = [nd.sketch(*nd.shingles(Texts(pa.array([t])), 2))[0] for t in texts]
+    assert (np.stack(alone) == nd.sketch(*nd.shingles(Texts(pa.array(texts)), 2))).all()
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = np.random.default_rng(5)
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(300, 299), (299, 300)]
+    rng.shuffle(links)
+    got = {r.id: r.component for r in components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 299: 299, 300: 299}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality_rules, token_files, winnowing
+from . import line_dedup, mixing, near_dedup, packing, quality_rules, token_files, winnowing
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_packing": packing.op5_packing,
         "op7_token_files": token_files.op7_token_files,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 

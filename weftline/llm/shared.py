@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text that is handled at once inside a task, in bytes of UTF-8. A longer single text makes a slice of its own.
 SLICE_BYTES = 1 << 21
+SLICE_ROWS = 1 << 15
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     ends, start = np.cumsum(lengths), 0
     while start < len(lengths):
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, done + most, "right"))), start + SLICE_ROWS)
         part = batch.slice(start, stop - start)
         yield part, Texts(part.column(column))
         start = stop
