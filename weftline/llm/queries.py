@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, packing, quality_rules, token_files, winnowing
+from . import languages, line_dedup, mixing, near_dedup, packing, quality_rules, token_files, winnowing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_fingerprints": winnowing.op2_fingerprints,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_packing": packing.op5_packing,
+        "op6_language_mixture": languages.op6_language_mixture,
         "op7_token_files": token_files.op7_token_files,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
