@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import languages, line_dedup, mixing, near_dedup, packing, quality_rules, token_files, winnowing
+from . import languages, line_dedup, mixing, near_dedup, packing, quality_cnn, quality_rules, token_files, winnowing
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_token_files": token_files.op7_token_files,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_quality_cnn": quality_cnn.op10_quality_cnn,
     }
 
 
