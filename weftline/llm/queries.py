@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import languages, line_dedup, mixing, near_dedup, packing, quality_cnn, quality_rules, token_files, winnowing
+from . import languages, licenses, line_dedup, mixing, near_dedup, packing, quality_cnn, quality_rules, token_files, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_fingerprints": winnowing.op2_fingerprints,
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_packing": packing.op5_packing,
         "op6_language_mixture": languages.op6_language_mixture,
