@@ -1,4 +1,5 @@
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -9,7 +10,7 @@ PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 PLAIN.encode_special_tokens = True
 OURS = tokens.Encoder(memo=40)
 TEXT = st.one_of(
-    st.text(st.sampled_from("aB1é .,'!\n\t\0\xa0　\U0001f600³s"), max_size=30),
+    st.text(st.sampled_from("aB1é× .,…'!\n\t\0\xa0　\U0001f600³s"), max_size=30),
     st.lists(st.sampled_from(["the", "don't", "x,", "y.", "3.14", "..", ",", "a\nb", "", "<|endoftext|>", "Ünï,"]), max_size=20).map(" ".join),
 )
 
@@ -17,18 +18,30 @@ TEXT = st.one_of(
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXT, max_size=6))
 def test_ids_equal_the_library_s(texts):
-    ids, lengths = OURS.encode_many(texts)
+    ids, lengths = OURS.encode_many(pa.array(texts, pa.string()))
     want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
     assert lengths.tolist() == [len(x) for x in want]
     assert ids.tolist() == [x for y in want for x in y]
 
 
-def test_long_texts_are_cut_safely(monkeypatch):
-    monkeypatch.setattr(tokens, "SPAN", 50)
-    for text in ("word, and other. words " * 60, ("a  b c " * 80).strip(), "x" * 500, " y" * 300, "q\n" * 200):
+def test_long_and_odd_texts():
+    for text in ("word, and other. words " * 60, ("a  b c " * 80).strip(), "x" * 500, "y" + " y" * 300, "q\n" * 200, "é, ×, ÷. ß.\nÀ,", "\u2003x y\u3000", "…. a‘, b—. c"):
         assert OURS.encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_only_unusual_white_space_is_odd():
+    from weftline.llm.shared import Texts
+
+    texts = ["plain, é text.\nMore", "two  spaces", "", " lead", "trail ", "a\tb", "a\xa0b", "x\u3000y", "a…b — c"]
+    assert OURS._odd(Texts(pa.array(texts))).tolist() == [False, True, False, True, True, True, True, True, False]
+
+
+def test_nulls_and_no_rows():
+    ids, lengths = OURS.encode_many(pa.array([None, "a", ""], pa.string()))
+    assert lengths.tolist() == [0, 1, 0] and len(ids) == 1
+    assert len(OURS.encode_many(pa.array([], pa.string()))[0]) == 0
+
+
 def test_crc32():
     import struct
     import zlib

@@ -17,9 +17,9 @@ from .shared import documents, partitions, slices
 #: Tokens of a sequence at most. Cuts inside a document cost as much as so many padded tokens: after a sentence, or anywhere.
 LENGTH, SENTENCE_CUT, PLAIN_CUT = 1024, 4.0, 16.0
 #: Where no sentence ends for so many tokens, plain cuts may be made that far apart.
-GAP = 64
+GAP = 128
 #: Documents are gathered until they have so many tokens; cuts are chosen within such a block, in a task's memory.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -40,33 +40,37 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int = LENGTH) -> np.n
     found for all at once. Neighbouring candidates must lie at most `most` apart.
     """
     n = len(at)
-    exact: dict[int, list[int]] = {}
-    size = 1
-    while size <= most:
+    ends, begins, size = [], [], 1
+    while size < most:
         before = np.searchsorted(at, at - size)
-        for j in np.flatnonzero(at[np.minimum(before, n - 1)] == at - size):
-            exact.setdefault(int(j), []).append(int(before[j]))
+        hit = np.flatnonzero(at[before] == at - size)
+        ends.append(hit)
+        begins.append(before[hit])
         size *= 2
+    ends, begins = np.concatenate(ends), np.concatenate(begins)
+    order = np.argsort(ends, kind="stable")
+    many = np.bincount(ends, minlength=n).tolist()
+    begins, next_ = begins[order].tolist(), 0
     place, price = at.tolist(), penalty.tolist()
     cost, last = [0.0] * n, [0] * n
-    queue, value, head = [0], [float(place[0])], 0
+    queue, value, head, tail = [0] * n, [0.0] * n, 0, 1  # the queue is queue[head:tail]
     for j in range(1, n):
         p = place[j]
         while place[queue[head]] < p - most:
             head += 1
         best, i = value[head] + most - p, queue[head]
-        if j in exact:
-            for k in exact[j]:
+        if many[j]:
+            for k in begins[next_ : next_ + many[j]]:
                 if cost[k] < best:
                     best, i = cost[k], k
+            next_ += many[j]
         best += price[j]
         cost[j], last[j] = best, i
         best += p
-        while len(queue) > head and value[-1] >= best:
-            queue.pop()
-            value.pop()
-        queue.append(j)
-        value.append(best)
+        while tail > head and value[tail - 1] >= best:
+            tail -= 1
+        queue[tail], value[tail] = j, best
+        tail += 1
     cuts, j = [], n - 1
     while j:
         cuts.append(j)
@@ -133,8 +137,8 @@ def _packer(path: str | None):
             return pa.RecordBatch.from_arrays(made, NAMES)
 
         for batch in batches:
-            for part, _ in slices(batch):
-                ids, lengths = with_end(encoder, [t or "" for t in part.column("text").to_pylist()])
+            for part, _ in slices(batch, most=1 << 20):
+                ids, lengths = with_end(encoder, part.column("text"))
                 held_ids.append(ids), held_lengths.append(lengths), held_docs.append(part.column("doc_id"))
                 size += len(ids)
                 if size >= BLOCK:
@@ -145,7 +149,7 @@ def _packer(path: str | None):
     return pack
 
 
-def with_end(encoder: tokens.Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def with_end(encoder: tokens.Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts, each followed by the end id, and lengths with it."""
     ids, lengths = encoder.encode_many(texts)
     return np.insert(ids, np.cumsum(lengths), np.uint32(tokens.END)), lengths + 1

@@ -175,8 +175,8 @@ def _writer(path: str | None, segment: int):
             return row
 
         for batch in batches:
-            for rows, _ in slices(batch):
-                ids, lengths = with_end(encoder, [t or "" for t in rows.column("text").to_pylist()])
+            for rows, _ in slices(batch, most=1 << 20):
+                ids, lengths = with_end(encoder, rows.column("text"))
                 held.append((ids, lengths, rows.column("doc_id")))
                 size += len(ids)
                 if size >= segment:

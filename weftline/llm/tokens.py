@@ -1,66 +1,93 @@
-"""Token ids by the tokenizers library, with a memo of the ids of text pieces."""
+"""Token ids by the tokenizers library, with a memo of the ids of words."""
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .shared import runs
+from .shared import Texts, mixed, runs
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
-#: Pieces that a worker's memo holds at most; it starts anew beyond.
-MEMO = 600_000
-#: Code points of a text that are cut into pieces at once.
-SPAN = 1 << 19
+#: Words that a worker's memo keeps at most, and words that the library encodes in one call.
+MEMO, AT_ONCE = 400_000, 4096
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than space and line feed, and two of these side by side: such texts aren't cut.
-_ODD_SPACE = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", "\n\n", " \n", "\n "]
+_SPACED = np.uint64(0xD6E8FEB86659FD93)  # tells a word after a space from the same word elsewhere
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 10]] = True
+_ODD = np.zeros(256, bool)  # other ASCII white space
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: UTF-8 of white space beyond ASCII.
+_WIDE = [chr(c).encode() for c in range(0x80, 0x110000) if chr(c).isspace()]
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them, special tokens' strings being ordinary text.
 
     The vocabulary's pre-tokenizer never joins characters over a single space or line feed between two other
-    characters: a space starts the next piece and a line feed is a piece of its own. So texts are cut there, each
-    distinct piece goes through the library once, and its ids are looked up from then on.
+    characters: a space starts the next piece and a line feed is a piece of its own; nor does it join a letter or
+    digit and a following stop or comma. So texts are cut there, each distinct word goes through the library once, and
+    its ids are looked up from then on, by 64 bits of hash. Texts with other white space, or two of it side by side,
+    go through the library whole.
     """
 
     def __init__(self, path: str | None = None, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # words that were seen before don't come here
+        self.letters = _byte_letters()
         self.most = memo
+        self.stop, self.comma, self.feed = (self._whole(x) for x in (".", ",", "\n"))
         self._forget()
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self):
-        self.number: dict[str, int] = {}
+        self.number: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 15, np.int64)
-        self.lengths = np.zeros(1 << 15, np.int64)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]):
-        """Pieces that end in a stop or comma after a letter or digit are put together from those two parts."""
-        ended = [p for p in pieces if p[-1] in ".," and p[-2:-1].isalnum()]
-        stems = set(p[:-1] for p in ended).union((".", ","))
-        plain = sorted(stems.union(set(pieces).difference(ended)).difference(self.number))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._store(plain, np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum())), lengths)
-        ended = [p for p in ended if p not in self.number]
-        if ended:
-            parts = np.fromiter((self.number[x] for p in ended for x in (p[:-1], p[-1])), np.int64, 2 * len(ended))
-            lengths = self.lengths[parts]
-            self._store(ended, self.ids[runs(self.starts[parts], lengths)], lengths.reshape(-1, 2).sum(axis=1))
-
-    def _store(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray):
-        n, first = len(pieces), len(self.number)
+        self.starts, self.lengths = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.used = self.missed = self.kept = 0
+
+    def _trim(self):
+        """Words beyond the memo's size are forgotten after their call; many of them over time renew the whole memo."""
+        extra = len(self.number) - max(self.kept, self.most)
+        if extra > 0:
+            for _ in range(extra):
+                self.number.popitem()
+            self.used = int(self.starts[len(self.number)])
+            self.missed += extra
+        self.kept = len(self.number)
+        if self.missed > 16 * self.most:
+            self._forget()
+
+    def _learn(self, keys: list[int], words: list[str]):
+        """Words of letters only are one piece, so the model alone is asked; others go through the whole library."""
+        letters = [w[1:].isalpha() or w.isalpha() for w in words]
+        mapped = iter([w.encode().decode("latin-1").translate(self.letters) for w, plain in zip(words, letters, strict=True) if plain])
+        other = [w for w, plain in zip(words, letters, strict=True) if not plain]
+        found_other = iter([e.ids for i in range(0, len(other), AT_ONCE) for e in self.tokenizer.encode_batch_fast(other[i : i + AT_ONCE], add_special_tokens=False)])
+        tokenize = self.model.tokenize
+        ids = [[t.id for t in tokenize(next(mapped))] if plain else next(found_other) for plain in letters]
+        n, first = len(ids), len(self.number)
+        lengths = np.fromiter(map(len, ids), np.int64, n)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         while first + n > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         while self.used + len(flat) > len(self.ids):
@@ -69,61 +96,73 @@ class Encoder:
         self.lengths[first : first + n] = lengths
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.number.update(zip(pieces, range(first, first + n), strict=True))
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Where the pre-tokenizer certainly cuts a text; None if it has white space that calls for more care."""
-        if "\0" in text or text[0] == "\n" or text[-1].isspace() or any(x in text for x in _ODD_SPACE) or text[0] == " " and text[1:2].isspace():
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").removeprefix("\0").split("\0")
-
-    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (uint32) of all whole texts, one after another, and how many each has."""
-        out, totals, i = [], np.zeros(len(texts), np.int64), 0
-        while i < len(texts):
-            pieces, owners, odd, seen = [], [], {}, 0
-            while i < len(texts) and seen < SPAN:
-                for part in self._spans(texts[i]):
-                    cut = self._pieces(part) if part else []
-                    if cut is None:
-                        odd[len(owners)] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, np.uint32)
-                        cut = []
-                    pieces += cut
-                    owners.append((i, len(cut)))
-                seen += len(texts[i])
-                i += 1
-            if len(self.number) > self.most:
-                self._forget()
-            fresh = set(pieces).difference(self.number)
-            if fresh:
-                self._learn(sorted(fresh))
-            at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-            lengths = self.lengths[at]
-            ids = self.ids[runs(self.starts[at], lengths)]
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([n for _, n in owners], dtype=np.int64)] if owners else np.zeros(0, np.int64)
-            counts = np.diff(ends, prepend=0)
-            if odd:
-                parts = np.split(ids, ends[:-1])
-                for k, x in odd.items():
-                    parts[k], counts[k] = x, len(x)
-                ids = np.concatenate(parts)
-            np.add.at(totals, [k for k, _ in owners], counts)
-            out.append(ids)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), totals
-
-    def _spans(self, text: str):
-        """A long text in parts, cut before a single space between other characters."""
-        start = 0
-        while len(text) - start > 2 * SPAN:
-            cut = _SAFE.search(text, start + SPAN)
-            if cut is None:
-                break
-            yield text[start : cut.start()]
-            start = cut.start()
-        yield text[start:] if start else text
+        self.number.update(zip(keys, range(first, first + n), strict=True))
+
+    def _odd(self, texts: Texts) -> np.ndarray:
+        """Texts that can't be cut safely."""
+        data = texts.bytes
+        space = _SPACE[data]
+        bad = _ODD[data]
+        leads = set(np.flatnonzero(np.bincount(data, minlength=256)).tolist())
+        bad[1:] |= space[1:] & space[:-1]
+        for mark in _WIDE:
+            if mark[0] in leads:
+                at = np.flatnonzero(data[: max(0, len(data) - len(mark) + 1)] == mark[0])
+                for j in range(1, len(mark)):
+                    at = at[data[at + j] == mark[j]]
+                bad[at] = True
+        filled = np.flatnonzero(np.diff(texts.bounds) > 0)
+        out = texts.sums(bad) > 0
+        out[filled] |= space[texts.bounds[filled]] | space[texts.bounds[filled + 1] - 1]
+        return out
+
+    def encode_many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all whole texts of a string column, one after another, and how many each has. Nulls have none."""
+        texts = Texts(column)
+        data = texts.bytes
+        starts, ends, first = texts.words()
+        of_word = np.repeat(np.arange(texts.n), np.diff(first))
+        odd = self._odd(texts)
+        if odd.any():
+            fine = ~odd[of_word]
+            starts, ends, of_word = starts[fine], ends[fine], of_word[fine]
+        inner = starts > texts.bounds[of_word]
+        before = data[starts - inner]
+        spaced, fed = inner & (before == 32), inner & (before == 10)
+        last, prior = data[ends - 1], data[np.maximum(ends - 2, 0)]
+        lead = data[np.maximum(ends - 3, 0)]
+        ended = ((last == 46) | (last == 44)) & (((ends - starts > 1) & _LETTER[prior]) | ((ends - starts > 2) & (lead == 0xC3) & (prior >= 0x80) & (prior != 0x97) & (prior != 0xB7)))
+        key = texts.hashes(starts, ends - ended)
+        key[spaced] = mixed(key[spaced] ^ _SPACED)
+        unique, sample, index = np.unique(key, return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        missing = [i for i, k in enumerate(keys) if k not in self.number]
+        if missing:
+            raw = data.tobytes()
+            at = sample[missing]
+            low, high = (starts[at] - spaced[at]).tolist(), (ends[at] - ended[at]).tolist()
+            self._learn([keys[i] for i in missing], [raw[a:b].decode() for a, b in zip(low, high, strict=True)])
+        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        # three runs of ids to a word: the line feed before it, the word, the mark after it
+        marks = np.array(self.feed + self.stop + self.comma, np.uint32)
+        ids = np.concatenate([marks, self.ids[: self.used]])
+        begin, size = np.empty((len(starts), 3), np.int64), np.empty((len(starts), 3), np.int64)
+        begin[:, 0], size[:, 0] = 0, fed
+        begin[:, 1], size[:, 1] = self.starts[number][index] + 3, self.lengths[number][index]
+        begin[:, 2], size[:, 2] = 1 + (last == 44), ended
+        flat = ids[runs(begin.reshape(-1), size.reshape(-1))]
+        counts = np.bincount(of_word, weights=size.sum(axis=1), minlength=texts.n).astype(np.int64)
+        self._trim()
+        if odd.any():
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(odd):
+                parts[i] = np.array(self._whole(column[int(i)].as_py()), np.uint32)
+                counts[i] = len(parts[i])
+            flat = np.concatenate(parts)
+        return flat, counts
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+        return self.encode_many(pa.array([text]))[0]
 
 
 def crc32(ids: np.ndarray) -> int:
