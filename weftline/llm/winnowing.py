@@ -16,15 +16,15 @@ from .shared import documents, mixed, partitions
 K, WINDOW = 16, 64
 #: Code points that are hashed at once; longer texts go through in overlapping blocks.
 BLOCK = 1 << 20
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x9E3779B97F4A7C15
 
 
 def _gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-grams, from those of half the length at every step."""
     h, n, power = mixed(points.astype(np.uint64) + np.uint64(1)), 1, _ODD
     while n < k:
-        h = h[:-n] * power + h[n:]
-        power, n = power * power, 2 * n
+        h = h[:-n] * np.uint64(power) + h[n:]
+        power, n = power * power % (1 << 64), 2 * n
     return mixed(h)
 
 
@@ -47,8 +47,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
         w *= 2
     span = min(window, grams)
     for start in range(0, max(1, grams - span + 1), BLOCK):
-        with np.errstate(over="ignore"):
-            h = _gram_hashes(points[start : start + BLOCK + span + k - 2], k) >> np.uint64(32)
+        h = _gram_hashes(points[start : start + BLOCK + span + k - 2], k) >> np.uint64(32)
         # the least value wins, of equal ones the one with the least distance from the end
         key = (h << np.uint64(32)) | np.arange(len(h) - 1, -1, -1, dtype=np.uint64)
         least, size = key, 1
