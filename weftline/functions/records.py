@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import filled, slug
+from .text import filled, record_stem, slug
 
 
 def attribute_rows(pairs: Iterable[tuple[str, Column]]) -> Column:
@@ -36,10 +36,10 @@ def stable_pid(pid: Column, dois: Column, keys: Column, override: Column, prefix
 
 
 def minted_pid(class_name: Column, pid: Column, own_prefix: str, minted: dict[str, str]) -> Column:
-    """A pid of one's own namespace stays; for the classes in `minted` another one becomes prefix + slug."""
+    """A pid of one's own namespace stays; for the classes in `minted` another one becomes prefix + record_stem."""
     out = pid
     for name, prefix in minted.items():
-        out = F.when((class_name == name) & ~pid.startswith(own_prefix), F.concat(F.lit(prefix), slug(pid))).otherwise(out)
+        out = F.when((class_name == name) & ~pid.startswith(own_prefix), F.concat(F.lit(prefix), record_stem(pid, own_prefix))).otherwise(out)
     return out
 
 

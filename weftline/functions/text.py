@@ -129,15 +129,18 @@ def slug(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def record_stem(pid: Column) -> Column:
-    """A file name for a pid: by DOI, ISSN, ROR or the last part of its path, as a slug; null if nothing is left."""
-    known = locator_doi(pid)
-    low = F.lower(pid)
+def record_stem(pid: Column, own_prefix: str) -> Column:
+    """A file name for a pid: by DOI, ISSN, the last part of a path in one's own namespace, or ROR; else the pid; as a slug.
+
+    Null if nothing is left, which is an error.
+    """
+    known, low = locator_doi(pid), F.lower(pid)
+    after = F.substring(pid, F.instr(pid, ":") + 1, F.length(pid))
     raw = (
         F.when(known.isNotNull(), F.concat(F.lit("doi-"), known))
-        .when(low.startswith("issn:"), F.concat(F.lit("issn-"), F.substring(pid, 6, 1 << 30)))
-        .when(low.contains("ror.org/"), F.concat(F.lit("ror-"), F.substring_index(pid, "/", -1)))
-        .when(pid.contains("/"), F.substring_index(F.regexp_replace(pid, "/+$", ""), "/", -1))
+        .when(low.startswith("issn:"), F.concat(F.lit("issn-"), after))
+        .when(pid.startswith(own_prefix) & pid.contains("/"), F.substring_index(pid, "/", -1))
+        .when(low.startswith("ror:"), F.concat(F.lit("ror-"), after))
         .otherwise(pid)
     )
     return F.nullif(slug(raw), F.lit(""))
