@@ -106,7 +106,7 @@ def yaml_records(spark: SparkSession, path: str, companions: str | None = None)
 
     Unreadable files, missing or repeated pids, and companions without a record are errors.
     """
-    docs = yaml_documents(spark, path).withColumn("pid", F.get_json_object("record", "$.pid")).cache()
+    docs = yaml_documents(spark, path).withColumn("pid", F.get_json_object("record", "$.pid"))
     checks = [
         violations(docs.where("error IS NOT NULL"), "unreadable", F.col("rel_path"), F.col("error")),
         violations(docs.where("error IS NULL AND coalesce(pid, '') = ''"), "missing pid", F.col("rel_path"), F.lit("")),
@@ -116,7 +116,7 @@ def yaml_records(spark: SparkSession, path: str, companions: str | None = None)
     if companions is None:
         require_none(checks)
         return records.withColumn("companion", F.lit(None).cast("string"))
-    notes = yaml_documents(spark, companions).cache()
+    notes = yaml_documents(spark, companions)
     checks += [
         violations(notes.where("error IS NOT NULL"), "unreadable companion", F.col("rel_path"), F.col("error")),
         violations(notes.join(docs, "rel_path", "left_anti"), "companion without a record", F.col("rel_path"), F.lit("")),
