@@ -53,7 +53,7 @@ def test_items_become_records_and_a_report(run):
     )
     records = {r.pid: r for r in out["records"].collect()}
     item = lambda k: f"https://api.example.org/groups/7/items/{k}"
-    assert {p: r["class"] for p, r in records.items()} == {"https://doi.org/10.1/x": "Publication", item("D"): "Document", item("E"): "Publication", item("P"): "Instrument", item("N"): "Publication"} or records[item("D")]["class"] is not None
+    assert {p: r["class"] for p, r in records.items()} == {"https://doi.org/10.1/x": "Publication", item("E"): "Publication", item("P"): "Instrument", item("N"): "Publication"}
     one = records["https://doi.org/10.1/x"]
     assert one.title == "One" and one.kind == "bibo:AcademicArticle" and one.about == ["own:t/ml"]
     assert [(a.object, a.roles) for a in one.attributed_to] == [("own:p/ada", ["marcrel:aut"]), ("own:o/lab", ["marcrel:edt"])]
@@ -63,7 +63,7 @@ def test_items_become_records_and_a_report(run):
     assert records[item("P")].name == "Tool" and records[item("P")].title is None and records[item("P")].kind == "obo:IAO_0000010"
     got = {k: v.collect() for k, v in out.items()}
     assert [r.name for r in got["unresolved_creators"]] == ["No Body"] and [r.name for r in got["unresolved_topics"]] == ["zzz"]
-    assert [r.group for r in got["review_items"]] and {r.group for r in got["review_items"]} >= {"item:W"}
+    assert {r.group for r in got["review_items"]} == {"item:D", "item:W"}
     assert [(r.pid, r.title) for r in got["venues"]] == [("ISSN:1111-1111", "J")] and [r.group for r in got["venue_conflicts"]] == ["item:N"]
     assert [(r.doi, r.item_keys, r.preferred) for r in got["duplicate_dois"]] == [("10.1/x", ["A", "B", "U"], "A")]
     assert {(r.group, r.field) for r in got["field_conflicts"]} == {("doi:10.1/x", "DOI")}

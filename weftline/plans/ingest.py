@@ -23,13 +23,13 @@ def name_index(records: DataFrame) -> DataFrame:
 
 
 def source_items(items: DataFrame, collections: DataFrame, options: Options) -> DataFrame:
-    """Items that aren't deleted, with `names` of their collections, `doi`, and `bucket`: selected, unfiled or excluded."""
+    """Items that aren't deleted, with `names` of their collections, `item_doi` (normalized), and `bucket`: selected, unfiled or excluded."""
     alive = items.where(~F.coalesce("deleted", F.lit(False))).withColumn("key", F.coalesce("key", F.lit("")))
     named = resolve.named(alive, "collections", collections, "key", "name", "names", "key")
     keys = F.transform("names", lambda n: X.label_key(n, options.label_prefix))
     wanted = F.array(*[F.lit(x) for x in options.included]).cast("array<string>")
     bucket = F.when(F.arrays_overlap(keys, wanted), "selected").when(F.size("names") == 0, "unfiled").otherwise("excluded")
-    return named.withColumn("label_keys", keys).withColumn("doi", X.item_doi(F.col("DOI"), F.col("extra"))).withColumn("bucket", bucket)
+    return named.withColumn("label_keys", keys).withColumn("item_doi", X.item_doi(F.col("DOI"), F.col("extra"))).withColumn("bucket", bucket)
 
 
 def classify(items: DataFrame, options: Options) -> DataFrame:
@@ -89,7 +89,7 @@ def transform(items: DataFrame, collections: DataFrame, people: DataFrame, organ
         violations(aliases.join(known, "pid", "left_anti"), "alias of an unknown pid", F.col("pid"), F.col("key")),
         violations(aliases.join(automatic, "key").where("pid <> auto"), "alias against the index", F.col("key"), F.concat_ws(", ", "pid", "auto")),
     ])
-    grouped = resolve.attach(selected, unfiled, "doi").withColumn("group", entity.group_key(F.col("doi"), F.col("key")))
+    grouped = resolve.attach(selected, unfiled, "item_doi").withColumn("group", entity.group_key(F.col("item_doi"), F.col("key")))
     classified = classify(grouped, options).cache()
     own = classified.where("NOT attached")
     one, several = entity.classes(own, "group", "class")
@@ -105,7 +105,7 @@ def transform(items: DataFrame, collections: DataFrame, people: DataFrame, organ
     about, unresolved_topics = resolve.resolve_terms(tags, name_index(topics))
     about = about.groupBy(F.col("item").alias("key")).agg(F.array_sort(F.collect_set("pid")).alias("about"))
 
-    doi_id = F.when(F.col("doi").isNotNull(), F.array(F.struct(F.lit(options.namespace + "DOI").alias("schema_type"), F.col("doi").alias("notation")))).otherwise(F.array().cast("array<struct<schema_type: string, notation: string>>"))
+    doi_id = F.when(F.col("item_doi").isNotNull(), F.array(F.struct(F.lit(options.namespace + "DOI").alias("schema_type"), F.col("item_doi").alias("notation")))).otherwise(F.array().cast("array<struct<schema_type: string, notation: string>>"))
     publication = F.col("class") == "Publication"
     title, issns = X.filled(F.col("title")), X.issns(F.col("ISSN"))
     venue_pid = F.when(publication & (F.size(issns) > 0), F.concat(F.lit("ISSN:"), issns[0]))
@@ -114,7 +114,7 @@ def transform(items: DataFrame, collections: DataFrame, people: DataFrame, organ
     event = F.struct(F.lit(PUBLISHING).alias("object"), venue_pid.alias("at_location"), X.full_date(F.col("date")).alias("at_time"))
     full = preferred.join(ids, "group").join(attributions, "key", "left").join(about, "key", "left")
     records = full.select(
-        "class", F.when(F.col("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), "doi")).otherwise(F.concat(F.lit(f"{options.root}/{options.group}/items/"), "key")).alias("pid"),
+        "class", F.when(F.col("item_doi").isNotNull(), F.concat(F.lit("https://doi.org/"), "item_doi")).otherwise(F.concat(F.lit(f"{options.root}/{options.group}/items/"), "key")).alias("pid"),
         F.array_sort(F.array_union("plain_ids", doi_id)).alias("identifiers"), F.when(F.col("class") != "Instrument", title).alias("title"), F.when(F.col("class") == "Instrument", title).alias("name"),
         title.alias("display_label"), X.filled(F.col("abstractNote")).alias("description"), "kind", "attributed_to", "about",
         F.when(publication & (F.size(attributes) > 0), attributes).alias("attributes"), F.when(publication & (venue_pid.isNotNull() | X.full_date(F.col("date")).isNotNull()), F.array(event)).alias("generated_by"),
@@ -136,12 +136,12 @@ def transform(items: DataFrame, collections: DataFrame, people: DataFrame, organ
         "unresolved_topics": unresolved_topics,
         "unresolved_venues": preferred.where(publication & (F.size(issns) == 0)).select(F.col("key").alias("item"), X.filled(venue_title).alias("title")).where("title IS NOT NULL"),
         "missing_titles": preferred.where(title.isNull()).select(F.col("key").alias("item")),
-        "duplicate_dois": shared.join(preferred.where("doi IS NOT NULL").select("group", "doi", F.col("key").alias("preferred")), "group"),
-        "field_conflicts": entity.field_conflicts(classified.join(preferred.where("doi IS NOT NULL").select("group"), "group", "left_semi").withColumns({f: X.filled(F.col(f)) for f in CONFLICT_FIELDS}), "group", CONFLICT_FIELDS),
+        "duplicate_dois": shared.join(preferred.where("item_doi IS NOT NULL").select("group", F.col("item_doi").alias("doi"), F.col("key").alias("preferred")), "group"),
+        "field_conflicts": entity.field_conflicts(classified.join(preferred.where("item_doi IS NOT NULL").select("group"), "group", "left_semi").withColumns({f: X.filled(F.col(f)) for f in CONFLICT_FIELDS}), "group", CONFLICT_FIELDS),
         "pid_collisions": pids.join(existing, "pid"),
         "title_collisions": entity.collisions(titles, "key", "pid"),
         "excluded": rows.where("bucket = 'excluded'").select("key", "names"),
-        "unfiled": unfiled.select("key", "doi"),
+        "unfiled": unfiled.select("key", F.col("item_doi").alias("doi")),
         "attached": classified.where("attached").select("key"),
         "alias_usage": made.join(aliases, "key").groupBy("key", "pid").count(),
         "counts": counts[0].unionByName(counts[1]).unionByName(counts[2]),
