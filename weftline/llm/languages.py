@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngrams import char_buckets
-from .shared import Texts, crc_bucket, documents, slices
+from .shared import Texts, bounded_batches, crc_bucket, documents, slices
 
 #: Byte n-grams (A-Z lower-cased) and their hash buckets; labelled documents of each language to learn from, about.
 N, BITS, SAMPLE = 3, 15, 3000
@@ -45,6 +45,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     Those with the least `rank` (a hash) are taken: a share of each language that makes `sample` texts of it. What comes
     to the driver is a number by language and bucket.
     """
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -162,6 +163,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     A text without a letter (null and empty ones too) is UNKNOWN with score 0; one that is too short for an n-gram gets
     the most frequent language. Whole texts are read; a text's prediction depends on nothing but its bytes.
     """
+    bounded_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

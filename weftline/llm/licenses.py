@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import documents, slices
+from .shared import bounded_batches, documents, slices
 
 #: Identifiers of licence sentences, each with the sentence as normalised by normal().
 SENTENCES = {
@@ -180,6 +180,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Whole texts are read. Null and empty texts, and texts without a licence sentence, have empty lists. Every row of
     docs (doc_id long, text) gives one.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
 
 

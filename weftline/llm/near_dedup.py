@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Texts, combined, documents, mixed, partitions, runs, slices, written
+from .shared import Texts, bounded_batches, combined, documents, mixed, partitions, runs, slices, written
 
 #: BANDS bands of ROWS registers; M (a prime) registers in all. Two sets of Jaccard similarity 0.8 share 12.6 bands on average and none with probability 5e-7.
 ROWS, BANDS, M = 6, 48, 293
@@ -224,6 +224,7 @@ def link_classes(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     texts: id long, text. class is the class's least id, null for an empty set.
     """
     spark = texts.sparkSession
+    bounded_batches(spark)
     made = written(texts.select("id", "text").mapInArrow(_sketcher(k), "id long, size long, h1 long, h2 long, regs binary"), "sketches")
     filled = made.where("size > 0")
     sets = written(filled.groupBy("h1", "h2", "size").agg(F.min("id").alias("class")), "sets")

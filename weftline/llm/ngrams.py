@@ -7,8 +7,6 @@ import numpy as np
 from .shared import Texts, combined, mixed
 
 _M = np.uint32(0x9E3779B1)
-#: Byte n-grams are hashed in blocks of so many positions.
-BLOCK = 1 << 18
 
 
 def char_buckets(texts: Texts, n: int, bits: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +34,7 @@ def char_buckets(texts: Texts, n: int, bits: int, lower: bool = False) -> tuple[
 def counts(texts: Texts, bits: int, chars: tuple[int, ...] = (1, 3), words: tuple[int, ...] = (1, 2)) -> np.ndarray:
     """Counts (texts x buckets) of byte n-grams, then of word n-grams; each order has 2**bits buckets of its own."""
     size, out = 1 << bits, []
-    of_byte = np.repeat(np.arange(texts.n), np.diff(texts.bounds))
+    of_byte = np.repeat(np.arange(texts.n, dtype=np.int32), np.diff(texts.bounds))
     for n in chars:
         bucket, inside = char_buckets(texts, n, bits)
         key = of_byte[: len(bucket)] * size + bucket

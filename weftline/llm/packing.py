@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import documents, partitions, slices
+from .shared import bounded_batches, documents, partitions, slices
 
 #: Tokens of a sequence at most. Cuts inside a document cost as much as so many padded tokens: after a sentence, or anywhere.
 LENGTH, SENTENCE_CUT, PLAIN_CUT = 1024, 4.0, 16.0
@@ -157,6 +157,7 @@ def with_end(encoder: tokens.Encoder, texts: pa.Array) -> tuple[np.ndarray, np.n
 
 def in_order(docs: DataFrame, n: int | None = None) -> DataFrame:
     """doc_id and text in ascending order of doc_id, over partitions that hold successive ranges of ids."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     return docs.repartitionByRange(n or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngrams import fit_platt, sigmoid
-from .shared import Texts, crc_bucket, documents, runs, slices
+from .shared import Texts, bounded_batches, crc_bucket, documents, runs, slices
 
 #: Bytes of a chunk and between starts of chunks; width and stride of the filters (bytes); sizes of the embedding, the filters and the hidden layer.
 CHUNK, STEP, WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 512, 448, 8, 2, 8, 24, 16
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     docs: doc_id, text (a null one is empty); labels: doc_id, label (0/1, others are ignored). With under 10 texts of
     either label nothing is learned and every score is 0.5.
     """
+    bounded_batches(docs.sparkSession)
     rank = F.xxhash64(F.lit("cnn"), F.col("doc_id"))
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     chosen = known.where("label = 0").orderBy(rank, "doc_id").limit(sample).union(known.where("label = 1").orderBy(rank, "doc_id").limit(sample))
@@ -171,6 +172,7 @@ def score(docs: DataFrame, net: Network, good: float = GOOD) -> DataFrame:
 
     A null text counts as empty, and an empty one has a score like any other. No row is dropped.
     """
+    bounded_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ngrams import features, fit_logistic, fit_platt
-from .shared import IS_INK, Texts, combined, documents, mixed, slices
+from .shared import IS_INK, Texts, bounded_batches, combined, documents, mixed, slices
 
 #: Base rules: words at least; most percent of words in repeated windows; words of a window.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: The model: buckets of each order (2**BITS), orders of byte and word n-grams, labelled rows to fit on at most, and the least probability that keeps.
 BITS, CHARS, WORDS, SAMPLE, KEEP = 10, (1, 2, 3), (1, 2), 3000, 0.5
+#: Bytes and rows that are scored at once: a row's features take 20 KB, however short its text.
+AT_ONCE, ROWS_AT_ONCE = 1 << 18, 512
 #: Share of the sample that only fits the calibration: one row in so many.
 CALIBRATION = 5
 
@@ -66,7 +68,7 @@ def base_failed(found: dict[str, np.ndarray]) -> np.ndarray:
 def _sampled(batches):
     """Feature rows of labelled texts that pass the base rules."""
     for batch in batches:
-        for part, texts in slices(batch, most=1 << 19):
+        for part, texts in slices(batch, most=AT_ONCE, rows=ROWS_AT_ONCE):
             x = features(texts, BITS, CHARS, WORDS)
             good = np.flatnonzero(~base_failed(base_counts(texts)))
             if len(good):
@@ -78,6 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Fits on at most `sample` labelled texts, the first ones in hash order of doc_id; texts that fail the base rules
     need no verdict and are left out. docs: doc_id, text; labels: doc_id, label (0/1). One in CALIBRATION rows fits
     only the calibration. With under 10 rows of either label the model keeps everything (probability 1)."""
+    bounded_batches(docs.sparkSession)
     rank = F.xxhash64(F.lit("quality"), F.col("doc_id"))
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     chosen = known.orderBy(rank, "doc_id").limit(2 * sample)
@@ -102,12 +105,13 @@ def score(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
     made = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("probability", "double"), ("kept", "boolean")]
     names = [n for n, _ in made]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    bounded_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         m = packed.value
         for batch in batches:
-            for part, texts in slices(batch, most=1 << 19):
+            for part, texts in slices(batch, most=AT_ONCE, rows=ROWS_AT_ONCE):
                 found = base_counts(texts)
                 failed = base_failed(found)
                 z = features(texts, BITS, CHARS, WORDS) @ m["w"] + m["b"]

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text that is handled at once inside a task, in bytes of UTF-8. A longer single text makes a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1 << 15
+#: Rows of an Arrow batch between Spark and Python, where the session keeps Spark's default of 10,000: those are too many whole texts.
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch to BATCH_ROWS for the session, unless it has a value of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -60,13 +69,13 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
-    """Row ranges of a batch with about `most` bytes of text each, as (batch, Texts)."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """Row ranges of a batch with about `most` bytes of text and `rows` rows at most each, as (batch, Texts)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(lengths), 0
     while start < len(lengths):
         done = ends[start - 1] if start else 0
-        stop = min(max(start + 1, int(np.searchsorted(ends, done + most, "right"))), start + SLICE_ROWS)
+        stop = min(max(start + 1, int(np.searchsorted(ends, done + most, "right"))), start + rows)
         part = batch.slice(start, stop - start)
         yield part, Texts(part.column(column))
         start = stop

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, mixed, partitions
+from .shared import bounded_batches, documents, mixed, partitions
 
 #: Code points of a k-gram, and k-grams of a window; both powers of two. Two texts that share K + WINDOW - 1 code points in a row share a fingerprint hash.
 K, WINDOW = 16, 64
@@ -132,6 +132,7 @@ def fingerprints(docs: DataFrame, n: int | None = None) -> DataFrame:
     single one by itself. Null texts count as empty. The texts are shuffled once, to ranges of ids; each range's first
     document also goes to the range before, so that no task needs another one's rows.
     """
+    bounded_batches(docs.sparkSession)
     n = n or partitions(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     ids = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
