@@ -29,6 +29,17 @@ def test_long_and_odd_texts():
         assert OURS.encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_apostrophes_before_words_and_special_tokens_against_an_unmodified_tokenizer():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("'start", "'second half", "a line\n'start again", "'street 'street", "'responses,\n'though.", "(start", "-x\n1abc"):
+        assert OURS.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    # the library alone would make a special id of the string; in a text it is the pieces of an ordinary one
+    for text in ("<|endoftext|>", "x <|endoftext|> y"):
+        pieces = [piece for piece, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+        want = [t.id for piece in pieces for t in library.model.tokenize(piece)]
+        assert OURS.encode(text).tolist() == want and 50256 not in want
+
+
 def test_only_unusual_white_space_is_odd():
     from weftline.llm.shared import Texts
 

@@ -78,8 +78,8 @@ class Encoder:
             self._forget()
 
     def _learn(self, keys: list[int], words: list[str]):
-        """Words of letters only are one piece, so the model alone is asked; others go through the whole library."""
-        letters = [w[1:].isalpha() or w.isalpha() for w in words]
+        """Words of letters only, after a space or not, are one piece, so the model alone is asked; others go through the whole library."""
+        letters = [w.removeprefix(" ").isalpha() for w in words]
         mapped = iter([w.encode().decode("latin-1").translate(self.letters) for w, plain in zip(words, letters, strict=True) if plain])
         other = [w for w, plain in zip(words, letters, strict=True) if not plain]
         found_other = iter([e.ids for i in range(0, len(other), AT_ONCE) for e in self.tokenizer.encode_batch_fast(other[i : i + AT_ONCE], add_special_tokens=False)])
