@@ -38,6 +38,13 @@ def test_query(spark, duck, name):
     assert rows == sorted(str([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
+def test_token_match_whole_offers_every_customer(spark, duck):
+    rows = {r.pid: r for r in catalogue.queries()["token_match_whole"](spark, SF).collect()}
+    suppliers, customers = (dict(duck.sql(f"SELECT {k}, {n} % 2 FROM {t}").fetchall()) for t, k, n in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey")))
+    keys = {s: {s} | ({s // 3} if s % 3 == 0 else set()) for s in suppliers}
+    assert {k: r.candidates for k, r in rows.items()} == {f"s{s}": sorted(f"c{c}" for c in keys[s] if customers.get(c) == parity) for s, parity in suppliers.items()}
+
+
 def test_contract_without_the_training_operators():
     import importlib.util
 

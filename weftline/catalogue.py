@@ -278,6 +278,26 @@ def token_match(spark, sf_dir):
     return resolve.match_records(source, target)
 
 
+@query("""
+WITH s AS (SELECT 's' || s_suppkey AS pid, (s_nationkey % 2)::VARCHAR AS class, 'm' || right(s_name, 9) AS t1, 'k' || s_suppkey AS t2 FROM supplier),
+c AS (SELECT 'c' || c_custkey AS pid, (c_nationkey % 2)::VARCHAR AS class, 'm' || right(c_name, 9) AS t1, 'k' || (c_custkey * 3) AS t2 FROM customer),
+p AS (SELECT s.pid, c.pid AS hit FROM s JOIN c USING (class, t1) UNION SELECT s.pid, c.pid FROM s JOIN c USING (class, t2)),
+h AS (SELECT pid, list_sort(list(hit)) AS candidates FROM p GROUP BY 1)
+SELECT s.class, s.pid, CASE WHEN len(candidates) = 1 THEN candidates[1] END AS matched,
+CASE WHEN candidates IS NULL THEN 'unmatched' WHEN len(candidates) = 1 THEN 'identifier' ELSE 'ambiguous' END AS how, coalesce(candidates, []) AS candidates FROM s LEFT JOIN h USING (pid)
+""")
+def token_match_whole(spark, sf_dir):
+    """All suppliers against all customers, by tokens that few records share: the number in the name and the key."""
+
+    def side(df, key, nation, name, mark, factor):
+        tokens = F.array(F.concat(F.lit("m"), F.substring(name, -9, 9)), F.concat(F.lit("k"), F.col(key) * factor))
+        return df.select(F.concat(F.lit(mark), key).alias("pid"), (F.col(nation) % 2).cast("string").alias("class"), tokens.alias("tokens"))
+
+    source = side(read(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", "s_name", "s", 1)
+    target = side(read(spark, sf_dir, "customer"), "c_custkey", "c_nationkey", "c_name", "c", 3)
+    return resolve.match_records(source, target)
+
+
 @query("""
 WITH l AS (SELECT l_orderkey AS k, count(*) AS n, max(l_linestatus) AS s FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS k FROM orders JOIN l ON o_orderkey = k WHERE o_orderstatus IS DISTINCT FROM s
