@@ -247,6 +247,24 @@ def priority_resolve(spark, sf_dir):
     return resolve.resolve_creators(creators, people.limit(0), people, orgs)[0]
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS item, c_nationkey AS k, c_acctbal < 0 AS single FROM customer),
+ali AS (SELECT n_nationkey AS k, 'reviewed' || n_nationkey AS pid FROM nation WHERE n_regionkey IN (2, 4)),
+org AS (SELECT s_nationkey AS k, min(s_suppkey) AS pid FROM supplier WHERE s_acctbal > 0 GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1),
+per AS (SELECT n_nationkey AS k, 'nation' || n_nationkey AS pid FROM nation WHERE n_regionkey < 3),
+r AS (SELECT item, coalesce(ali.pid, CASE WHEN NOT single THEN per.pid WHEN per.pid IS NULL THEN 'supplier' || org.pid WHEN org.pid IS NULL THEN per.pid END) AS pid
+FROM c LEFT JOIN ali USING (k) LEFT JOIN org USING (k) LEFT JOIN per USING (k))
+SELECT item, 0 AS pos, pid, 'aut' AS role FROM r WHERE pid IS NOT NULL
+""")
+def priority_resolve_whole(spark, sf_dir):
+    """priority_resolve with reviewed aliases, some of which stand before a person or an organization of the same key."""
+    customer, supplier, nation = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    creators = customer.select(F.col("c_custkey").alias("item"), F.lit(0).alias("pos"), F.col("c_nationkey").cast("string").alias("key"), (F.col("c_acctbal") < 0).alias("single_field"), F.lit("aut").alias("role"), F.col("c_name").alias("name"))
+    orgs = resolve.unique_index(supplier.where("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("key"), F.concat(F.lit("supplier"), "s_suppkey").alias("pid")), "key", "pid")
+    aliases, people = (nation.where(rule).select(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lit(mark), "n_nationkey").alias("pid")) for rule, mark in (("n_regionkey IN (2, 4)", "reviewed"), ("n_regionkey < 3", "nation")))
+    return resolve.resolve_creators(creators, aliases, people, orgs)[0]
+
+
 @query("""
 WITH s AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 3 = 0 AND lang <> 'en'), o AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 3 = 1)
 SELECT doc_id, source, lang, false AS attached FROM s UNION ALL SELECT doc_id, source, lang, true FROM o WHERE source || lang IN (SELECT source || lang FROM s)
@@ -256,6 +274,16 @@ def attach_semi(spark, sf_dir):
     return resolve.attach(docs.where("doc_id % 3 = 0 AND lang <> 'en'"), docs.where("doc_id % 3 = 1"), "key").drop("key")
 
 
+@query("""
+WITH s AS (SELECT doc_id, source, lang FROM documents WHERE lang IS DISTINCT FROM 'en'), o AS (SELECT doc_id, source, lang FROM documents WHERE lang = 'en')
+SELECT doc_id, source, lang, false AS attached FROM s UNION ALL SELECT doc_id, source, lang, true FROM o WHERE source IN (SELECT source FROM s)
+""")
+def attach_semi_whole(spark, sf_dir):
+    """Every document is selected (not English) or offered (English)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return resolve.attach(docs.where("NOT lang <=> 'en'"), docs.where("lang = 'en'"), "source")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unlabeled_anti(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
@@ -460,6 +488,26 @@ def ownership_merge(spark, sf_dir):
     return merge.merge_assertions(baseline, source, "adapter", names)
 
 
+@query("""
+WITH b AS (SELECT user_id::VARCHAR AS pid, event_type AS path, event_type AS predicate, props AS content, min(event_id) AS pos, arg_min({'o': CASE WHEN event_id % 3 = 0 THEN 'adapter' WHEN event_id % 3 = 1 THEN 'other' END}, event_id).o AS owner FROM events WHERE value < 100 OR value IS NULL GROUP BY 1, 2, 3, 4),
+s AS (SELECT user_id::VARCHAR AS pid, event_type AS path, event_type AS predicate, props AS content, min(event_id) AS pos FROM events WHERE value >= 20 GROUP BY 1, 2, 3, 4)
+SELECT coalesce(b.pid, s.pid) AS pid, coalesce(b.path, s.path) AS path, coalesce(b.predicate, s.predicate) AS predicate, coalesce(b.content, s.content) AS content,
+CASE WHEN b.pid IS NULL THEN 'adapter' ELSE b.owner END AS owner, coalesce(b.pos, s.pos) AS pos,
+CASE WHEN b.pid IS NULL THEN 'added' WHEN b.owner = 'adapter' AND s.pid IS NULL AND b.pid IN (SELECT pid FROM s) THEN 'removed' ELSE 'kept' END AS change
+FROM b FULL OUTER JOIN s ON b.pid = s.pid AND b.path = s.path AND b.predicate = s.predicate AND b.content = s.content
+""")
+def ownership_merge_whole(spark, sf_dir):
+    """Every event stands in the baseline (low or no value), in the source (higher value) or, between the two, in both."""
+    events = read(spark, sf_dir, "events")
+    keys = [F.col("user_id").cast("string").alias("pid"), F.col("event_type").alias("path"), F.col("event_type").alias("predicate"), F.col("props").alias("content")]
+    owner = F.when(F.col("event_id") % 3 == 0, "adapter").when(F.col("event_id") % 3 == 1, "other")
+    names = ["pid", "path", "predicate", "content"]
+    rows = events.where("value < 100 OR value IS NULL").select(*keys, "event_id", owner.alias("o"))
+    baseline = rows.groupBy(*names).agg(F.min("event_id").alias("pos"), F.min_by(F.struct("o"), "event_id").alias("o")).select(*names, "pos", F.col("o.o").alias("owner"))
+    source = events.where("value >= 20").select(*keys, F.col("event_id").alias("pos"))
+    return merge.merge_assertions(baseline, source, "adapter", names)
+
+
 @query("""
 SELECT d.doc_id::VARCHAR AS pid, d.source AS path, sha256(d.text) AS assertion_sha256, CASE WHEN l.doc_id IS NOT NULL THEN 'labels' END AS imported_by FROM documents d LEFT JOIN labels l USING (doc_id)
 """)
