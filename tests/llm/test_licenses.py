@@ -43,6 +43,48 @@ def test_texts():
     assert found("") == [] and found("\n\n.") == []
 
 
+def licences(text):
+    return [m[1] for m in lc.match_rules(lc.known_sentences(text)[0])]
+
+
+def test_wordings_of_one_licence():
+    for text, licence in {
+        "This file is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Distributed under the Apache 2.0 license.": "Apache-2.0",
+        "This project is licensed under the MIT License.": "MIT",
+        "The source code of this library is released under the terms of the MIT license": "MIT",
+        "License: MIT": "MIT",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-only",
+        "This program is distributed under the GPLv3.": "GPL-3.0-only",
+        "Licensed under the GNU GPL v2 or later.": "GPL-2.0-or-later",
+        "This software is available under the terms of version 3 of the GNU General Public License.": "GPL-3.0-only",
+        "Licensed under the GNU Lesser General Public License, version 2.1 or (at your option) any later version.": "LGPL-2.1-or-later",
+        "Released under the GNU Lesser General Public License v3.0": "LGPL-3.0-only",
+        "Licensed under AGPL-3.0-or-later.": "AGPL-3.0-or-later",
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+        "This package is published under the Simplified BSD License.": "BSD-2-Clause",
+        "Released under the Mozilla Public License 2.0.": "MPL-2.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Licensed under CC BY 3.0.": "CC-BY-3.0",
+        "Released under CC0 1.0 Universal.": "CC0-1.0",
+        "This work is released into the public domain.": "LicenseRef-public-domain",
+    }.items():
+        assert licences(text) == licences(f"Words before.\n{text}\nMore words") == [licence], text
+
+
+def test_sentences_that_start_at_a_line_and_run_on():
+    assert licences("Intro without a stop\nThis file is licensed under the Apache License,\nVersion 2.0.\nmore") == ["Apache-2.0"]
+    assert licences("# A tool\n# Released\n# under the MIT License\nimport x") == ["MIT"]
+    assert licences("A program\n" + GPL) == ["GPL-3.0-or-later"]
+    assert licences("Our text is not\nreleased under the MIT License.") == []
+    assert licences("This file is not licensed under the Apache License, Version 2.0.") == []
+
+
+def test_spdx_lines():
+    assert licences("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\ncode") == ["MIT", "Apache-2.0", "GPL-2.0-only"]
+    assert licences("/* SPDX-License-Identifier: LGPL-2.1-or-later */\n") == ["LGPL-2.1-or-later"]
+
+
 def test_a_header_of_several_sentences():
     assert [r for r, _ in found(APACHE)] == ["apache-2.0-header"]
 

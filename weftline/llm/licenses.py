@@ -66,8 +66,105 @@ RULES = [
     ("reserved", "LicenseRef-all-rights-reserved", ("reserved",)),
 ]
 
-#: Every known sentence holds one of these, so texts and spans without any are passed over.
-TRIGGERS = ("licen", "permi", "rights", "warrant", "redistribut", "copyright", "liab", "mpl", "endorse")
+def _version(number: str) -> str:
+    """2.1 as it stands after a name: version 2 1, v2 1, v 2 1 or 2 1; a last 0 may be left out."""
+    whole = number.replace(".", " ")
+    short = f"(?: {whole[2:]})?" if whole.endswith(" 0") else whole[1:]
+    return f"(?:version |v ?)?{whole[0]}{short}"
+
+
+_LICENSE = "licen[cs]e"
+_GNU = {"gpl": "(?:gnu )?(?:general public LICENSE|gpl)", "lgpl": "(?:gnu )?(?:(?:lesser|library) general public LICENSE|lgpl)", "agpl": "(?:gnu )?(?:affero general public LICENSE|agpl)"}
+_CC = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
+
+
+def _names() -> list[tuple[str, str, str]]:
+    """(sentence identifier, licence, pattern of its normalised names). Those of SENTENCES keep their identifiers."""
+    out = [
+        ("apache2-short", "Apache-2.0", f"(?:apache(?: software)? LICENSE {_version('2.0')}|apache {_version('2.0')}(?: LICENSE)?|asl {_version('2.0')})"),
+        ("apache1.1-short", "Apache-1.1", "(?:apache(?: software)? LICENSE (?:version |v ?)?1 1|apache 1 1(?: LICENSE)?)"),
+        ("mit-short", "MIT", "(?:(?:mit|expat|mit x11|mit expat)(?: (?:open source )?(?:software )?LICENSE)?)"),
+        ("bsd3-short", "BSD-3-Clause", "(?:(?:new|modified|revised|(?:3|three) clause) bsd(?: LICENSE)?|bsd (?:3|three) clause(?: (?:new|revised|new or revised))?(?: LICENSE)?)"),
+        ("bsd2-short", "BSD-2-Clause", "(?:(?:simplified|(?:2|two) clause) bsd(?: LICENSE)?|freebsd LICENSE|bsd (?:2|two) clause(?: simplified)?(?: LICENSE)?)"),
+        ("bsd-short", "LicenseRef-BSD", "bsd(?: style)?(?: LICENSE)?"),
+        ("isc-short", "ISC", "isc(?: LICENSE)?"),
+        ("mpl2-licensed", "MPL-2.0", f"(?:mozilla public LICENSE|mpl) {_version('2.0')}"),
+        ("mpl1.1-licensed", "MPL-1.1", f"(?:mozilla public LICENSE|mpl) {_version('1.1')}"),
+        ("epl2-short", "EPL-2.0", f"(?:eclipse public LICENSE|epl) {_version('2.0')}"),
+        ("epl1-short", "EPL-1.0", f"(?:eclipse public LICENSE|epl) {_version('1.0')}"),
+        ("eupl1.2-short", "EUPL-1.2", f"(?:european union public LICENSE|eupl) {_version('1.2')}"),
+        ("boost-short", "BSL-1.0", f"boost software LICENSE(?: {_version('1.0')})?"),
+        ("artistic2-short", "Artistic-2.0", f"artistic LICENSE {_version('2.0')}"),
+        ("ofl-short", "OFL-1.1", f"(?:sil )?open font LICENSE(?: {_version('1.1')})?"),
+        ("zlib-short", "Zlib", "zlib(?: LICENSE)?"),
+        ("unlicense-short", "Unlicense", "unlicen[cs]e"),
+        ("wtfpl-short", "WTFPL", "(?:wtfpl|do what the fuck you want to public LICENSE)"),
+        ("cc0-short", "CC0-1.0", "(?:(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: (?:public domain dedication|LICENSE))?|creative commons zero(?: v?1 0)?(?: universal)?(?: LICENSE)?)"),
+    ]
+    later = "(?: (?:as published by the free software foundation )?(?:either )?{})(?: of the LICENSE)? (?:or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?|and later(?: versions?)?)"
+    for kind, name in _GNU.items():
+        for number in {"gpl": ("2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("3.0",)}[kind]:
+            version, mark = _version(number), kind + (number[0] if number.endswith(".0") else number)
+            joined = f"{kind}v?{number[0]}" + ("(?: 0)?" if number.endswith(".0") else f" {number[2]}")
+            full = f"(?:{name}(?: LICENSE)? {version}|{joined}|gnu {joined})"
+            after = later.format(version)
+            out.append((f"{mark}-later", f"{kind.upper()}-{number}-or-later", f"(?:{name}(?: LICENSE)?{after}|(?:gnu )?{joined} (?:or (?:any )?later(?: versions?)?|plus))(?: LICENSE)?"))
+            out.append((f"{mark}-short", f"{kind.upper()}-{number}-only", f"{full}(?: LICENSE)?(?: only)?"))
+        out.append((f"{kind}-short", f"{kind.upper()}-{'1.0' if kind != 'lgpl' else '2.0'}-or-later", name))
+    for kind, name in _CC.items():
+        for number in ("4.0", "3.0", "2.5", "2.0", "1.0"):
+            spaced, version = kind.replace("-", " "), number.replace(".", " ")
+            made = "" if number == "4.0" else number
+            out.append((f"cc-{kind}{made}-short", f"CC-{kind.upper()}-{number}", f"(?:a )?(?:(?:creative commons |cc )(?:{name}|{spaced})|cc{spaced})(?: LICENSE)? (?:version |v ?)?{version}(?: (?:international|unported|generic))?(?: (?:public )?LICENSE)?"))
+    return [(id_, licence, pattern.replace("LICENSE", _LICENSE)) for id_, licence, pattern in out]
+
+
+_NAMES = _names()
+#: Short forms of these licences, whose other wordings get the same identifier (see _variant).
+SENTENCES |= {id_: "licensed under " + (licence.lower().replace("-", " ").replace(".", " ") if id_[:-6] not in _GNU else f"the {id_[:-6]}") for id_, licence, _ in _NAMES if id_ not in SENTENCES}
+RULES += [(id_, licence, (id_,)) for id_, licence, _ in _NAMES if not any(r[2] == (id_,) for r in RULES)]
+SENTENCES |= {"public-domain": "released into the public domain without rights reserved"}
+RULES.append(("public-domain", "LicenseRef-public-domain", ("public-domain",)))
+
+#: Words of the subject of a licence sentence; "not" and the like are none of them, so a denial is no licence.
+_SUBJECT = "this|these|the|all|any|our|its|it|that|of|in|and|for|with|from|by|source|code|sources|file|files|project|software|program|programme|work|works|library|package|repository|repo|document|documentation|docs|data|dataset|database|content|contents|text|article|material|materials|module|script|scripts|product|book|page|site|website|app|application|tool|tools|model|models|image|images|font|fonts|paper|plugin|extension|framework|component|crate|gem|distribution|release|is|are|has|been|have|was|were|hereby|also|free|open|dual|everything|except|otherwise|where|unless|noted"
+_VERB = "(?:licen[cs]ed|released|distributed|available|made available|provided|published|offered|shared|redistributed|covered|redistributable|usable|open sourced|dual licen[cs]ed)"
+_LEAD = (
+    rf"(?:(?:(?:{_SUBJECT}) ){{1,12}})?(?:{_VERB}(?: (?:and|or) {_VERB})?(?: to you)?(?: freely)? (?:under|by)|(?:is |are )?subject to|licen[cs]e(?:d as)?|under) (?:(?:the |a )?(?:terms(?: and conditions)?|conditions) of )?(?:version (?P<early>\d(?: \d)?) of )?(?:the )?"
+)
+_VARIANT = re.compile(_LEAD + "(?P<name>.+)")
+_DOMAIN = re.compile(rf"(?:(?:(?:{_SUBJECT}) ){{1,12}})?(?:(?:released|placed|dedicated|put) (?:in|into|to) |in )the public domain")
+_NAME = [(id_, re.compile(pattern)) for id_, _, pattern in _NAMES]
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_SPDX_ID = re.compile(r"[A-Za-z][A-Za-z0-9.+:-]*[A-Za-z0-9+]|[A-Za-z]")
+
+
+def _variant(sentence: str) -> str | None:
+    """Identifier of a normalised short form: an optional subject, a verb, and the licence by one of its names."""
+    m = _VARIANT.fullmatch(sentence)
+    if m:
+        name = m["name"] if m["early"] is None else f"{m['name']} {m['early']}"
+        name = name.removesuffix(" as published by the free software foundation") if m["early"] is None else name.replace(" as published by the free software foundation", "")
+        return next((id_ for id_, pattern in _NAME if pattern.fullmatch(name)), None)
+    return "public-domain" if _DOMAIN.fullmatch(sentence) else None
+
+
+def _spdx(line: str) -> list[str]:
+    """Licences that an SPDX line names, in order, each once; what follows WITH is an exception and no licence."""
+    out, skip = [], False
+    for word in _SPDX_ID.findall(line):
+        if word in ("AND", "OR", "WITH", "and", "or", "with"):
+            skip = word.upper() == "WITH"
+        elif skip:
+            skip = False
+        elif word not in out:
+            out.append(word)
+    return out
+
+
+#: Every known sentence holds one of these or a verb before "under", so texts and spans without any are passed over.
+TRIGGERS = ("licen", "permi", "rights", "warrant", "redistribut", "copyright", "liab", "mpl", "endorse", "gpl", "spdx", "public domain", "creative commons", "cc0", "cc by", "cc-by")
+_UNDER = re.compile(r"(?:released|distributed|available|provided|published|offered|shared|covered|subject)[\s#*/;-]+(?:under|by|to)\b|public[\s#*/;-]+domain|creative[\s#*/;-]+commons")
 
 #: Unknown sentences that may stand between two of a rule's.
 GAP = 2
@@ -85,11 +182,23 @@ def normal(sentence: str) -> str:
 
 _IDS = {text: id_ for id_, text in SENTENCES.items()}
 _LONGEST = max(map(len, _IDS)) * 4 + 400
+#: Longest short form, and the words that a known sentence starts with.
+_SHORT = 400
+_FIRST = {x.split()[0] for x in _IDS} | set(_SUBJECT.split("|")) | set("licensed licenced released distributed available made provided published offered shared redistributed covered redistributable usable open dual subject license licence under placed dedicated put in".split())
+_BY_FIRST = {w: [x for x in _IDS if x.split()[0] == w] for w in _FIRST}
+_START = re.compile(f"{_LEAD}|{_DOMAIN.pattern}")
+_WORD = re.compile(r"[0-9a-z]+")
+_DENIALS = {"not", "never", "no", "nor", "t", "without"}
+
+
+def _known(part: str) -> str | None:
+    sentence = normal(part)
+    return _IDS.get(sentence) or (_variant(sentence) if len(sentence) <= _SHORT else None)
 
 
 def _triggered(text: str) -> bool:
     low = text.lower()
-    return any(t in low for t in TRIGGERS)
+    return any(t in low for t in TRIGGERS) or _UNDER.search(low) is not None
 
 
 def _spans(text: str, ends: re.Pattern):
@@ -104,37 +213,60 @@ def known_sentences(text: str) -> tuple[list[tuple[int, int, str]], int]:
     """(start, ordinal, identifier) of the licence sentences of a whole text in order, and the number of its sentences.
 
     Sentences end at stops, question and exclamation marks, colons and semicolons before white space, and at blank
-    lines, comment marks and list numbers at line starts counting as blanks; lines that are a licence sentence by themselves count too. A licence sentence with one of these marks inside
-    is also sought over up to three neighbouring spans.
+    lines, comment marks and list numbers at line starts counting as blanks. A licence sentence with one of these marks
+    inside is also sought over up to three neighbouring spans. It may also start at any line start, and run on over
+    following lines up to the end of one or of a sentence, unless a denial stands right before it. An SPDX line gives
+    'spdx:' and its licence for each that it names.
     """
     if not _triggered(text):
         return [], 0
     text = _MARKS.sub(lambda m: " " * len(m[0]), text)
     spans = list(_spans(text, _ENDS))
+    starts = [a for a, _ in spans]
     found: dict[int, tuple[int, int, str]] = {}
+    covered: dict[int, int] = {}
+    for m in _SPDX.finditer(text):
+        for i, id_ in enumerate(_spdx(m[1])):
+            found[m.start() + i] = (m.start() + i, _last(starts, m.start()), f"spdx:{id_}")
+            covered[m.start()] = m.end()
     hot = [_triggered(text[a:b]) for a, b in spans]
     i = 0
     while i < len(spans):
         step = 1
         if any(hot[i : i + 3]):
             for n in (3, 2, 1):
-                if i + n <= len(spans) and spans[i + n - 1][1] - spans[i][0] <= _LONGEST and any(hot[i : i + n]):
-                    id_ = _IDS.get(normal(text[spans[i][0] : spans[i + n - 1][1]]))
+                if i + n <= len(spans) and spans[i + n - 1][1] - spans[i][0] <= _LONGEST and any(hot[i : i + n]) and spans[i][0] not in covered:
+                    id_ = _known(text[spans[i][0] : spans[i + n - 1][1]])
                     if id_:
                         found[spans[i][0]] = (spans[i][0], i, id_)
+                        covered[spans[i][0]] = spans[i + n - 1][1]
                         step = n
                         break
         i += step
-    starts = [a for a, _ in spans]
-    taken = sorted(found)
-    for a, b in _spans(text, _LINES):
-        if b - a <= _LONGEST and a not in found and _triggered(text[a:b]):
-            id_ = _IDS.get(normal(text[a:b]))
-            if id_:
-                k = _last(starts, a)
-                owner = _last(taken, a)
-                if owner < 0 or found[taken[owner]][1] != k:
-                    found[a] = (a, k, id_)
+    lines = list(_spans(text, _LINES))
+    ends = sorted({b for _, b in lines} | {b for _, b in spans})
+    taken, upto = sorted(covered), -1
+    for a, b in lines:
+        owner = _last(taken, a)
+        if a < upto or (owner >= 0 and a < covered[taken[owner]]):
+            continue
+        first = _WORD.search(text[a:b].lower())
+        if not first or first[0] not in _FIRST:
+            continue
+        k = _last(starts, a)
+        before = _WORD.findall(text[max(starts[k], a - 40) : a].lower())
+        if before and before[-1] in _DENIALS:
+            continue
+        ahead = normal(text[a : a + _LONGEST])
+        most = _LONGEST if any(map(ahead.startswith, _BY_FIRST[first[0]])) else _SHORT if _START.match(ahead) else 0
+        for end in reversed(ends[bisect.bisect_right(ends, a) : bisect.bisect_right(ends, a + most)]):
+            if id_ := _known(text[a:end]):
+                # a sentence that was found by itself and starts further on is part of this longer one
+                for x in [x for x in found if a <= x < end]:
+                    del found[x]
+                found[a] = (a, k, id_)
+                upto = end
+                break
     return sorted(found.values()), len(spans)
 
 
@@ -147,6 +279,10 @@ def match_rules(sentences: list[tuple[int, int, str]], gap: int = GAP) -> list[t
     are used up; a rule's sentences stand in order with at most `gap` sentences between two of them."""
     out, i = [], 0
     while i < len(sentences):
+        if sentences[i][2].startswith("spdx:"):
+            out.append(("spdx-identifier", sentences[i][2].removeprefix("spdx:"), sentences[i][0]))
+            i += 1
+            continue
         for rule, licence, ids in RULES:
             part = sentences[i : i + len(ids)]
             if tuple(x[2] for x in part) == ids and all(b[1] - a[1] <= gap + 1 for a, b in zip(part, part[1:], strict=False)):
