@@ -68,6 +68,18 @@ def test_components_against_all_pairs(spark, k):
     assert len(out) == len(rows)
 
 
+def test_a_pair_that_shares_one_band_is_a_candidate(spark):
+    rng = np.random.default_rng(9)
+    pairs = [([f"p{i}c{j}" for j in range(120)] + [f"p{i}a{j}" for j in range(38)], [f"p{i}c{j}" for j in range(120)] + [f"p{i}b{j}" for j in range(38)]) for i in range(60)]
+    texts = [" ".join(rng.permutation(side)) for pair in pairs for side in pair]  # similarity 120 / 196 with single words
+    regs = nd.sketch(*nd.shingles(Texts(pa.array(texts)), 1))[:, : nd.ROWS * nd.BANDS].reshape(len(texts), nd.BANDS, nd.ROWS)
+    shared = (regs[::2] == regs[1::2]).all(axis=2).sum(axis=1)
+    once = np.flatnonzero(shared == 1)
+    assert len(once) > 3
+    out = {r.doc_id: r.component_id for r in nd.near_components(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA), "doc_id", "text", 1, 60).collect()}
+    assert all(out[2 * i] == out[2 * i + 1] == 2 * i for i in once.tolist())
+
+
 def test_large_buckets_with_strays(spark, monkeypatch):
     monkeypatch.setattr(nd, "SMALL", 3)
     monkeypatch.setattr(nd, "STRAY_BLOCK", 4)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Texts, bounded_batches, combined, documents, mixed, partitions, runs, slices, written
 
-#: BANDS bands of ROWS registers; M (a prime) registers in all. Two sets of Jaccard similarity 0.8 share 12.6 bands on average and none with probability 5e-7.
+#: BANDS bands of ROWS registers; M (a prime) registers in all. Two sets of Jaccard similarity 0.8 share 12.6 bands on average and none with probability 4.6e-7; one that they share makes them a candidate.
 ROWS, BANDS, M = 6, 48, 293
 #: Base and rate of the registers' exponential scale: register = floor(1 - log_BASE(least x)), x scaled by 1 / RATE, within 16 bits.
 BASE, RATE = 1.001, 20.0
@@ -239,9 +239,9 @@ def link_classes(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     # the centre of a large bucket: the member whose buckets are fullest, that is the text the others are copies of
     weight = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
     star = written(large.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre")), "centres")
-    around = written(large.join(star, "key").select("centre", "id").groupBy("centre", "id").agg(F.count(F.lit(1)).alias("n")), "around")
-    spokes = around.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), "n")
-    pairs = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).union(spokes).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b"), "pairs")
+    around = written(large.join(star, "key").select("centre", "id").distinct(), "around")
+    spokes = around.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    pairs = written(pairs.union(spokes).distinct(), "pairs")
     of = {s: one.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("regs").alias(f"regs_{s}")) for s in "ab"}
     near = written(pairs.join(of["a"], "a").join(of["b"], "b").mapInArrow(_estimated(percent), "a long, b long"), "near")
     texts = texts.select("id", "text").join(one.select("id"), "id", "left_semi").dropDuplicates(["id"])
