@@ -67,6 +67,22 @@ def test_learns_and_keeps_clean_texts(spark, made):
     assert all(by[i].base_failed and not by[i].kept for i in (None, 900, 901, 902))
 
 
+def test_rare_rejects_are_sampled_by_label(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["river", "stone", "walks", "gently", "over", "the", "hill", "morning", "light"]
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 50 == 0
+        text = [w + "%%%" if bad else w for w in rng.choice(vocabulary, 40)]
+        # most rejects fail the base rules, and those say nothing about the others
+        rows.append((i, " ".join(text[:5] if bad and i % 100 else text), "x"))
+        labels.append((i, int(not bad)))
+    model = q.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, label int"), sample=120)
+    assert model["slope"] != 0.0
+    out = {r.doc_id: r for r in q.score(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert not any(out[i].kept for i in range(0, 3000, 50)) and sum(r.kept for r in out.values()) > 2900
+
+
 def test_empty_tables_and_missing_labels(spark, made):
     none = spark.createDataFrame([], "doc_id long, label int")
     df = spark.createDataFrame(made[0][:5], SCHEMA)

@@ -83,14 +83,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int
     return w, b
 
 
-def fit_platt(score: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and shift of a probability sigmoid(slope * score + shift), by Newton steps on smoothed labels."""
+def fit_platt(score: np.ndarray, y: np.ndarray, steps: int = 60, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and shift of a probability sigmoid(slope * score + shift), by Newton steps on smoothed labels of rows of a weight."""
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = sigmoid(a * score + b)
-        g, v = p - goal, p * (1 - p) + 1e-9
+        g, v = weight * (p - goal), weight * (p * (1 - p) + 1e-9)
         h11, h12, h22 = (v * score * score).sum() + 1e-6, (v * score).sum(), v.sum() + 1e-6
         g1, g2 = (g * score).sum() + 1e-6 * (a - 1), g.sum()
         det = h11 * h22 - h12 * h12

@@ -17,6 +17,8 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 BITS, CHARS, WORDS, SAMPLE, KEEP = 10, (1, 2, 3), (1, 2), 3000, 0.5
 #: Bytes and rows that are scored at once: a row's features take 20 KB, however short its text.
 AT_ONCE, ROWS_AT_ONCE = 1 << 18, 512
+#: Labels that are broadcast to the texts at most; more are joined as Spark sees fit.
+MOST_BROADCAST = 200_000
 #: Share of the sample that only fits the calibration: one row in so many.
 CALIBRATION = 5
 
@@ -77,22 +79,44 @@ def _sampled(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fits on at most `sample` labelled texts, the first ones in hash order of doc_id; texts that fail the base rules
-    need no verdict and are left out. docs: doc_id, text; labels: doc_id, label (0/1). One in CALIBRATION rows fits
-    only the calibration. With under 10 rows of either label the model keeps everything (probability 1)."""
+    """Fits on at most `sample` labelled texts, up to half of each label, the first ones in hash order of doc_id; texts
+    that fail the base rules need no verdict and are left out. docs: doc_id, text; labels: doc_id, label (0/1). One in
+    CALIBRATION rows of each label fits only the calibration, which is then set to the labels' own shares. If no text of
+    a label passes the base rules, the model keeps everything (probability 1)."""
     bounded_batches(docs.sparkSession)
     rank = F.xxhash64(F.lit("quality"), F.col("doc_id"))
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
-    chosen = known.orderBy(rank, "doc_id").limit(2 * sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    found = rows.select("text", "label", rank.alias("rank")).mapInArrow(_sampled, "x binary, label int, rank long").orderBy("rank").limit(sample).collect()
-    y = np.array([r["label"] for r in found], np.float32)
-    if min(y.sum(), len(y) - y.sum()) < 10:
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    half, found, passing = sample // 2, {}, {}
+    for label in (0, 1):
+        # ever more labels of the kind are looked at, until enough of their texts pass the base rules
+        tried = 2 * half
+        while True:
+            chosen = known.where(F.col("label") == label).orderBy(rank, "doc_id").limit(tried)
+            chosen = F.broadcast(chosen) if tried <= MOST_BROADCAST else chosen
+            rows = texts.join(chosen, "doc_id").select("text", "label", rank.alias("rank")).mapInArrow(_sampled, "x binary, label int, rank long")
+            found[label] = rows.orderBy("rank").limit(half).collect()
+            if len(found[label]) == half or tried >= sizes.get(label, 0):
+                break
+            tried *= 8
+        # of the label's rows, those that pass: as many as stand up to the last one's rank, carried on to all
+        seen = sizes.get(label, 0)
+        if len(found[label]) == half and half:
+            seen = known.where((F.col("label") == label) & (rank <= found[label][-1]["rank"])).count()
+        passing[label] = len(found[label]) * sizes.get(label, 0) / max(1, seen)
+    if not (found[0] and found[1]):
         return {"w": np.zeros((len(CHARS) + len(WORDS)) << BITS, np.float32), "b": 0.0, "slope": 0.0, "shift": 35.0}
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32)
-    held = np.arange(len(y)) % CALIBRATION == 0
+    y = np.array([r["label"] for label in (0, 1) for r in found[label]], np.float32)
+    x = np.stack([np.frombuffer(r["x"], np.float16) for label in (0, 1) for r in found[label]]).astype(np.float32)
+    held = np.concatenate([np.arange(len(found[label])) % CALIBRATION == CALIBRATION - 1 for label in (0, 1)])
     w, b = fit_logistic(x[~held], y[~held])
-    slope, shift = fit_platt(x[held] @ w + b, y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
+    kinds = np.array([(1 - y[held]).sum(), y[held].sum()])
+    if kinds.min() > 0:  # rows weigh as much as their label's share of all texts that pass
+        share = np.array([passing[0], passing[1]]) / (passing[0] + passing[1])
+        slope, shift = fit_platt(x[held] @ w + b, y[held], weight=(share * kinds.sum() / kinds)[y[held].astype(int)])
+    else:  # the regression weighs both labels alike
+        slope, shift = 1.0, float(np.log(passing[1] / passing[0]))
     return {"w": w, "b": b, "slope": slope, "shift": shift}
 
 
