@@ -73,3 +73,26 @@ def test_overlapping_documents_and_repeated_and_no_rows(spark):
     assert len(out) == 42 and all(r.taken <= 2 * r.size for r in out)
     assert mixed(spark, []) == []
     assert all(r.taken == 0 for r in mixed(spark, [(1, "", ["a"]), (2, None, ["b"])]))
+
+
+def test_sources_beyond_the_limit_of_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mx, "MOST_PATTERNS", 6)
+    rng = np.random.default_rng(8)
+    rows = [(i, words(rng, int(rng.integers(1, 30))), [f"host{i % 40}"]) for i in range(200)]
+    assert {r.doc_id: r.taken for r in mixed(spark, rows)} == take(spark, rows)
+    # documents of two sources among many of one: both ways agree
+    rows += [(1000 + i, "one two three", ["host1", "host2"]) for i in range(5)]
+    some = {r.doc_id: r.taken for r in mixed(spark, rows)}
+    sizes = {}
+    for _, text, members in rows:
+        for s in members:
+            sizes[s] = sizes.get(s, 0) + len(text.split())
+    grouped = {}
+    for _, text, members in rows:
+        grouped[tuple(members)] = grouped.get(tuple(members), 0) + len(text.split())
+    flows = mx.route(sorted(grouped.items()), {s: round(x) for s, x in mx.targets(sizes).items()})
+    for (members, _), flow in zip(sorted(grouped.items()), flows, strict=True):
+        assert sum(some[d] for d, _, m in rows if tuple(m) == members) == sum(flow.values())
+    monkeypatch.setattr(mx, "MOST_PATTERNS", 2)
+    with pytest.raises(ValueError):
+        mixed(spark, rows)

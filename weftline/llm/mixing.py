@@ -16,7 +16,8 @@ WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
 SEED = 20240607
 #: Bins of the seeded order of a group's documents: only the bin in which its quota ends is sorted.
 BINS = 1 << 14
-#: The flow is solved on the driver over membership patterns, whose number is checked against this.
+#: The flow is solved on the driver over the membership patterns that touch a source of several, whose number is checked
+#: against this. Sources that share no document have no such limit.
 MOST_PATTERNS = 20_000
 
 
@@ -103,28 +104,38 @@ def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEI
         docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.array_sort(members).alias("members")).withColumn("rank", rank).withColumn("bin", F.pmod("rank", F.lit(BINS)).cast("int")),
         "mix-sizes",
     )
-    grouped = table.groupBy("members").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
-    if len(grouped) > MOST_PATTERNS:
-        raise ValueError(f"documents have more than {MOST_PATTERNS} membership patterns; merge rare sources first")
-    grouped = sorted(((tuple(r["members"]), int(r["words"])) for r in grouped), key=str)
+    patterns = table.groupBy("members").agg(F.sum("size").alias("words"))
+    several = patterns.where(F.size("members") != 1).limit(MOST_PATTERNS + 1).collect()
+    grouped = [(tuple(r["members"]), int(r["words"])) for r in several]
+    # a row for each source that has documents of its own
+    grouped += [((r["source"],), int(r["words"])) for r in patterns.where(F.size("members") == 1).select(F.col("members")[0].alias("source"), "words").collect()]
+    shared = {s for names, _ in grouped if len(names) != 1 for s in names}
+    mixed_up = sum(len(names) != 1 or names[0] in shared for names, _ in grouped)
+    if mixed_up > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns hang together by documents of several sources; merge rare sources first")
+    grouped = sorted(grouped, key=str)
     sizes: dict = {}
     for names, words in grouped:
         for s in names:
             sizes[s] = sizes.get(s, 0) + words
     wanted = targets(sizes, weights, share, copies)
-    flows = route(grouped, {s: round(x) for s, x in wanted.items()}, copies)
+    quotas = {s: round(x) for s, x in wanted.items()}
+    joint = [x for x in grouped if len(x[0]) != 1 or x[0][0] in shared]
+    flows = iter(route(joint, {s: quotas[s] for s in quotas if s in shared}, copies))
     plan = []
-    for (names, words), flow in zip(grouped, flows, strict=True):
-        given = sum(flow.values())
+    for names, words in grouped:
+        # a source that shares no document gives what it is to give, as far as its words go
+        given = sum(next(flows).values()) if len(names) != 1 or names[0] in shared else min(quotas[names[0]], copies * words)
         whole = min(copies, given // words) if words else 0
         plan.append((list(names), whole, given - whole * words))
     schema = "members array<string>, whole long, rest long"
-    plan = F.broadcast(spark.createDataFrame(plan, schema))
+    few = F.broadcast if len(plan) <= MOST_PATTERNS else lambda df: df
+    plan = few(spark.createDataFrame(plan, schema))
     bins = table.groupBy("members", "bin").agg(F.sum("size").alias("words"))
     upto = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("members").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     last = upto.join(plan, "members").where((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
     last = last.select("members", "whole", F.col("bin").alias("last_bin"), (F.col("rest") - F.col("upto") + F.col("words")).alias("last_words"))
-    edge = F.broadcast(plan.select("members", "whole").join(last.drop("whole"), "members", "left"))
+    edge = few(plan.select("members", "whole").join(last.drop("whole"), "members", "left"))
     found = table.join(edge, "members")
     inner = F.col("bin") == F.col("last_bin")
     outer = found.where(~F.coalesce(inner, F.lit(False)))
