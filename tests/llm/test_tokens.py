@@ -40,6 +40,25 @@ def test_apostrophes_before_words_and_special_tokens_against_an_unmodified_token
         assert OURS.encode(text).tolist() == want and 50256 not in want
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_words_with_one_hash_keep_their_own_ids(monkeypatch):
+    # the two words of a length have equal hashes under any polynomial modulo 2**64
+    for n in (8, 16, 512, 1024, 2048, 4096):
+        texts = ["x " + thue_morse(n), "x " + thue_morse(n, "b", "a"), thue_morse(n, "b", "a") + ", y"]
+        for fresh in (OURS, tokens.Encoder()):
+            ids, lengths = fresh.encode_many(pa.array(texts))
+            assert ids.tolist() == [i for t in texts for i in PLAIN.encode(t, add_special_tokens=False).ids]
+    # any two words may share a hash: all of them here
+    monkeypatch.setattr(tokens.Texts, "hashes", lambda self, starts, ends, **_: (ends - starts).astype("uint64") * 0 + 7)
+    fresh, texts = tokens.Encoder(), ["one", "alpha beta", "longer-than-eight longer-than-eighT", "beta", "longer-than-eight"]
+    for _ in range(2):
+        ids, lengths = fresh.encode_many(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in PLAIN.encode(t, add_special_tokens=False).ids]
+
+
 def test_only_unusual_white_space_is_odd():
     from weftline.llm.shared import Texts
 

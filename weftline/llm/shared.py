@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -38,30 +39,58 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder of this machine (all tasks run on it) and a cluster a
+    folder in the warehouse, which its executors share.
+    """
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not base:
         base = getattr(spark.sparkContext, "_weftline_scratch", None)
         if base is None:
-            base = spark.sparkContext._weftline_scratch = tempfile.mkdtemp(prefix="weftline-")
+            alone = spark.sparkContext.master.split("[")[0] == "local"
+            base = tempfile.mkdtemp(prefix="weftline-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/weftline-scratch"
+            spark.sparkContext._weftline_scratch = base
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:  # gone already, or the session has ended
         return
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_WRITTEN):
+        _remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, survives lost executors and has known sizes."""
+    """df as a Parquet table in the shared folder: it cuts the lineage, survives lost executors and has known sizes.
+
+    It stays until dropped() or the end of the driver.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() made and nothing reads any more."""
+    for table in tables:
+        _remove(table._weftline_path)
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:
@@ -92,6 +121,14 @@ class Texts:
         self.bytes = raw[bounds[0] : bounds[-1]]
         self.bounds = bounds - bounds[0]
         self.n = len(column)
+        self._loads: dict[bool, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, raw: bytes) -> Texts:
+        """One text from its bytes."""
+        out = cls.__new__(cls)
+        out.bytes, out.bounds, out.n, out._loads = np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 1, {}
+        return out
 
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """Sums of a value of each byte by text."""
@@ -112,21 +149,61 @@ class Texts:
             starts, ends = np.sort(np.concatenate([starts, both])), np.sort(np.concatenate([ends, both]))
         return starts, ends, np.searchsorted(starts, self.bounds)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span, by prefix sums of a polynomial over random byte values."""
-        n = len(self.bytes)
-        powers, inverse = _powers(n + 1)
-        values = (BYTE_VALUE_LOWER if lower else BYTE_VALUE)[self.bytes]
-        values *= powers[:n]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values, out=total[1:])
-        return mixed((total[ends] - total[starts]) * inverse[starts])
+    def loads(self, lower: bool = False) -> np.ndarray:
+        """The eight bytes from each byte on as one number; beyond the end they are zero. lower: A-Z as a-z."""
+        if lower not in self._loads:
+            padded = np.zeros(len(self.bytes) + 8, np.uint8)
+            padded[: len(self.bytes)] = LOWER[self.bytes] if lower else self.bytes
+            self._loads[lower] = np.ndarray(len(self.bytes) + 1, "<u8", buffer=padded.data, strides=(1,))
+        return self._loads[lower]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span; spans of equal length up to 8 bytes never share one.
+
+        Eight bytes after another are stirred in, all spans at a time; those of LONG bytes and more go through BLAKE2.
+        Lanes are hashes apart from one another: two make 128 bits.
+        """
+        loads, size = self.loads(lower), ends - starts
+        out = mixed(size.astype(np.uint64) * _ODD + _LANES[lane])
+        out = mixed(out ^ (loads[starts] & _MASKS[np.minimum(size, 8)]))
+        alive, done = np.flatnonzero(size > 8), 8
+        while len(alive) and done < LONG:
+            left = size[alive] - done
+            out[alive] = mixed((out[alive] ^ (loads[starts[alive] + done] & _MASKS[np.minimum(left, 8)])) + _LANES[lane])
+            done += 8
+            alive = alive[left > 8]
+        if len(alive):
+            raw = (LOWER[self.bytes] if lower else self.bytes).data
+            for i in alive.tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, person=b"lane%d" % lane).digest(), "little")
+        return out
+
+
+def same_spans(a: Texts, a_starts: np.ndarray, b: Texts, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of two spans of equal size are the same, pair by pair."""
+    left, right = a.loads(), b.loads()
+    out = ((left[a_starts] ^ right[b_starts]) & _MASKS[np.minimum(size, 8)]) == 0
+    alive, done = np.flatnonzero(out & (size > 8)), 8
+    while len(alive) and done < LONG:
+        rest = size[alive] - done
+        equal = ((left[a_starts[alive] + done] ^ right[b_starts[alive] + done]) & _MASKS[np.minimum(rest, 8)]) == 0
+        out[alive] = equal
+        done += 8
+        alive = alive[equal & (rest > 8)]
+    for i in alive.tolist():
+        out[i] = np.array_equal(a.bytes[a_starts[i] : a_starts[i] + size[i]], b.bytes[b_starts[i] : b_starts[i] + size[i]])
+    return out
 
 
 IS_INK = np.ones(256, bool)
 IS_INK[[32, 9, 10, 11, 12, 13]] = False
-_ODD = 0x9E3779B97F4A7C15
-_TABLES: list[np.ndarray] = []
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes from which on a span is hashed by BLAKE2.
+LONG = 1024
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LANES = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -139,33 +216,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse; longer tables than a slice needs aren't kept."""
-    if _TABLES and len(_TABLES[0]) >= n:
-        return _TABLES[0], _TABLES[1]
-    size = max(n, SLICE_BYTES + 2)
-    made = []
-    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-        table = np.full(size, base, np.uint64)
-        table[0] = 1
-        made.append(np.cumprod(table, dtype=np.uint64))
-    if size <= 2 * SLICE_BYTES:
-        _TABLES[:] = made
-    return made[0], made[1]
-
-
-BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-BYTE_VALUE_LOWER = BYTE_VALUE.copy()
-BYTE_VALUE_LOWER[65:91] = BYTE_VALUE[97:123]
-
-
 def combined(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n neighbours in order (len - n + 1 of them)."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(hashes) - n + 1, np.uint64)
     for j in range(n):
-        out *= np.uint64(_ODD)
+        out *= _ODD
         out += hashes[j : j + len(out)]
     return mixed(out)
 

@@ -11,13 +11,12 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .shared import Texts, mixed, runs
+from .shared import Texts, runs, same_spans
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
 #: Words that a worker's memo keeps at most, and words that the library encodes in one call.
 MEMO, AT_ONCE = 400_000, 4096
 
-_SPACED = np.uint64(0xD6E8FEB86659FD93)  # tells a word after a space from the same word elsewhere
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 10]] = True
 _ODD = np.zeros(256, bool)  # other ASCII white space
@@ -41,8 +40,9 @@ class Encoder:
     The vocabulary's pre-tokenizer never joins characters over a single space or line feed between two other
     characters: a space starts the next piece and a line feed is a piece of its own; nor does it join a letter or
     digit and a following stop or comma. So texts are cut there, each distinct word goes through the library once, and
-    its ids are looked up from then on, by 64 bits of hash. Texts with other white space, or two of it side by side,
-    go through the library whole.
+    its ids are looked up from then on, by 64 bits of hash; that the word's bytes are those that were learned is
+    checked at each look-up. Texts with other white space, or two of it side by side, and texts with a word whose hash
+    belongs to another one, go through the library whole.
     """
 
     def __init__(self, path: str | None = None, memo: int = MEMO):
@@ -63,6 +63,8 @@ class Encoder:
         self.number: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.lengths = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        # the learned words themselves, with the space before them if any: those above eight bytes side by side
+        self.sizes, self.places, self.spelled = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), bytearray()
         self.used = self.missed = self.kept = 0
 
     def _trim(self):
@@ -72,13 +74,15 @@ class Encoder:
             for _ in range(extra):
                 self.number.popitem()
             self.used = int(self.starts[len(self.number)])
+            del self.spelled[int(self.places[len(self.number)]) :]
             self.missed += extra
         self.kept = len(self.number)
         if self.missed > 16 * self.most:
             self._forget()
 
-    def _learn(self, keys: list[int], words: list[str]):
+    def _learn(self, keys: list[int], raw: list[bytes]):
         """Words of letters only, after a space or not, are one piece, so the model alone is asked; others go through the whole library."""
+        words = [w.decode() for w in raw]
         letters = [w.removeprefix(" ").isalpha() for w in words]
         mapped = iter([w.encode().decode("latin-1").translate(self.letters) for w, plain in zip(words, letters, strict=True) if plain])
         other = [w for w, plain in zip(words, letters, strict=True) if not plain]
@@ -89,7 +93,12 @@ class Encoder:
         lengths = np.fromiter(map(len, ids), np.int64, n)
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         while first + n > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.sizes, self.places = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.sizes, self.places))
+        sizes = np.fromiter(map(len, raw), np.int64, n)
+        kept = np.where(sizes > 8, sizes, 0)
+        self.sizes[first : first + n] = sizes
+        self.places[first : first + n] = len(self.spelled) + np.cumsum(kept) - kept
+        self.spelled += b"".join(w for w in raw if len(w) > 8)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
@@ -132,26 +141,34 @@ class Encoder:
         last, prior = data[ends - 1], data[np.maximum(ends - 2, 0)]
         lead = data[np.maximum(ends - 3, 0)]
         ended = ((last == 46) | (last == 44)) & (((ends - starts > 1) & _LETTER[prior]) | ((ends - starts > 2) & (lead == 0xC3) & (prior >= 0x80) & (prior != 0x97) & (prior != 0xB7)))
-        key = texts.hashes(starts, ends - ended)
-        key[spaced] = mixed(key[spaced] ^ _SPACED)
+        low = starts - spaced  # a word takes the space before it along
+        size = ends - ended - low
+        key = texts.hashes(low, low + size)
         unique, sample, index = np.unique(key, return_index=True, return_inverse=True)
         keys = unique.tolist()
         missing = [i for i, k in enumerate(keys) if k not in self.number]
         if missing:
             raw = data.tobytes()
             at = sample[missing]
-            low, high = (starts[at] - spaced[at]).tolist(), (ends[at] - ended[at]).tolist()
-            self._learn([keys[i] for i in missing], [raw[a:b].decode() for a, b in zip(low, high, strict=True)])
+            self._learn([keys[i] for i in missing], [raw[a : a + n] for a, n in zip(low[at].tolist(), size[at].tolist(), strict=True)])
         number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        # hashes of spans up to eight bytes are one to one for each size, so longer ones alone are compared
+        other = self.sizes[number][index] != size
+        long = np.flatnonzero((size > 8) & ~other)
+        if len(long):
+            spelled = Texts.of(bytes(self.spelled))
+            other[long] = ~same_spans(texts, low[long], spelled, self.places[number][index[long]], size[long])
+        if other.any():
+            odd[of_word[other]] = True
         # three runs of ids to a word: the line feed before it, the word, the mark after it
         marks = np.array(self.feed + self.stop + self.comma, np.uint32)
         ids = np.concatenate([marks, self.ids[: self.used]])
-        begin, size = np.empty((len(starts), 3), np.int64), np.empty((len(starts), 3), np.int64)
-        begin[:, 0], size[:, 0] = 0, fed
-        begin[:, 1], size[:, 1] = self.starts[number][index] + 3, self.lengths[number][index]
-        begin[:, 2], size[:, 2] = 1 + (last == 44), ended
-        flat = ids[runs(begin.reshape(-1), size.reshape(-1))]
-        counts = np.bincount(of_word, weights=size.sum(axis=1), minlength=texts.n).astype(np.int64)
+        begin, many = np.empty((len(starts), 3), np.int64), np.empty((len(starts), 3), np.int64)
+        begin[:, 0], many[:, 0] = 0, fed
+        begin[:, 1], many[:, 1] = self.starts[number][index] + 3, self.lengths[number][index]
+        begin[:, 2], many[:, 2] = 1 + (last == 44), ended
+        flat = ids[runs(begin.reshape(-1), many.reshape(-1))]
+        counts = np.bincount(of_word, weights=many.sum(axis=1), minlength=texts.n).astype(np.int64)
         self._trim()
         if odd.any():
             parts = np.split(flat, np.cumsum(counts)[:-1])
