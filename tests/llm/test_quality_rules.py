@@ -34,10 +34,37 @@ def test_base_counts(texts):
     assert [tuple(int(found[n][i]) for n in names) for i in range(len(texts))] == [brute(t) for t in texts]
 
 
-def test_counts_of_a_text_do_not_depend_on_its_neighbours():
-    texts = ["one two", "", "x", "one two three " * 50]
-    alone = np.vstack([ngrams.counts(Texts(pa.array([t])), 8) for t in texts])
-    assert (alone == ngrams.counts(Texts(pa.array(texts)), 8)).all()
+def test_lines_with_one_hash_are_told_apart(monkeypatch):
+    texts = ["one line\nother line\none line\n\nonE line", "x\nx", "same\nlong line of words here\nlong line of wordz here"]
+    monkeypatch.setattr(Texts, "hashes", lambda self, starts, ends, **_: np.arange(len(starts), dtype=np.uint64) * np.uint64(0))
+    assert q.base_counts(Texts(pa.array(texts)))["n_dup_lines"].tolist() == [1, 1, 0]
+
+
+def spelled(text, chars, words):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return [[text[i : i + n] for i in range(len(text) - n + 1)] for n in chars] + [[tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for n in words]
+
+
+def test_ngrams_are_of_code_points_and_words():
+    texts = ["one two", "", "é", "Straße\U0001f600é 三 x", "a", "one two three " * 50, "ab"]
+    found = ngrams.buckets(Texts(pa.array(texts)), 18, (1, 2, 3), (1, 2))
+    number = {}
+    for order, (bucket, bounds) in enumerate(found):
+        assert bounds.tolist() == np.cumsum([0] + [len(spelled(t, (1, 2, 3), (1, 2))[order]) for t in texts]).tolist()
+        for i, t in enumerate(texts):
+            for gram, b in zip(spelled(t, (1, 2, 3), (1, 2))[order], bucket[bounds[i] : bounds[i + 1]].tolist(), strict=True):
+                assert number.setdefault((order, gram), b) == b and b >> 18 == order
+    assert len(set(number.values())) == len(number)
+
+
+def test_margins_against_a_plain_sum_and_apart_from_neighbours():
+    texts = ["one two", "", "xé", "one two three " * 50]
+    w = np.random.default_rng(2).normal(size=5 << 18).astype(np.float32)
+    got = ngrams.margins(Texts(pa.array(texts)), w, 18, (1, 2, 3), (1, 2))
+    for i, t in enumerate(texts):
+        (at, x), = ngrams.shares(Texts(pa.array([t])), 18, (1, 2, 3), (1, 2))
+        assert abs(got[i] - float(w[at].astype(np.float64) @ x)) < 1e-4
+        assert got[i] == ngrams.margins(Texts(pa.array([t])), w, 18, (1, 2, 3), (1, 2))[0]
 
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("kept", T.StringType())])

@@ -1,10 +1,10 @@
-"""Hashed n-gram counts of texts, and logistic regression with calibrated probabilities."""
+"""Hashed n-grams of texts, and logistic regression over them with calibrated probabilities."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from .shared import Texts, combined, mixed
+from .shared import Texts, combined, mixed, runs
 
 _M = np.uint32(0x9E3779B1)
 
@@ -31,55 +31,89 @@ def char_buckets(texts: Texts, n: int, bits: int, lower: bool = False) -> tuple[
     return (h >> np.uint32(32 - bits)).astype(np.int32), inside
 
 
-def counts(texts: Texts, bits: int, chars: tuple[int, ...] = (1, 3), words: tuple[int, ...] = (1, 2)) -> np.ndarray:
-    """Counts (texts x buckets) of byte n-grams, then of word n-grams; each order has 2**bits buckets of its own."""
-    size, out = 1 << bits, []
-    of_byte = np.repeat(np.arange(texts.n, dtype=np.int32), np.diff(texts.bounds))
-    for n in chars:
-        bucket, inside = char_buckets(texts, n, bits)
-        key = of_byte[: len(bucket)] * size + bucket
-        out.append(np.bincount(key[inside], minlength=texts.n * size).reshape(texts.n, size))
-    starts, ends, first = texts.words()
-    hashes = texts.hashes(starts, ends)
-    of_word = np.repeat(np.arange(texts.n), np.diff(first))
-    for n in words:
-        h = mixed(hashes) if n == 1 else combined(hashes, n)
-        same = of_word[: len(h)] == of_word[n - 1 :] if len(h) else np.zeros(0, bool)
-        key = of_word[: len(h)] * size + (h >> np.uint64(64 - bits)).astype(np.int64)
-        out.append(np.bincount(key[same], minlength=texts.n * size).reshape(texts.n, size))
-    return np.hstack(out)
-
-
-def features(texts: Texts, bits: int, chars=(1, 3), words=(1, 2)) -> np.ndarray:
-    """Square roots of the shares of each order's n-grams: rows of equal length whatever the texts' lengths."""
-    size = 1 << bits
-    x = counts(texts, bits, chars, words).astype(np.float32)
-    for i in range(len(chars) + len(words)):
-        part = x[:, i * size : (i + 1) * size]
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1)
-    return np.sqrt(x, out=x)
+def _chars(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point (its UTF-8 bytes), and the bounds of the texts among them."""
+    data = texts.bytes
+    lead = (data & 0xC0) != 0x80
+    if lead.all():
+        return data.astype(np.uint32), texts.bounds
+    at = np.flatnonzero(lead)
+    size = np.diff(np.append(at, len(data)))
+    four = np.ndarray(len(data) + 1, "<u4", buffer=texts.loads().base, strides=(1,))
+    return four[at] & np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)[size], np.searchsorted(at, texts.bounds)
+
+
+def buckets(texts: Texts, bits: int, chars: tuple[int, ...], words: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hash buckets (2**bits of its own, numbered on from the order before) of all n-grams of code
+    points, then of words, text by text, and the bounds of the texts among them. Texts are hashed whole."""
+    out = []
+    values, bounds = _chars(texts)
+    points = mixed(values.astype(np.uint64) + np.uint64(1))
+    tokens = None
+    for n, unit in [(n, "char") for n in chars] + [(n, "word") for n in words]:
+        if unit == "word" and tokens is None:
+            starts, ends, first = texts.words()
+            tokens = texts.hashes(starts, ends)
+        items, ends_at = (points, bounds) if unit == "char" else (tokens, first)
+        h = items if n == 1 else combined(items, n)
+        room = np.maximum(np.diff(ends_at) - (n - 1), 0)
+        if n > 1:  # n-grams that reach over the end of a text go
+            h = h[runs(ends_at[:-1], room)]
+        out.append(((h >> np.uint64(64 - bits)).astype(np.int32) + np.int32(len(out) << bits), np.concatenate([[0], np.cumsum(room)])))
+    return out
+
+
+def margins(texts: Texts, weights: np.ndarray, bits: int, chars: tuple[int, ...], words: tuple[int, ...]) -> np.ndarray:
+    """The model's value of each text, apart from the bias: over the orders, the mean weight of the text's n-grams."""
+    out = np.zeros(texts.n)
+    for bucket, bounds in buckets(texts, bits, chars, words):
+        size = np.diff(bounds)
+        some = np.flatnonzero(size)
+        if len(some):
+            out[some] += np.add.reduceat(weights[bucket].astype(np.float64), bounds[some]) / size[some]
+    return out
+
+
+def shares(texts: Texts, bits: int, chars: tuple[int, ...], words: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets (ascending) and their shares of the n-grams of their order, of each text."""
+    parts = buckets(texts, bits, chars, words)
+    out = []
+    for i in range(texts.n):
+        found = [np.unique(bucket[bounds[i] : bounds[i + 1]], return_counts=True) for bucket, bounds in parts]
+        out.append((np.concatenate([b for b, _ in found]), np.concatenate([(n / max(1, n.sum())).astype(np.float32) for _, n in found])))
+    return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150, balanced: bool = True) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression, by accelerated gradient steps (deterministic)."""
-    weight = np.ones(len(y), np.float32)
-    if balanced and 0 < y.sum() < len(y):
-        weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    look_w, look_b, t = w, b, 1.0
-    rate = 4 / (float((x * x).sum(axis=1).max(initial=1.0)) + 1) / max(1.0, float(weight.max(initial=1.0)))
-    for _ in range(steps):
-        error = (weight * (sigmoid(x @ look_w + look_b) - y) / max(1, len(y))).astype(np.float32)
-        new_w = look_w - np.float32(rate) * (x.T @ error + np.float32(penalty) * look_w)
-        new_b = look_b - rate * float(error.sum())
-        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        ahead = float((last - 1) / t)
-        look_w, look_b = new_w + ahead * (new_w - w), new_b + ahead * (new_b - b)
-        w, b = new_w, new_b
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, epochs: int = 6, batch: int = 64, rate: float = 3.0, penalty: float = 1e-6, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression over sparse rows (buckets, values), both labels weighing alike.
+
+    Adaptive gradient steps over shuffled batches (deterministic); a step touches the buckets of its batch only.
+    """
+    w, square = np.zeros(size, np.float32), np.full(size, 1e-6, np.float32)
+    b, b_square, rng = 0.0, 1e-6, np.random.default_rng(seed)
+    weight = np.ones(len(y))
+    if 0 < y.sum() < len(y):
+        weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for i in range(0, len(y), batch):
+            some = order[i : i + batch]
+            sizes = np.array([len(rows[k][0]) for k in some])
+            at, x = (np.concatenate([rows[k][j] for k in some]) for j in (0, 1))
+            owner = np.repeat(np.arange(len(some)), sizes)
+            z = np.bincount(owner, weights=w[at] * x, minlength=len(some)) + b
+            error = weight[some] * (sigmoid(z) - y[some]) / len(some)
+            touched, index = np.unique(at, return_inverse=True)
+            g = np.bincount(index, weights=error[owner] * x).astype(np.float32) + np.float32(penalty) * w[touched]
+            square[touched] += g * g
+            w[touched] -= np.float32(rate) * g / np.sqrt(square[touched])
+            g_b = float(error.sum())
+            b_square += g_b * g_b
+            b -= rate * g_b / b_square**0.5
     return w, b
 
 
