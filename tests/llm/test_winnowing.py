@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import winnowing as w
@@ -72,3 +73,28 @@ def test_equal_texts_have_equal_fingerprints_and_edits_are_nearer_than_neighbour
     rng = np.random.default_rng(5)
     a, b = ("".join(rng.choice(list("abcdefghij "), 4000)) for _ in range(2))
     assert w.likeness(w.winnow(a)[1], w.winnow(w.edited(a, b))[1]) > 0.25 > w.likeness(w.winnow(a)[1], w.winnow(b)[1])
+
+
+def test_ids_that_many_rows_share_are_spread_over_ranges(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["uno", "dos", "tres"], 12)) + str(i) for i in range(120)]
+    rows = [([None, 7, i][i % 3], t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA)
+    hashes = {(r.doc_id, r.text): r.h for r in frame.withColumn("h", F.xxhash64("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r]))
+    want = []
+    for i, (d, t) in enumerate(ordered):
+        following = ordered[(i + 1) % len(ordered)][1]
+        want.append((d, hashlib.sha256(w.edited(t, following).encode()).hexdigest()))
+    out = w.fingerprints(frame, 12)
+    got = [(r.doc_id, r.edited_sha256) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 40
+
+
+def test_query_has_the_contract_s_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "a text of some words", "x", "y"), (2, None, "x", "y")], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in w.op2_fingerprints(spark, str(tmp_path)).collect()}
+    assert out[1].n_chars == 20 and out[2].n_chars == 0 and out[2].fingerprint == "" and 0 <= out[1].near_edited <= 1
+    assert out[1].edited_sha256 == hashlib.sha256(b"a text of ").hexdigest()

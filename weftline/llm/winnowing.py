@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, documents, mixed, partitions
@@ -125,28 +126,54 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
+def _at(bounds: list[int]) -> Column:
+    """How many of the ascending bounds a doc_id has reached, by two short lists each instead of one long one."""
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not parts:
+        return F.lit(0)
+    reached = lambda some: F.size(F.filter(some, lambda b: b <= F.col("doc_id")))
+    longs = lambda some: F.array(*[F.lit(b) for b in some]).cast("array<long>")
+    coarse = reached(longs([part[0] for part in parts]))
+    fine = F.element_at(F.array(*[longs(part) for part in parts]), coarse)
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + reached(fine))
+
+
 def fingerprints(docs: DataFrame, n: int | None = None) -> DataFrame:
     """Fingerprints of docs (doc_id long, text) and of their edited texts, as SCHEMA.
 
-    Order is by ascending doc_id, a null id first, equal ids by text; the last document is followed by the first, a
-    single one by itself. Null texts count as empty. The texts are shuffled once, to ranges of ids; each range's first
-    document also goes to the range before, so that no task needs another one's rows.
+    Order is by ascending doc_id, a null id first, equal ids by text (those of an id that fills several ranges by the
+    text's hash before); the last document is followed by the first, a single one by itself. Null texts count as empty.
+    The texts are shuffled once, to about n ranges of ids, a partition each; each range's first document also goes to
+    the range before, so that no task needs another one's rows. An id, or none, that many rows share takes as many
+    ranges as its share of the rows needs. What comes to the driver is a row for each range.
     """
-    bounded_batches(docs.sparkSession)
-    n = n or partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    n = n or partitions(spark)
     docs = docs.select("doc_id", "text")
-    ids = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    first = None if ids["nulls"] else ids["least"]
-    bounds = sorted({b for b in ids["q"] or [] if first is None or b > first})
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b <= F.col("doc_id")))
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(at)
-    opens = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
-    home = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
-    guest = F.struct((F.col("range") - 1).alias("range"), F.lit(True).alias("guest"))
-    last = F.struct(F.lit(len(bounds)).alias("range"), F.lit(True).alias("guest"))
-    to = F.when(opens, F.array(home, guest)).when(F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.array(home, last)).otherwise(F.array(home))
-    dealt = docs.withColumn("range", at).withColumn("to", F.explode(to)).select("doc_id", "text", "to.range", "to.guest")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "guest", "doc_id", "text").select("doc_id", "text", "guest").mapInArrow(_rows, SCHEMA)
+    ids = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    often = Counter(ids["q"] or [])
+    heavy = {b: m for b, m in often.items() if m > 1}
+    if (m := ids["nulls"] * n // max(1, ids["rows"])) > 1:
+        heavy[None] = m
+    most = max(heavy.values(), default=1)
+    split = F.lit(None).cast("int")
+    for b, m in heavy.items():
+        split = F.when(F.col("doc_id").eqNullSafe(F.lit(b).cast("long")), m).otherwise(split)
+    busy = split.isNotNull() if heavy else F.lit(False)
+    docs = docs.withColumn("hash", F.when(busy, F.xxhash64("text")).otherwise(0))
+    place = F.when(busy, F.least(split - 1, F.floor((F.col("hash") / 2.0**64 + 0.5) * split))).otherwise(most)
+    number = F.when(F.col("doc_id").isNull(), 0).otherwise(1 + _at(sorted(often))) * (most + 1) + place
+    docs = docs.withColumn("range", number.cast("int"))
+    firsts = sorted((r["range"], *r["first"]) for r in docs.groupBy("range").agg(F.min(F.struct("doc_id", "hash")).alias("first")).collect())
+    table = [(number, i, (i or len(firsts)) - 1, doc_id, hashed) for i, (number, doc_id, hashed) in enumerate(firsts)]
+    ranges = F.broadcast(spark.createDataFrame(table, "range int, own int, before int, first_id long, first_hash long"))
+    home, guest = (F.struct(F.col(c).alias("own"), F.lit(g).alias("guest")) for c, g in (("own", False), ("before", True)))
+    opens = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    to = F.explode(F.when(opens, F.array(home, guest)).otherwise(F.array(home)))
+    dealt = docs.join(ranges, "range").withColumn("to", to).select("doc_id", "hash", "text", "to.own", "to.guest")
+    return dealt.repartitionById(max(1, len(firsts)), F.col("own")).sortWithinPartitions("own", "guest", "doc_id", "hash", "text").select("doc_id", "text", "guest").mapInArrow(_rows, SCHEMA)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
