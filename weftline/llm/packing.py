@@ -156,16 +156,19 @@ def with_end(encoder: tokens.Encoder, texts: pa.Array) -> tuple[np.ndarray, np.n
 
 
 def in_order(docs: DataFrame, n: int | None = None) -> DataFrame:
-    """doc_id and text in ascending order of doc_id, over partitions that hold successive ranges of ids."""
+    """doc_id and text in ascending order of doc_id, over partitions that hold successive ranges of ids.
+
+    Rows with one id, or without any, stand in order of their texts' hashes, so that many of them spread over ranges.
+    """
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    return docs.repartitionByRange(n or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    return docs.repartitionByRange(n or partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
 
 def pack(docs: DataFrame, path: str | None = None, n: int | None = None) -> DataFrame:
     """Pieces (SCHEMA) of docs (doc_id long, text) in sequences of at most LENGTH tokens.
 
-    Documents follow one another in order of doc_id, null ids first, equal ids by text; repeated rows are packed each.
+    Documents follow one another in order of doc_id, null ids first, equal ids by their texts' hashes; repeated rows are packed each.
     A null text counts as empty: it is its end id. Each range of ids is packed in blocks of BLOCK tokens (a longer
     document makes its block longer), so no task holds more than that. sequence_id is the partition's number times
     2**32 plus the sequence's number within it.

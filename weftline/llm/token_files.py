@@ -188,7 +188,7 @@ def _writer(path: str | None, segment: int):
 
 
 def encode(docs: DataFrame, path: str | None = None, n: int | None = None, segment: int = SEGMENT) -> DataFrame:
-    """Segments (FILE_SCHEMA) of docs (doc_id long, text) in ascending order of doc_id, null ids first, equal ids by text.
+    """Segments (FILE_SCHEMA) of docs (doc_id long, text) in ascending order of doc_id, null ids first, equal ids by their texts' hashes.
 
     A null text counts as empty; each document ends with the end id. `part` numbers ranges of ids, `segment` those of a
     part, `first` is the number of its part's ids before it. A task holds one segment's ids at a time.
