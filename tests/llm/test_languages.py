@@ -69,3 +69,25 @@ def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame([(1, True, "some words")], "doc_id long, held_out boolean, text string")
     assert [(r.lang_pred, r.score) for r in lg.predict(df, model).collect()] == [("und", 0.0)]
     assert lg.predict(df.limit(0), model).count() == 0
+
+
+def test_more_languages_than_were_allowed_once(spark):
+    rng = np.random.default_rng(7)
+    letters = [chr(0x4E00 + i) for i in range(1400)]
+    rows = [(i, "".join(rng.choice(letters[2 * (i % 700) : 2 * (i % 700) + 2], 60)), f"l{i % 700:03d}", "x") for i in range(2100)]
+    model = model_of(spark, rows[:1400])
+    assert len(model["names"]) == 700
+    df = spark.createDataFrame(rows[1400:], TYPES).select("doc_id", F.lit(True).alias("held_out"), "text")
+    out = {r.doc_id: r.lang_pred for r in lg.predict(df, model).collect()}
+    assert np.mean([out[i] == lang for i, _, lang, _ in rows[1400:]]) > 0.97
+
+
+def test_query_learns_from_the_right_rows(spark, rows, tmp_path):
+    # a language that stands on held-out rows alone can't be learned; a null doc_id isn't held out
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    made = [(i, t, "zz" if i in held else lang, "x") for i, t, lang, _ in rows] + [(None, "no id here", "yy", "x"), (990, None, None, "x"), (991, "!", "en", "x")]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, held_out string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = lg.op6_language_mixture(spark, str(tmp_path)).collect()
+    assert len(out) == len(made) and {r.lang_pred for r in out} == {"en", "de", "fr", "und"}
+    assert all(r.held_out == (r.doc_id is not None and r.doc_id in held) and 0 <= r.score <= 1 for r in out)
+    assert {r.doc_id: r.lang_pred for r in out if r.doc_id in (990, 991)} == {990: "und", 991: "und"}

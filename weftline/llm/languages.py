@@ -16,8 +16,8 @@ N, BITS, SAMPLE = 3, 15, 3000
 SEGMENT = 64
 #: Rounds of expectation-maximisation, smoothing of counts, cost of another language in log-likelihood beside half the log of the segments.
 ROUNDS, SMOOTHING, PENALTY = 12, 0.5, 4.0
-#: Languages that can be told apart at most.
-MOST_LANGUAGES = 500
+#: Log-likelihoods (segments by languages) that are held at once, about; a longer single text takes more.
+AT_ONCE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -43,13 +43,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     """n-gram log-probabilities of each language in labelled (text, lang, rank long), from about `sample` of its texts.
 
     Those with the least `rank` (a hash) are taken: a share of each language that makes `sample` texts of it. What comes
-    to the driver is a number by language and bucket.
+    to the driver is a number by language and bucket, so the model (and each worker's copy) grows with the number of
+    languages, by 128 KB each, and with nothing else.
     """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {"names": [], "table": np.zeros((1 << BITS, 0), np.float32), "prior": np.zeros(0)}
     share = labelled.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in sizes.items()], "lang string, share double")
@@ -57,10 +56,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     chosen = labelled.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("text", "lang")
     rows = chosen.mapInArrow(_counter, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(sizes)
-    counts = np.zeros((len(names), 1 << BITS))
-    counts[rows["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    p = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
-    return {"names": names, "table": np.ascontiguousarray((np.log(p) / N).T.astype(np.float32)), "prior": np.array([sizes[x] for x in names]) / sum(sizes.values())}
+    table = np.full((1 << BITS, len(names)), SMOOTHING, np.float32)
+    table[rows["bucket"].to_numpy(np.int64), rows["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)] += rows["n"].to_numpy(np.float32)
+    table /= table.sum(axis=0, dtype=np.float64).astype(np.float32)
+    np.log(table, out=table)
+    table /= N
+    return {"names": names, "table": table, "prior": np.array([sizes[x] for x in names]) / sum(sizes.values())}
 
 
 def mixtures(ll: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +166,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(model)
+    most = max(1 << 12, min(1 << 20, AT_ONCE * SEGMENT // max(1, len(model["names"]))))
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, most=most):
                 pred, score, langs, shares = identify(texts, part.column("text"), packed.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "held_out", "lang_pred", "score", "langs", "shares"])
 
@@ -176,6 +178,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("held_out", crc_bucket(F.col("doc_id"), 5) == 0)
-    labelled = docs.where(~F.col("held_out")).select("text", "lang", F.xxhash64(F.lit("lang"), F.col("doc_id")).alias("rank"))
+    """A null doc_id has no remainder: it isn't held out, and nothing is learned from it."""
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)))
+    labelled = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("text", "lang", F.xxhash64(F.lit("lang"), F.col("doc_id")).alias("rank"))
     return predict(docs.select("doc_id", "held_out", "text"), fit(labelled))
