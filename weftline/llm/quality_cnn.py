@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngrams import fit_platt, sigmoid
-from .shared import Texts, bounded_batches, crc_bucket, documents, runs, slices
+from .shared import Texts, bounded_batches, crc_bucket, documents, dropped, runs, slices, written
 
 #: Bytes of a chunk and between starts of chunks; width and stride of the filters (bytes); sizes of the embedding, the filters and the hidden layer.
 CHUNK, STEP, WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 512, 448, 8, 2, 8, 24, 16
 #: Positions of a chunk, and chunks between starts in positions.
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
-#: Labelled documents of each label to fit on at most, chunks of one of them at most (spread evenly; scoring uses all chunks), epochs, chunks of a step, and the least score of a good text.
-SAMPLE, CHUNKS, EPOCHS, BATCH, GOOD = 1200, 6, 10, 64, 0.7
+#: Labelled documents of each label to fit on at most, MB of whole texts of a label at most, epochs, chunks of a step, and the least score of a good text.
+SAMPLE, SAMPLE_MB, EPOCHS, BATCH, GOOD = 1200, 8, 8, 64, 0.7
 #: One in so many of the sample only fits the calibration.
 CALIBRATION = 5
 
@@ -122,29 +122,35 @@ class Network:
 
 
 def _chunked(batches):
-    """Labelled texts as a few of their chunks."""
+    """Labelled texts as all of their chunks."""
     for batch in batches:
         for part, texts in slices(batch):
             flat, starts, bounds = layout(texts)
-            out = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                some = starts[np.unique(np.linspace(a, b - 1, min(CHUNKS, b - a)).astype(np.int64))]
-                out.append(b"".join(flat[s : s + CHUNK].tobytes() for s in some))
+            out = [b"".join(flat[s : s + CHUNK].tobytes() for s in starts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("label"), part.column("rank"), pa.array(out, pa.binary())], ["label", "rank", "chunks"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fits on at most `sample` labelled texts of each label, the first ones in hash order of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_mb: float = SAMPLE_MB) -> Network:
+    """Fits on at most `sample` labelled texts of each label, the first ones in hash order of doc_id, with all chunks.
 
-    docs: doc_id, text (a null one is empty); labels: doc_id, label (0/1, others are ignored). With under 10 texts of
-    either label nothing is learned and every score is 0.5.
+    A label's texts end where they would take more than `sample_mb` together. docs: doc_id, text (a null one is empty);
+    labels: doc_id, label (0/1, others are ignored). With under 10 texts of either label nothing is learned and every
+    score is 0.5.
     """
     bounded_batches(docs.sparkSession)
     rank = F.xxhash64(F.lit("cnn"), F.col("doc_id"))
-    known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.where("label = 0").orderBy(rank, "doc_id").limit(sample).union(known.where("label = 1").orderBy(rank, "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", rank.alias("rank"), "text")
-    found = sorted(((r["rank"], r["label"], r["chunks"]) for r in rows.mapInArrow(_chunked, "label int, rank long, chunks binary").collect()))
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", rank.alias("rank"), "text"), "labelled")
+    sizes = sorted((r["label"], r["rank"], r["n"]) for r in rows.select("label", "rank", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect())
+    last = {}
+    for label in (0, 1):
+        own = [x for x in sizes if x[0] == label]
+        fits = int(np.searchsorted(np.cumsum([n for _, _, n in own]), sample_mb * 1e6, "right"))
+        last[label] = own[max(1, fits) - 1][1] if own else 0
+    within = rows.where(F.col("rank") <= F.when(F.col("label") == 0, last[0]).otherwise(last[1]))
+    found = sorted(((r["rank"], r["label"], r["chunks"]) for r in within.mapInArrow(_chunked, "label int, rank long, chunks binary").collect()))
+    dropped(rows)
     net = Network()
     y = np.array([r[1] for r in found], np.float32)
     if min(y.sum(), len(y) - y.sum()) < 10:
@@ -185,7 +191,8 @@ def score(docs: DataFrame, net: Network, good: float = GOOD) -> DataFrame:
 
 
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
+    """A null doc_id has no remainder: it isn't held out; labels of null ids are of no use."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_bucket(F.col("doc_id"), 4) != 2)
     net = fit(docs.where(~F.col("held_out")), labels.select("doc_id", F.col("quality").alias("label")))
     return score(docs, net)
