@@ -75,8 +75,9 @@ def test_overlapping_documents_and_repeated_and_no_rows(spark):
     assert all(r.taken == 0 for r in mixed(spark, [(1, "", ["a"]), (2, None, ["b"])]))
 
 
-def test_sources_beyond_the_limit_of_patterns(spark, monkeypatch):
-    monkeypatch.setattr(mx, "MOST_PATTERNS", 6)
+def test_many_sources_in_ranges_and_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(mx, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(mx, "AT_ONCE", 7)
     rng = np.random.default_rng(8)
     rows = [(i, words(rng, int(rng.integers(1, 30))), [f"host{i % 40}"]) for i in range(200)]
     assert {r.doc_id: r.taken for r in mixed(spark, rows)} == take(spark, rows)
@@ -93,6 +94,66 @@ def test_sources_beyond_the_limit_of_patterns(spark, monkeypatch):
     flows = mx.route(sorted(grouped.items()), {s: round(x) for s, x in mx.targets(sizes).items()})
     for (members, _), flow in zip(sorted(grouped.items()), flows, strict=True):
         assert sum(some[d] for d, _, m in rows if tuple(m) == members) == sum(flow.values())
-    monkeypatch.setattr(mx, "MOST_PATTERNS", 2)
-    with pytest.raises(ValueError):
-        mixed(spark, rows)
+
+
+def test_targets_of_a_table_are_those_of_a_list(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for n, at_once in ((1, 50), (40, 50), (40, 6)):
+        monkeypatch.setattr(mx, "AT_ONCE", at_once)
+        sizes = {f"s{i}é": int(rng.integers(0, 50) ** 2) for i in range(n)} | {None: 30, "z": 0}
+        out = mx.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)).collect()
+        assert {r.source: r.source_size for r in out} == sizes
+        assert {r.source: r.target for r in out} == pytest.approx(mx.targets(sizes))
+    assert mx.source_targets(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def cheapest(patterns, quotas, copies=2):
+    """(words routed at most, repeats at least for that) by going through all flows."""
+    best = {}
+    states = {tuple(quotas.values()): 0}
+    names = list(quotas)
+    for members, n in patterns:
+        new = {}
+        for left, cost in states.items():
+            ways = {left: 0}
+            for s in members:
+                i = names.index(s)
+                ways = {(*x[:i], x[i] - g, *x[i + 1 :]): used + g for x, used in ways.items() for g in range(min(x[i], copies * n - used) + 1)}
+            for x, used in ways.items():
+                c = cost + max(0, used - n)
+                new[x] = min(c, new.get(x, 1 << 30))
+        states = new
+    total = sum(quotas.values())
+    for left, cost in states.items():
+        best[total - sum(left)] = min(cost, best.get(total - sum(left), 1 << 30))
+    return max(best), best[max(best)]
+
+
+def test_routes_against_all_flows():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        names = ["a", "b", "c"][: int(rng.integers(1, 4))]
+        patterns = [(tuple(sorted(rng.choice(names, int(rng.integers(1, len(names) + 1)), replace=False).tolist())), int(rng.integers(0, 4))) for _ in range(int(rng.integers(1, 4)))]
+        quotas = {s: int(rng.integers(0, 6)) for s in names}
+        flows = mx.route(patterns, quotas)
+        routed = sum(sum(f.values()) for f in flows)
+        repeats = sum(max(0, sum(f.values()) - n) for f, (_, n) in zip(flows, patterns, strict=True))
+        assert all(sum(f.get(s, 0) for f in flows) <= q for s, q in quotas.items()) and all(sum(f.values()) <= 2 * n and set(f) <= set(m) for f, (m, n) in zip(flows, patterns, strict=True))
+        assert (routed, repeats) == cheapest(patterns, quotas)
+
+
+def test_more_patterns_than_were_allowed_once():
+    patterns = [((f"s{i % 50}", f"t{i % 601}"), 1 + i % 7) for i in range(25_000)]
+    sizes = {}
+    for members, n in patterns:
+        for s in members:
+            sizes[s] = sizes.get(s, 0) + n
+    quotas = {s: n // 3 for s, n in sizes.items()}
+    flows = mx.route(patterns, quotas)
+    assert sum(sum(f.values()) for f in flows) == sum(quotas.values())
+    assert all(sum(f.values()) <= n for f, (_, n) in zip(flows, patterns, strict=True))
+
+
+def test_null_and_repeated_members(spark):
+    out = {r.doc_id: (r.members, r.taken) for r in mixed(spark, [(1, "one two", None), (2, "one two", []), (3, "one two", ["a", "a"]), (4, "one two", ["b", None])])}
+    assert out[1] == out[2] == ([], 0) and out[3][0] == ["a"] and out[4][0] == ["b", None] and out[3][1] > 0

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import WORD, documents, written
+from .shared import WORD, documents, dropped, partitions, written
 
 #: Weights of the sources in code-point order, again and again; words of the mix by words there are; most uses of one document.
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
 SEED = 20240607
-#: Bins of the seeded order of a group's documents: only the bin in which its quota ends is sorted.
-BINS = 1 << 14
-#: The flow is solved on the driver over the membership patterns that touch a source of several, whose number is checked
-#: against this. Sources that share no document have no such limit.
-MOST_PATTERNS = 20_000
+#: Bins of the seeded order of a group's documents, FINE of them to a coarse one: only the bin in which its quota ends is sorted.
+BINS, FINE = 1 << 14, 1 << 7
+#: Rows of a table by source or by membership pattern that are broadcast at most; beyond that Spark shuffles it.
+MOST_BROADCAST = 100_000
+#: Sources that are numbered in one task, about.
+AT_ONCE = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -42,101 +40,169 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
     return out
 
 
+class _Flow:
+    """A network to which capacity may be added; push() makes the flow from node 0 to node 1 maximal (Dinic's levels)."""
+
+    def __init__(self, nodes: int):
+        self.to: list[int] = []
+        self.cap: list[int] = []
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+
+    def edge(self, a: int, b: int, cap: int) -> int:
+        """Number of the new edge; the next number is its way back."""
+        for x, y, c in ((a, b, cap), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.cap.append(c)
+        return len(self.to) - 2
+
+    def _levels(self) -> list[int]:
+        level, queue = [-1] * len(self.out), [0]
+        level[0] = 0
+        for a in queue:
+            for e in self.out[a]:
+                if self.cap[e] > 0 and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[a] + 1
+                    queue.append(self.to[e])
+        return level
+
+    def push(self) -> None:
+        while (level := self._levels())[1] >= 0:
+            tried, path, a = [0] * len(self.out), [], 0
+            while True:
+                if a == 1:
+                    amount = min(self.cap[e] for e in path)
+                    for e in path:
+                        self.cap[e] -= amount
+                        self.cap[e ^ 1] += amount
+                    cut = next(i for i, e in enumerate(path) if not self.cap[e])
+                    a = self.to[path[cut] ^ 1]
+                    del path[cut:]
+                elif tried[a] < len(self.out[a]):
+                    e = self.out[a][tried[a]]
+                    if self.cap[e] > 0 and level[self.to[e]] == level[a] + 1:
+                        path.append(e)
+                        a = self.to[e]
+                    else:
+                        tried[a] += 1
+                elif path:
+                    a = self.to[path.pop() ^ 1]
+                    tried[a] += 1
+                else:
+                    break
+
+
 def route(patterns: list[tuple[tuple, int]], quotas: dict, copies: int = COPIES) -> list[dict]:
     """Words that each pattern gives each of its sources: a maximal flow of least cost.
 
     patterns: (sources, words). The k-th use of a pattern's words costs k - 1 a word, so that nothing is repeated
-    while fresh words of a member source are left. quotas: whole words by source. Successive shortest paths.
+    while fresh words of a member source are left. quotas: whole words by source. As costs lie on the patterns' own
+    edges only, a path costs what its first edge costs: the flow is made maximal with the first uses alone, then with
+    the second ones added, and so on.
     """
-    start, end, ids = 0, 1, {s: 2 + i for i, s in enumerate(quotas)}
-    graph: list[list[list]] = [[] for _ in range(2 + len(ids) + len(patterns))]
+    ids = {s: 2 + i for i, s in enumerate(quotas)}
+    net = _Flow(2 + len(ids) + len(patterns))
+    for s, quota in quotas.items():
+        net.edge(ids[s], 1, quota)
+    own = [net.edge(0, 2 + len(ids) + i, 0) for i in range(len(patterns))]
+    given = [{s: net.edge(2 + len(ids) + i, ids[s], copies * words) for s in members} for i, (members, words) in enumerate(patterns)]
+    for _ in range(copies):
+        for e, (_, words) in zip(own, patterns, strict=True):
+            net.cap[e] += words
+        net.push()
+    return [{s: net.cap[e + 1] for s, e in edges.items() if net.cap[e + 1]} for edges in given]
 
-    def edge(a, b, cap, cost):
-        graph[a].append([b, cap, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
 
-    for s, quota in quotas.items():
-        edge(ids[s], end, quota, 0)
-    for i, (members, words) in enumerate(patterns):
-        node = 2 + len(ids) + i
-        for k in range(copies):
-            edge(start, node, words, k)
-        for s in members:
-            edge(node, ids[s], copies * words, 0)
-    while True:
-        cost, via = {start: 0}, {}
-        queue, waiting = deque([start]), {start}
-        while queue:
-            a = queue.popleft()
-            waiting.discard(a)
-            for i, (b, cap, price, _) in enumerate(graph[a]):
-                if cap > 0 and cost[a] + price < cost.get(b, 1 << 60):
-                    cost[b], via[b] = cost[a] + price, (a, i)
-                    if b not in waiting:
-                        queue.append(b)
-                        waiting.add(b)
-        if end not in via:
-            break
-        path, b = [], end
-        while b != start:
-            a, i = via[b]
-            path.append((a, i))
-            b = a
-        amount = min(graph[a][i][1] for a, i in path)
-        for a, i in path:
-            graph[a][i][1] -= amount
-            graph[graph[a][i][0]][graph[a][i][3]][1] += amount
-    back = {n: s for s, n in ids.items()}
-    return [{back[b]: copies * words - cap for b, cap, _, _ in graph[2 + len(ids) + i] if b in back and copies * words > cap} for i, (_, words) in enumerate(patterns)]
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
+    """(source, source_size, target) of all sources in sizes (source, size): targets() over a table.
+
+    Sources are numbered by code point, null last, within ranges of names; the level at which targets stop rising is
+    found by aggregates, a few numbers at a time. Only those come to the driver.
+    """
+    spark = sizes.sparkSession
+    many = sizes.count()
+    if many > AT_ONCE:
+        sizes = sizes.repartitionByRange(max(2, min(partitions(spark), many // AT_ONCE)), F.col("source").asc_nulls_last())
+    placed = written(sizes.withColumn("range", F.spark_partition_id() if many > AT_ONCE else F.lit(0)), "sources")
+    found = sorted((r["range"], r["n"]) for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets = [(found[i][0], sum(n for _, n in found[:i])) for i in range(len(found))]
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("offset")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights)).cast("int") + 1)
+    full = F.col("source_size") * F.lit(float(copies))
+    placed_ = placed.join(F.broadcast(spark.createDataFrame(offsets, "range int, offset long")), "range")
+    table = written(placed_.select("source", F.col("size").alias("source_size"), weight.alias("weight")), "weights")
+    dropped(placed)
+    total = share * (table.agg(F.sum("source_size")).first()[0] or 0)
+    level, last = 0.0, -1.0
+    while level > last * (1 + 1e-12):  # a source is full when its share at this level would be above what it can give
+        over = F.lit(level) * F.col("weight") > full
+        r = table.agg(F.sum(F.when(over, full)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        level, last = (max(0.0, total - (r["full"] or 0.0)) / r["open"] if r["open"] else level), level
+    target = F.when(F.lit(level) * F.col("weight") > full, full).otherwise(F.lit(level) * F.col("weight"))
+    return table.select("source", "source_size", target.alias("target"))
+
+
+def _plan(patterns: DataFrame, wanted: DataFrame, copies: int) -> DataFrame:
+    """(members, whole, rest): whole uses of all the pattern's documents, and words of one more."""
+    spark = patterns.sparkSession
+    by_source = wanted.select(F.col("source").alias("source_"), F.bround("target").cast("long").alias("quota"))
+    alone = patterns.where(F.size("members") == 1).withColumn("source", F.col("members")[0])
+    several = patterns.where(F.size("members") != 1)
+    given = None
+    if not several.isEmpty():
+        shared = several.select(F.explode("members").alias("shared")).distinct()
+        same = F.col("source").eqNullSafe(F.col("shared"))
+        joint = [(tuple(r["members"]), int(r["words"])) for r in several.union(alone.join(shared, same, "left_semi").select("members", "words")).collect()]
+        joint.sort(key=str)
+        quotas = {r["source_"]: r["quota"] for r in by_source.join(shared, F.col("source_").eqNullSafe(F.col("shared")), "left_semi").collect()}
+        flows = route(joint, dict(sorted(quotas.items(), key=str)), copies)
+        given = spark.createDataFrame([(list(m), w, sum(f.values())) for (m, w), f in zip(joint, flows, strict=True)], "members array<string>, words long, given long")
+        alone = alone.join(shared, same, "left_anti")
+    # a source that shares no document gives what it is to give, as far as its words go
+    own = alone.join(by_source, F.col("source").eqNullSafe(F.col("source_"))).select("members", "words", F.least("quota", F.col("words") * copies).alias("given"))
+    whole = F.when(F.col("words") > 0, F.least(F.lit(copies), F.floor(F.col("given") / F.col("words")))).otherwise(0).cast("long")
+    return (own if given is None else own.union(given)).select("members", whole.alias("whole"), (F.col("given") - whole * F.col("words")).alias("rest"))
+
+
+def _crossed(bins: DataFrame, by: str) -> DataFrame:
+    """Of rows (members, rest, `by`, words) in order of `by` the one in which the sum of words reaches rest, and what is left of rest before it."""
+    upto = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("members").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    return upto.where((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).withColumn("rest", F.col("rest") - F.col("upto") + F.col("words")).drop("upto", "words")
 
 
 def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> DataFrame:
     """How many words the mix takes of each document, as (id_col, members, size, taken).
 
-    members: array of source names (a null name is a source, last in order). Documents are grouped by their members;
-    the flow gives each group its words; in a seeded order of the group's documents all are taken floor(words / size
-    of the group) times and the first ones once more, the last of these in part. A document is never taken more than
-    `copies` times. Size 0 takes 0. Rows with one id count as documents of their own. Reruns agree.
+    members: array of source names (a null name is a source, last in order; a null array counts as empty, a repeated
+    name once). Documents are grouped by their members; the flow gives each group its words; in a seeded order of the
+    group's documents all are taken floor(words / size of the group) times and the first ones once more, the last of
+    these in part. A document is never taken more than `copies` times. Size 0 and no members take 0. Rows with one id
+    count as documents of their own. Reruns agree. What comes to the driver are the membership patterns that touch a
+    source which shares documents with another one: aggregates, but as many as documents of several sources have
+    patterns. Sources that share no document stay in tables, whatever their number.
     """
-    spark = docs.sparkSession
     rank = F.xxhash64(F.lit(seed), F.col("id"))
+    names = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
     table = written(
-        docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), F.array_sort(members).alias("members")).withColumn("rank", rank).withColumn("bin", F.pmod("rank", F.lit(BINS)).cast("int")),
+        docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), names.alias("members")).withColumn("rank", rank).withColumn("bin", F.pmod("rank", F.lit(BINS)).cast("int")),
         "mix-sizes",
     )
-    patterns = table.groupBy("members").agg(F.sum("size").alias("words"))
-    several = patterns.where(F.size("members") != 1).limit(MOST_PATTERNS + 1).collect()
-    grouped = [(tuple(r["members"]), int(r["words"])) for r in several]
-    # a row for each source that has documents of its own
-    grouped += [((r["source"],), int(r["words"])) for r in patterns.where(F.size("members") == 1).select(F.col("members")[0].alias("source"), "words").collect()]
-    shared = {s for names, _ in grouped if len(names) != 1 for s in names}
-    mixed_up = sum(len(names) != 1 or names[0] in shared for names, _ in grouped)
-    if mixed_up > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns hang together by documents of several sources; merge rare sources first")
-    grouped = sorted(grouped, key=str)
-    sizes: dict = {}
-    for names, words in grouped:
-        for s in names:
-            sizes[s] = sizes.get(s, 0) + words
-    wanted = targets(sizes, weights, share, copies)
-    quotas = {s: round(x) for s, x in wanted.items()}
-    joint = [x for x in grouped if len(x[0]) != 1 or x[0][0] in shared]
-    flows = iter(route(joint, {s: quotas[s] for s in quotas if s in shared}, copies))
-    plan = []
-    for names, words in grouped:
-        # a source that shares no document gives what it is to give, as far as its words go
-        given = sum(next(flows).values()) if len(names) != 1 or names[0] in shared else min(quotas[names[0]], copies * words)
-        whole = min(copies, given // words) if words else 0
-        plan.append((list(names), whole, given - whole * words))
-    schema = "members array<string>, whole long, rest long"
-    few = F.broadcast if len(plan) <= MOST_PATTERNS else lambda df: df
-    plan = few(spark.createDataFrame(plan, schema))
-    bins = table.groupBy("members", "bin").agg(F.sum("size").alias("words"))
-    upto = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("members").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    last = upto.join(plan, "members").where((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
-    last = last.select("members", "whole", F.col("bin").alias("last_bin"), (F.col("rest") - F.col("upto") + F.col("words")).alias("last_words"))
-    edge = few(plan.select("members", "whole").join(last.drop("whole"), "members", "left"))
-    found = table.join(edge, "members")
+    bins = written(table.groupBy("members", "bin").agg(F.sum("size").alias("words")), "mix-bins")
+    patterns = written(bins.groupBy("members").agg(F.sum("words").alias("words")), "mix-patterns")
+    wanted = source_targets(patterns.select(F.explode("members").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size")), weights, share, copies)
+    plan = written(_plan(patterns, wanted, copies), "mix-plan")
+    many = plan.count()
+    coarse = bins.groupBy("members", F.floor(F.col("bin") / FINE).alias("coarse")).agg(F.sum("words").alias("words"))
+    first = _crossed(coarse.join(_few(plan.select("members", "rest"), many), "members"), "coarse")
+    inside = bins.withColumn("coarse", F.floor(F.col("bin") / FINE)).join(_few(first, many), ["members", "coarse"]).select("members", "rest", "bin", "words")
+    last = _crossed(inside, "bin").select("members", F.col("bin").alias("last_bin"), F.col("rest").alias("last_words"))
+    edge = written(plan.select("members", "whole").join(_few(last, many), "members", "left"), "mix-edge")
+    dropped(bins, patterns, plan)
+    found = table.join(_few(edge, many), "members")
     inner = F.col("bin") == F.col("last_bin")
     outer = found.where(~F.coalesce(inner, F.lit(False)))
     outer = outer.withColumn("taken", F.col("size") * (F.col("whole") + F.coalesce((F.col("bin") < F.col("last_bin")).cast("long"), F.lit(0))))
@@ -146,19 +212,10 @@ def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEI
     return outer.unionByName(crossing).select(F.col("id").alias(id_col), "members", "size", F.col("taken").cast("long").alias("taken"))
 
 
-def source_targets(mixed: DataFrame, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
-    """(source, source_size, target) of the sources in what mix() returned; as many rows as there are sources."""
-    rows = mixed.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("n")).collect()
-    sizes = {r["source"]: int(r["n"]) for r in rows}
-    wanted = targets(sizes, weights, share, copies)
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    return mixed.sparkSession.createDataFrame([(s, n, wanted[s]) for s, n in sizes.items()], schema)
-
-
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each a member of its own source."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    mixed = written(mix(docs, "doc_id", n_words(F.col("text")), F.array("source")), "mix")
-    by_source = F.broadcast(source_targets(mixed))
-    out = mixed.withColumn("source", F.col("members")[0]).join(by_source.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")))
+    mixed = written(mix(docs, "doc_id", n_words(F.col("text")), F.array("source")).withColumn("source", F.col("members")[0]), "mix")
+    by_source = source_targets(mixed.groupBy("source").agg(F.sum("size").alias("size"))).withColumnRenamed("source", "source_")
+    out = mixed.join(_few(by_source, by_source.count()), F.col("source").eqNullSafe(F.col("source_")))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
