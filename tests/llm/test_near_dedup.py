@@ -68,11 +68,16 @@ def test_components_against_all_pairs(spark, k):
     assert len(out) == len(rows)
 
 
+def sketched(texts, k):
+    values, _, bounds = nd.shingles(Texts(pa.array(texts)), k)
+    return nd.sketch(values, bounds)
+
+
 def test_a_pair_that_shares_one_band_is_a_candidate(spark):
     rng = np.random.default_rng(9)
     pairs = [([f"p{i}c{j}" for j in range(120)] + [f"p{i}a{j}" for j in range(38)], [f"p{i}c{j}" for j in range(120)] + [f"p{i}b{j}" for j in range(38)]) for i in range(60)]
     texts = [" ".join(rng.permutation(side)) for pair in pairs for side in pair]  # similarity 120 / 196 with single words
-    regs = nd.sketch(*nd.shingles(Texts(pa.array(texts)), 1))[:, : nd.ROWS * nd.BANDS].reshape(len(texts), nd.BANDS, nd.ROWS)
+    regs = sketched(texts, 1)[:, : nd.ROWS * nd.BANDS].reshape(len(texts), nd.BANDS, nd.ROWS)
     shared = (regs[::2] == regs[1::2]).all(axis=2).sum(axis=1)
     once = np.flatnonzero(shared == 1)
     assert len(once) > 3
@@ -81,9 +86,9 @@ def test_a_pair_that_shares_one_band_is_a_candidate(spark):
 
 
 def test_large_buckets_with_strays(spark, monkeypatch):
-    monkeypatch.setattr(nd, "SMALL", 3)
-    monkeypatch.setattr(nd, "STRAY_BLOCK", 4)
-    monkeypatch.setattr(nd, "MEMBER_BLOCK", 10)
+    monkeypatch.setattr(nd, "STRAY_BLOCK", 300)
+    monkeypatch.setattr(nd, "MEMBER_BLOCK", 900)
+    monkeypatch.setattr(nd, "MOST_BROADCAST", 0)
     rng = np.random.default_rng(7)
     base = [f"x{i}" for i in range(80)]
     rows = []
@@ -123,8 +128,44 @@ def test_sketches_merge_and_estimate():
 
 def test_a_set_s_sketch_does_not_depend_on_its_neighbours():
     texts = ["a b c d e f", "x", "", "the quick brown fox " * 40]
-    alone = [nd.sketch(*nd.shingles(Texts(pa.array([t])), 2))[0] for t in texts]
-    assert (np.stack(alone) == nd.sketch(*nd.shingles(Texts(pa.array(texts)), 2))).all()
+    alone = [sketched([t], 2)[0] for t in texts]
+    assert (np.stack(alone) == sketched(texts, 2)).all()
+
+
+def test_crafted_words_and_hashes_that_meet(spark, monkeypatch):
+    from .test_tokens import thue_morse
+
+    rows = [(1, "x " + thue_morse(1024), ""), (2, "x " + thue_morse(1024, "b", "a"), ""), (3, thue_morse(4096) + " y z", ""), (4, thue_morse(4096, "b", "a") + " y z", "")]
+    out = {r.doc_id: r.component_id for r in nd.near_components(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 2).collect()}
+    assert out == {1: 1, 2: 2, 3: 3, 4: 4}
+    # with first hashes of a few bits the second ones tell shingles apart
+    whole = Texts.hashes
+    monkeypatch.setattr(Texts, "hashes", lambda self, starts, ends, lower=False, lane=0: whole(self, starts, ends, lower=lower, lane=lane) & np.uint64(3 if lane == 0 else 0xFFFFFFFFFFFFFFFF))
+    texts = ["a b c d e f a b x y", "q r s t a b c d e f a b x y", "a A", ""]
+    a, b, bounds = nd.shingles(Texts(pa.array(texts)), 2)
+    sets = [brute_set(t, 2) for t in texts]
+    assert np.diff(bounds).tolist() == [len(x) for x in sets]
+    for i in range(3):
+        for j in range(3):
+            assert nd.in_common(*((a[bounds[m] : bounds[m + 1]], b[bounds[m] : bounds[m + 1]]) for m in (i, j))) == len(sets[i] & sets[j])
+
+
+def test_of_repeated_ids_with_several_texts_one_stands_for_all(spark):
+    copy = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, copy, ""), (2, copy + " end", ""), (2, "quite another text of some words", ""), (3, "quite another text of some words", "")]
+    runs = [sorted(tuple(r) for r in nd.near_components(spark.createDataFrame(order, SCHEMA).repartition(n), "doc_id", "text", 2).collect()) for order, n in ((rows, 1), (rows[::-1], 3))]
+    assert runs[0] == runs[1] and len(runs[0]) == 4
+
+
+def test_a_path_in_bad_order_takes_few_rounds(spark, monkeypatch):
+    from weftline.llm import components as cc
+
+    made = []
+    monkeypatch.setattr(cc, "_mark", lambda edges, mark=cc._mark: made.append(1) or mark(edges))
+    n = 1600
+    path = [0, *range(n - 1, 0, -1)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(n), 0) and len(made) <= 15
 
 
 def test_components_of_chains_and_stars(spark):

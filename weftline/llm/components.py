@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each id's larger neighbours are linked to the least of the id and its neighbours instead."""
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each id and its smaller neighbours are linked to the least of these instead. Of an edge a is the larger end."""
+    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    ends = edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
+    return ends.where("a <> b").distinct()
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % (1 << 31))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in links (a, b), component being the smallest id reachable.
 
-    Each round takes the least label of an id's neighbours and then the label's own label, so labels travel ever
-    faster; every round's labels are written, so a lost executor costs one round at most. No links give no rows.
+    Rounds of large and small stars, until every id is linked with its component's least id and nothing else; their
+    number grows with the logarithm of the longest path. No key's links are gathered: each step is a least value by id
+    and a join with it, which a busy id's rows go through in as many tasks as Spark deals them to. Every round's links
+    are written, so a lost executor costs one round at most. Null ends link nothing. No links give no rows.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    mark = _mark(edges)
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("then"))
-        after = written(step.join(jump, "component").select("id", F.least("component", "then").alias("component"), "was"), "labels")
-        labels = after.select("id", "component")
-        if after.where("component <> was").isEmpty():
-            return labels
+        large = written(_large_star(edges), "edges")
+        small = written(_small_star(large), "edges")
+        dropped(edges, large)
+        edges, last, mark = small, mark, _mark(small)
+        if mark == last:
+            roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

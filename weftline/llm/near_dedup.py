@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Texts, bounded_batches, combined, documents, mixed, partitions, runs, slices, written
+from .shared import Texts, bounded_batches, combined, documents, dropped, mixed, partitions, runs, slices, written
 
 #: BANDS bands of ROWS registers; M (a prime) registers in all. Two sets of Jaccard similarity 0.8 share 12.6 bands on average and none with probability 4.6e-7; one that they share makes them a candidate.
 ROWS, BANDS, M = 6, 48, 293
 #: Base and rate of the registers' exponential scale: register = floor(1 - log_BASE(least x)), x scaled by 1 / RATE, within 16 bits.
 BASE, RATE = 1.001, 20.0
-#: Buckets up to this size give all their pairs; larger ones the pairs with their centre, and then blocks of strays against members.
-SMALL = 32
-STRAY_BLOCK, MEMBER_BLOCK = 2048, 16384
+#: Shingles of a block of strays and of a block of members, about; a longer text's set makes its block larger.
+STRAY_BLOCK, MEMBER_BLOCK = 1 << 21, 1 << 23
+#: Members around one centre are dealt to so many tasks at least, if there are more than SMALL_BLOCK shingles for each.
+SPREAD, SMALL_BLOCK = 16, 1 << 15
+#: Linked documents whose ids are broadcast to the texts at most; beyond that the texts are shuffled to the ids.
+MOST_BROADCAST = 1_000_000
 #: Standard deviations by which an estimate may fall short of the similarity before a pair is given up.
 MARGIN = 5.0
 
@@ -26,26 +29,46 @@ _GAMMA = np.log1p(np.arange(M) / (M - np.arange(M)))  # where the j-th point of
 _GAP = np.append(-np.expm1(_GAMMA[:-1] - _GAMMA[1:]), 1.0)
 
 
-def shingles(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text (ascending within it), and the bounds of the texts among them.
+def shingles(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as two 64-bit hashes (ascending by the first), and the bounds of the texts among them.
 
     Words are compared with A-Z lower-cased. A text with under k words is one shingle; one without words has none.
     """
     starts, ends, first = texts.words()
-    hashes = texts.hashes(starts, ends, lower=True)
-    of_word = np.repeat(np.arange(texts.n), np.diff(first))
-    grams = combined(hashes, k)
-    inside = of_word[: len(grams)] == of_word[k - 1 :] if len(grams) else np.zeros(0, bool)
-    grams, owner = grams[inside], of_word[: len(grams)][inside]
-    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < k))
-    if len(short):
-        whole = np.array([combined(hashes[first[i] : first[i + 1]], first[i + 1] - first[i])[0] for i in short], np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
-        grams, owner = np.concatenate([grams, whole]), np.concatenate([owner, short])
-    # 48 bits of hash below 16 bits for the owner: one sort finds the distinct shingles of all texts
-    key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (grams >> np.uint64(16)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    bounds = np.searchsorted((key >> np.uint64(48)).astype(np.int64), np.arange(texts.n + 1))
-    return key & np.uint64((1 << 48) - 1), bounds
+    words = np.diff(first)
+    of_word = np.repeat(np.arange(texts.n), words)
+    short = np.flatnonzero((words > 0) & (words < k))
+    lanes = []
+    for lane in (0, 1):
+        hashes = texts.hashes(starts, ends, lower=True, lane=lane)
+        grams = combined(hashes, k)
+        inside = of_word[: len(grams)] == of_word[k - 1 :] if len(grams) else np.zeros(0, bool)
+        whole = np.array([combined(hashes[first[i] : first[i + 1]], int(words[i]))[0] for i in short], np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
+        lanes.append(np.concatenate([grams[inside], whole]))
+    owner = np.concatenate([of_word[: len(inside)][inside], short])
+    a, b = lanes
+    order = np.argsort(a)
+    order = order[np.argsort(owner[order], kind="stable")]
+    a, b, owner = a[order], b[order], owner[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (a[1:] != a[:-1])
+    if (b[1:] != b[:-1])[~fresh[1:]].any():  # one hash for two shingles: both lanes count
+        order = np.lexsort((b, a, owner))
+        a, b, owner = a[order], b[order], owner[order]
+        fresh[1:] = (owner[1:] != owner[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh], np.searchsorted(owner[fresh], np.arange(texts.n + 1))
+
+
+def in_common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles that two sets share, each given by its two hashes."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(b[0], a[0])
+    hit = at < len(b[0])
+    hit[hit] = b[0][at[hit]] == a[0][hit]
+    if (a[1][hit] == b[1][at[hit]]).all():
+        return int(hit.sum())
+    return len(set(zip(a[0].tolist(), a[1].tolist(), strict=True)) & set(zip(b[0].tolist(), b[1].tolist(), strict=True)))
 
 
 def sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -106,15 +129,15 @@ def _sketcher(k: int):
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch):
-                values, bounds = shingles(texts, k)
+                values, other, bounds = shingles(texts, k)
                 size = np.diff(bounds)
                 regs = sketch(values, bounds)
                 sums = []
-                for salt in (3, 5):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values + np.uint64(salt)), dtype=np.uint64)])
+                for lane, salt in ((values, 3), (other, 5)):
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(lane + np.uint64(salt)), dtype=np.uint64)])
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 raw = pa.array([r.tobytes() for r in regs], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size.astype(np.int64)), *map(pa.array, sums), raw], ["id", "size", "h1", "h2", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), pa.array(size.astype(np.int64)), *map(pa.array, sums), raw], ["id", "mark", "size", "h1", "h2", "regs"])
 
     return run
 
@@ -144,9 +167,9 @@ def _verified(k: int, percent: int):
                     sets = [shingles(t, k) for t in (Texts(pairs.column("text_a")), texts_b)]
                     linked = []
                     for i in range(pairs.num_rows):
-                        x, y = (values[bounds[i] : bounds[i + 1]] for values, bounds in sets)
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                        x, y = ((v[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]]) for v, w, bounds in sets)
+                        both = in_common(x, y)
+                        linked.append(both > 0 and 100 * both >= percent * (len(x[0]) + len(y[0]) - both))
                     keep = pa.array(np.flatnonzero(linked))
                     yield pa.RecordBatch.from_arrays([pairs.column("a").take(keep), pairs.column("b").take(keep)], ["a", "b"])
 
@@ -157,16 +180,18 @@ def _links(strays, members, percent: int) -> list[tuple[int, int]]:
     """Links between two lists of (id, component, set): one for each stray and component at most."""
     if not strays or not members:
         return []
-    sizes = [np.array([len(x[2]) for x in side]) for side in (strays, members)]
-    values = np.concatenate([x[2] for x in strays])
+    sizes = [np.array([len(x[2][0]) for x in side]) for side in (strays, members)]
+    values = np.concatenate([x[2][0] for x in strays])
+    other = np.concatenate([x[2][1] for x in strays])
     owner = np.repeat(np.arange(len(strays)), sizes[0])
     order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
+    values, other, owner = values[order], other[order], owner[order]
     found = []
-    for start in range(0, len(members), 256):
-        some = members[start : start + 256]
-        theirs = np.concatenate([x[2] for x in some])
-        their_owner = np.repeat(np.arange(len(some)), sizes[1][start : start + 256])
+    step = max(1, min(256, (1 << 22) // len(strays)))
+    for start in range(0, len(members), step):
+        some = members[start : start + step]
+        theirs, their_other = (np.concatenate([x[2][lane] for x in some]) for lane in (0, 1))
+        their_owner = np.repeat(np.arange(len(some)), sizes[1][start : start + step])
         low = np.searchsorted(values, theirs)
         count = np.searchsorted(values, theirs, "right") - low
         both = np.zeros(len(strays) * len(some), np.int64)
@@ -174,18 +199,23 @@ def _links(strays, members, percent: int) -> list[tuple[int, int]]:
         ends = np.cumsum(count)
         cut = 0
         while cut < len(count):
-            stop = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + (1 << 22), "right")))
-            key = owner[runs(low[cut:stop], count[cut:stop])] * len(some) + np.repeat(their_owner[cut:stop], count[cut:stop])
-            both += np.bincount(key, minlength=len(both))
+            stop = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + (1 << 21), "right")))
+            at = runs(low[cut:stop], count[cut:stop])
+            same = other[at] == np.repeat(their_other[cut:stop], count[cut:stop])
+            key = owner[at] * len(some) + np.repeat(their_owner[cut:stop], count[cut:stop])
+            both += np.bincount(key[same], minlength=len(both))
             cut = stop
         both = both.reshape(len(strays), len(some))
-        union = sizes[0][:, None] + sizes[1][None, start : start + 256] - both
+        union = sizes[0][:, None] + sizes[1][None, start : start + step] - both
         for i, j in zip(*np.nonzero((both > 0) & (100 * both >= percent * union)), strict=True):
             if strays[i][1] != some[j][1]:
                 found.append((strays[i], some[j]))
     return [(s[0], m[0]) for s, m in {(s[0], m[1]): (s, m) for s, m in found}.values()]
 
 
+BLOCK_KEYS = ["centre", "stray_block", "member_block"]
+
+
 def _stray_links(k: int, percent: int):
     """Rows (centre, stray_block, member_block, member, id, component, text), the strays of a key before its members."""
 
@@ -201,16 +231,16 @@ def _stray_links(k: int, percent: int):
 
         for batch in batches:
             for part, texts in slices(batch):
-                values, bounds = shingles(texts, k)
-                columns = [part.column(c).to_pylist() for c in ("centre", "stray_block", "member_block", "member", "id", "component")]
+                values, other, bounds = shingles(texts, k)
+                columns = [part.column(c).to_pylist() for c in (*BLOCK_KEYS, "member", "id", "component")]
                 for i, (centre, sb, mb, is_member, id_, component) in enumerate(zip(*columns, strict=True)):
                     if (centre, sb, mb) != key:
                         yield flush()
                         strays.clear()
                         key = (centre, sb, mb)
-                    own = (id_, component, values[bounds[i] : bounds[i + 1]].copy())
+                    own = (id_, component, tuple(x[bounds[i] : bounds[i + 1]].copy() for x in (values, other)))
                     (members if is_member else strays).append(own)
-                    size += len(own[2]) * is_member
+                    size += len(own[2][0]) * is_member
                     if size > 1 << 20:
                         yield flush()
         yield flush()
@@ -218,53 +248,71 @@ def _stray_links(k: int, percent: int):
     return run
 
 
+def _texts_of(texts: DataFrame, heads: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of some representatives: heads (id, mark) has the mark of the text to take for an id, ids has ids."""
+    wanted = written(heads.join(ids.distinct(), "id", "left_semi").select("id", "mark"), "wanted")
+    chosen = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    return written(texts.join(chosen, ["id", "mark"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "texts")
+
+
 def link_classes(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets, as (id, size, class), and components of the linked classes, as (id, component).
 
-    texts: id long, text. class is the class's least id, null for an empty set.
+    texts: id long, text. class is the class's least id, null for an empty set. A bucket's members are compared with its
+    centre; members that don't come to be linked with it (strays) then with all others around that centre, in blocks.
     """
     spark = texts.sparkSession
     bounded_batches(spark)
-    made = written(texts.select("id", "text").mapInArrow(_sketcher(k), "id long, size long, h1 long, h2 long, regs binary"), "sketches")
+    texts = texts.select("id", "text", F.xxhash64("text").alias("mark"))
+    made = written(texts.mapInArrow(_sketcher(k), "id long, mark long, size long, h1 long, h2 long, regs binary").withColumn("row", F.monotonically_increasing_id()), "sketches")
     filled = made.where("size > 0")
-    sets = written(filled.groupBy("h1", "h2", "size").agg(F.min("id").alias("class")), "sets")
-    one = written(filled.join(sets, ["h1", "h2", "size"]).where("id = class").dropDuplicates(["id"]).select("id", "size", "regs"), "representatives")
+    sets = written(filled.groupBy("h1", "h2", "size").agg(F.min("id").alias("class"), F.min_by(F.struct("row", "mark"), F.struct(F.col("id").isNull(), "id", "mark", "row")).alias("head")), "sets")
+    # of an id with several texts one set stands for all
+    heads = written(sets.where("class IS NOT NULL").groupBy(F.col("class").alias("id")).agg(F.min_by("head", F.struct("h1", "h2", "size")).alias("head")).select("id", "head.row", "head.mark"), "heads")
+    one = written(filled.join(heads.select("row"), "row", "left_semi").select("id", "size", "regs"), "representatives")
     band = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     bands = one.select("id", F.explode(band).alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(bands.join(shared, "key"), "buckets")
-    small, large = buckets.where(F.col("n") <= SMALL), buckets.where(F.col("n") > SMALL)
-    left, right = small.select("key", F.col("id").alias("a")), small.select("key", F.col("id").alias("b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b")
-    # the centre of a large bucket: the member whose buckets are fullest, that is the text the others are copies of
+    # the centre of a bucket: the member whose buckets are fullest, that is the text the others are copies of
     weight = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
-    star = written(large.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre")), "centres")
-    around = written(large.join(star, "key").select("centre", "id").distinct(), "around")
-    spokes = around.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    pairs = written(pairs.union(spokes).distinct(), "pairs")
-    of = {s: one.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("regs").alias(f"regs_{s}")) for s in "ab"}
+    star = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
+    star = written(star, "centres")
+    around = written(buckets.join(star, "key").select("centre", "id").distinct(), "around")
+    dropped(buckets, star)
+    active = written(one.join(around.select("id").distinct(), "id", "left_semi"), "active")
+    dropped(one)
+    pairs = around.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    of = {s: active.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("regs").alias(f"regs_{s}")) for s in "ab"}
     near = written(pairs.join(of["a"], "a").join(of["b"], "b").mapInArrow(_estimated(percent), "a long, b long"), "near")
-    texts = texts.select("id", "text").join(one.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    text_of = {s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"}
+    ends = _texts_of(texts, heads, near.select(F.col("a").alias("id")).union(near.select("b")))
+    text_of = {s: ends.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"}
     links = written(near.join(text_of["a"], "a").join(text_of["b"], "b").mapInArrow(_verified(k, percent), "a long, b long"), "links")
+    dropped(near, ends)
     found = components(links)
-    # strays of large buckets against the other members of the same star, block by block
-    named = around.join(found, "id", "left").select("centre", "id", F.coalesce("component", "id").alias("component"))
+    # strays against the other members around the same centre, block by block
+    sized = around.join(active.select("id", "size"), "id")
+    named = written(sized.join(found, "id", "left").select("centre", "id", "size", F.coalesce("component", "id").alias("component")), "named")
+    dropped(active)
     centres = named.where("id = centre").select("centre", F.col("component").alias("home"))
-    named = written(named.join(centres, "centre").withColumn("stray", F.col("component") != F.col("home")), "named")
-    sizes = named.groupBy("centre").agg(F.count_if("stray").alias("strays"), F.count(F.lit(1)).alias("members")).where("strays > 0")
-    sizes = sizes.select("centre", F.ceil(F.col("strays") / STRAY_BLOCK).cast("int").alias("sb"), F.ceil(F.col("members") / MEMBER_BLOCK).cast("int").alias("mb"))
-    rows = named.join(sizes, "centre").select("centre", "id", "component", "stray", "sb", "mb", F.pmod(F.xxhash64("id"), F.col("sb")).cast("int").alias("own_sb"), F.pmod(F.xxhash64("id"), F.col("mb")).cast("int").alias("own_mb"))
-    as_stray = rows.where("stray").select("centre", "id", "component", F.col("own_sb").alias("stray_block"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("member_block"), F.lit(False).alias("member"))
-    as_member = rows.select("centre", "id", "component", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("stray_block"), F.col("own_mb").alias("member_block"), F.lit(True).alias("member"))
-    blocks = written(as_stray.union(as_member), "blocks")
-    if not blocks.isEmpty():
-        keys = ["centre", "stray_block", "member_block"]
-        dealt = blocks.join(texts, "id").repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "member", "id")
-        more = written(dealt.select(*keys, "member", "id", "component", "text").mapInArrow(_stray_links(k, percent), "a long, b long"), "stray-links")
+    strays = written(named.join(centres, "centre").where("component <> home").select("centre", "id", "size", "component"), "strays")
+    if strays.isEmpty():
+        return made.join(sets, ["h1", "h2", "size"], "left").select("id", "size", "class"), found
+    blocks = strays.groupBy("centre").agg(F.ceil(F.sum("size") / STRAY_BLOCK).cast("int").alias("sb"), F.count(F.lit(1)).alias("strays"))
+    blocks = blocks.join(named.groupBy("centre").agg(F.greatest(F.ceil(F.sum("size") / MEMBER_BLOCK), F.least(F.lit(SPREAD), F.ceil(F.sum("size") / SMALL_BLOCK))).cast("int").alias("mb"), F.count(F.lit(1)).alias("members")), "centre")
+    # a centre and one stray have been compared already
+    blocks = written(blocks.where("members > 2").select("centre", "sb", "mb"), "blocks")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    as_stray = strays.join(blocks, "centre").select("centre", "id", "component", own("sb").alias("stray_block"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("member_block"), F.lit(False).alias("member"))
+    as_member = named.join(blocks, "centre").select("centre", "id", "component", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("stray_block"), own("mb").alias("member_block"), F.lit(True).alias("member"))
+    rows = written(as_stray.union(as_member), "block-rows")
+    their = _texts_of(texts, heads, rows.select("id"))
+    dealt = rows.join(their, "id").repartition(partitions(spark), *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "member", "id")
+    more = written(dealt.select(*BLOCK_KEYS, "member", "id", "component", "text").mapInArrow(_stray_links(k, percent), "a long, b long"), "stray-links")
+    dropped(rows, their, named, strays, blocks, around)
+    if not more.isEmpty():
         found = components(links.union(more))
-    classes = made.join(sets, ["h1", "h2", "size"], "left").select("id", "size", "class")
-    return classes, found
+    return made.join(sets, ["h1", "h2", "size"], "left").select("id", "size", "class"), found
 
 
 def near_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80) -> DataFrame:
