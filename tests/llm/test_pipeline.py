@@ -88,3 +88,34 @@ def test_repeated_ids_and_no_rows(spark, made):
     assert [r.doc_id for r in cp.near_stage(spark, df, path).collect()] == [1]
     for _, stage in cp.STAGES:
         assert stage(spark, df.limit(0), path).count() == 0
+
+
+def test_columns_with_clashing_names_long_texts_ties_and_nulls(spark, made):
+    rows, labels, path = made
+    extra = ["kept", "probability", "n_words", "line_dedup", "members", "size", "taken", "id", "component", "label", "mark", "class"]
+    schema = T.StructType([*SCHEMA.fields, *[T.StructField(c, T.StringType()) for c in extra], T.StructField("m", T.MapType(T.StringType(), T.LongType()))])
+    long = " ".join(f"long{i}" for i in range(40_000))
+    docs = [*rows, (950, long, "en", "a", len(long)), (951, long + " end", "en", None, len(long) + 4), (952, rows[1][1], None, None, None), (1, rows[1][1], None, "a", None)]
+    wide = spark.createDataFrame([(*r, *[f"{c}{i}" for c in extra], {"k": i}) for i, r in enumerate(docs)], schema)
+    narrow = spark.createDataFrame(docs, SCHEMA)
+    for _, stage in cp.STAGES[:-1]:
+        want = sorted(map(str, stage(spark, narrow, path).collect()))
+        out = stage(spark, wide, path)
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert sorted(str(T.Row(**{c: r[c] for c in narrow.columns})) for r in got) == want
+        assert all(r.kept == f"kept{r.m['k']}" and r.line_dedup == f"line_dedup{r.m['k']}" for r in got)
+        wide, narrow = spark.createDataFrame(got, schema), spark.createDataFrame([tuple(r[c] for c in narrow.columns) for r in got], SCHEMA)
+    assert {950, 1} <= {r.doc_id for r in wide.collect()} and 951 not in {r.doc_id for r in wide.collect()}
+    pieces = cp.pack_stage(spark, wide, path).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 950) == max(r.doc_tokens for r in pieces if r.doc_id == 950)
+
+
+def test_of_rows_with_one_id_the_least_hash_is_kept(spark, made):
+    _, _, path = made
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = [(1, a, "en", "a", 1), (1, b, "de", "b", 2), (2, a + " end", "en", "a", 3)]
+    first = spark.createDataFrame(docs, SCHEMA).where("doc_id = 1").selectExpr("text", "xxhash64(text) AS h").orderBy("h").first().text
+    for n in (1, 3):
+        out = cp.near_stage(spark, spark.createDataFrame(docs, SCHEMA).repartition(n), path).collect()
+        assert [r.text for r in out if r.doc_id == 1] == [first]
