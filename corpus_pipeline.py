@@ -13,33 +13,53 @@ from weftline.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from weftline.llm.shared import documents, written
 
 
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with all columns but the used ones under names that no operator gives, so that none is taken for a result."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in used else f"__wl_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _back(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs again, from a frame derived from _apart()."""
+    return df.select(*[F.col(c if c in used else f"__wl_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the quality model stay; null and empty texts fail."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    return quality_rules.score(docs, quality_rules.fit(docs, labels)).where("kept").select(*docs.columns)
+    scored = quality_rules.score(_apart(docs, "doc_id", "text"), quality_rules.fit(docs, labels))
+    return _back(scored.where("kept"), docs, "doc_id", "text")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source, and n_chars in step with them; all documents stay."""
-    out = line_dedup.drop_lines(docs, "source", "text")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    used = ("source", "text", "n_chars")
+    out = line_dedup.drop_lines(_apart(docs, *used), "source", "text")
+    return _back(out.withColumn("n_chars", F.char_length("text").cast("long")), docs, *used)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the one with the least doc_id.
 
-    Rows with one doc_id are one document. Rows without a doc_id can't be told apart and are passed on.
+    Rows with one doc_id are one document: the row whose text has the least hash. Rows without a doc_id can't be told
+    apart and are passed on.
     """
     found = near_dedup.near_components(docs, "doc_id", "text")
-    kept = written(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-documents")
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
-    again = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    apart = written(by_id.where("NOT kept OR n > 1").select("doc_id", "kept"), "not-kept-or-repeated")
+    few = F.broadcast(apart) if apart.count() <= near_dedup.MOST_BROADCAST else apart
+    out = docs.join(few.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = apart.where("kept").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    again, columns = docs.join(repeated, "doc_id", "left_semi"), [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), "text", hashed)).alias("__wl_row"))
+    return out.union(first.select("__wl_row.*"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0 to 2 times, a part of one rounded); wordless texts go."""
-    mixed = mixing.mix(docs, "doc_id", mixing.n_words(F.col("text")), F.array("source")).where("size > 0")
+    mixed = mixing.mix(docs.select("doc_id", "source", "text"), "doc_id", mixing.n_words(F.col("text")), F.array("source")).where("size > 0")
     times = (F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     taken = written(mixed.groupBy(F.col("doc_id").alias("__wl_id")).agg(F.max(times).alias("__wl_times")).where("__wl_times > 0"), "taken")
     out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__wl_id"))).where(mixing.n_words(F.col("text")) > 0)
