@@ -56,6 +56,15 @@ def test_name_keys_and_stripping_of_any_text(spark, values):
     assert apply(spark, X.clean, values) == [v.strip() for v in values]
 
 
+def test_folding_as_the_standard_library_does(spark):
+    values = ["Straße", "GROẞ", "ΟΔΟΣ ΟΔΟς", "İstanbul ı I", "ﬁne ŉ ſ µ", "ᾳ ΐ", "Ꭰ ꭰ ᏸ", "ÀÉ", "", None]
+    assert apply(spark, X.folded, values) == [None if v is None else v.casefold() for v in values]
+    every = ["a" + chr(c) + "b" for c in range(1, 0xA000)]
+    assert sum(a != b.casefold() for a, b in zip(apply(spark, X.folded, every), every, strict=True)) <= 3  # letters that one of the two doesn't know yet
+    assert apply(spark, X.slug, ["Große Straße"]) == ["grosse-strasse"]
+    assert apply(spark, lambda c: X.label_key(c, "my "), ["MY  Straße"]) == ["strasse"]
+
+
 def test_item_doi_and_names(spark):
     df = spark.createDataFrame([(None, "see https://doi.org/10.1234/Z. ", "", "Ada", " Lovelace"), ("10.1/a", "doi:10.1234/b", "CERN ", "x", "y"), ("bad", "", None, None, "Solo")], "d string, e string, n string, f string, l string")
     out = df.select(X.item_doi(F.col("d"), F.col("e")).alias("doi"), X.person_name(F.col("n"), F.col("f"), F.col("l")).alias("name")).collect()

@@ -78,6 +78,14 @@ def test_diff_and_containment(spark):
     assert rows(compare.missing_fields(flat(("a", {"x": "1", "y": "2"}), ("b", {})), flat(("a", {"x": "1", "y": "3"})), "k", "f"), "path") == [("/a/y",), ("/b",)]
 
 
+def test_containment_uses_up_what_an_unmatched_entry_has_searched(spark):
+    record = lambda x: spark.createDataFrame([("p", x)], "pid string, record string")
+    paths = lambda a, b: [r.path for r in compare.projection_violations(record(a), record(b)).collect()]
+    assert paths('["A", "X", "B"]', '["A", "B"]') == ["/p/1", "/p/2"]
+    assert paths('{"n": 1, "a/b": {"~": 1}}', '{"n": 1.0, "a/b": {"~": 2}}') == ["/p/a/b/~"]
+    assert paths('{"n": [1]}', '{"n": {"0": 1}}') == ["/p/n"] and paths('{"n": null}', "{}") == ["/p/n"]
+
+
 def test_expected_events_are_contained(spark):
     event = "array<struct<object: string, at: string>>"
     df = spark.createDataFrame([(1, [("o", None)], [("o", "x")]), (2, [("o", "y")], [("o", "x")]), (3, [], [])], f"i int, e {event}, a {event}")

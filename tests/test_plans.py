@@ -132,6 +132,74 @@ def test_candidates_and_decisions(spark, run):
         publish.candidates(source, baseline, none, "other", known, agents)
 
 
+RECORD = (
+    "pid string, title string, display_label string, description string, kind string, identifiers array<struct<schema_type: string, notation: string>>, attributed_to array<struct<object: string, roles: array<string>, schema_type: string>>, "
+    "about array<string>, attributes array<struct<predicate: string, value: string, schema_type: string>>, generated_by array<struct<object: string, at_location: string, at_time: string, schema_type: string>>"
+)
+
+
+def test_proposals_are_whole_records_and_companions(spark):
+    """A new record; a human title kept; equal unowned values; a missing field filled; own assertions taken back, others' kept."""
+    ident = lambda k: [("dlthings:Identifier", f"library:group:7:item:{k}")]
+    made = lambda pid, title="T", description="D", kind="k", ids=None, people=None, about=None, attributes=None, events=None: (pid, title, title, description, kind, ids or ident(pid[-1].upper()), people, about, attributes, events)
+    issued = [("dcterms:issued", "2020", "dlthings:AttributeSpecification")]
+    who = [("own:p/ada", ["marcrel:aut"], "dlthings:Attribution")]
+    source = [made("own:n", people=who, about=["t"], attributes=issued), made("own:h"), made("own:e"), made("own:f"), made("own:o", description=None)]
+    before = [
+        (*made("own:h", title="Human"), "Publication/h.yaml"), (*made("own:e"), "Publication/e.yaml"), (*made("own:f", description=None), "Publication/f.yaml"),
+        (*made("own:o", people=who, attributes=[*issued, ("dcterms:rights", "free", "dlthings:AttributeSpecification")]), "Publication/o.yaml"),
+    ]
+    rendered, canonical = spark.createDataFrame(source, RECORD), spark.createDataFrame(before, RECORD + ", rel_path string")
+    facts = publish.assertions(canonical.drop("rel_path")).withColumn("assertion_sha256", publish.R.digest(F.to_json(F.struct("path", "predicate", "content"))))
+    mine = facts.where("pid = 'own:o' AND (predicate = 'dcterms:issued' OR path = '/attributed_to' OR content = 'D')")
+    theirs = facts.where("pid = 'own:o' AND predicate = 'dcterms:rights'")
+    notes = mine.select("pid", "path", "assertion_sha256", F.lit("me").alias("imported_by"), F.lit("from").alias("imported_from")).union(theirs.select("pid", "path", "assertion_sha256", F.lit("other"), F.lit("there")))
+    agents = spark.createDataFrame([("me", "Instrument")], "pid string, class string")
+    none = spark.createDataFrame([], "pid string, claim_sha256 string")
+    plan = {r.pid: r for r in publish.proposals(rendered, canonical, notes, none, "me", agents, 7).collect()}
+    assert set(plan) == {"own:n", "own:h", "own:f", "own:o"}  # equal unowned values are no change
+    new = plan["own:n"]
+    assert new.operation == "add" and new.path == "Publication/n.yaml" and new.source_record_id == "item:N" and new.record.title == "T" and new.record.about == ["t"]
+    # title, label, description, issued; kind and topic; identifier; attribution
+    assert sorted(n.path for n in new.companion) == ["/attributed_to", *["/attributes"] * 4, *["/characterized_by"] * 2, "/identifiers"] and {n.imported_by for n in new.companion} == {"me"} and new.companion[0].imported_from.endswith("/groups/7/items/N")
+    human = plan["own:h"]
+    assert human.operation == "modify" and human.record.title == "Human" and {(a.predicate, a.value) for a in human.record.attributes} == {("dlthings:title", "T"), ("skos:prefLabel", "T")} and len(human.companion) == 2
+    assert plan["own:f"].record.description == "D" and plan["own:f"].record.title == "T"
+    gone = plan["own:o"]
+    assert gone.removed == 3 and gone.record.attributed_to == [] and [(a.predicate, a.value) for a in gone.record.attributes] == [("dcterms:rights", "free")]
+    assert [(n.imported_by, n.imported_from) for n in gone.companion] == [("other", "there")] and gone.record.description == "D"
+    changes = {(r.pid, r.file, r.operation) for r in publish.file_changes(publish.proposals(rendered, canonical, notes, none, "me", agents, 7)).collect()}
+    assert ("own:n", "annotations/Publication/n.yaml", "add") in changes and ("own:h", "records/Publication/h.yaml", "modify") in changes
+    done = spark.createDataFrame([(r.pid, r.claim_sha256) for r in plan.values()], "pid string, claim_sha256 string")
+    assert publish.proposals(rendered, canonical, notes, done, "me", agents, 7).count() == 0
+
+
+def test_proposals_fail_closed(spark):
+    agents, none = spark.createDataFrame([("me", "Instrument")], "pid string, class string"), spark.createDataFrame([], "pid string, claim_sha256 string")
+    notes = spark.createDataFrame([], "pid string, path string, assertion_sha256 string, imported_by string, imported_from string")
+    base = ("own:n", "T", "T", None, "k", [("dlthings:Identifier", "library:group:7:item:N")], None, None, None, [("ev", None, "2020", "g")])
+    canonical = spark.createDataFrame([(*base[:-1], [("ev", "there", "2021", "g")], "P/n.yaml")], RECORD + ", rel_path string")
+
+    def go(record, canonical=canonical, owner="me", extra=""):
+        return publish.proposals(spark.createDataFrame([record], RECORD + extra), canonical, notes, none, owner, agents, 7)
+
+    with pytest.raises(IntegrityError, match="curated event is absent: own:n"):
+        go(base)
+    assert go((*base[:-1], [("ev", None, "2021", "g")])).count() == 0
+    bad = (*base[:-2], [("x:other", "v", "dlthings:AttributeSpecification")], None)
+    with pytest.raises(IntegrityError, match="attribute outside the mapping: own:n: x:other"):
+        go(bad)
+    with pytest.raises(IntegrityError, match="owner isn't an instrument"):
+        go(base, owner="you")
+    with pytest.raises(IntegrityError, match="unsupported fields: surprise"):
+        go((*base, "x"), extra=", surprise string")
+    good = {"group_id": 7, "library_version": 3, "content_sha256": "ab" * 32}
+    assert publish.source_coordinate(good) == {"content_sha256": "sha256:" + "ab" * 32, "group_id": 7, "kind": "public-library", "library_version": 3}
+    for change in ({"group_id": "7"}, {"library_version": None}, {"content_sha256": "AB"}):
+        with pytest.raises(IntegrityError):
+            publish.source_coordinate(good | change)
+
+
 def test_review_notices_stale_candidates_and_live_blockers(spark):
     make = lambda *r: spark.createDataFrame(list(r), "pid string, record string")
     stored, live = make(("a", '{"x": 1}')), make(("a", '{"x": 2}'), ("b", "{}"))
@@ -146,6 +214,34 @@ def test_review_notices_stale_candidates_and_live_blockers(spark):
         publish.review(live, stored, live, "pid", ["record"], blocked, stored, stored)
 
 
+def test_items_without_a_key_keep_their_own_collections(spark):
+    names = spark.createDataFrame(COLLECTIONS, "key string, name string")
+    rows = items(spark, {"itemType": "book", "title": "a", "collections": ["C1"]}, {"itemType": "book", "title": "b", "collections": ["C2"]}, {"itemType": "book", "title": "c", "collections": []}, {"itemType": "book", "title": "d", "collections": None})
+    assert {r.title: r.names for r in ingest.source_items(rows, names, OPTIONS).collect()} == {"a": ["My Papers"], "b": ["Data"], "c": [], "d": []}
+
+
+def test_minted_pids_and_relations_of_source_records(spark):
+    src = "class string, pid string, record string"
+    dump = lambda *r: spark.createDataFrame([(c, p, json.dumps({"pid": p, **x})) for c, p, x in r], src)
+    canonical = spark.createDataFrame([("Person", "own:persons/ada", "Person/ada.yaml", json.dumps({"identifiers": [{"notation": "o-1"}]})), ("Publication", "own:publications/old", "Publication/old.yaml", json.dumps({"identifiers": [{"notation": "x-1"}]}))], "class string, pid string, rel_path string, record string")
+    source = dump(
+        ("Person", "ext:ada", {"identifiers": [{"notation": "o-1"}]}),
+        ("Publication", "ext:pub", {"identifiers": [{"notation": "x-1"}], "part_of": [{"object": "ext:ada"}, "ext:ada"], "generated_by": {"object": "ext:ada", "at_location": "ext:ada"}, "creator": ["ext:ada"], "title": "ext:ada"}),
+    )
+    out = {r.source_pid: json.loads(r.record) for r in targets.source_targets(source, canonical, "own:", {"Publication": "own:publications/"}).collect()}
+    # a matched person isn't renamed by minting, so it gains no identifier; a matched publication does
+    assert out["ext:ada"]["pid"] == "own:persons/ada" and out["ext:ada"]["identifiers"] == [{"notation": "o-1"}]
+    pub = out["ext:pub"]
+    assert pub["pid"] == "own:publications/old" and [i["notation"] for i in pub["identifiers"]] == ["x-1", "ext:pub"]
+    assert pub["part_of"] == [{"object": "ext:ada"}, "own:persons/ada"] and pub["title"] == "ext:ada"
+    assert pub["generated_by"] == {"object": "own:persons/ada", "at_location": "own:persons/ada"} and pub["creator"] == ["own:persons/ada"]
+    for record, message in (({"schema_type": "other"}, "type of another class"), ({"identifiers": {"notation": "x"}}, "identifiers aren't a list")):
+        with pytest.raises(IntegrityError, match=message):
+            targets.source_targets(dump(("Person", "ext:ada", record)), canonical, "own:", {})
+    with pytest.raises(IntegrityError, match="class without a directory"):
+        targets.source_targets(dump(("../x", "ext:ada", {})), canonical, "own:", {})
+
+
 def test_source_targets(spark):
     src = "class string, pid string, record string"
     dump = lambda *r: spark.createDataFrame([(c, p, json.dumps({"pid": p, **x})) for c, p, x in r], src)

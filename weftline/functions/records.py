@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,13 +78,23 @@ def canonical_text(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def batched(f: Callable, kind: T.DataType) -> Callable[..., Column]:
+    """A function of a row's texts as a function of columns, in Arrow batches: for what Spark can't do with JSON of any shape."""
+
+    @F.pandas_udf(kind)
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    return run
+
+
 def _canonical(text: str | None) -> str | None:
     return None if text is None else canonical_text(json.loads(text))
 
 
 def canonical_json(text: Column) -> Column:
     """Canonical form of a JSON text; null stays null."""
-    return F.udf(_canonical, T.StringType())(text)
+    return batched(_canonical, T.StringType())(text)
 
 
 def digest(canonical: Column) -> Column:

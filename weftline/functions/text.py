@@ -29,6 +29,22 @@ def filled(value: Column) -> Column:
     return F.nullif(clean(value), F.lit(""))
 
 
+# Letters whose folding isn't the lower case of their upper case: the final sigma, and Cherokee, which folds to upper case.
+_FOLD_FROM = "\u03c2" + "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
+_FOLD_TO = "\u03c3" + "".join(map(chr, [*range(0x13A0, 0x13F0), *range(0x13F0, 0x13F6)]))
+
+
+def folded(value: Column) -> Column:
+    """Case-folded text, as str.casefold gives it: sharp s is ss, the final sigma a sigma.
+
+    Folding is lower, upper and lower case after one another; the dotless i, which would become another letter, is put
+    aside meanwhile. (The translations between also keep Spark from taking the inner steps for superfluous.)
+    """
+    low = F.translate(F.lower(value), "\u0131", "\ue131")
+    up = F.translate(F.upper(low), "\ue131", "\ue132")
+    return F.translate(F.lower(up), _FOLD_FROM + "\ue132", _FOLD_TO + "\u0131")
+
+
 def percent_decoded(value: Column) -> Column:
     """Percent escapes decoded as UTF-8; '+' stays and a malformed escape stays as it is."""
     safe = F.regexp_replace(F.regexp_replace(value, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
@@ -64,18 +80,19 @@ def identity_tokens(pid: Column, notations: Column) -> Column:
     """Tokens by which records are matched: 'value:' and the folded text, 'doi:' and the DOI, of pid and notations, each once."""
     values = F.array_union(F.array(pid), F.coalesce(notations, F.array().cast("array<string>")))
     values = F.filter(values, lambda v: F.coalesce(v, F.lit("")) != "")
-    plain = F.transform(values, lambda v: F.concat(F.lit("value:"), F.regexp_replace(F.lower(clean(v)), "/+$", "")))
+    plain = F.transform(values, lambda v: F.concat(F.lit("value:"), F.regexp_replace(folded(clean(v)), "/+$", "")))
     dois = F.filter(F.transform(values, lambda v: F.concat(F.lit("doi:"), locator_doi(v))), lambda v: v.isNotNull())
     return F.array_distinct(F.concat(plain, dois))
 
 
-def _folded(values: pd.Series) -> pd.Series:
+@F.pandas_udf(T.StringType())
+def _name_keys(values: pd.Series) -> pd.Series:
     return values.fillna("").map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x).casefold() if c.isalnum()))
 
 
 def name_key(value: Column) -> Column:
     """NFKD, case-folded, letters and digits only (null is empty): 'Jürgen Straße-1' is 'jurgenstrasse1'."""
-    return F.pandas_udf(_folded, T.StringType(), F.PandasUDFType.SCALAR)(value)
+    return _name_keys(value)
 
 
 def name_key_ascii(value: Column) -> Column:
@@ -84,8 +101,8 @@ def name_key_ascii(value: Column) -> Column:
 
 
 def label_key(value: Column, prefix: str = "") -> Column:
-    """Lower-cased, white space as single spaces, without one leading `prefix`."""
-    low = F.regexp_replace(F.lower(clean(value)), r"(?U)\s+", " ")
+    """Case-folded, white space as single spaces, without one leading `prefix`."""
+    low = F.regexp_replace(folded(clean(value)), r"(?U)\s+", " ")
     return F.when(low.startswith(prefix), F.substring(low, len(prefix) + 1, 1 << 30)).otherwise(low) if prefix else low
 
 
@@ -125,8 +142,8 @@ def full_date(value: Column) -> Column:
 
 
 def slug(value: Column) -> Column:
-    """Lower-cased; runs of anything but a-z and 0-9 are a hyphen, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Case-folded; runs of anything but a-z and 0-9 are a hyphen, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(folded(value), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def record_stem(pid: Column, own_prefix: str) -> Column:
@@ -134,7 +151,7 @@ def record_stem(pid: Column, own_prefix: str) -> Column:
 
     Null if nothing is left, which is an error.
     """
-    known, low = locator_doi(pid), F.lower(pid)
+    known, low = locator_doi(pid), folded(pid)
     after = F.substring(pid, F.instr(pid, ":") + 1, F.length(pid))
     raw = (
         F.when(known.isNotNull(), F.concat(F.lit("doi-"), known))

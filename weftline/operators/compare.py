@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.records import batched
+
 
 def keyed_diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, change) with change 'added', 'removed', 'changed' or 'unchanged'; nulls equal nulls."""
@@ -33,27 +35,17 @@ def missing_fields(left: DataFrame, right: DataFrame, key: str, fields: str) ->
     return both.select(key, F.explode(paths).alias("path"))
 
 
-def _escaped(part: str) -> str:
-    return part.replace("~", "~0").replace("/", "~1")
-
-
 def _violations(reviewed, actual, path: str) -> list[str]:
-    if isinstance(reviewed, dict):
-        if not isinstance(actual, dict):
-            return [path]
-        return [p for k, v in reviewed.items() for p in (_violations(v, actual[k], f"{path}/{_escaped(k)}") if k in actual else [f"{path}/{_escaped(k)}"])]
-    if isinstance(reviewed, list):
-        if not isinstance(actual, list):
-            return [path]
-        out, at = [], 0
-        for i, want in enumerate(reviewed):
-            found = next((j for j in range(at, len(actual)) if not _violations(want, actual[j], "")), None)
-            if found is None:
-                out.append(f"{path}/{i}")
-            else:
-                at = found + 1
+    if isinstance(reviewed, dict) and isinstance(actual, dict):
+        out = []
+        for k, v in reviewed.items():
+            out += _violations(v, actual[k], f"{path}/{k}") if k in actual else [f"{path}/{k}"]
         return out
-    return [] if type(reviewed) is type(actual) and reviewed == actual else [path]
+    if isinstance(reviewed, list) and isinstance(actual, list):
+        left = iter(enumerate(actual))
+        # each entry takes what is left up to its match; without one it takes all
+        return [f"{path}/{i}" for i, want in enumerate(reviewed) if not any(not _violations(want, other, "") for _, other in left)]
+    return [] if reviewed == actual else [path or "/"]
 
 
 def _contained(reviewed: str | None, actual: str | None, path: str) -> list[str]:
@@ -64,8 +56,9 @@ def _contained(reviewed: str | None, actual: str | None, path: str) -> list[str]
 
 def containment(reviewed: Column, actual: Column, path: Column) -> Column:
     """Pointers under path where a JSON record isn't contained in another: mappings by field, lists as ordered
-    subsequences (greedily), scalars by equality. Without another record it is the path itself."""
-    return F.udf(_contained, T.ArrayType(T.StringType()))(reviewed, actual, path)
+    subsequences (an entry without a match leaves nothing for those after it), scalars by equality, numbers by value.
+    Names of fields stand in a pointer as they are. Without another record it is the path itself."""
+    return batched(_contained, T.ArrayType(T.StringType()))(reviewed, actual, path)
 
 
 def projection_violations(reviewed: DataFrame, canonical: DataFrame, key: str = "pid", record: str = "record") -> DataFrame:

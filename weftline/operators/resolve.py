@@ -19,8 +19,11 @@ def ambiguous(labels: DataFrame, key: str, pid: str) -> DataFrame:
 
 
 def named(df: DataFrame, keys: str, names: DataFrame, key: str, name: str, out: str, row_id: str) -> DataFrame:
-    """df with `out`: the distinct names of an array of keys, ascending; a key without a name is '[unknown:key]'."""
-    pairs = df.select(row_id, F.explode(keys).alias("__key")).join(names.select(F.col(key).alias("__key"), F.col(name).alias("__name")), "__key", "left")
+    """df with `out`: the distinct names of an array of keys, ascending; a key without a name is '[unknown:key]'.
+
+    row_id tells the arrays apart: a row's key, or the array itself where rows have no key of their own.
+    """
+    pairs = df.select(*dict.fromkeys((row_id, keys))).distinct().select(row_id, F.explode(keys).alias("__key")).join(names.select(F.col(key).alias("__key"), F.col(name).alias("__name")), "__key", "left")
     found = pairs.groupBy(row_id).agg(F.array_sort(F.collect_set(F.coalesce("__name", F.concat(F.lit("[unknown:"), F.col("__key"), F.lit("]"))))).alias(out))
     return df.join(found, row_id, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import entity, resolve
 from ..operators.validate import require_none, violations
 from ..vocabulary import COMPLETENESS_FIELDS, CONFLICT_FIELDS, CREATOR_ROLES, JOURNAL_KIND, PROCEEDINGS_KIND, PUBLICATION_KINDS, PUBLISHING, SOFTWARE_KIND, Options
+from .settle import settled
 
 
 def _mapped(value: Column, table: dict[str, str]) -> Column:
@@ -25,7 +26,7 @@ def name_index(records: DataFrame) -> DataFrame:
 def source_items(items: DataFrame, collections: DataFrame, options: Options) -> DataFrame:
     """Items that aren't deleted, with `names` of their collections, `item_doi` (normalized), and `bucket`: selected, unfiled or excluded."""
     alive = items.where(~F.coalesce("deleted", F.lit(False))).withColumn("key", F.coalesce("key", F.lit("")))
-    named = resolve.named(alive, "collections", collections, "key", "name", "names", "key")
+    named = resolve.named(alive, "collections", collections, "key", "name", "names", "collections")
     keys = F.transform("names", lambda n: X.label_key(n, options.label_prefix))
     wanted = F.array(*[F.lit(x) for x in options.included]).cast("array<string>")
     bucket = F.when(F.arrays_overlap(keys, wanted), "selected").when(F.size("names") == 0, "unfiled").otherwise("excluded")
@@ -78,24 +79,24 @@ def transform(items: DataFrame, collections: DataFrame, people: DataFrame, organ
     labels); aliases (key, pid) are reviewed; existing (pid, files) are the pids in use. A creator with an unknown role,
     or an alias that points nowhere or against the index, is an error before anything is made.
     """
-    rows = source_items(items, collections, options).cache()
+    rows = settled(source_items(items, collections, options))
     selected, unfiled = rows.where("bucket = 'selected'"), rows.where("bucket = 'unfiled'")
     person_index, org_index = name_index(people), name_index(organizations)
     automatic = person_index.unionByName(org_index).withColumnRenamed("pid", "auto")
     known = people.select("pid").unionByName(organizations.select("pid"))
-    made = creators(selected).cache()
+    made = settled(creators(selected))
     require_none([
         violations(made.where("role IS NULL"), "unsupported creator role", F.col("item"), F.concat_ws(" ", "pos", "creator_type", "name")),
         violations(aliases.join(known, "pid", "left_anti"), "alias of an unknown pid", F.col("pid"), F.col("key")),
         violations(aliases.join(automatic, "key").where("pid <> auto"), "alias against the index", F.col("key"), F.concat_ws(", ", "pid", "auto")),
     ])
     grouped = resolve.attach(selected, unfiled, "item_doi").withColumn("group", entity.group_key(F.col("item_doi"), F.col("key")))
-    classified = classify(grouped, options).cache()
+    classified = settled(classify(grouped, options))
     own = classified.where("NOT attached")
     one, several = entity.classes(own, "group", "class")
     order = [R.score([F.col(f) for f in COMPLETENESS_FIELDS], F.size("creators"), F.col("itemType") == "document"), F.coalesce("version", F.lit(0)), F.col("key")]
     best = entity.representative(own.join(one, ["group", "class"]), "group", ["key", "class", "kind"], order)
-    preferred = best.join(classified.drop("class", "kind", "group"), "key").cache()
+    preferred = settled(best.join(classified.drop("class", "kind", "group"), "key"))
 
     ids = entity.union_of(classified.withColumn("ids", identifiers(options)), "group", "ids", "plain_ids")
     attributed, unresolved_creators = resolve.resolve_creators(made.join(preferred.select(F.col("key").alias("item")), "item", "left_semi"), aliases, person_index, org_index)
@@ -118,7 +119,8 @@ def transform(items: DataFrame, collections: DataFrame, people: DataFrame, organ
         F.array_sort(F.array_union("plain_ids", doi_id)).alias("identifiers"), F.when(F.col("class") != "Instrument", title).alias("title"), F.when(F.col("class") == "Instrument", title).alias("name"),
         title.alias("display_label"), X.filled(F.col("abstractNote")).alias("description"), "kind", "attributed_to", "about",
         F.when(publication & (F.size(attributes) > 0), attributes).alias("attributes"), F.when(publication & (venue_pid.isNotNull() | X.full_date(F.col("date")).isNotNull()), F.array(event)).alias("generated_by"),
-    ).cache()
+    )
+    records = settled(records)
 
     venue_title = F.coalesce(F.nullif("publicationTitle", F.lit("")), F.col("proceedingsTitle"))
     venues = preferred.where(publication & (F.size(issns) > 0)).select("group", F.concat(F.lit("ISSN:"), issns[0]).alias("pid"), issns.alias("issns"), F.when(X.clean(F.col("itemType")) == "conferencePaper", PROCEEDINGS_KIND).otherwise(JOURNAL_KIND).alias("kind"), X.filled(venue_title).alias("title"))

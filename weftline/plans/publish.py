@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..functions import text as X
 from ..operators import compare, merge
-from ..operators.validate import judged, repeated, require_none, residue, unused, violations
+from ..operators.validate import IntegrityError, judged, repeated, require_none, residue, unknown_fields, unused, violations
 from ..vocabulary import FIELD_PREDICATES
+from .settle import settled
 
 
 def _table(spark: SparkSession, values, column: str = "target") -> DataFrame:
@@ -28,11 +31,12 @@ def render(publications: DataFrame, policy: dict, item_keys: DataFrame, own_pref
     pattern = rf"^{scheme}:group:{group}:item:(.+)$"
     pubs = publications.withColumn("keys", F.filter(F.transform(R.notations(F.col("identifiers"), namespace + "Identifier"), lambda n: F.regexp_extract(n, pattern, 1)), lambda k: k != ""))
     overrides = spark.createDataFrame(list(policy["pid_overrides"].items()), "__pid string, __override string")
-    pubs = pubs.join(F.broadcast(overrides), F.col("pid") == F.col("__pid"), "left").withColumn("site_pid", R.stable_pid(F.col("pid"), R.notations(F.col("identifiers"), namespace + "DOI"), F.col("keys"), F.col("__override"), own_prefix)).cache()
+    pubs = pubs.join(F.broadcast(overrides), F.col("pid") == F.col("__pid"), "left").withColumn("site_pid", R.stable_pid(F.col("pid"), R.notations(F.col("identifiers"), namespace + "DOI"), F.col("keys"), F.col("__override"), own_prefix))
+    pubs = settled(pubs)
     allowed, omitted = _table(spark, policy["allowed_attribution_targets"]), _table(spark, policy["omitted_attribution_targets"])
-    people = judged(pubs.select("pid", F.posexplode("attributed_to").alias("pos", "a")).select("pid", "pos", "a", F.col("a.object").alias("object")), "object", allowed, omitted, "target").cache()
+    people = settled(judged(pubs.select("pid", F.posexplode("attributed_to").alias("pos", "a")).select("pid", "pos", "a", F.col("a.object").alias("object")), "object", allowed, omitted, "target"))
     events = pubs.select("pid", F.explode("generated_by").alias("g")).select("pid", F.col("g.object").alias("object"))
-    events = judged(events, "object", _table(spark, []), _table(spark, policy["omitted_generation_objects"]), "target").cache()
+    events = settled(judged(events, "object", _table(spark, []), _table(spark, policy["omitted_generation_objects"]), "target"))
     topics = pubs.select("pid", F.explode("about").alias("object"))
     curated = [(p, i, g["object"], g.get("at_location"), g.get("at_time")) for p, rows in policy["curated_generations"].items() for i, g in enumerate(rows)]
     curated = spark.createDataFrame(curated, "pid string, pos int, object string, at_location string, at_time string")
@@ -79,7 +83,8 @@ def assertions(records: DataFrame, namespace: str = "dlthings:") -> DataFrame:
         parts.append(F.transform("attributes", lambda x: F.struct(F.lit("/attributes").alias("path"), x["predicate"].alias("predicate"), x["value"].alias("content"))))
     for name in ("identifiers", "attributed_to", "generated_by"):
         if name in have:
-            parts.append(F.transform(name, lambda x, n=name: F.struct(F.lit(f"/{n}").alias("path"), F.lit("").alias("predicate"), F.to_json(x).alias("content"))))
+            path = F.lit(f"/{name}")
+            parts.append(F.transform(name, lambda x: F.struct(path.alias("path"), F.lit("").alias("predicate"), F.to_json(x).alias("content"))))  # noqa: B023
     empty = F.array().cast("array<struct<path: string, predicate: string, content: string>>")
     every = F.concat(*[F.coalesce(p, empty) for p in parts])
     return records.select("pid", F.posexplode(every).alias("pos", "a")).select("pid", "a.path", "a.predicate", "a.content", F.col("pos").cast("long").alias("pos")).where("content IS NOT NULL AND content <> ''")
@@ -108,6 +113,110 @@ def candidates(source: DataFrame, baseline: DataFrame, decisions: DataFrame, own
     return compare.pending(out, decisions).select("pid", "operation", "claim_sha256", "added", "removed")
 
 
+#: Predicates of attributes that a source may assert.
+SOURCE_PREDICATES = ("bibo:locator", "dcterms:issued", "dcterms:language", "dcterms:rights")
+#: Fields of a rendered record, those with one value of their own in a record, and its lists of objects.
+RENDERED_FIELDS = ("pid", "title", "display_label", "description", "kind", "identifiers", "attributed_to", "about", "attributes", "generated_by")
+TOPICAL, OBJECTS = ("title", "display_label", "description", "kind"), ("identifiers", "attributed_to")
+KEYS = ["pid", "path", "predicate", "content"]
+
+
+def source_identity(records: DataFrame, group: int, scheme: str = "library", namespace: str = "dlthings:", root: str = "https://api.example.org/groups") -> DataFrame:
+    """(pid, source_record_id, imported_from) of rendered records by the keys of their items: 'item:K' or 'items:K1,K2'."""
+    keys = F.array_sort(F.array_distinct(F.filter(F.transform(R.notations(F.col("identifiers"), namespace + "Identifier"), lambda n: F.regexp_extract(n, rf"^{scheme}:group:{group}:item:(.+)$", 1)), lambda k: k != "")))
+    one, all_ = F.concat(F.lit(f"{root}/{group}/items/"), F.col("keys")[0]), F.concat(F.lit(f"{root}/{group}/items?itemKey="), X.percent_encoded(F.array_join("keys", ",")))
+    return records.select("pid", keys.alias("keys")).select("pid", R.source_record_id(F.col("keys")).alias("source_record_id"), F.when(F.size("keys") == 1, one).when(F.size("keys") > 1, all_).alias("imported_from"))
+
+
+def source_coordinate(source: dict) -> dict:
+    """What a plan says of the snapshot it was made from: its group, version and digest."""
+    group, version, sha = (source.get(k) for k in ("group_id", "library_version", "content_sha256"))
+    if isinstance(group, bool) or not isinstance(group, int) or isinstance(version, bool) or not isinstance(version, int) or not isinstance(sha, str) or not re.fullmatch("[0-9a-f]{64}", sha):
+        raise IntegrityError("the snapshot's coordinate is invalid")
+    return {"content_sha256": f"sha256:{sha}", "group_id": group, "kind": "public-library", "library_version": version}
+
+
+def _shape_checks(rendered: DataFrame, namespace: str) -> list[DataFrame]:
+    """Violations of what a source record may hold: known fields, mapped attributes, each predicate's values once."""
+    strange = unknown_fields(rendered, RENDERED_FIELDS)
+    attributes = rendered.select("pid", F.explode("attributes").alias("a")).select("pid", "a.*")
+    return [
+        violations(rendered.limit(1) if strange else rendered.limit(0), "unsupported fields", F.lit(", ".join(strange)), F.lit("")),
+        violations(rendered.where("coalesce(title, '') = '' OR coalesce(display_label, '') = '' OR coalesce(kind, '') = ''"), "record without title, label or kind", F.col("pid"), F.lit("")),
+        violations(attributes.where(~F.col("predicate").isin(*SOURCE_PREDICATES) | (F.col("schema_type") != namespace + "AttributeSpecification") | F.col("value").isNull()), "attribute outside the mapping", F.col("pid"), F.col("predicate")),
+        violations(repeated(attributes, "pid", "predicate", "value"), "repeated attribute", F.col("pid"), F.col("predicate")),
+        violations(repeated(rendered, "pid"), "repeated pid", F.col("pid"), F.col("rows")),
+    ]
+
+
+def proposals(rendered: DataFrame, canonical: DataFrame, notes: DataFrame, decisions: DataFrame, owner: str, agents: DataFrame, group: int, namespace: str = "dlthings:", class_name: str = "Publication") -> DataFrame:
+    """The records and companions that accepting rendered records would give, as (pid, path, operation, source_record_id,
+    record, companion, claim_sha256, added, removed).
+
+    rendered: render()'s records; canonical: records in the same form and rel_path; notes: companions of theirs as (pid,
+    path, assertion_sha256, imported_by, imported_from), where path and digest name an assertion. Every source value is
+    an assertion of the owner, unless someone asserts it already; the owner's former ones that aren't claimed again go.
+    A curated field keeps its value and an absent one is filled. A curated event must stand in the record, if there is
+    one: its absence is an error. A record without a change, and one whose same claim was decided on, is left out;
+    claim_sha256 digests record path, pid and what the source asserts.
+    """
+    checks = _shape_checks(rendered, namespace)
+    require_none([violations(rendered.sparkSession.createDataFrame([(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti"), "owner isn't an instrument", F.col("pid"), F.lit("")), *checks])
+    fields = [*TOPICAL, "about", "attributes", *OBJECTS, "generated_by"]
+    held = canonical.select("pid", "rel_path", F.struct(*fields).alias("held"))
+    both = settled(rendered.select("pid", F.struct(*fields).alias("source")).join(source_identity(rendered, group, namespace=namespace), "pid").join(held, "pid", "left"))
+    absent = F.filter("source.generated_by", lambda e: ~F.coalesce(compare.all_contained(F.array(e), F.col("held.generated_by"), ["object", "at_location", "at_time"]), F.lit(False)))
+    require_none([violations(both.where(F.col("held").isNotNull() & (F.size(absent) > 0)), "curated event is absent", F.col("pid"), F.lit(""))])
+
+    digest = R.digest(F.to_json(F.struct("path", "predicate", "content")))
+    owned = notes.select("pid", "path", F.col("assertion_sha256").alias("digest"), F.col("imported_by").alias("owner"))
+    # events are the site's own: they are checked above and asserted by nobody
+    known = assertions(both.where("held IS NOT NULL").select("pid", "held.*").drop("generated_by")).withColumn("digest", digest).join(owned, ["pid", "path", "digest"], "left").drop("digest")
+    claimed = assertions(both.select("pid", "source.*").drop("generated_by"))
+    # an assertion that stands in a record twice (in its own field and among the attributes) is one
+    known = known.groupBy(*KEYS).agg(F.max("owner").alias("owner"), F.min("pos").alias("pos"))
+    merged = settled(merge.merge_assertions(known, claimed, owner, KEYS))
+    plain = F.filter(F.collect_list(F.when(F.col("change") != "removed", F.struct((F.col("change") == "added").alias("late"), "pos", "path", "predicate", "content", F.col("owner").isNotNull().alias("owned")))), lambda x: x.isNotNull())
+    lists = merged.groupBy("pid").agg(F.array_sort(plain).alias("rows"), F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"))
+    companion = merge.companion(merged, digest, F.lit(None).cast("string")).groupBy("pid").agg(F.collect_set(F.struct("path", "assertion_sha256", "imported_by")).alias("owned"))
+    out = both.join(lists, "pid").join(companion, "pid", "left").join(claims(claimed), "pid")
+
+    of = lambda path: F.filter("rows", lambda x: x["path"] == path)
+    field = {name: merge.topical(F.col(f"held.{name}"), F.col(f"source.{name}")) for name in TOPICAL}
+    topics = F.when(F.size("held.about") > 0, F.col("held.about")).when(F.size("source.about") > 0, F.col("source.about"))
+    # what only repeats a field of the record is no attribute, unless it is owned or stood among the attributes
+    predicates = F.create_map(*[x for name in TOPICAL for x in (F.lit(FIELD_PREDICATES[name]), field[name])])
+    stood = lambda x: F.coalesce(F.exists("held.attributes", lambda a: (a["predicate"] == x["predicate"]) & (a["value"] == x["content"])), F.lit(False))
+    extra = F.filter(of("/attributes"), lambda x: x["owned"] | stood(x) | ~F.coalesce(predicates[x["predicate"]] == x["content"], F.lit(False)))
+    attributes = F.transform(extra, lambda x: F.struct(x["predicate"].alias("predicate"), x["content"].alias("value"), F.lit(namespace + "AttributeSpecification").alias("schema_type")))
+    parsed = lambda kind: lambda x: F.from_json(x["content"], kind)
+    objects = {name: F.transform(of(f"/{name}"), parsed(rendered.schema[name].dataType.elementType)) for name in OBJECTS}
+    record = F.struct("pid", *[field[n].alias(n) for n in TOPICAL], topics.alias("about"), attributes.alias("attributes"), *[objects[n].alias(n) for n in OBJECTS], F.coalesce("held.generated_by", "source.generated_by").alias("generated_by"))
+    former = notes.groupBy("pid").agg(F.collect_set(F.struct("path", "assertion_sha256", "imported_by", "imported_from")).alias("former"))
+    out = out.join(former, "pid", "left")
+    # a companion entry keeps where it was imported from
+    origin = lambda n: F.coalesce(F.get(F.filter("former", lambda f: (f["path"] == n["path"]) & (f["assertion_sha256"] == n["assertion_sha256"])), F.lit(0))["imported_from"], F.col("imported_from"))
+    entries = F.array_sort(F.transform("owned", lambda n: F.struct(n["path"].alias("path"), n["assertion_sha256"].alias("assertion_sha256"), n["imported_by"].alias("imported_by"), origin(n).alias("imported_from"))))
+    stem = F.concat(F.lit(f"{class_name}/"), F.regexp_extract("pid", "([^/:]+)$", 1), F.lit(".yaml"))
+    path = F.coalesce("rel_path", stem)
+    filled = lambda n: F.coalesce(F.nullif(F.col(f"held.{n}"), F.lit("")).isNull() & F.nullif(F.col(f"source.{n}"), F.lit("")).isNotNull(), F.lit(False))
+    changed = F.col("held").isNull() | (F.col("added") + F.col("removed") > 0)
+    for name in TOPICAL:
+        changed = changed | filled(name)
+    plan = out.where(changed).select(
+        "pid", path.alias("path"), F.when(F.col("held").isNull(), "add").otherwise("modify").alias("operation"), "source_record_id", record.alias("record"), entries.alias("companion"),
+        R.digest(F.concat_ws("\x1d", path, "source_record_id", "claim_sha256")).alias("claim_sha256"), "added", "removed",
+    )
+    return compare.pending(plan, decisions)
+
+
+def file_changes(plan: DataFrame) -> DataFrame:
+    """(pid, file, operation) that a plan of proposals makes: each record, and its companion if it has entries."""
+    record = F.struct(F.concat(F.lit("records/"), "path").alias("file"), F.col("operation").alias("operation"))
+    note = F.when(F.size("companion") > 0, F.struct(F.concat(F.lit("annotations/"), "path").alias("file"), F.col("operation").alias("operation")))
+    return plan.select("pid", F.inline(F.array_compact(F.array(record, note))))
+
+
 def coverage(source_pids: DataFrame, rendered: DataFrame, pid_map: DataFrame) -> None:
     """Source, pid map and rendered records must correspond one to one."""
     require_none([

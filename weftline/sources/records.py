@@ -187,12 +187,12 @@ def validate_snapshot(snapshot: dict, root: str, api_version: str = "3") -> dict
 def aliases(spark: SparkSession, groups: list[dict]) -> DataFrame:
     """(key, pid) of reviewed alias groups (pid, aliases); an empty alias, or one with two pids, is an error."""
     pairs = spark.createDataFrame([(a, g["pid"]) for g in groups for a in g["aliases"]], "alias string, pid string")
-    keyed = pairs.withColumn("key", name_key(F.col("alias"))).cache()
+    keyed = pairs.withColumn("key", name_key(F.col("alias")))
     require_none([violations(missing(keyed, "key"), "empty alias", F.col("pid"), F.col("alias")), violations(ambiguous(keyed, "key", "pid"), "alias of two", F.col("key"), F.concat_ws(", ", "first", "last"))])
     return keyed.select("key", "pid").distinct()
 
 
-#: Fields of a publishing policy and of a curated generation.
+#: Fields of a publishing policy and of a curated generation.
 POLICY_FIELDS = {"format_version", "description", "pid_overrides", "allowed_attribution_targets", "omitted_attribution_targets", "allowed_about_targets", "omitted_generation_objects", "allowed_curated_generation_targets", "curated_generations"}
 GENERATION_FIELDS = {"object", "at_location", "at_time", "rationale"}
 
