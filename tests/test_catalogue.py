@@ -38,19 +38,19 @@ def test_query(spark, duck, name):
     assert rows == sorted(str([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
-def test_token_match_whole_offers_every_customer(spark, duck):
-    rows = {r.pid: r for r in catalogue.queries()["token_match_whole"](spark, SF).collect()}
+def test_token_match_offers_every_customer(spark, duck):
+    rows = {r.pid: r for r in catalogue.queries()["token_match"](spark, SF).collect()}
     suppliers, customers = (dict(duck.sql(f"SELECT {k}, {n} % 2 FROM {t}").fetchall()) for t, k, n in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey")))
     keys = {s: {s} | ({s // 3} if s % 3 == 0 else set()) for s in suppliers}
     assert {k: r.candidates for k, r in rows.items()} == {f"s{s}": sorted(f"c{c}" for c in keys[s] if customers.get(c) == parity) for s, parity in suppliers.items()}
 
 
 def test_whole_queries_leave_no_row_aside(spark, duck):
-    ids = {r.doc_id for r in catalogue.queries()["attach_semi_whole"](spark, SF).collect()}
+    ids = {r.doc_id for r in catalogue.queries()["attach_semi"](spark, SF).collect()}
     assert ids == {x for (x,) in duck.sql("SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en' OR source IN (SELECT source FROM documents WHERE lang IS DISTINCT FROM 'en')").fetchall()}
-    facts = {(r.pid, r.path, r.content) for r in catalogue.queries()["ownership_merge_whole"](spark, SF).collect()}
+    facts = {(r.pid, r.path, r.content) for r in catalogue.queries()["ownership_merge"](spark, SF).collect()}
     assert facts == set(duck.sql("SELECT DISTINCT user_id::VARCHAR, event_type, props FROM events").fetchall())
-    pids = {r.item: r.pid for r in catalogue.queries()["priority_resolve_whole"](spark, SF).collect()}
+    pids = {r.item: r.pid for r in catalogue.queries()["priority_resolve"](spark, SF).collect()}
     nations = duck.sql("SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (2, 4)").fetchall()
     assert nations and all(pids[c] == f"reviewed{n}" for c, n in nations)
 

@@ -1,4 +1,4 @@
-"""The queries of the metadata operators on the driver's tables, each with its DuckDB oracle where SQL can express it.
+"""The queries of the metadata operators (those of whole plans are in plan_queries) on the driver's tables, each with its DuckDB oracle where SQL can express it.
 
 documents stand for source items, labels for curation, documents.source for collections, nation and region for
 controlled vocabularies, customer and supplier for organizations and people, orders and lineitem for references, part
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .functions import records as R
 from .functions import text as X
 from .operators import compare, entity, merge, resolve, validate
+from .plans import ingest
+from .vocabulary import Options
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -33,10 +35,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import plan_queries  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import plan_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -113,7 +119,7 @@ def composed_name(spark, sf_dir):
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '/+$', ''), '^https?://(www\.)?', '') AS locator FROM pages")
 def locator_normalize(spark, sf_dir):
-    low = F.regexp_replace(F.lower(X.clean(F.col("url"))), "/+$", "")
+    low = F.regexp_replace(X.folded(X.clean(F.col("url"))), "/+$", "")
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(low, r"^https?://(www\.)?", "").alias("locator"))
 
 
@@ -149,10 +155,10 @@ CASE WHEN lang = 'en' AND quality = 0 AND toxic = 1 THEN 'conflicting collection
 """)
 def classify_case(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    hints = F.array_distinct(F.array_compact(F.array(F.when(F.col("quality") == 1, "dataset"), F.when(F.col("quality") == 0, "instrument"), F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "registry"))))
-    open_ = F.col("lang") == "en"
-    class_ = F.when(~open_, "publication").when(F.size(hints) > 1, F.lit(None)).when(F.size(hints) == 1, hints[0]).otherwise("document")
-    return docs.select("doc_id", class_.alias("class"), F.when(open_ & (F.size(hints) > 1), "conflicting collection classification").alias("reason"))
+    keys = F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("quality") == 0, "poor"), F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "toxic"), F.lit("other")))
+    rows = docs.select("doc_id", F.when(F.col("lang") != "en", "book").otherwise("document").alias("itemType"), keys.alias("label_keys"))
+    options = Options(group=7, document_classes={"good": "dataset", "poor": "instrument", "toxic": "registry"})
+    return ingest.classify(rows, options).select("doc_id", F.lower("class").alias("class"), "reason")
 
 
 @query("""
@@ -173,7 +179,8 @@ def slug_pid(spark, sf_dir):
 SELECT l_orderkey, list_sort(list(l_partkey::VARCHAR) FILTER (WHERE l_returnflag = 'R')) AS returned, count(*)::BIGINT AS n FROM lineitem GROUP BY 1
 """)
 def typed_array(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("notation"), F.col("l_returnflag").alias("schema_type"))).alias("identifiers"))
+    lists = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.collect_list(F.when(rule, F.struct(F.col("l_partkey").cast("string").alias("notation")))).alias(name) for name, rule in (("yes", F.col("l_returnflag") == "R"), ("no", F.col("l_returnflag") != "R"))])
+    rows = lists.withColumn("identifiers", F.concat(R.typed(F.col("yes"), "R"), R.typed(F.col("no"), "other")))
     found = F.array_sort(R.notations(F.col("identifiers"), "R"))
     return rows.select("l_orderkey", F.when(F.size(found) > 0, found).alias("returned"), F.size("identifiers").cast("long").alias("n"))
 
@@ -195,8 +202,11 @@ def role_closure(spark, sf_dir):
 
 @query("SELECT CASE WHEN event_type IN ('click', 'view') THEN 'selected' WHEN user_id % 10 = 0 THEN 'unfiled' ELSE 'excluded' END AS bucket, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def bucket_route(spark, sf_dir):
-    bucket = F.when(F.col("event_type").isin("click", "view"), "selected").when(F.col("user_id") % 10 == 0, "unfiled").otherwise("excluded")
-    return read(spark, sf_dir, "events").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    names = F.when(F.col("event_type").isin("click", "view"), F.array(F.lit("in"))).when(F.col("user_id") % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("out")))
+    items = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.lit(False).alias("deleted"), names.alias("collections"), F.lit(None).cast("string").alias("DOI"), F.lit(None).cast("string").alias("extra"))
+    collections = spark.createDataFrame([("in", "My Papers"), ("out", "Other")], "key string, name string")
+    rows = ingest.source_items(items, collections, Options(group=7, included=("papers",), label_prefix="my "))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT 'unsupported role' AS code, event_id::VARCHAR AS pid, event_type AS detail FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')")
@@ -232,21 +242,6 @@ def lookup_default(spark, sf_dir):
     return resolve.named(docs, "keys", names, "key", "n_name", "names", "doc_id").select("doc_id", "names")
 
 
-@query("""
-WITH c AS (SELECT c_custkey AS item, c_nationkey AS k, c_acctbal < 0 AS single FROM customer),
-org AS (SELECT s_nationkey AS k, min(s_suppkey) AS pid FROM supplier WHERE s_acctbal > 0 GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1),
-per AS (SELECT n_nationkey AS k, 'nation' || n_nationkey AS pid FROM nation WHERE n_regionkey < 3)
-SELECT item, 0 AS pos, CASE WHEN NOT single THEN per.pid WHEN per.pid IS NULL THEN 'supplier' || org.pid WHEN org.pid IS NULL THEN per.pid END AS pid, 'aut' AS role
-FROM c LEFT JOIN org USING (k) LEFT JOIN per USING (k) WHERE CASE WHEN NOT single THEN per.pid WHEN per.pid IS NULL THEN 'supplier' || org.pid WHEN org.pid IS NULL THEN per.pid END IS NOT NULL
-""")
-def priority_resolve(spark, sf_dir):
-    customer, supplier, nation = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
-    creators = customer.select(F.col("c_custkey").alias("item"), F.lit(0).alias("pos"), F.col("c_nationkey").cast("string").alias("key"), (F.col("c_acctbal") < 0).alias("single_field"), F.lit("aut").alias("role"), F.col("c_name").alias("name"))
-    orgs = resolve.unique_index(supplier.where("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("key"), F.concat(F.lit("supplier"), "s_suppkey").alias("pid")), "key", "pid")
-    people = nation.where("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lit("nation"), "n_nationkey").alias("pid"))
-    return resolve.resolve_creators(creators, people.limit(0), people, orgs)[0]
-
-
 @query("""
 WITH c AS (SELECT c_custkey AS item, c_nationkey AS k, c_acctbal < 0 AS single FROM customer),
 ali AS (SELECT n_nationkey AS k, 'reviewed' || n_nationkey AS pid FROM nation WHERE n_regionkey IN (2, 4)),
@@ -256,8 +251,8 @@ r AS (SELECT item, coalesce(ali.pid, CASE WHEN NOT single THEN per.pid WHEN per.
 FROM c LEFT JOIN ali USING (k) LEFT JOIN org USING (k) LEFT JOIN per USING (k))
 SELECT item, 0 AS pos, pid, 'aut' AS role FROM r WHERE pid IS NOT NULL
 """)
-def priority_resolve_whole(spark, sf_dir):
-    """priority_resolve with reviewed aliases, some of which stand before a person or an organization of the same key."""
+def priority_resolve(spark, sf_dir):
+    """Creators by reviewed aliases, people and organizations; some aliases stand before a person or an organization of the same key."""
     customer, supplier, nation = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
     creators = customer.select(F.col("c_custkey").alias("item"), F.lit(0).alias("pos"), F.col("c_nationkey").cast("string").alias("key"), (F.col("c_acctbal") < 0).alias("single_field"), F.lit("aut").alias("role"), F.col("c_name").alias("name"))
     orgs = resolve.unique_index(supplier.where("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("key"), F.concat(F.lit("supplier"), "s_suppkey").alias("pid")), "key", "pid")
@@ -265,20 +260,11 @@ def priority_resolve_whole(spark, sf_dir):
     return resolve.resolve_creators(creators, aliases, people, orgs)[0]
 
 
-@query("""
-WITH s AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 3 = 0 AND lang <> 'en'), o AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 3 = 1)
-SELECT doc_id, source, lang, false AS attached FROM s UNION ALL SELECT doc_id, source, lang, true FROM o WHERE source || lang IN (SELECT source || lang FROM s)
-""")
-def attach_semi(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").withColumn("key", F.concat("source", "lang"))
-    return resolve.attach(docs.where("doc_id % 3 = 0 AND lang <> 'en'"), docs.where("doc_id % 3 = 1"), "key").drop("key")
-
-
 @query("""
 WITH s AS (SELECT doc_id, source, lang FROM documents WHERE lang IS DISTINCT FROM 'en'), o AS (SELECT doc_id, source, lang FROM documents WHERE lang = 'en')
 SELECT doc_id, source, lang, false AS attached FROM s UNION ALL SELECT doc_id, source, lang, true FROM o WHERE source IN (SELECT source FROM s)
 """)
-def attach_semi_whole(spark, sf_dir):
+def attach_semi(spark, sf_dir):
     """Every document is selected (not English) or offered (English)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return resolve.attach(docs.where("NOT lang <=> 'en'"), docs.where("lang = 'en'"), "source")
@@ -286,24 +272,7 @@ def attach_semi_whole(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unlabeled_anti(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query("""
-WITH s AS (SELECT 's' || s_suppkey AS pid, (s_nationkey % 2)::VARCHAR AS class, 'n' || s_nationkey AS t1, 'k' || s_suppkey AS t2 FROM supplier),
-c AS (SELECT 'c' || c_custkey AS pid, (c_nationkey % 2)::VARCHAR AS class, 'n' || c_nationkey AS t1, 'k' || (c_custkey * 3) AS t2 FROM customer WHERE c_custkey <= 60),
-h AS (SELECT s.pid, list_sort(list(DISTINCT c.pid)) AS candidates FROM s JOIN c ON s.class = c.class AND (s.t1 = c.t1 OR s.t2 = c.t2) GROUP BY 1)
-SELECT s.class, s.pid, CASE WHEN len(candidates) = 1 THEN candidates[1] END AS matched,
-CASE WHEN candidates IS NULL THEN 'unmatched' WHEN len(candidates) = 1 THEN 'identifier' ELSE 'ambiguous' END AS how, coalesce(candidates, []) AS candidates FROM s LEFT JOIN h USING (pid)
-""")
-def token_match(spark, sf_dir):
-    def side(df, key, nation, mark, factor):
-        tokens = F.array(F.concat(F.lit("n"), nation), F.concat(F.lit("k"), F.col(key) * factor))
-        return df.select(F.concat(F.lit(mark), key).alias("pid"), (F.col(nation) % 2).cast("string").alias("class"), tokens.alias("tokens"))
-
-    source = side(read(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", "s", 1)
-    target = side(read(spark, sf_dir, "customer").where("c_custkey <= 60"), "c_custkey", "c_nationkey", "c", 3)
-    return resolve.match_records(source, target)
+    return compare.dangling(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id", "doc_id")
 
 
 @query("""
@@ -314,7 +283,7 @@ h AS (SELECT pid, list_sort(list(hit)) AS candidates FROM p GROUP BY 1)
 SELECT s.class, s.pid, CASE WHEN len(candidates) = 1 THEN candidates[1] END AS matched,
 CASE WHEN candidates IS NULL THEN 'unmatched' WHEN len(candidates) = 1 THEN 'identifier' ELSE 'ambiguous' END AS how, coalesce(candidates, []) AS candidates FROM s LEFT JOIN h USING (pid)
 """)
-def token_match_whole(spark, sf_dir):
+def token_match(spark, sf_dir):
     """All suppliers against all customers, by tokens that few records share: the number in the name and the key."""
 
     def side(df, key, nation, name, mark, factor):
@@ -453,8 +422,7 @@ def policy_coverage(spark, sf_dir):
 
 @query("SELECT l_orderkey, min('k' || l_partkey) AS least FROM lineitem GROUP BY 1")
 def min_key(spark, sf_dir):
-    keys = F.collect_set(F.concat(F.lit("k"), "l_partkey"))
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_min(keys).alias("least"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.concat(F.lit("k"), "l_partkey")).alias("least"))
 
 
 @query("""
@@ -469,25 +437,6 @@ def set_algebra(spark, sf_dir):
     return out[0].union(out[1]).union(out[2])
 
 
-@query("""
-WITH b AS (SELECT user_id::VARCHAR AS pid, event_type AS path, event_type AS predicate, props AS content, min(event_id) AS pos, arg_min({'o': CASE WHEN event_id % 3 = 0 THEN 'adapter' WHEN event_id % 3 = 1 THEN 'other' END}, event_id).o AS owner FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2, 3, 4),
-s AS (SELECT user_id::VARCHAR AS pid, event_type AS path, event_type AS predicate, props AS content, min(event_id) AS pos FROM events WHERE event_id % 5 < 3 GROUP BY 1, 2, 3, 4)
-SELECT coalesce(b.pid, s.pid) AS pid, coalesce(b.path, s.path) AS path, coalesce(b.predicate, s.predicate) AS predicate, coalesce(b.content, s.content) AS content,
-CASE WHEN b.pid IS NULL THEN 'adapter' ELSE b.owner END AS owner, coalesce(b.pos, s.pos) AS pos,
-CASE WHEN b.pid IS NULL THEN 'added' WHEN b.owner = 'adapter' AND s.pid IS NULL AND b.pid IN (SELECT pid FROM s) THEN 'removed' ELSE 'kept' END AS change
-FROM b FULL OUTER JOIN s ON b.pid = s.pid AND b.path = s.path AND b.predicate = s.predicate AND b.content = s.content
-""")
-def ownership_merge(spark, sf_dir):
-    events = read(spark, sf_dir, "events")
-    keys = [F.col("user_id").cast("string").alias("pid"), F.col("event_type").alias("path"), F.col("event_type").alias("predicate"), F.col("props").alias("content")]
-    owner = F.when(F.col("event_id") % 3 == 0, "adapter").when(F.col("event_id") % 3 == 1, "other")
-    names = ["pid", "path", "predicate", "content"]
-    rows = events.where("event_id % 2 = 0").select(*keys, "event_id", owner.alias("o"))
-    baseline = rows.groupBy(*names).agg(F.min("event_id").alias("pos"), F.min_by(F.struct("o"), "event_id").alias("o")).select(*names, "pos", F.col("o.o").alias("owner"))
-    source = events.where("event_id % 5 < 3").select(*keys, F.col("event_id").alias("pos"))
-    return merge.merge_assertions(baseline, source, "adapter", names)
-
-
 @query("""
 WITH b AS (SELECT user_id::VARCHAR AS pid, event_type AS path, event_type AS predicate, props AS content, min(event_id) AS pos, arg_min({'o': CASE WHEN event_id % 3 = 0 THEN 'adapter' WHEN event_id % 3 = 1 THEN 'other' END}, event_id).o AS owner FROM events WHERE value < 100 OR value IS NULL GROUP BY 1, 2, 3, 4),
 s AS (SELECT user_id::VARCHAR AS pid, event_type AS path, event_type AS predicate, props AS content, min(event_id) AS pos FROM events WHERE value >= 20 GROUP BY 1, 2, 3, 4)
@@ -496,7 +445,7 @@ CASE WHEN b.pid IS NULL THEN 'adapter' ELSE b.owner END AS owner, coalesce(b.pos
 CASE WHEN b.pid IS NULL THEN 'added' WHEN b.owner = 'adapter' AND s.pid IS NULL AND b.pid IN (SELECT pid FROM s) THEN 'removed' ELSE 'kept' END AS change
 FROM b FULL OUTER JOIN s ON b.pid = s.pid AND b.path = s.path AND b.predicate = s.predicate AND b.content = s.content
 """)
-def ownership_merge_whole(spark, sf_dir):
+def ownership_merge(spark, sf_dir):
     """Every event stands in the baseline (low or no value), in the source (higher value) or, between the two, in both."""
     events = read(spark, sf_dir, "events")
     keys = [F.col("user_id").cast("string").alias("pid"), F.col("event_type").alias("path"), F.col("event_type").alias("predicate"), F.col("props").alias("content")]
