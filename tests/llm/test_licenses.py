@@ -1,3 +1,5 @@
+import random
+
 from weftline.llm import licenses as lc
 
 APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
@@ -31,7 +33,8 @@ def test_sentences_are_normal_and_have_a_trigger():
     for id_, text in lc.SENTENCES.items():
         assert lc.normal(text) == text and any(t in text for t in lc.TRIGGERS), id_
     assert len(set(lc.SENTENCES.values())) == len(lc.SENTENCES)
-    assert {s for _, _, ids in lc.RULES for s in ids} <= set(lc.SENTENCES)
+    assert all(lc.normal(t) == t.replace(" * ", " ") and any(x in t for x in lc.TRIGGERS) for t in lc.TEMPLATES.values())
+    assert {s for _, _, ids in lc.RULES for s in ids} <= {*lc.SENTENCES, *lc.TEMPLATES}
 
 
 def test_texts():
@@ -99,6 +102,68 @@ def test_order_and_gaps():
     assert lc.match_rules(s((0, "bsd-grant"), (4, "bsd-source"), (5, "bsd-binary"))) == []
 
 
+def slow(text):
+    """known_sentences without any of its shortcuts: every span and every run from a line start to any end is compared."""
+    text = lc._MARKS.sub(lambda m: " " * len(m[0]), text)
+    known = lambda a, b: lc._IDS.get(lc.normal(text[a:b])) or next((i for _, i, p in lc._SLOTTED if p.fullmatch(lc.normal(text[a:b]))), None) or lc._variant(lc.normal(text[a:b]))
+    spans, lines = list(lc._spans(text, lc._ENDS)), list(lc._spans(text, lc._LINES))
+    found, covered, i = {}, [], 0
+    for m in lc._SPDX.finditer(text):
+        for j, name in enumerate(lc._spdx(m[1])):
+            found[m.start() + j] = f"spdx:{name}"
+            covered.append((m.start(), m.end()))
+    marked = {a for a, _ in covered}
+    while i < len(spans):
+        for n in (3, 2, 1):
+            if i + n <= len(spans) and spans[i][0] not in marked and (id_ := known(spans[i][0], spans[i + n - 1][1])):
+                found[spans[i][0]] = id_
+                covered.append((spans[i][0], spans[i + n - 1][1]))
+                i += n - 1
+                break
+        i += 1
+    upto = -1
+    for a, b in lines:
+        if a < upto or any(x <= a < y for x, y in covered) or not lc.normal(text[a:b]):
+            continue
+        before = lc.normal(text[max(x for x, _ in spans if x <= a) : a]).split()
+        if before and before[-1] in lc._DENIALS:
+            continue
+        for end in sorted({e for _, e in lines + spans if e > a}, reverse=True):
+            if id_ := known(a, end):
+                for x in [x for x in found if a <= x < end]:
+                    del found[x]
+                found[a], upto = id_, end
+                break
+    return [found[x] for x in sorted(found)]
+
+
+def test_against_a_scan_without_shortcuts():
+    rng = random.Random(3)
+    pieces = [*lc.SENTENCES.values(), *(t.replace("*", w) for t in lc.TEMPLATES.values() for w in ("the regents", "ACME, Inc", " ".join(["word"] * 25)))]
+    pieces += ["Licensed under the Apache License, Version 2.0", "This project is licensed under the\nMIT License", "SPDX-License-Identifier: MIT OR Zlib", "not", "Some words; and more: x", "we never", "License", "GNU GPL v3 or later", "released under\n    the MIT license", "1) item", "all rights"]
+    for _ in range(400):
+        text = ""
+        for piece in rng.choices(pieces, k=rng.randint(1, 6)):
+            if rng.random() < 0.5:  # as a comment with wide indents, a few words to a line
+                words, piece = piece.split(" "), ""
+                for i in range(0, len(words), n := rng.randint(2, 9)):
+                    piece += "\n" + rng.choice(["# ", " * ", "//", " " * 3000, ""]) + " ".join(words[i : i + n])
+            text += piece + rng.choice([". ", ".\n", "\n", "; ", "\n\n", " "])
+        assert [x[2] for x in lc.known_sentences(text)[0]] == slow(text), text
+
+
+def test_full_texts_with_any_holder_and_layout():
+    holder = "the Regents of the University of Somewhere and others"
+    bsd = [lc.SENTENCES["bsd-grant"], lc.SENTENCES["bsd-source"], lc.SENTENCES["bsd-binary"], *(lc.TEMPLATES[x].replace("*", holder) for x in ("bsd-endorse", "bsd-as-is", "bsd-liability"))]
+    wide = (".\n" + " " * 5000 + "*").join(x.replace(" ", " \t" * 40) for x in bsd)
+    assert found(". ".join(bsd)) == found(wide) == [("bsd-3-full", "BSD-3-Clause")]
+    assert found(". ".join(bsd[:3] + bsd[4:])) == [("bsd-2-full", "BSD-2-Clause")]
+    lgpl = GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1").replace("This program", "This library")
+    assert found(lgpl) == [("lgpl-2.1-header", "LGPL-2.1-or-later")] and found(GPL.replace("GNU General", "GNU Affero General")) == [("agpl-3-header", "AGPL-3.0-or-later")]
+    too_long = lc.TEMPLATES["bsd-endorse"].replace("*", " ".join(["w"] * (lc.SLOT + 1)))
+    assert found(too_long) == []
+
+
 def test_table(spark):
     rows = [(1, "a. Released under the MIT License."), (None, GPL), (2, None), (2, ""), (3, "word " * 100_000 + ".\nAll rights reserved.\n"), (1, "a. Released under the MIT License.")]
     out = lc.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -39,12 +39,42 @@ SENTENCES = {
     "cc-by-short": "licensed under cc by 4 0",
     "cc-by-sa-short": "licensed under cc by sa 4 0",
     "reserved": "all rights reserved",
+    "lgpl2.1-grant": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "agpl3-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "unlicense-grant": "this is free and unencumbered software released into the public domain",
+    "unlicense-free": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 
+#: Sentences in which * stands for 1 to SLOT words, as the name of who grants the licence.
+TEMPLATES = {
+    "bsd-endorse": "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liability": "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "mit-liability": "in no event shall * be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-liability": "in no event shall * be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+}
+SLOT = 20
+
 #: Rules in order of precedence, as (rule, licence, sentence identifiers in order).
 RULES = [
     ("apache-2.0-header", "Apache-2.0", ("apache2-grant", "apache2-copy", "apache2-as-is", "apache2-see")),
     ("mit-text", "MIT", ("mit-grant", "mit-notice", "as-is", "mit-liability")),
+    ("bsd-3-full", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability")),
+    ("bsd-2-full", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability")),
+    ("isc-full", "ISC", ("isc-grant", "isc-as-is", "isc-liability")),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", ("lgpl2.1-grant", "lgpl-warranty", "lgpl-see")),
+    ("lgpl-3-header", "LGPL-3.0-or-later", ("lgpl3-grant", "gpl-warranty", "lgpl-see")),
+    ("agpl-3-header", "AGPL-3.0-or-later", ("agpl3-grant", "gpl-warranty", "agpl-see")),
+    ("unlicense-text", "Unlicense", ("unlicense-grant", "unlicense-free")),
+    ("zlib-text", "Zlib", ("zlib-as-is", "zlib-grant")),
     ("bsd-3-text", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("bsd-2-text", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("gpl-3-header", "GPL-3.0-or-later", ("gpl3-grant", "gpl-warranty", "gpl-see")),
@@ -58,6 +88,12 @@ RULES = [
     ("isc-grant", "ISC", ("isc-grant",)),
     ("gpl-3-grant", "GPL-3.0-or-later", ("gpl3-grant",)),
     ("gpl-2-grant", "GPL-2.0-or-later", ("gpl2-grant",)),
+    ("lgpl-2.1-grant", "LGPL-2.1-or-later", ("lgpl2.1-grant",)),
+    ("lgpl-3-grant", "LGPL-3.0-or-later", ("lgpl3-grant",)),
+    ("agpl-3-grant", "AGPL-3.0-or-later", ("agpl3-grant",)),
+    ("unlicense-grant", "Unlicense", ("unlicense-grant",)),
+    ("boost-grant", "BSL-1.0", ("boost-grant",)),
+    ("zlib-grant", "Zlib", ("zlib-grant",)),
     ("gpl-3-short", "GPL-3.0-only", ("gpl3-short",)),
     ("mpl-2.0-short", "MPL-2.0", ("mpl2-short",)),
     ("cc-by-nc-short", "CC-BY-NC-4.0", ("cc-by-nc-short",)),
@@ -163,7 +199,7 @@ def _spdx(line: str) -> list[str]:
 
 
 #: Every known sentence holds one of these or a verb before "under", so texts and spans without any are passed over.
-TRIGGERS = ("licen", "permi", "rights", "warrant", "redistribut", "copyright", "liab", "mpl", "endorse", "gpl", "spdx", "public domain", "creative commons", "cc0", "cc by", "cc-by")
+TRIGGERS = ("licen", "permi", "rights", "warrant", "redistribut", "copyright", "liab", "mpl", "endorse", "gpl", "spdx", "public domain", "creative commons", "cc0", "cc by", "cc-by", "commercial")
 _UNDER = re.compile(r"(?:released|distributed|available|provided|published|offered|shared|covered|subject)[\s#*/;-]+(?:under|by|to)\b|public[\s#*/;-]+domain|creative[\s#*/;-]+commons")
 
 #: Unknown sentences that may stand between two of a rule's.
@@ -181,19 +217,43 @@ def normal(sentence: str) -> str:
 
 
 _IDS = {text: id_ for id_, text in SENTENCES.items()}
-_LONGEST = max(map(len, _IDS)) * 4 + 400
-#: Longest short form, and the words that a known sentence starts with.
-_SHORT = 400
-_FIRST = {x.split()[0] for x in _IDS} | set(_SUBJECT.split("|")) | set("licensed licenced released distributed available made provided published offered shared redistributed covered redistributable usable open dual subject license licence under placed dedicated put in".split())
+#: Templates by the words before their slot.
+_SLOTTED = [(text.split(" *")[0] + " ", id_, re.compile(text.replace("*", rf"(?:[0-9a-z]+ ){{0,{SLOT - 1}}}[0-9a-z]+"))) for id_, text in TEMPLATES.items()]
+#: Words of the longest known sentence, and of the longest short form: spans with more can't be one.
+_LONGEST = max(len(x.split()) for x in [*_IDS, *TEMPLATES.values()]) + SLOT
+_SHORT = 80
+#: Words that a known sentence starts with.
+_FIRST = {x.split()[0] for x in [*_IDS, *TEMPLATES.values()]} | set(_SUBJECT.split("|")) | set("licensed licenced released distributed available made provided published offered shared redistributed covered redistributable usable open dual subject license licence under placed dedicated put in".split())
 _BY_FIRST = {w: [x for x in _IDS if x.split()[0] == w] for w in _FIRST}
 _START = re.compile(f"{_LEAD}|{_DOMAIN.pattern}")
 _WORD = re.compile(r"[0-9a-z]+")
+_TOKEN = re.compile(r"[0-9A-Za-z]+")
 _DENIALS = {"not", "never", "no", "nor", "t", "without"}
 
 
-def _known(part: str) -> str | None:
-    sentence = normal(part)
-    return _IDS.get(sentence) or (_variant(sentence) if len(sentence) <= _SHORT else None)
+class _Words:
+    """The words of a text, so that spans are compared by words, however wide the marks and blanks between them are."""
+
+    def __init__(self, text: str):
+        found = list(_TOKEN.finditer(text))
+        self.starts = [m.start() for m in found]
+        self.words = [m[0].lower() for m in found]
+
+    def at(self, place: int) -> int:
+        """Number of the first word that starts at a place or after it."""
+        return bisect.bisect_left(self.starts, place)
+
+    def known(self, first: int, last: int) -> str | None:
+        """Identifier of words[first:last] as a sentence."""
+        if last - first > _LONGEST:
+            return None
+        sentence = " ".join(self.words[first:last])
+        if id_ := _IDS.get(sentence):
+            return id_
+        for lead, slotted, pattern in _SLOTTED:
+            if sentence.startswith(lead) and pattern.fullmatch(sentence):
+                return slotted
+        return _variant(sentence) if last - first <= _SHORT else None
 
 
 def _triggered(text: str) -> bool:
@@ -229,43 +289,46 @@ def known_sentences(text: str) -> tuple[list[tuple[int, int, str]], int]:
         for i, id_ in enumerate(_spdx(m[1])):
             found[m.start() + i] = (m.start() + i, _last(starts, m.start()), f"spdx:{id_}")
             covered[m.start()] = m.end()
+    words = _Words(text)
     hot = [_triggered(text[a:b]) for a, b in spans]
+    bounds = [(words.at(a), words.at(b)) for a, b in spans]
     i = 0
     while i < len(spans):
         step = 1
-        if any(hot[i : i + 3]):
+        if any(hot[i : i + 3]) and spans[i][0] not in covered:
             for n in (3, 2, 1):
-                if i + n <= len(spans) and spans[i + n - 1][1] - spans[i][0] <= _LONGEST and any(hot[i : i + n]) and spans[i][0] not in covered:
-                    id_ = _known(text[spans[i][0] : spans[i + n - 1][1]])
-                    if id_:
-                        found[spans[i][0]] = (spans[i][0], i, id_)
-                        covered[spans[i][0]] = spans[i + n - 1][1]
-                        step = n
-                        break
+                if i + n <= len(spans) and any(hot[i : i + n]) and (id_ := words.known(bounds[i][0], bounds[i + n - 1][1])):
+                    found[spans[i][0]] = (spans[i][0], i, id_)
+                    covered[spans[i][0]] = spans[i + n - 1][1]
+                    step = n
+                    break
         i += step
     lines = list(_spans(text, _LINES))
     ends = sorted({b for _, b in lines} | {b for _, b in spans})
+    last_words = [words.at(b) for b in ends]
     taken, upto = sorted(covered), -1
     for a, b in lines:
         owner = _last(taken, a)
         if a < upto or (owner >= 0 and a < covered[taken[owner]]):
             continue
-        first = _WORD.search(text[a:b].lower())
-        if not first or first[0] not in _FIRST:
+        first = words.at(a)
+        if first == words.at(b) or words.words[first] not in _FIRST:
             continue
         k = _last(starts, a)
-        before = _WORD.findall(text[max(starts[k], a - 40) : a].lower())
-        if before and before[-1] in _DENIALS:
+        if first > words.at(starts[k]) and words.words[first - 1] in _DENIALS:
             continue
-        ahead = normal(text[a : a + _LONGEST])
-        most = _LONGEST if any(map(ahead.startswith, _BY_FIRST[first[0]])) else _SHORT if _START.match(ahead) else 0
-        for end in reversed(ends[bisect.bisect_right(ends, a) : bisect.bisect_right(ends, a + most)]):
-            if id_ := _known(text[a:end]):
+        ahead = " ".join(words.words[first : first + _LONGEST])
+        whole = any(map(ahead.startswith, _BY_FIRST[words.words[first]])) or any(ahead.startswith(lead) for lead, _, _ in _SLOTTED)
+        most = _LONGEST if whole else _SHORT if _START.match(ahead) else 0
+        low, high = bisect.bisect_right(ends, a), bisect.bisect_right(last_words, first + most)
+        # of ends after the same word the first one
+        for j in sorted({last_words[j]: j for j in range(high - 1, low - 1, -1)}.values(), reverse=True) if most else ():
+            if id_ := words.known(first, last_words[j]):
                 # a sentence that was found by itself and starts further on is part of this longer one
-                for x in [x for x in found if a <= x < end]:
+                for x in [x for x in found if a <= x < ends[j]]:
                     del found[x]
                 found[a] = (a, k, id_)
-                upto = end
+                upto = ends[j]
                 break
     return sorted(found.values()), len(spans)
 
