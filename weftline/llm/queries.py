@@ -1,9 +1,7 @@
-"""The registered training-data queries and their DuckDB SQL where SQL can express them."""
+"""The registered training-data queries and their DuckDB SQL where SQL can express them. The pipeline of corpus_pipeline.py is registered beside them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import languages, licenses, line_dedup, mixing, near_dedup, packing, quality_cnn, quality_rules, token_files, winnowing
 
 
@@ -19,10 +17,8 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_quality_cnn": quality_cnn.op10_quality_cnn,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    out = {"op4_line_dedup": line_dedup.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
-    return {name: sql for name, sql in out.items() if sql}
+    return {"op4_line_dedup": line_dedup.SQL}
