@@ -176,4 +176,5 @@ def score(docs: DataFrame, model: dict, keep: float = KEEP, clean: float = CLEAN
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    return score(docs, fit(docs, labels)).drop("text")
+    out = score(docs, fit(docs, labels))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability", "clean")
