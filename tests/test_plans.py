@@ -263,3 +263,35 @@ def test_source_targets(spark):
     double = canonical.unionByName(spark.createDataFrame([("Person", "own:persons/ada2", "Person/ada2.yaml", canonical.first().record)], canonical.schema))
     with pytest.raises(IntegrityError, match="ambiguous match: ext:ada"):
         targets.source_targets(source, double, "own:", {}, "t:")
+
+
+def test_a_release_is_published_whole_or_not_at_all(spark, run, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    from weftline.__main__ import main
+    from weftline.plans.release import release
+    from weftline.sources import records as S
+
+    root = "https://api.example.org/groups"
+    content = [{"key": "A", "data": {"key": "A", "title": "T"}}]
+    source = {"group_id": 7, "library_version": 3, "api_root": f"{root}/7", "api_version": "3", "response_api_version": "3", "total_collections": 0, "total_top_level_items": 1, "content_sha256": S.content_sha256([], content), "fetched_at": "2024-01-01T00:00:00+00:00", "collection_urls": [f"{root}/7/collections?x"], "item_urls": [f"{root}/7/items/top?x"]}
+    snapshot, policy = tmp_path / "in" / "snapshot.json", tmp_path / "in" / "policy.yaml"
+    snapshot.parent.mkdir()
+    snapshot.write_text(json.dumps({"source": source, "collections": [], "items": content}))
+    policy.write_text(yaml.safe_dump({"format_version": 1, "description": "d", **POLICY}))
+    pubs = run(BOOK)["records"].where("class = 'Publication'")
+    build = tmp_path / "build"
+    places = (build / "site", build / "report.json")
+    made = release(pubs, str(snapshot), policy, *places, build, "own:publications/", root)
+    assert [p.name for p in places[0].iterdir()] == ["doi-10-1-x.yaml"] and json.loads(places[1].read_text()) == made
+    record = yaml.safe_load((places[0] / "doi-10-1-x.yaml").read_text())
+    assert record["pid"] == "own:publications/doi-10-1-x" and record["attributed_to"][0]["object"] == "own:p/ada" and "generated_by" not in record
+    assert made["output"]["publication_count"] == 1 and made["reviewed_omissions"] == {"attribution:own:o/lab": 1, "generation:obo:IAO_0000444": 1} and made["pid_map"][0]["source_pid"] == "https://doi.org/10.1/x"
+    before = places[1].read_bytes()
+    policy.write_text(yaml.safe_dump({"format_version": 1, "description": "d", **POLICY, "allowed_attribution_targets": []}))
+    with pytest.raises(IntegrityError, match="unreviewed attribution"):
+        release(pubs, str(snapshot), policy, *places, build, "own:publications/", root)
+    assert places[1].read_bytes() == before
+    policy.write_text(yaml.safe_dump({"format_version": 1, "description": "other", **POLICY}))
+    pubs.write.parquet(str(tmp_path / "pubs"))
+    main(["release", "--publications", str(tmp_path / "pubs"), "--snapshot", str(snapshot), "--policy", str(policy), "--folder", str(places[0]), "--report", str(places[1]), "--root", str(build), "--own-prefix", "own:publications/", "--api-root", root], spark)
+    assert json.loads(places[1].read_text())["inputs"]["policy_sha256"] != made["inputs"]["policy_sha256"]

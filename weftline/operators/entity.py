@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .resolve import first_rows
-
 
 def group_key(doi: Column, key: Column, prefix: str = "item:") -> Column:
     """'doi:' and the DOI, or the row's own key behind `prefix`."""
@@ -44,10 +42,12 @@ def collisions(rows: DataFrame, key: str, pid: str) -> DataFrame:
 
 
 def merged_first(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key, and the later rows that differ from it in the columns."""
-    first, later = first_rows(rows, [key], order)
-    kept = first.select(F.col(key).alias("__key"), F.struct(*columns).alias("__first"))
-    return first, later.join(kept, F.col(key) == F.col("__key")).where(~F.struct(*columns).eqNullSafe(F.col("__first"))).drop("__key", "__first")
+    """The first row of each key, and the rows that differ from it in the columns. Partial minima are combined, and the
+    first rows are joined with the others, so that no key's rows are sorted or gathered."""
+    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__row"))
+    kept = first.select("__key", F.struct(*[F.col(f"__row.{c}").alias(c) for c in columns]).alias("__first"))
+    later = rows.join(kept, F.col(key) == F.col("__key")).where(~F.struct(*columns).eqNullSafe(F.col("__first"))).drop("__key", "__first")
+    return first.select("__row.*"), later
 
 
 def ordered_lists(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:

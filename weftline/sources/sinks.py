@@ -19,8 +19,9 @@ from ..operators.validate import IntegrityError, require_none, violations
 
 
 def write_class_tables(df: DataFrame, path: str) -> None:
-    """df (class, pid, ...) as JSON lines, a folder for each class, in order of pid within a file."""
-    df.repartition("class").sortWithinPartitions("class", "pid").write.partitionBy("class").mode("overwrite").json(path)
+    """df (class, pid, ...) as JSON lines, a folder for each class, in order of pid within a file and from file to file;
+    a large class goes to several tasks."""
+    df.repartitionByRange("class", "pid").sortWithinPartitions("class", "pid").write.partitionBy("class").mode("overwrite").json(path)
 
 
 def atomic_json(path: str | Path, value) -> None:
