@@ -107,7 +107,7 @@ def test_yaml_records_and_companions(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
-    load = lambda: S.yaml_records(spark, str(tmp_path / "records"), str(tmp_path / "notes"))
+    load = lambda: S.yaml_records(spark, str(tmp_path / "records"), str(tmp_path / "notes"), strict=False)
     got = {r.pid: r for r in load().collect()}
     assert got["g1"]["class"] == "Grant" and got["g1"].rel_path == "Grant/a.yaml" and json.loads(got["g1"].companion) == {"record": "g1"}
     assert got["p1"].companion is None and json.loads(got["p1"].record) == {"pid": "p1", "about": ["x"]}
@@ -118,6 +118,22 @@ def test_yaml_records_and_companions(spark, tmp_path):
         load()
 
 
+def test_foreign_files_are_refused(spark, tmp_path):
+    (tmp_path / "records/Grant").mkdir(parents=True)
+    (tmp_path / "records/Grant/a.yaml").write_text("pid: g1\n")
+    (tmp_path / "records/.dumpthings.yaml").write_text("x: 1\n")
+    load = lambda: S.yaml_records(spark, str(tmp_path / "records"))
+    assert load().count() == 1
+    (tmp_path / "records/Grant/note.txt").write_text("x")
+    (tmp_path / "records/Grant/.b.yaml").write_text("pid: g2\n")
+    (tmp_path / "records/Grant/link.yaml").symlink_to(tmp_path / "records/Grant/a.yaml")
+    (tmp_path / "records/linked").symlink_to(tmp_path / "records/Grant")
+    found = {r.rel_path: r.reason for r in S.foreign_files(spark, str(tmp_path / "records")).collect()}
+    assert found == {"Grant/note.txt": "not a record file", "Grant/.b.yaml": "hidden", "Grant/link.yaml": "symbolic link", "linked": "symbolic link"}
+    with pytest.raises(IntegrityError, match="foreign file: Grant/.b.yaml"):
+        load()
+
+
 def snapshot():
     items = [{"key": "A", "version": 3, "data": {"key": "A", "itemType": "dataset", "tags": ["plain", {"tag": "t"}]}}, {"key": "B", "data": {"key": "B", "deleted": 1}}]
     collections = [{"key": "C", "data": {"key": "C", "name": "Papers"}}]

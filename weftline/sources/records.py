@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import subprocess
 from collections.abc import Iterator
@@ -101,11 +102,41 @@ def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(rel.alias("rel_path"), F.element_at(F.split("path", "/"), -2).alias("class"), "record", "sha256", "error")
 
 
-def yaml_records(spark: SparkSession, path: str, companions: str | None = None) -> DataFrame:
+def foreign_files(spark: SparkSession, path: str, config: str = ".dumpthings.yaml") -> DataFrame:
+    """(rel_path, reason) of what has no place among one-record files: symbolic links, hidden files and folders, and
+    other kinds of files. A file named `config` may stand at the top. Names alone are looked at, on the driver."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found = store.makeQualified(root).toUri().getPath().rstrip("/") + "/", []
+    waiting = [root] if store.exists(root) else []
+    while waiting:
+        for status in store.listStatus(waiting.pop()):
+            place = status.getPath()
+            rel = place.toUri().getPath().removeprefix(base)
+            # a local store doesn't tell links itself
+            local = place.toUri().getScheme() in (None, "file")
+            if os.path.islink(place.toUri().getPath()) if local else status.isSymlink():
+                found.append((rel, "symbolic link"))
+            elif place.getName().startswith("."):
+                # a store's own checksums aren't part of the folder
+                if rel != config and not place.getName().endswith(".crc"):
+                    found.append((rel, "hidden"))
+            elif status.isDirectory():
+                waiting.append(place)
+            elif not place.getName().lower().endswith((".yaml", ".yml")):
+                found.append((rel, "not a record file"))
+    return spark.createDataFrame(found, "rel_path string, reason string")
+
+
+def yaml_records(spark: SparkSession, path: str, companions: str | None = None, strict: bool = True) -> DataFrame:
     """(pid, class, rel_path, record, companion) of one-record files, with the companion at the same path, if any.
 
-    Unreadable files, missing or repeated pids, and companions without a record are errors.
+    Foreign files (unless strict is off, when hidden and other ones are passed over), unreadable ones, missing or
+    repeated pids, and companions without a record are errors.
     """
+    if strict:
+        require_none([violations(foreign_files(spark, place), "foreign file", F.col("rel_path"), F.col("reason")) for place in (path, companions) if place])
     docs = yaml_documents(spark, path).withColumn("pid", F.get_json_object("record", "$.pid"))
     checks = [
         violations(docs.where("error IS NOT NULL"), "unreadable", F.col("rel_path"), F.col("error")),
