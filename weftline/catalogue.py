@@ -98,7 +98,8 @@ def name_key(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", X.name_key_ascii(F.col("p_name")).alias("key"))
 
 
-@query()
+# The letters of the driver's tables fold by taking off accents and writing sharp s out.
+@query("SELECT doc_id, sha256(regexp_replace(replace(strip_accents(lower(coalesce(text, ''))), 'ß', 'ss'), '[^0-9a-z]', '', 'g')) AS digest FROM documents")
 def name_key_unicode(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(X.name_key(F.col("text")), 256).alias("digest"))
 
@@ -479,7 +480,9 @@ def dangling_refs(spark, sf_dir):
     return count("label", "documents", "doc_id", "labels", "doc_id").union(count("order", "orders", "o_custkey", "customer", "c_custkey")).union(count("line", "lineitem", "l_partkey", "part", "p_partkey"))
 
 
-@query()
+@query("""
+SELECT doc_id, 'sha256:' || sha256('{' || concat_ws(',', '"doc_id":' || doc_id, '"lang":' || to_json(lang), '"source":' || to_json(source), '"text":' || to_json(text)) || '}') AS digest FROM documents
+""")
 def canonical_json(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     canonical = R.canonical_json(F.to_json(F.struct("text", "lang", "source", "doc_id")))
