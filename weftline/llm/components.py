@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from .shared import dropped, written
 
 
+def _joined(edges: DataFrame, least: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with each a's least id, and that table. It is written first: a plain table on both sides of the join lets
+    Spark broadcast the least ids if they are few, and deal a busy id's edges to several tasks if they are not."""
+    least = written(least, "least")
+    return edges.join(least, "a"), least
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each id's larger neighbours are linked to the least of the id and its neighbours instead."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    joined, least = _joined(both, both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")))
+    out = written(joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "edges")
+    dropped(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each id and its smaller neighbours are linked to the least of these instead. Of an edge a is the larger end."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    ends = edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
-    return ends.where("a <> b").distinct()
+    joined, least = _joined(edges, edges.groupBy("a").agg(F.min("b").alias("least")))
+    ends = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
+    out = written(ends.where("a <> b").distinct(), "edges")
+    dropped(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,8 +48,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = _mark(edges)
     while True:
-        large = written(_large_star(edges), "edges")
-        small = written(_small_star(large), "edges")
+        large = _large_star(edges)
+        small = _small_star(large)
         dropped(edges, large)
         edges, last, mark = small, mark, _mark(small)
         if mark == last:
