@@ -118,6 +118,18 @@ def test_yaml_records_and_companions(spark, tmp_path):
         load()
 
 
+def test_a_fetched_snapshot_becomes_a_document_and_loads_again(spark, tmp_path):
+    root = "https://api.example.org/groups"
+    rows = lambda name, *keys: spark.createDataFrame([(k, json.dumps({"key": k, "data": {"key": k, "name": "é", "title": "t"}}, ensure_ascii=False), 5, len(keys), f"{root}/7/{name}?start=0") for k in keys], "key string, record string, version long, total long, url string")
+    fetched = {"collections": rows("collections", "C2", "C1"), "items/top": rows("items/top", "B", "A")}
+    document = S.snapshot_document(fetched, root, 7, "2024-01-01T00:00:00+00:00")
+    K.atomic_json(tmp_path / "snapshot.json", document)
+    source, collections, items = S.load_snapshot(spark, str(tmp_path / "snapshot.json"), root)
+    assert source["library_version"] == 5 and [r.key for r in collections.collect()] == ["C1", "C2"] and [r.key for r in items.collect()] == ["A", "B"]
+    with pytest.raises(IntegrityError, match="several versions"):
+        S.snapshot_document(fetched | {"collections": fetched["collections"].withColumn("version", F.lit(6).cast("long"))}, root, 7, "2024-01-01T00:00:00+00:00")
+
+
 def test_foreign_files_are_refused(spark, tmp_path):
     (tmp_path / "records/Grant").mkdir(parents=True)
     (tmp_path / "records/Grant/a.yaml").write_text("pid: g1\n")

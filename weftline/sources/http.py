@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.settle import settled
+
 #: Rows of a page, attempts of a request and of a snapshot, seconds of a request, and the longest wait.
 PAGE, ATTEMPTS, SNAPSHOT_ATTEMPTS, TIMEOUT, LONGEST_WAIT = 100, 5, 3, 60, 16
 
@@ -108,10 +110,11 @@ class PagedSource(DataSource):
         return _PageReader(self.options)
 
 
-def fetch_snapshot(spark: SparkSession, root: str, endpoints: tuple[str, ...] = ("collections", "items/top"), expected_version: int | None = None, land: Callable[[str, DataFrame], DataFrame] = lambda name, df: df.cache(), **options: str) -> dict[str, DataFrame]:
+def fetch_snapshot(spark: SparkSession, root: str, endpoints: tuple[str, ...] = ("collections", "items/top"), expected_version: int | None = None, land: Callable[[str, DataFrame], DataFrame] = lambda name, df: settled(df), **options: str) -> dict[str, DataFrame]:
     """Rows of each endpoint in ascending order of key, all of one library version. Tried again if the library changes.
 
-    land stores an endpoint's rows (they are fetched once) and gives them back. Keys must be there and unique, and as
+    land stores an endpoint's rows, so that they are fetched once whatever becomes of an executor, and gives them back: by
+    default as a checkpoint. Keys must be there and unique, and as
     many as the library says.
     """
     from pyspark.sql import functions as F

@@ -161,6 +161,27 @@ def content_sha256(collections: list, items: list) -> str:
     return hashlib.sha256(canonical_text({"collections": collections, "items": items}).encode()).hexdigest()
 
 
+def snapshot_document(rows: dict[str, DataFrame], root: str, group: int, fetched_at: str, api_version: str = "3") -> dict:
+    """A snapshot document, with its digest, of fetched collections and items (http.fetch_snapshot of root/group).
+
+    sinks.atomic_json writes it; load_snapshot reads it. It is one document by its format, so it is put together on the
+    driver, a row at a time.
+    """
+    names = {"collections": "collections", "items/top": "items"}
+    content = {out: [json.loads(r["record"]) for r in rows[name].select("key", "record").orderBy("key").toLocalIterator()] for name, out in names.items()}
+    urls = {name: [r["url"] for r in rows[name].select("url").distinct().orderBy("url").collect()] or [f"{root}/{group}/{name}?start=0"] for name in names}
+    versions = {r[0] for name in names for r in rows[name].select("version").distinct().collect()}
+    if len(versions) > 1:
+        raise IntegrityError(f"snapshot: several versions {sorted(versions)}")
+    source = {
+        "group_id": group, "library_version": versions.pop() if versions else 0, "api_root": f"{root}/{group}", "api_version": api_version, "response_api_version": api_version, "fetched_at": fetched_at,
+        "total_collections": len(content["collections"]), "total_top_level_items": len(content["items"]), "content_sha256": content_sha256(**content), "collection_urls": urls["collections"], "item_urls": urls["items/top"],
+    }
+    document = {"source": source, **content}
+    validate_snapshot(document, root, api_version)
+    return document
+
+
 def load_snapshot(spark: SparkSession, path: str, root: str, api_version: str = "3") -> tuple[dict, DataFrame, DataFrame]:
     """A stored snapshot's source header, collections (key, name) and items (ITEM), after all integrity checks.
 
