@@ -193,6 +193,9 @@ def test_proposals_fail_closed(spark):
         go(base, owner="you")
     with pytest.raises(IntegrityError, match="unsupported fields: surprise"):
         go((*base, "x"), extra=", surprise string")
+    lost = spark.createDataFrame([("own:n", "/attributes", "sha256:none", "me", "x")], notes.schema)
+    with pytest.raises(IntegrityError, match="companion entry without an assertion: own:n"):
+        publish.proposals(spark.createDataFrame([base], RECORD), canonical.withColumn("generated_by", F.array(F.struct(F.lit("ev").alias("object"), F.lit("x").alias("at_location"), F.lit("2020").alias("at_time"), F.lit("g").alias("schema_type")))), lost, none, "me", agents, 7)
     good = {"group_id": 7, "library_version": 3, "content_sha256": "ab" * 32}
     assert publish.source_coordinate(good) == {"content_sha256": "sha256:" + "ab" * 32, "group_id": 7, "kind": "public-library", "library_version": 3}
     for change in ({"group_id": "7"}, {"library_version": None}, {"content_sha256": "AB"}):
@@ -209,7 +212,11 @@ def test_review_notices_stale_candidates_and_live_blockers(spark):
 
     out = publish.review(stored, stored, live, "pid", ["record"], blocked, stored, make(("a", '{"x": 1, "y": 2}')))
     assert {r.pid: r.change for r in out["changes"].collect()} == {"a": "changed", "b": "added"} and out["blockers"] == ["unreviewed target"] and out["violations"].count() == 0
-    assert publish.review(stored, stored, live, "pid", ["record"], lambda: live, stored, stored)["site_changes"].count() == 2
+    assert out["queue"] is None and not out["update"]
+    plan = spark.createDataFrame([("a", "modify"), ("b", "add"), ("c", "add")], "pid string, operation string")
+    out = publish.review(stored, stored, live, "pid", ["record"], lambda: live, stored, stored, plan)
+    assert out["site_changes"].count() == 2 and out["update"] and {r.operation: r.n for r in out["queue"].collect()} == {"modify": 1, "add": 2}
+    assert not publish.review(stored, stored, stored, "pid", ["record"], lambda: stored, stored, stored)["update"]
     with pytest.raises(IntegrityError, match="stale"):
         publish.review(live, stored, live, "pid", ["record"], blocked, stored, stored)
 

@@ -171,7 +171,10 @@ def proposals(rendered: DataFrame, canonical: DataFrame, notes: DataFrame, decis
     digest = R.digest(F.to_json(F.struct("path", "predicate", "content")))
     owned = notes.select("pid", "path", F.col("assertion_sha256").alias("digest"), F.col("imported_by").alias("owner"))
     # events are the site's own: they are checked above and asserted by nobody
-    known = assertions(both.where("held IS NOT NULL").select("pid", "held.*").drop("generated_by")).withColumn("digest", digest).join(owned, ["pid", "path", "digest"], "left").drop("digest")
+    known = settled(assertions(both.where("held IS NOT NULL").select("pid", "held.*").drop("generated_by")).withColumn("digest", digest))
+    theirs = notes.join(both.where("held IS NOT NULL").select("pid"), "pid", "left_semi")
+    require_none([violations(merge.orphan_notes(known.withColumnRenamed("digest", "assertion_sha256"), theirs), "companion entry without an assertion", F.col("pid"), F.col("path"))])
+    known = known.join(owned, ["pid", "path", "digest"], "left").drop("digest")
     claimed = assertions(both.select("pid", "source.*").drop("generated_by"))
     # an assertion that stands in a record twice (in its own field and among the attributes) is one
     known = known.groupBy(*KEYS).agg(F.max("owner").alias("owner"), F.min("pos").alias("pos"))
@@ -226,10 +229,12 @@ def coverage(source_pids: DataFrame, rendered: DataFrame, pid_map: DataFrame) ->
     ])
 
 
-def review(reviewed: DataFrame, stored: DataFrame, live: DataFrame, key: str, columns: list[str], render_live: Callable[[], DataFrame], rendered: DataFrame, canonical: DataFrame) -> dict:
+def review(reviewed: DataFrame, stored: DataFrame, live: DataFrame, key: str, columns: list[str], render_live: Callable[[], DataFrame], rendered: DataFrame, canonical: DataFrame, plan: DataFrame | None = None) -> dict:
     """A refresh review: the stored candidates must be what the stored snapshot gives (else it is stale, an error); then
     what the live snapshot changes, in candidates and in rendered records, and where rendered records (pid, record) aren't
-    contained in canonical ones. Live input that breaks the contract is a blocker, not a failure."""
+    contained in canonical ones. Live input that breaks the contract is a blocker, not a failure. `queue` counts the
+    proposals of a plan that await a decision by operation, and `update` says whether the live snapshot is to be taken
+    over: it changes something and nothing blocks it."""
     stale = compare.keyed_diff(stored, reviewed, key, columns).where("change <> 'unchanged'")
     require_none([violations(stale, "stored candidates are stale", F.col(key), F.col("change"))])
     blockers, site = [], None
@@ -237,4 +242,7 @@ def review(reviewed: DataFrame, stored: DataFrame, live: DataFrame, key: str, co
         site = compare.keyed_diff(rendered, render_live(), "pid", ["record"])
     except ValueError as error:
         blockers.append(str(error))
-    return {"changes": compare.keyed_diff(reviewed, live, key, columns), "site_changes": site, "violations": compare.projection_violations(rendered, canonical), "blockers": blockers}
+    changes = compare.keyed_diff(reviewed, live, key, columns)
+    queue = plan.groupBy("operation").agg(F.count(F.lit(1)).alias("n")) if plan is not None else None
+    update = not blockers and not changes.where("change <> 'unchanged'").isEmpty()
+    return {"changes": changes, "site_changes": site, "violations": compare.projection_violations(rendered, canonical), "blockers": blockers, "queue": queue, "update": update}
