@@ -133,14 +133,14 @@ def test_a_fetched_snapshot_becomes_a_document_and_loads_again(spark, tmp_path):
 def test_foreign_files_are_refused(spark, tmp_path):
     (tmp_path / "records/Grant").mkdir(parents=True)
     (tmp_path / "records/Grant/a.yaml").write_text("pid: g1\n")
-    (tmp_path / "records/.dumpthings.yaml").write_text("x: 1\n")
-    load = lambda: S.yaml_records(spark, str(tmp_path / "records"))
+    (tmp_path / "records/.store.yaml").write_text("x: 1\n")
+    load = lambda: S.yaml_records(spark, str(tmp_path / "records"), config=".store.yaml")
     assert load().count() == 1
     (tmp_path / "records/Grant/note.txt").write_text("x")
     (tmp_path / "records/Grant/.b.yaml").write_text("pid: g2\n")
     (tmp_path / "records/Grant/link.yaml").symlink_to(tmp_path / "records/Grant/a.yaml")
     (tmp_path / "records/linked").symlink_to(tmp_path / "records/Grant")
-    found = {r.rel_path: r.reason for r in S.foreign_files(spark, str(tmp_path / "records")).collect()}
+    found = {r.rel_path: r.reason for r in S.foreign_files(spark, str(tmp_path / "records"), ".store.yaml").collect()}
     assert found == {"Grant/note.txt": "not a record file", "Grant/.b.yaml": "hidden", "Grant/link.yaml": "symbolic link", "linked": "symbolic link"}
     with pytest.raises(IntegrityError, match="foreign file: Grant/.b.yaml"):
         load()

@@ -102,7 +102,7 @@ def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(rel.alias("rel_path"), F.element_at(F.split("path", "/"), -2).alias("class"), "record", "sha256", "error")
 
 
-def foreign_files(spark: SparkSession, path: str, config: str = ".dumpthings.yaml") -> DataFrame:
+def foreign_files(spark: SparkSession, path: str, config: str | None = None) -> DataFrame:
     """(rel_path, reason) of what has no place among one-record files: symbolic links, hidden files and folders, and
     other kinds of files. A file named `config` may stand at the top. Names alone are looked at, on the driver."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -129,14 +129,14 @@ def foreign_files(spark: SparkSession, path: str, config: str = ".dumpthings.yam
     return spark.createDataFrame(found, "rel_path string, reason string")
 
 
-def yaml_records(spark: SparkSession, path: str, companions: str | None = None, strict: bool = True) -> DataFrame:
+def yaml_records(spark: SparkSession, path: str, companions: str | None = None, strict: bool = True, config: str | None = None) -> DataFrame:
     """(pid, class, rel_path, record, companion) of one-record files, with the companion at the same path, if any.
 
     Foreign files (unless strict is off, when hidden and other ones are passed over), unreadable ones, missing or
     repeated pids, and companions without a record are errors.
     """
     if strict:
-        require_none([violations(foreign_files(spark, place), "foreign file", F.col("rel_path"), F.col("reason")) for place in (path, companions) if place])
+        require_none([violations(foreign_files(spark, place, config), "foreign file", F.col("rel_path"), F.col("reason")) for place in (path, companions) if place])
     docs = yaml_documents(spark, path).withColumn("pid", F.get_json_object("record", "$.pid"))
     checks = [
         violations(docs.where("error IS NOT NULL"), "unreadable", F.col("rel_path"), F.col("error")),
