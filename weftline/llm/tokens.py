@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -144,14 +144,21 @@ class Encoder:
         low = starts - spaced  # a word takes the space before it along
         size = ends - ended - low
         key = texts.hashes(low, low + size)
-        unique, sample, index = np.unique(key, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.number]
-        if missing:
+        # each distinct hash with any of its words; one pass over the memo
+        order = np.argsort(key)
+        ranked = key[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        sample, index = order[fresh], np.empty(len(key), np.int64)
+        index[order] = np.cumsum(fresh) - 1
+        keys = ranked[fresh].tolist()
+        number = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
             raw = data.tobytes()
             at = sample[missing]
-            self._learn([keys[i] for i in missing], [raw[a : a + n] for a, n in zip(low[at].tolist(), size[at].tolist(), strict=True)])
-        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+            number[missing] = len(self.number) + np.arange(len(missing))
+            self._learn([keys[i] for i in missing.tolist()], [raw[a : a + n] for a, n in zip(low[at].tolist(), size[at].tolist(), strict=True)])
         # hashes of spans up to eight bytes are one to one for each size, so longer ones alone are compared
         other = self.sizes[number][index] != size
         long = np.flatnonzero((size > 8) & ~other)
