@@ -55,7 +55,7 @@ def _transformed(spark, sf_dir) -> dict[str, DataFrame]:
     people = read(spark, sf_dir, "nation").select(F.concat(F.lit("own:p/"), "n_nationkey").alias("pid"), F.array(F.concat(F.lit("Ada N"), "n_nationkey")).alias("labels"))
     labels = lambda *x: spark.createDataFrame(list(x), "pid string, labels array<string>")
     aliases = spark.createDataFrame([], "key string, pid string")
-    existing = read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("https://doi.org/10.1234/g"), "p_partkey").alias("pid"), F.array(F.lit("file")).alias("files"))
+    existing = read(spark, sf_dir, "part").where("p_size < 17").select(F.concat(F.lit("https://doi.org/10.1234/g"), "p_partkey").alias("pid"), F.array(F.lit("file")).alias("files"))
     return ingest.transform(_items(spark, sf_dir), collections, people, labels(("own:o/lab", ["The Lab"])), labels(("own:t/economy", ["Economy"]), ("own:t/small", ["SMALL", "Little"])), aliases, existing, OPTIONS)
 
 
@@ -84,7 +84,7 @@ UNION ALL SELECT 'unresolved_creators', (SELECT count(*) FROM pref WHERE who IS
 UNION ALL SELECT 'unresolved_topics', (SELECT count(*) FROM pref WHERE topic NOT IN ('ECONOMY', 'SMALL'))
 UNION ALL SELECT 'venues', (SELECT count(DISTINCT issn) FROM pref WHERE class = 'Publication')
 UNION ALL SELECT 'duplicate_dois', (SELECT count(*) FROM pref WHERE doi IS NOT NULL AND grp IN (SELECT grp FROM g GROUP BY 1 HAVING count(*) > 1))
-UNION ALL SELECT 'pid_collisions', (SELECT count(*) FROM pref JOIN part ON p_partkey % 3 = 0 AND pid = 'https://doi.org/10.1234/g' || p_partkey)
+UNION ALL SELECT 'pid_collisions', (SELECT count(*) FROM pref JOIN part ON p_size < 17 AND pid = 'https://doi.org/10.1234/g' || p_partkey)
 UNION ALL SELECT 'title_collisions', (SELECT count(*) FROM (SELECT k FROM title WHERE k <> '' GROUP BY 1 HAVING count(DISTINCT pid) > 1))
 UNION ALL SELECT 'excluded', (SELECT count(*) FROM i WHERE bucket = 'excluded')
 UNION ALL SELECT 'unfiled', (SELECT count(*) FROM i WHERE bucket = 'unfiled')
@@ -207,7 +207,7 @@ def nested_containment(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AS known FROM customer),
+WITH c AS (SELECT c_custkey AS k, c_acctbal < 0 AS known FROM customer),
 r AS (SELECT 'Person' AS class, 'ext:person/' || k AS source_pid, CASE WHEN known THEN 'own:persons/' || k ELSE 'ext:person/' || k END AS pid, known, CASE WHEN known THEN 'Person/' || k || '.yaml' ELSE 'Person/ext-person-' || k || '.yaml' END AS path, NULL AS refs, NULL::VARCHAR AS identifier FROM c),
 p AS (SELECT p_partkey AS k, 'own:publications/doi-10-1234-p' || p_partkey AS pid FROM part)
 SELECT class, source_pid, pid, path, known AS matched, NULL::VARCHAR AS author, NULL::VARCHAR AS part_of, identifier FROM r
@@ -223,7 +223,7 @@ def target_records(spark, sf_dir):
     # a mapping in a list of references stays as it is; the object of an attribution follows its record
     relations = F.struct(doi.alias("pid"), F.array(F.struct(F.concat(F.lit("ext:person/"), "p_partkey").alias("object"))).alias("attributed_to"), F.array(F.struct(doi.alias("object"))).alias("part_of"))
     publications = part.select(F.lit("Publication").alias("class"), doi.alias("pid"), F.to_json(relations).alias("record"))
-    known = customer.where("c_custkey % 3 = 0").select(F.lit("Person").alias("class"), F.concat(F.lit("own:persons/"), "c_custkey").alias("pid"), F.concat(F.lit("Person/"), "c_custkey", F.lit(".yaml")).alias("rel_path"), F.lower(F.to_json(F.struct(notes.alias("identifiers")))).alias("record"))
+    known = customer.where("c_acctbal < 0").select(F.lit("Person").alias("class"), F.concat(F.lit("own:persons/"), "c_custkey").alias("pid"), F.concat(F.lit("Person/"), "c_custkey", F.lit(".yaml")).alias("rel_path"), F.lower(F.to_json(F.struct(notes.alias("identifiers")))).alias("record"))
     out = targets.source_targets(people.union(publications), known, "own:", {"Publication": OWN})
     get = lambda path: F.get_json_object("record", path)
     return out.select("class", "source_pid", "pid", "path", F.col("baseline").isNotNull().alias("matched"), get("$.attributed_to[0].object").alias("author"), get("$.part_of[0].object").alias("part_of"), F.when(F.col("class") == "Publication", get("$.identifiers[0].notation")).alias("identifier"))
