@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import documents, written
 
-#: A line goes if it stands on more than this share of its host's pages, and on at least so many of them.
+#: A line goes if it stands on more than this share of its host's pages, and on at least so many of them: on a host of
+#: fewer than 1 / RATIO pages every line, repeated or not, exceeds the share, so the share alone would empty its pages.
 RATIO, MIN_PAGES = 0.1, 3
 #: Boilerplate lines are broadcast up to this count; beyond it Spark joins them by host, splitting hot hosts.
 BROADCAST_ROWS = 200_000
