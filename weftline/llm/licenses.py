@@ -201,6 +201,8 @@ def _spdx(line: str) -> list[str]:
 #: Every known sentence holds one of these or a verb before "under", so texts and spans without any are passed over.
 TRIGGERS = ("licen", "permi", "rights", "warrant", "redistribut", "copyright", "liab", "mpl", "endorse", "gpl", "spdx", "public domain", "creative commons", "cc0", "cc by", "cc-by", "commercial")
 _UNDER = re.compile(r"(?:released|distributed|available|provided|published|offered|shared|covered|subject)[\s#*/;-]+(?:under|by|to)\b|public[\s#*/;-]+domain|creative[\s#*/;-]+commons")
+#: Words of which each match of _UNDER has one.
+_HINTS = ("released", "distributed", "available", "provided", "published", "offered", "shared", "covered", "subject", "domain", "commons")
 
 #: Unknown sentences that may stand between two of a rule's.
 GAP = 2
@@ -258,7 +260,7 @@ class _Words:
 
 def _triggered(text: str) -> bool:
     low = text.lower()
-    return any(t in low for t in TRIGGERS) or _UNDER.search(low) is not None
+    return any(t in low for t in TRIGGERS) or (any(h in low for h in _HINTS) and _UNDER.search(low) is not None)
 
 
 def _spans(text: str, ends: re.Pattern):
