@@ -54,6 +54,9 @@ COLUMNS = {
     "op8_near_dedup": "doc_id n_shingles component_id kept",
     "op9_mix_sources": "doc_id size source_size target taken",
     "op10_quality_cnn": "doc_id held_out score predicted",
+    "op11_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -72,7 +75,7 @@ def results(spark, folder):
 
 
 def test_every_operator_has_its_query():
-    assert set(queries()) == set(COLUMNS) and set(oracle_sql()) == {"op4_line_dedup"}
+    assert set(queries()) == set(COLUMNS) and set(oracle_sql()) == {"op4_line_dedup", "op12_suffix_dedup", "op13_merkle_manifest"}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))

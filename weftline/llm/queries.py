@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import languages, licenses, line_dedup, merkle, mixing, near_dedup, packing, periodic, quality_cnn, quality_rules, token_files, winnowing
+from . import languages, licenses, line_dedup, merkle, mixing, near_dedup, packing, periodic, quality_cnn, quality_rules, suffix_dedup, token_files, winnowing
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_quality_cnn": quality_cnn.op10_quality_cnn,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_line_dedup": line_dedup.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op12_suffix_dedup": suffix_dedup.SQL, "op13_merkle_manifest": merkle.SQL}
