@@ -33,7 +33,7 @@ def folder(spark, tmp_path_factory):
             words = [w + "###" for w in words]
         rows.append((3 * i, " ".join(words), lang if i % 11 else None, ["a", "b", None, "é"][i % 4], 0))
         labels.append((3 * i, int(i % 7 > 0), 0))
-    rows += [(700, None, "en", "a", None), (701, "", "en", "b", 0), (702, " \n\t", None, "a", 3), (703, "long word " * 30_000, "en", "a", 0), (704, "12 34", "de", "b", 5), (705, rows[5][1], "en", "é", 0), (3, rows[1][1], "en", "b", 0), (None, "no id at all", "en", "a", 0), (None, None, None, None, None)]
+    rows += [(700, None, "en", "a", None), (701, "", "en", "b", 0), (702, " \n\t", None, "a", 3), (703, "long word " * 30_000, "en", "a", 0), (704, "12 34", "de", "b", 5), (706, "12 <|endoftext|> 34", "de", "b", 5), (705, rows[5][1], "en", "é", 0), (3, rows[1][1], "en", "b", 0), (None, "no id at all", "en", "a", 0), (None, None, None, None, None)]
     path = str(tmp_path_factory.mktemp("contract"))
     schema = T.StructType([*SCHEMA.fields, *[T.StructField(c, T.StringType()) for c in CLASHING]])
     spark.createDataFrame([(*r, *CLASHING) for r in rows], schema).repartition(3).write.parquet(path + "/documents.parquet")

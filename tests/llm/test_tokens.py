@@ -7,7 +7,6 @@ from tokenizers import Tokenizer
 from weftline.llm import tokens
 
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-PLAIN.encode_special_tokens = True
 OURS = tokens.Encoder(memo=40)
 TEXT = st.one_of(
     st.text(st.sampled_from("aB1é× .,…'!\n\t\0\xa0　\U0001f600³s"), max_size=30),
@@ -29,15 +28,19 @@ def test_long_and_odd_texts():
         assert OURS.encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
-def test_apostrophes_before_words_and_special_tokens_against_an_unmodified_tokenizer():
+def test_apostrophes_before_words_against_a_fresh_tokenizer():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("'start", "'second half", "a line\n'start again", "'street 'street", "'responses,\n'though.", "(start", "-x\n1abc"):
         assert OURS.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
-    # the library alone would make a special id of the string; in a text it is the pieces of an ordinary one
-    for text in ("<|endoftext|>", "x <|endoftext|> y"):
-        pieces = [piece for piece, _ in library.pre_tokenizer.pre_tokenize_str(text)]
-        want = [t.id for piece in pieces for t in library.model.tokenize(piece)]
-        assert OURS.encode(text).tolist() == want and 50256 not in want
+
+
+def test_strings_of_special_tokens_get_their_ids():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a\n<|endoftext|>", "a<|endoftext|><|endoftext|>b.", "<|endoftext|", "|> x", "plain words <|endoftext"]
+    ids, lengths = tokens.Encoder().encode_many(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [x for y in want for x in y] and lengths.tolist() == [len(x) for x in want]
+    assert want[1] == [64, 220, 50256, 275] and want[4] == library.encode("<|endoftext|", add_special_tokens=False).ids
 
 
 def thue_morse(n, a="a", b="b"):

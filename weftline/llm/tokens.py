@@ -35,20 +35,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them, special tokens' strings being ordinary text.
+    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them; strings of added tokens in a text get their ids.
 
     The vocabulary's pre-tokenizer never joins characters over a single space or line feed between two other
     characters: a space starts the next piece and a line feed is a piece of its own; nor does it join a letter or
     digit and a following stop or comma. So texts are cut there, each distinct word goes through the library once, and
     its ids are looked up from then on, by 64 bits of hash; that the word's bytes are those that were learned is
-    checked at each look-up. Texts with other white space, or two of it side by side, and texts with a word whose hash
-    belongs to another one, go through the library whole.
+    checked at each look-up. Texts with other white space, or two of it side by side, with the string of an added token
+    (such as <|endoftext|>) or with a word whose hash belongs to another one go through the library whole.
     """
 
     def __init__(self, path: str | None = None, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # words that were seen before don't come here
         self.letters = _byte_letters()
@@ -121,6 +121,12 @@ class Encoder:
                     at = at[data[at + j] == mark[j]]
                 bad[at] = True
         filled = np.flatnonzero(np.diff(texts.bounds) > 0)
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                bad[at] = True
+                at = raw.find(token, at + 1)
         out = texts.sums(bad) > 0
         out[filled] |= space[texts.bounds[filled]] | space[texts.bounds[filled + 1] - 1]
         return out
