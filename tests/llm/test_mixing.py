@@ -157,3 +157,34 @@ def test_more_patterns_than_were_allowed_once():
 def test_null_and_repeated_members(spark):
     out = {r.doc_id: (r.members, r.taken) for r in mixed(spark, [(1, "one two", None), (2, "one two", []), (3, "one two", ["a", "a"]), (4, "one two", ["b", None])])}
     assert out[1] == out[2] == ([], 0) and out[3][0] == ["a"] and out[4][0] == ["b", None] and out[3][1] > 0
+
+
+def test_quotas_come_from_the_flow(spark, monkeypatch):
+    """Single sources as well: the plan runs the network, and without it there are no quotas."""
+    patterns = spark.createDataFrame([(["a"], 50), (["b"], 10), ([None], 7), ([], 3)], "members array<string>, words long")
+    wanted = spark.createDataFrame([("a", 75.4), ("b", 20.0), (None, 3.0)], "source string, target double")
+    plan = mx._plan(patterns, wanted, 2)
+    assert "min_cost_flow" in plan._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r.members): (r.whole, r.rest) for r in plan.collect()} == {("a",): (1, 25), ("b",): (2, 0), (None,): (0, 3), (): (0, 0)}
+    monkeypatch.setattr(mx, "_routed", lambda copies: lambda batches: (b.slice(0, 0).select(["members", "words", "quota"]).rename_columns(["members", "words", "given"]) for b in batches))
+    assert [r.members for r in mx._plan(patterns, wanted, 2).collect()] == [[]]
+
+
+def test_components_apart_give_what_one_network_does(spark):
+    rng = np.random.default_rng(6)
+    grouped = {}
+    for i in range(400):
+        block = int(rng.integers(20))
+        names = tuple(sorted({f"s{block}-{int(x)}" for x in rng.integers(0, 4, int(rng.integers(1, 4)))}))
+        grouped[names] = int(rng.integers(1, 50))
+    sizes = {}
+    for members, n in grouped.items():
+        for s in members:
+            sizes[s] = sizes.get(s, 0) + n
+    wanted = mx.targets(sizes)
+    rows = mx._plan(spark.createDataFrame([(list(m), n) for m, n in grouped.items()], "members array<string>, words long"), spark.createDataFrame(list(wanted.items()), "source string, target double"), 2).collect()
+    given = {tuple(r.members): r.whole * grouped[tuple(r.members)] + r.rest for r in rows}
+    flows = mx.route(sorted(grouped.items()), {s: round(x) for s, x in wanted.items()})
+    assert sum(given.values()) == sum(sum(f.values()) for f in flows)
+    repeats = lambda each: sum(max(0, g - n) for g, n in each)
+    assert repeats((given[m], n) for m, n in grouped.items()) == repeats((sum(f.values()), n) for f, (_, n) in zip(flows, sorted(grouped.items()), strict=True))

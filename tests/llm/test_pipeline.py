@@ -119,3 +119,13 @@ def test_of_rows_with_one_id_the_least_hash_is_kept(spark, made):
     for n in (1, 3):
         out = cp.near_stage(spark, spark.createDataFrame(docs, SCHEMA).repartition(n), path).collect()
         assert [r.text for r in out if r.doc_id == 1] == [first]
+
+
+def test_rows_without_an_id_are_mixed_by_their_own_source(spark, made):
+    _, _, path = made
+    docs = [(None, " ".join(f"{s}{i}x{j}" for j in range(60)), "en", s, 1) for s in ("a", "b", "c") for i in range(20)]
+    out = cp.mix_stage(spark, spark.createDataFrame(docs, SCHEMA), path).collect()
+    wanted = mixing.targets({"a": 1200, "b": 1200, "c": 1200})
+    for s, target in wanted.items():
+        assert abs(60 * sum(r.source == s for r in out) - target) <= 60
+    assert max(collections.Counter(r.text for r in out).values()) == 2

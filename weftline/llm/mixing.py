@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import components
 from .shared import WORD, documents, dropped, partitions, written
 
 #: Weights of the sources in code-point order, again and again; words of the mix by words there are; most uses of one document.
@@ -17,6 +19,8 @@ BINS, FINE = 1 << 14, 1 << 7
 MOST_BROADCAST = 100_000
 #: Sources that are numbered in one task, about.
 AT_ONCE = 50_000
+#: Patterns and sources of a network, about: components of the memberships are put together up to so many.
+NETWORK = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -146,26 +150,54 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, copi
     return table.select("source", "source_size", target.alias("target"))
 
 
+def _networks(patterns: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Rows (part, members, words, source, quota): each pattern and each source with the component of the memberships
+    that it lies in. A source that shares no document is a component with its one pattern."""
+    key = lambda c: F.xxhash64(F.lit("source"), c.isNull(), c)
+    named = patterns.where(F.size("members") > 0).withColumn("first", key(F.col("members")[0]))
+    links = named.where(F.size("members") > 1).select(F.col("first").alias("a"), F.explode(F.transform("members", key)).alias("b"))
+    joined = None if links.isEmpty() else components(links)
+    part = lambda df, c: df.withColumn("part", F.col(c)) if joined is None else df.join(joined.withColumnRenamed("id", c), c, "left").withColumn("part", F.coalesce("component", c))
+    own = part(named, "first").select("part", "members", "words", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("quota"))
+    ends = part(quotas.withColumn("key", key(F.col("source"))), "key").select("part", F.lit(None).cast("array<string>").alias("members"), F.lit(None).cast("long").alias("words"), "source", "quota")
+    return own.union(ends)
+
+
+def _routed(copies: int):
+    """Flows of networks: rows of a component follow one another, a few small components make one network."""
+
+    def flush(patterns, quotas):
+        patterns.sort(key=str)
+        flows = route(patterns, dict(sorted(quotas.items(), key=str)), copies)
+        made = [[list(m) for m, _ in patterns], [w for _, w in patterns], [sum(f.values()) for f in flows]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.list_(pa.string()), pa.int64(), pa.int64()), strict=True)], ["members", "words", "given"])
+
+    def min_cost_flow(batches):
+        patterns, quotas, last = [], {}, None
+        for batch in batches:
+            for part, members, words, source, quota in zip(*(batch.column(c).to_pylist() for c in ("part", "members", "words", "source", "quota")), strict=True):
+                if part != last and len(patterns) + len(quotas) >= NETWORK:
+                    yield flush(patterns, quotas)
+                    patterns, quotas = [], {}
+                last = part
+                if members is None:
+                    quotas[source] = quota
+                else:
+                    patterns.append((tuple(members), words))
+        if patterns:
+            yield flush(patterns, quotas)
+
+    return min_cost_flow
+
+
 def _plan(patterns: DataFrame, wanted: DataFrame, copies: int) -> DataFrame:
-    """(members, whole, rest): whole uses of all the pattern's documents, and words of one more."""
-    spark = patterns.sparkSession
-    by_source = wanted.select(F.col("source").alias("source_"), F.bround("target").cast("long").alias("quota"))
-    alone = patterns.where(F.size("members") == 1).withColumn("source", F.col("members")[0])
-    several = patterns.where(F.size("members") != 1)
-    given = None
-    if not several.isEmpty():
-        shared = several.select(F.explode("members").alias("shared")).distinct()
-        same = F.col("source").eqNullSafe(F.col("shared"))
-        joint = [(tuple(r["members"]), int(r["words"])) for r in several.union(alone.join(shared, same, "left_semi").select("members", "words")).collect()]
-        joint.sort(key=str)
-        quotas = {r["source_"]: r["quota"] for r in by_source.join(shared, F.col("source_").eqNullSafe(F.col("shared")), "left_semi").collect()}
-        flows = route(joint, dict(sorted(quotas.items(), key=str)), copies)
-        given = spark.createDataFrame([(list(m), w, sum(f.values())) for (m, w), f in zip(joint, flows, strict=True)], "members array<string>, words long, given long")
-        alone = alone.join(shared, same, "left_anti")
-    # a source that shares no document gives what it is to give, as far as its words go
-    own = alone.join(by_source, F.col("source").eqNullSafe(F.col("source_"))).select("members", "words", F.least("quota", F.col("words") * copies).alias("given"))
+    """(members, whole, rest): whole uses of all the pattern's documents, and words of one more, by the flow."""
+    quotas = wanted.select("source", F.bround("target").cast("long").alias("quota"))
+    rows = _networks(patterns, quotas).repartition(partitions(patterns.sparkSession), "part").sortWithinPartitions("part")
+    given = rows.mapInArrow(_routed(copies), "members array<string>, words long, given long")
     whole = F.when(F.col("words") > 0, F.least(F.lit(copies), F.floor(F.col("given") / F.col("words")))).otherwise(0).cast("long")
-    return (own if given is None else own.union(given)).select("members", whole.alias("whole"), (F.col("given") - whole * F.col("words")).alias("rest"))
+    nothing = patterns.where(F.size("members") == 0).select("members", F.lit(0).cast("long").alias("whole"), F.lit(0).cast("long").alias("rest"))
+    return given.select("members", whole.alias("whole"), (F.col("given") - whole * F.col("words")).alias("rest")).union(nothing)
 
 
 def _crossed(bins: DataFrame, by: str) -> DataFrame:
@@ -174,23 +206,16 @@ def _crossed(bins: DataFrame, by: str) -> DataFrame:
     return upto.where((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).withColumn("rest", F.col("rest") - F.col("upto") + F.col("words")).drop("upto", "words")
 
 
-def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> DataFrame:
-    """How many words the mix takes of each document, as (id_col, members, size, taken).
+def mixed_rows(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(row, id, members, size, taken) of each row of docs, row being all its columns, and source_targets() of the mix.
 
-    members: array of source names (a null name is a source, last in order; a null array counts as empty, a repeated
-    name once). Documents are grouped by their members; the flow gives each group its words; in a seeded order of the
-    group's documents all are taken floor(words / size of the group) times and the first ones once more, the last of
-    these in part. A document is never taken more than `copies` times. Size 0 and no members take 0. Rows with one id
-    count as documents of their own. Reruns agree. What comes to the driver are the membership patterns that touch a
-    source which shares documents with another one: aggregates, but as many as documents of several sources have
-    patterns. Sources that share no document stay in tables, whatever their number.
+    docs is read twice: for the sizes of groups and bins, and for the result. What is taken of a row hangs on its
+    content alone, so rows without an id or of one id are told apart by their other columns (maps don't count).
     """
-    rank = F.xxhash64(F.lit(seed), F.col("id"))
     names = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
-    table = written(
-        docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), names.alias("members")).withColumn("rank", rank).withColumn("bin", F.pmod("rank", F.lit(BINS)).cast("int")),
-        "mix-sizes",
-    )
+    content = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    table = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), names.alias("members"), content.alias("tie"))
+    table = table.withColumn("rank", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("bin", F.pmod("rank", F.lit(BINS)).cast("int"))
     bins = written(table.groupBy("members", "bin").agg(F.sum("size").alias("words")), "mix-bins")
     patterns = written(bins.groupBy("members").agg(F.sum("words").alias("words")), "mix-patterns")
     wanted = source_targets(patterns.select(F.explode("members").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size")), weights, share, copies)
@@ -206,16 +231,31 @@ def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEI
     inner = F.col("bin") == F.col("last_bin")
     outer = found.where(~F.coalesce(inner, F.lit(False)))
     outer = outer.withColumn("taken", F.col("size") * (F.col("whole") + F.coalesce((F.col("bin") < F.col("last_bin")).cast("long"), F.lit(0))))
-    order = Window.partitionBy("members").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("members").orderBy("rank", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     crossing = found.where(inner).withColumn("before", F.sum("size").over(order) - F.col("size"))
     crossing = crossing.withColumn("taken", F.col("size") * F.col("whole") + F.greatest(F.lit(0), F.least("size", F.col("last_words") - F.col("before")))).drop("before")
-    return outer.unionByName(crossing).select(F.col("id").alias(id_col), "members", "size", F.col("taken").cast("long").alias("taken"))
+    return outer.unionByName(crossing).select("row", "id", "members", "size", F.col("taken").cast("long").alias("taken")), wanted
+
+
+def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> DataFrame:
+    """How many words the mix takes of each document, as (id_col, members, size, taken).
+
+    members: array of source names (a null name is a source, last in order; a null array counts as empty, a repeated
+    name once). Documents are grouped by their members; the flow gives each group its words; in a seeded order of the
+    group's documents all are taken floor(words / size of the group) times and the first ones once more, the last of
+    these in part. A document is never taken more than `copies` times. Size 0 and no members take 0. Rows with one id
+    count as documents of their own. Reruns agree. Each component of sources that share documents is a network of its
+    own, solved in one task, as large as its membership patterns are many; nothing comes to the driver.
+    """
+    rows, _ = mixed_rows(docs, id_col, size, members, weights, share, copies, seed)
+    return rows.select(F.col("id").alias(id_col), "members", "size", "taken")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, each a member of its own source."""
+    """All documents, each a member of its own source. Null texts have size 0 and, like wordless ones, give nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    mixed = written(mix(docs, "doc_id", n_words(F.col("text")), F.array("source")).withColumn("source", F.col("members")[0]), "mix")
-    by_source = source_targets(mixed.groupBy("source").agg(F.sum("size").alias("size"))).withColumnRenamed("source", "source_")
+    rows, wanted = mixed_rows(docs, "doc_id", n_words(F.col("text")), F.array("source"))
+    mixed = rows.select("id", "size", "taken", F.col("members")[0].alias("source"))
+    by_source = wanted.withColumnRenamed("source", "source_")
     out = mixed.join(_few(by_source, by_source.count()), F.col("source").eqNullSafe(F.col("source_")))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
