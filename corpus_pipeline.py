@@ -58,12 +58,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 2 times, a part of one rounded); wordless texts go."""
-    mixed = mixing.mix(docs.select("doc_id", "source", "text"), "doc_id", mixing.n_words(F.col("text")), F.array("source")).where("size > 0")
-    times = (F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    taken = written(mixed.groupBy(F.col("doc_id").alias("__wl_id")).agg(F.max(times).alias("__wl_times")).where("__wl_times > 0"), "taken")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__wl_id"))).where(mixing.n_words(F.col("text")) > 0)
-    return out.withColumn("__wl_use", F.explode(F.sequence(F.lit(1), F.col("__wl_times")))).select(*docs.columns)
+    """Documents as often as the mix takes them (0 to 2 times, a part of one rounded); null and wordless texts go.
+
+    Each row counts by itself: rows of one id, or without one, are taken each by their own source's quota.
+    """
+    mixed, _ = mixing.mixed_rows(docs, "doc_id", mixing.n_words(F.col("text")), F.array("source"))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    used = mixed.where("size > 0").withColumn("times", times).where("times > 0")
+    return used.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
