@@ -1,0 +1,82 @@
+"""Slots of classes after inheritance, mixins and overrides."""
+
+import pytest
+
+from weftline.operators.validate import IntegrityError
+from weftline.plans import schema
+
+CLASSES = "class string, is_a string, mixins array<string>"
+SLOTS = "slot string, slot_uri string, range string, multivalued boolean, required boolean"
+USAGE = "class string, slot string, slot_uri string, range string, multivalued boolean, required boolean"
+
+
+def view(spark, classes, slots, holds, usage=()):
+    frame = lambda rows, ddl: spark.createDataFrame(list(rows), ddl)
+    out = schema.induced_slots(frame(classes, CLASSES), frame(slots, SLOTS), frame(holds, "class string, slot string"), frame(usage, USAGE), "my:")
+    return {(r["class"], r.slot): (r.predicate, r.range, r.multivalued, r.required, r.is_object, r.declared_by) for r in out.collect()}
+
+
+def test_slots_come_from_all_ancestors_and_facets_from_the_nearest(spark):
+    classes = [("Thing", None, []), ("Named", None, []), ("Agent", "Thing", ["Named"]), ("Person", "Agent", []), ("Dated", None, None)]
+    slots = [("pid", "x:pid", "string", False, True), ("name", None, "string", None, None), ("about", "x:about", "Thing", True, None)]
+    holds = [("Thing", "pid"), ("Thing", "about"), ("Named", "name"), ("Person", "name")]
+    usage = [("Thing", "about", None, "Agent", None, None), ("Agent", "name", "x:agentName", None, None, True), ("Person", "about", "x:concerns", None, False, None), ("Person", "name", None, "Person", None, None)]
+    got = view(spark, classes, slots, holds, usage)
+    assert got == {
+        ("Thing", "pid"): ("x:pid", "string", False, True, False, "Thing"),
+        ("Thing", "about"): ("x:about", "Agent", True, False, True, "Thing"),
+        ("Named", "name"): ("my:name", "string", False, False, False, "Named"),
+        ("Agent", "pid"): ("x:pid", "string", False, True, False, "Thing"),
+        ("Agent", "about"): ("x:about", "Agent", True, False, True, "Thing"),
+        ("Agent", "name"): ("x:agentName", "string", False, True, False, "Named"),
+        ("Person", "pid"): ("x:pid", "string", False, True, False, "Thing"),
+        ("Person", "about"): ("x:concerns", "Agent", False, False, True, "Thing"),
+        ("Person", "name"): ("x:agentName", "Person", False, True, True, "Person"),
+    }
+
+
+def test_of_equally_near_ones_mixins_come_first_in_order(spark):
+    classes = [("A", None, []), ("B", None, []), ("C", None, []), ("D", "A", ["B", "C"]), ("E", "D", []), ("F", "A", ["E"])]
+    slots = [("s", None, None, None, None)]
+    usage = [("A", "s", "a", "ra", None, None), ("B", "s", None, "rb", None, None), ("C", "s", "c", "rc", None, None)]
+    got = view(spark, classes, slots, [("A", "s")], usage)
+    # A is nearer to F than B and C are, though E's line stands first
+    assert {k[0]: v[:2] for k, v in got.items()} == {"A": ("a", "ra"), "D": ("c", "rb"), "E": ("c", "rb"), "F": ("a", "ra")}
+
+
+def test_a_diamond_counts_once_and_by_its_nearest_line(spark):
+    classes = spark.createDataFrame([("R", None, []), ("X", "R", []), ("Y", "X", []), ("Z", "Y", ["R"])], CLASSES)
+    got = {(r["class"], r.ancestor): r.distance for r in schema.ancestors(classes).collect()}
+    assert got == {("R", "R"): 0, ("X", "X"): 0, ("X", "R"): 1, ("Y", "Y"): 0, ("Y", "X"): 1, ("Y", "R"): 2, ("Z", "Z"): 0, ("Z", "Y"): 1, ("Z", "X"): 2, ("Z", "R"): 1}
+
+
+@pytest.mark.parametrize(
+    ("classes", "holds", "usage", "message"),
+    [
+        ([("A", "B", []), ("B", "A", [])], [], [], "class is its own ancestor"),
+        ([("A", "Gone", [])], [], [], "unknown parent: Gone"),
+        ([("A", None, ["Gone"])], [], [], "unknown mixin: Gone"),
+        ([("A", None, []), ("A", None, [])], [], [], "repeated class: A"),
+        ([("A", None, [])], [("A", "t")], [], "unknown slot: t"),
+        ([("A", None, [])], [("B", "s")], [], "slot of an unknown class: B"),
+        ([("A", None, [])], [], [("A", "t", None, None, None, None)], "usage of an unknown slot: t"),
+        ([("A", None, [])], [], [("A", "s", None, None, None, None)] * 2, "repeated usage: A"),
+    ],
+)
+def test_what_is_refused(spark, classes, holds, usage, message):
+    with pytest.raises(IntegrityError, match=message):
+        view(spark, classes, [("s", None, None, None, None)], holds, usage)
+
+
+def test_predicates_and_fields_of_records(spark):
+    induced = schema.induced_slots(
+        spark.createDataFrame([("T", None, []), ("P", "T", [])], CLASSES),
+        spark.createDataFrame([("pid", "x:pid", "string", False, True), ("tag", "x:tag", "string", True, False), ("note", "x:note", "string", False, False)], SLOTS),
+        spark.createDataFrame([("T", "pid"), ("T", "tag"), ("P", "note")], "class string, slot string"),
+        spark.createDataFrame([("P", "tag", "x:label", None, None, None)], USAGE),
+        "my:",
+    )
+    assert {r.slot: r.predicate for r in schema.predicate_of(induced).collect()} == {"pid": "x:pid", "note": "x:note"}
+    fields = [("T", "1", "pid", 1), ("T", "1", "note", 1), ("T", "1", "tag", 5), ("P", "2", "note", 2), ("P", "2", "pid", 0)]
+    got = {tuple(r) for r in schema.unexpected(spark.createDataFrame(fields, "class string, pid string, field string, entries long"), induced).collect()}
+    assert got == {("1", "note", "unknown"), ("2", "note", "repeated"), ("2", "pid", "missing")}

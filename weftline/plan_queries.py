@@ -13,7 +13,7 @@ from .catalogue import query, read
 from .functions import records as R
 from .functions import text as X
 from .operators import compare, entity, resolve
-from .plans import ingest, publish, targets
+from .plans import claims, ingest, publish, schema, targets
 from .vocabulary import ITEM, PUBLISHING, Options
 
 OPTIONS = Options(group=7, included=("papers",), label_prefix="my ")
@@ -297,3 +297,80 @@ def minted_names(spark, sf_dir):
     one = lambda n: F.struct(F.lit(n).alias("notation"), F.lit("t").alias("schema_type"))
     held = F.when(F.col("s_suppkey") % 3 == 0, F.array(one("n1"), one("own"))).otherwise(F.array(one("n1"), one("n2")))
     return rows.select("s_suppkey", X.record_stem(pid, "own:").alias("stem"), R.minted_pid(F.lit("Venue"), pid, "own:", {"Venue": "own:v/"}).alias("minted"), F.transform(R.with_identifier(held, F.lit("own"), "t"), lambda i: i["notation"]).alias("identifiers"))
+
+
+@query("""
+WITH RECURSIVE k AS (SELECT p_partkey AS k, p_size AS size, lower(p_type) AS type FROM part),
+edges AS (SELECT 'C' || k AS class, 0 AS turn, 'M' || size % 5 AS up FROM k UNION ALL SELECT 'C' || a.k, 9, 'C' || b.k FROM k a JOIN k b ON b.k = a.k // 2 AND b.k < a.k UNION ALL SELECT 'M' || i, 9, 'M0' FROM (SELECT DISTINCT size % 5 AS i FROM k) WHERE i > 0),
+lines AS (SELECT DISTINCT class, class AS ancestor, []::INT[] AS line FROM (SELECT class FROM edges UNION ALL SELECT 'M0') UNION ALL SELECT l.class, e.up, l.line || [e.turn] FROM lines l JOIN edges e ON e.class = l.ancestor),
+near AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY len(line), line) AS n FROM lines),
+holds AS (SELECT 'C' || k AS ancestor, type AS slot FROM k WHERE size % 3 = 0 UNION ALL SELECT 'M0', 'mixed'),
+had AS (SELECT class, slot, arg_min(ancestor, n) AS declared_by FROM near JOIN holds USING (ancestor) GROUP BY 1, 2),
+usage AS (SELECT 'C' || k AS ancestor, type AS slot, 'u:' || k AS uri, CASE WHEN size % 2 = 0 THEN 'C' || k ELSE NULL END AS range FROM k WHERE size % 7 = 0),
+said AS (SELECT class, slot, arg_min(uri, n) AS uri, arg_min(range, n) FILTER (range IS NOT NULL) AS range FROM near JOIN usage USING (ancestor) GROUP BY 1, 2)
+SELECT class, slot, coalesce(uri, 'x:' || slot) AS predicate, coalesce(range, 'string') AS range, slot <> 'mixed' AND length(slot) % 2 = 0 AS multivalued, slot = 'mixed' AS required, range IS NOT NULL AS is_object, declared_by
+FROM had LEFT JOIN said USING (class, slot)
+""")
+def induced_slots(spark, sf_dir):
+    """Slots of a hierarchy of classes, a class to each part below half its number, with mixins and overrides."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.lower("p_type").alias("type"))
+    name = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    numbers = part.select(F.col("k").alias("half"))
+    own, half = name("C", F.col("k")), F.floor(F.col("k") / 2)
+    below = part.join(numbers, (F.col("half") == half) & (half < F.col("k")), "left")
+    mixins = part.select((F.col("size") % 5).alias("i")).union(spark.range(1).select(F.lit(0).alias("i"))).distinct()
+    classes = below.select(own.alias("class"), name("C", F.col("half")).alias("is_a"), F.array(name("M", F.col("size") % 5)).alias("mixins"))
+    classes = classes.union(mixins.select(name("M", F.col("i")), F.when(F.col("i") > 0, "M0"), F.array().cast("array<string>")))
+    fixed = F.col("slot") == "mixed"
+    slots = part.select(F.col("type").alias("slot")).distinct().union(spark.range(1).select(F.lit("mixed")))
+    slots = slots.select("slot", F.concat(F.lit("x:"), "slot").alias("slot_uri"), F.lit("string").alias("range"), (~fixed & (F.length("slot") % 2 == 0)).alias("multivalued"), F.when(fixed, True).alias("required"))
+    holds = part.where("size % 3 = 0").select(own.alias("class"), F.col("type").alias("slot")).union(spark.range(1).select(F.lit("M0"), F.lit("mixed")))
+    nothing = F.lit(None).cast("boolean")
+    usage = part.where("size % 7 = 0").select(own.alias("class"), F.col("type").alias("slot"), name("u:", F.col("k")).alias("slot_uri"), F.when(F.col("size") % 2 == 0, own).alias("range"), nothing.alias("multivalued"), nothing.alias("required"))
+    return schema.induced_slots(classes, slots, holds, usage, "x:")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_name AS name, c_acctbal < 0 AS known FROM customer)
+-- a known person: curated names get the source's beside them, and an old description of the owner goes; others are new
+SELECT 'Person' AS class, CASE WHEN known THEN 'own:persons/' || k ELSE 'ext:person/' || k END AS pid, CASE WHEN known THEN 'modify' ELSE 'add' END AS operation, CASE WHEN known THEN 'Person/' || k || '.yaml' ELSE 'Person/ext-person-' || k || '.yaml' END AS path,
+  'https://example.org/source/blob/main/data/people/Person.json#record=ext%3Aperson%2F' || k AS imported_from, CASE WHEN known AND k % 2 = 1 THEN 'Curated' ELSE name END AS label, (CASE WHEN NOT known THEN 2 ELSE k % 2 END)::BIGINT AS owned, (CASE WHEN known AND k % 2 = 1 THEN 2 ELSE 1 END)::BIGINT AS attributes, NULL::VARCHAR AS author
+FROM c WHERE NOT known OR k % 2 = 1 OR k % 3 = 0
+UNION ALL SELECT 'Publication', 'own:publications/doi-10-1234-p' || p_partkey, 'add', 'Publication/doi-10-1234-p' || p_partkey || '.yaml', 'https://example.org/source/blob/main/data/people/Publication.json#record=https%3A%2F%2Fdoi.org%2F10.1234%2FP' || p_partkey, p_name, 4, 1,
+  CASE WHEN known THEN 'own:persons/' || k ELSE 'ext:person/' || p_partkey END FROM part LEFT JOIN c ON k = p_partkey
+UNION ALL SELECT 'Role', 'ext:role/' || s_suppkey, 'add', 'Role/ext-role-' || s_suppkey || '.yaml', 'https://example.org/source/blob/main/data/pool/Role.json#record=ext%3Arole%2F' || s_suppkey, s_name, 1, 1, NULL FROM supplier WHERE s_suppkey % 2 = 1
+""")
+def proposed_claims(spark, sf_dir):
+    """What accepting people, publications and roles of a source would change in canonical records, over source_targets."""
+    customer, part, supplier = (read(spark, sf_dir, t) for t in ("customer", "part", "supplier"))
+    k, person = F.col("c_custkey"), F.concat(F.lit("ext:person/"), "c_custkey")
+    notes = F.array(F.struct(F.concat(F.lit("ID-"), "c_custkey").alias("notation")))
+    record = lambda *fields: F.to_json(F.struct(*fields)).alias("record")
+    people = customer.select(F.lit("Person").alias("class"), person.alias("pid"), record(person.alias("pid"), F.col("c_name").alias("given_name"), notes.alias("identifiers")))
+    doi = F.concat(F.lit("https://doi.org/10.1234/P"), "p_partkey")
+    by = F.array(F.struct(F.concat(F.lit("ext:person/"), "p_partkey").alias("object")))
+    papers = part.select(F.lit("Publication").alias("class"), doi.alias("pid"), record(doi.alias("pid"), F.col("p_name").alias("title"), by.alias("attributed_to"), F.array(F.lit("t:1")).alias("about")))
+    role = F.concat(F.lit("ext:role/"), "s_suppkey")
+    roles = supplier.select(F.lit("Role").alias("class"), role.alias("pid"), record(role.alias("pid"), F.lit("Role").alias("schema_type"), F.col("s_name").alias("title")))
+
+    attribute = lambda predicate, value: F.struct(F.lit(predicate).alias("predicate"), F.lit("dlthings:AttributeSpecification").alias("schema_type"), value.alias("value"))
+    name, old = F.when(k % 2 == 1, "Curated").otherwise(F.col("c_name")), attribute("dcterms:description", F.lit("Old"))
+    held = F.concat(F.array(attribute("dlthings:given_name", name)), F.when(k % 3 == 0, F.array(old)).otherwise(F.array_remove(F.array(old), old)))
+    known = customer.where("c_acctbal < 0").withColumn("own", F.concat(F.lit("own:persons/"), "c_custkey"))
+    canonical = known.select(F.lit("Person").alias("class"), F.col("own").alias("pid"), F.concat(F.lit("Person/"), "c_custkey", F.lit(".yaml")).alias("rel_path"), record(F.col("own").alias("pid"), F.lit("Person").alias("schema_type"), name.alias("given_name"), notes.alias("identifiers"), held.alias("attributes")))
+    canonical = canonical.union(roles.where("pid RLIKE '[02468]$'").select("class", "pid", F.concat(F.replace("pid", F.lit("ext:role/"), F.lit("Role/")), F.lit(".yaml")), "record"))
+    owned = known.where(k % 3 == 0).select(F.col("own").alias("pid"), F.lit("/attributes").alias("path"), R.digest(F.to_json(old)).alias("assertion_sha256"), F.lit("own:adapter").alias("imported_by"), F.lit("before").alias("imported_from"))
+
+    rows = lambda ddl, *x: spark.createDataFrame(list(x), ddl)
+    slots = schema.induced_slots(
+        rows("class string, is_a string, mixins array<string>", ("Thing", None, []), ("Person", "Thing", []), ("Publication", "Thing", []), ("Role", "Thing", [])),
+        rows("slot string, slot_uri string, range string, multivalued boolean, required boolean", ("title", None, "string", False, False), ("description", "dcterms:description", "string", False, False), ("given_name", None, "string", False, False), ("about", "dcterms:subject", "Thing", True, False)),
+        rows("class string, slot string", ("Thing", "title"), ("Thing", "description"), ("Thing", "about"), ("Person", "given_name")),
+        rows("class string, slot string, slot_uri string, range string, multivalued boolean, required boolean"),
+        "dlthings:",
+    )
+    found = targets.source_targets(people.union(papers).union(roles), canonical, "own:", {"Publication": OWN}).withColumn("directory", F.when(F.col("class") == "Role", "data/pool").otherwise("data/people"))
+    plan = claims.candidates(found, owned, rows("pid string, claim_sha256 string"), rows("pid string, class string", ("own:adapter", "Instrument")), slots, "own:adapter", "https://example.org/source", "data/pool")
+    get = lambda path: F.get_json_object("record", path)
+    label = F.coalesce(get("$.given_name"), get("$.title"))
+    return plan.select("class", "pid", "operation", "path", "imported_from", label.alias("label"), F.coalesce(F.size("companion"), F.lit(0)).cast("long").alias("owned"), F.size(F.from_json(get("$.attributes"), "array<string>")).cast("long").alias("attributes"), get("$.attributed_to[0].object").alias("author"))
