@@ -1,0 +1,103 @@
+"""Sets of files written by tasks: whole or not at all."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators.validate import IntegrityError
+from weftline.sources import files, sinks
+
+
+def rows(spark, some, parts=3):
+    return spark.createDataFrame(some, "file string, text string").repartition(parts)
+
+
+def state(root):
+    return {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()}
+
+
+def test_one_file_to_a_row(spark, tmp_path):
+    got = files.write_files(rows(spark, [(f"{i}.txt", f"é{i}\n") for i in range(50)]), tmp_path / "out")
+    assert got == {f"{i}.txt": 1 for i in range(50)} and state(tmp_path) == {f"out/{i}.txt": f"é{i}\n" for i in range(50)}
+    # the folder is replaced whole
+    assert files.write_files(rows(spark, [("new", "")]), tmp_path / "out") == {"new": 1} and state(tmp_path) == {"out/new": ""}
+    assert files.write_files(rows(spark, []), tmp_path / "out") == {} and list((tmp_path / "out").iterdir()) == []
+
+
+def test_a_large_array_is_several_tasks_work(spark, tmp_path):
+    many = [("A", f"{i:05d}", json.dumps({"pid": f"{i:05d}", "b": {"z": 1, "a": ["ü", i]}})) for i in range(3000)] + [("B", "1", '{"pid":"1"}')]
+    df = spark.createDataFrame(many, "class string, pid string, record string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sinks.class_files(df, tmp_path, ["A", "B", "C"]) == {"A": 3000, "B": 1, "C": 0}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = json.dumps([json.loads(r) for _, _, r in many[:3000]], indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    assert (tmp_path / "A.json").read_text() == want and (tmp_path / "C.json").read_text() == "[]\n"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["A.json", "B.json", "C.json"]
+
+
+def test_a_failing_task_leaves_everything_as_it_was(spark, tmp_path):
+    folder, report = tmp_path / "out", tmp_path / "report"
+    files.write_files(rows(spark, [("a", "1")]), folder, report=report, report_text="r1")
+    before = state(tmp_path)
+    broken = rows(spark, [(f"{i:02d}", "x") for i in range(40)], 4).withColumn("text", F.when(F.col("file") == "33", F.raise_error("no")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="no"):
+        files.write_files(broken, folder, report=report, report_text="r2")
+    assert state(tmp_path) == before and sorted(p.name for p in tmp_path.iterdir()) == ["out", "report"]
+    for bad, message in (([("../x", "")], "unsafe file name"), ([("", "")], "unsafe file name"), ([("x", "1"), ("x", "2")], "repeated file name: x")):
+        with pytest.raises(Exception, match=message):
+            files.write_files(rows(spark, bad), folder, report=report, report_text="r2")
+        assert state(tmp_path) == before
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out", "report"]
+
+
+def test_a_failing_commit_leaves_everything_as_it_was(tmp_path, monkeypatch):
+    folder, report = tmp_path / "out", tmp_path / "report"
+    folder.mkdir()
+    (folder / "a").write_text("1")
+    report.write_text("r1")
+    real, before = os.replace, state(tmp_path)
+    for fail_at in range(5):
+        writer = files.FileSetWriter({"path": str(folder), "report": str(report), "reporttext": "r2"})
+        place = writer.stage / "task"
+        place.mkdir(parents=True)
+        (place / "0").write_text("2")
+        calls = []
+
+        def broken(a, b, fail_at=fail_at, calls=calls):
+            calls.append(a)
+            if len(calls) == fail_at + 1:
+                raise OSError("no space")
+            return real(a, b)
+
+        monkeypatch.setattr(os, "replace", broken)
+        with pytest.raises(OSError):
+            writer.commit([None, files.Segments(1, [("b", str(place / "0"), 1)])])
+        monkeypatch.setattr(os, "replace", real)
+        assert state(tmp_path) == before and sorted(p.name for p in tmp_path.iterdir()) == ["out", "report"]
+
+
+def test_arrays_and_their_report_go_together(spark, tmp_path):
+    df = spark.createDataFrame([("A", "2", '{"pid":"2"}'), ("A", "1", '{"pid":"1"}')], "class string, pid string, record string")
+    assert sinks.class_arrays(df, tmp_path / "out", ["A", "B"], tmp_path / "report.json", {"version": 3}) == {"A": 2, "B": 0}
+    assert json.loads((tmp_path / "out/A.json").read_text()) == [{"pid": "1"}, {"pid": "2"}] and json.loads((tmp_path / "out/B.json").read_text()) == []
+    assert json.loads((tmp_path / "report.json").read_text()) == {"version": 3, "records": {"A": 2, "B": 0}}
+    before = state(tmp_path)
+    with pytest.raises(IntegrityError, match="classes without a file: A"):
+        sinks.class_arrays(df, tmp_path / "out", ["B"], tmp_path / "report.json", {})
+    assert state(tmp_path) == before
+
+
+def test_a_folder_is_published_within_its_root(spark, tmp_path):
+    root = tmp_path / "build"
+    root.mkdir()
+    some = rows(spark, [("a.yaml", "1"), ("b.yaml", "2")])
+    assert sinks.publish_files(some, root / "out", root / "report", "r", root) == 2
+    (root / "out/mine.txt").write_text("x")
+    with pytest.raises(IntegrityError, match="aren't ours"):
+        sinks.publish_files(some, root / "out", root / "report", "r", root)
+    with pytest.raises(IntegrityError):
+        sinks.publish_files(some, tmp_path / "elsewhere", root / "report", "r", root)

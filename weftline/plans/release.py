@@ -33,8 +33,8 @@ def release(publications: DataFrame, snapshot: str, policy: str | Path, folder:
 
     Everything is checked before a file is touched: the snapshot, the policy, items of the snapshot behind each
     publication, stable and distinct pids and names, every policy entry used. Folder and report are then replaced
-    together, below `root` and apart from the inputs. Gives the report. The files are a site's own, read by people: as
-    many as a person reviews, so they pass through the driver; records are rendered and written out on executors.
+    together, below `root` and apart from the inputs. Gives the report. Files are rendered and written by tasks; the
+    driver puts the finished folder in its place.
     """
     spark: SparkSession = publications.sparkSession
     sinks.safe_destination(folder, root, [policy, snapshot])
@@ -46,15 +46,14 @@ def release(publications: DataFrame, snapshot: str, policy: str | Path, folder:
     require_none([violations(repeated(files, "name"), "repeated file name", F.col("name"), F.col("rows"))])
     publish.coverage(publications.select("pid"), out["records"], out["pid_map"])
     kinds = {r["kind"]: r["count"] for r in out["records"].groupBy("kind").count().collect()}
-    found = {r["name"]: r["payload"].encode() for r in files.toLocalIterator()}
     made = {
         "format_version": 1,
         "source": {k: source.get(k) for k in SOURCE_FIELDS},
         "inputs": {"policy_sha256": hashlib.sha256(payload).hexdigest(), "publications_sha256": publications_sha256},
-        "output": {"publication_count": len(found), "sha256": entity.content_digest(files, "name", "payload").first()[0], "kinds": dict(sorted(kinds.items()))},
+        "output": {"publication_count": files.count(), "sha256": entity.content_digest(files, "name", "payload").first()[0], "kinds": dict(sorted(kinds.items()))},
         "reviewed_omissions": {f"{r['kind']}:{r['target']}": r["n"] for r in out["omissions"].orderBy("kind", "target").collect()},
         "pid_map": [{"site_pid": r["pid"], "source_pid": r["source_pid"]} for r in out["pid_map"].orderBy("source_pid").collect()],
     }
     text = json.dumps(made, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
-    sinks.publish(folder, found, report, text.encode(), root, [policy, snapshot])
+    sinks.publish_files(files.select(F.col("name").alias("file"), F.col("payload").alias("text")), folder, report, text, root, [policy, snapshot])
     return made

@@ -1,7 +1,7 @@
 """Sinks: deterministic JSON and YAML files, and publication that either replaces everything or nothing.
 
-Spark writes large tables by its own committer; these files are for people and other tools, so each class's records are
-written in order of pid by one task, and the swap of finished folders happens on the driver.
+Spark writes large tables by its own committer; files for people and other tools are written by tasks through the data
+source of files.py, and the driver swaps finished folders.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.validate import IntegrityError, require_none, violations
+from .files import swap, write_files
 
 
 def write_class_tables(df: DataFrame, path: str) -> None:
@@ -37,21 +38,26 @@ def atomic_json(path: str | Path, value) -> None:
 
 
 def class_files(records: DataFrame, folder: str | Path, classes: list[str]) -> dict[str, int]:
-    """One JSON array for each class from records (class, pid, record JSON text), in order of pid, one row at a time."""
-    counts = {}
-    for name in classes:
-        path = Path(folder) / f"{name}.json"
-        path.parent.mkdir(parents=True, exist_ok=True)
-        n = 0
-        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-            f.write("[")
-            for row in records.where(F.col("class") == name).orderBy("pid").select("record").toLocalIterator():
-                text = json.dumps(json.loads(row["record"]), indent=2, sort_keys=True, ensure_ascii=False)
-                f.write((",\n  " if n else "\n  ") + text.replace("\n", "\n  "))
-                n += 1
-            f.write("\n]\n" if n else "]\n")
-        os.replace(f"{path}.tmp", path)
-        counts[name] = n
+    """One JSON array for each class from records (class, pid, record JSON text), in order of pid. Tasks write the
+    arrays' parts, so none passes through the driver; files of other classes stay."""
+    rows = records.where(F.col("class").isin(*classes)).select(F.concat("class", F.lit(".json")).alias("file"), F.col("record").alias("text"), "pid")
+    found = write_files(rows, folder, "pid", shape="json-array", whole=False)
+    counts = {name: found.get(f"{name}.json", 0) for name in classes}
+    for name in (name for name, n in counts.items() if not n):
+        atomic_json(Path(folder) / f"{name}.json", [])
+    return counts
+
+
+def class_arrays(records: DataFrame, folder: str | Path, classes: list[str], report: str | Path, values: dict) -> dict[str, int]:
+    """The arrays of all classes and a report of values and counts, replaced together or not at all."""
+    counts = {c: 0 for c in classes} | {r["class"]: r["count"] for r in records.groupBy("class").count().collect()}
+    if set(counts) - set(classes):
+        raise IntegrityError(f"classes without a file: {', '.join(sorted(set(counts) - set(classes)))}")
+    text = json.dumps(values | {"records": counts}, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    rows = records.select(F.concat("class", F.lit(".json")).alias("file"), F.col("record").alias("text"), "pid")
+    # a class without records is an empty array
+    empty = records.sparkSession.createDataFrame([(f"{c}.json",) for c, n in counts.items() if not n], "file string").select("file", F.lit(None).cast("string").alias("text"), F.lit("").alias("pid"))
+    write_files(rows.union(empty), folder, "pid", shape="json-array", report=report, report_text=text)
     return counts
 
 
@@ -104,23 +110,32 @@ def safe_destination(path: str | Path, root: str | Path, inputs: list[str | Path
     return path
 
 
-def publish(folder: str | Path, files: dict[str, bytes], report: str | Path, report_bytes: bytes, root: str | Path, inputs: list[str | Path] = (), owned: str = "*.yaml") -> None:
-    """Replaces a folder of files and its report together. If anything fails, both are as they were.
-
-    The folder and the report exist together or not at all, and the folder holds nothing but files like `owned`.
-    """
+def _destinations(folder: str | Path, report: str | Path, root: str | Path, inputs: list[str | Path], owned: str) -> tuple[Path, Path]:
+    """Folder and report, which exist together or not at all; the folder holds nothing but files like `owned`."""
     folder, report = safe_destination(folder, root, inputs), safe_destination(report, root, inputs)
     if folder.exists() != report.exists():
         raise IntegrityError("folder and report must exist together")
     if folder.exists() and {p.name for p in folder.iterdir()} - {p.name for p in folder.glob(owned)}:
         raise IntegrityError(f"{folder} holds files that aren't ours")
+    return folder, report
+
+
+def publish_files(files: DataFrame, folder: str | Path, report: str | Path, report_text: str, root: str | Path, inputs: list[str | Path] = (), owned: str = "*.yaml") -> int:
+    """Replaces a folder of files (file, text), written by tasks, and its report together; gives the files' number. If
+    anything fails, both are as they were."""
+    folder, report = _destinations(folder, report, root, inputs, owned)
+    return len(write_files(files, folder, report=report, report_text=report_text))
+
+
+def publish(folder: str | Path, files: dict[str, bytes], report: str | Path, report_bytes: bytes, root: str | Path, inputs: list[str | Path] = (), owned: str = "*.yaml") -> None:
+    """publish_files() for a few files that the driver has at hand."""
+    folder, report = _destinations(folder, report, root, inputs, owned)
     for name in files:
         if Path(name).name != name or name in (".", ".."):
             raise IntegrityError(f"unsafe file name {name!r}")
     for place in (folder, report):
         place.parent.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=".stage-", dir=folder.parent))
-    swaps, done = [(folder, stage / "new", stage / "old"), (report, stage / "report-new", stage / "report-old")], []
     try:
         (stage / "new").mkdir()
         for name, data in sorted(files.items()):
@@ -129,16 +144,6 @@ def publish(folder: str | Path, files: dict[str, bytes], report: str | Path, rep
             f.write(report_bytes)
             f.flush()
             os.fsync(f.fileno())
-        for target, new, old in swaps:
-            if target.exists():
-                os.replace(target, old)
-                done.append((old, target))
-        for target, new, _ in swaps:
-            os.replace(new, target)
-            done.append((target, new))
-    except BaseException:
-        for now, then in reversed(done):
-            os.replace(now, then)
-        raise
+        swap([(folder, stage / "new"), (report, stage / "report-new")], stage)
     finally:
         shutil.rmtree(stage, ignore_errors=True)
