@@ -86,10 +86,12 @@ def awkward():
     return rows + [(200 + i, r[1]) for i, r in enumerate(rows[20:60])]
 
 
-@pytest.mark.parametrize("together", [S.TOGETHER, 2])
-def test_awkward_rows_by_brute_force_and_sql(spark, tmp_path, monkeypatch, awkward, together):
-    """With two contexts at most sorted together, most grams' windows are dealt out by their content instead."""
+@pytest.mark.parametrize(("together", "bits"), [(S.TOGETHER, S.FILTER_BITS), (2, S.FILTER_BITS), (S.TOGETHER, 1 << 15), (2, 1 << 15)])
+def test_awkward_rows_by_brute_force_and_sql(spark, tmp_path, monkeypatch, awkward, together, bits):
+    """With two contexts at most sorted together, most grams' windows are dealt out by their content instead; a filter
+    of 4 KB lets much through in vain."""
     monkeypatch.setattr(S, "TOGETHER", together)
+    monkeypatch.setattr(S, "FILTER_BITS", bits)
     stored(spark, awkward, tmp_path)
     found = rows_of(spark, tmp_path)
     assert found == sorted(brute(awkward), key=key)

@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import SLICE_BYTES, Texts, bounded_batches, documents, dropped, mixed, partitions, runs, slices, written
 
 #: Bytes of a string that is removed where it stands again, and bytes of the grams that such strings are dealt by.
-LENGTH, GRAM = 50, 16
-#: Bits of the filter of grams that stand in several documents: 16 MB at any size. A gram that it lets through in vain costs work, not correctness.
+LENGTH, GRAM = 50, 24
+#: Bits of the filters of grams that stand in several documents and of texts' first documents: 16 MB each at any size. What they let through in vain costs work, not correctness.
 FILTER_BITS = 1 << 27
 #: Contexts of one gram that are sorted together at most; a gram with more has its windows dealt out by their content.
 TOGETHER = 4096
+#: Such grams are broadcast up to this count; beyond it Spark joins them by shuffles.
+MOST_BROADCAST = 100_000
 #: Bytes of contexts that are sorted at once.
 AT_ONCE = 1 << 21
 _ODD = 0x9E3779B97F4A7C15
@@ -45,17 +47,28 @@ def equal_groups(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     return live, group
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all grams, put together from those of GRAM's powers of two."""
+    part, n, power, h = mixed(data.astype(np.uint64) + np.uint64(1)), 1, _ODD, None
+    done = 0
+    while done < GRAM:
+        if GRAM & n:
+            tail = part[done:]
+            h = tail if h is None else h[: len(tail)] * np.uint64(power) + tail[: len(h)]
+            done += n
+        if done < GRAM:
+            part = part[:-n] * np.uint64(power) + part[n:]
+            power, n = power * power % (1 << 64), 2 * n
+    return mixed(h[: len(data) - GRAM + 1])
+
+
 def _anchors(data: np.ndarray, begin: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For the windows of `length` bytes that start at begin, begin + 1, ... (many of them): each run of windows with one
     anchor, as (place in begin, first window, windows, gram).
 
     A window's anchor is its gram with the least hash, of equal ones the last, so equal windows have equal anchors.
     """
-    h, n, power = mixed(data.astype(np.uint64) + np.uint64(1)), 1, _ODD
-    while n < GRAM:
-        h = h[:-n] * np.uint64(power) + h[n:]
-        power, n = power * power % (1 << 64), 2 * n
-    h = mixed(h)
+    h = _gram_hashes(data)
     least, size, width = ((h >> np.uint64(32)) << np.uint64(32)) | np.arange(len(h) - 1, -1, -1, dtype=np.uint64), 1, length - GRAM + 1
     while 2 * size <= width:
         least, size = np.minimum(least[:-size], least[size:]), 2 * size
@@ -70,49 +83,77 @@ def _anchors(data: np.ndarray, begin: np.ndarray, many: np.ndarray, length: int)
     return owner[at], starts[at], np.diff(np.append(at, len(starts))), (gram >> np.uint64(16)).astype(np.int64)
 
 
-def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Texts of a batch side by side, or parts of a long one: (rows, bytes, where windows begin by row, how many, bytes before)."""
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & (8 * len(bits) - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _pieces(batch: pa.RecordBatch, firsts: np.ndarray, length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Texts of a batch side by side, or parts of a long one: (rows, bytes, where windows begin by row, how many, bytes before).
+
+    Documents that aren't the first of their text have no windows.
+    """
+    batch = batch.filter(pa.array(_passes(firsts, batch.column("key").to_numpy(zero_copy_only=False))))
     for part, texts in slices(batch):
         sizes = np.diff(texts.bounds)
         if texts.n == 1 and sizes[0] > SLICE_BYTES:
             for start in range(0, int(sizes[0]) - length + 1, SLICE_BYTES):
                 some = texts.bytes[start : start + SLICE_BYTES + length - 1]
                 yield part, some, np.zeros(1, np.int64), np.array([len(some) - length + 1]), start
-        elif (sizes >= length).any():
-            yield part, texts.bytes, texts.bounds[:-1], np.maximum(sizes - length + 1, 0), 0
+        elif texts.n:
+            yield part, texts.bytes, texts.bounds[:-1], sizes - length + 1, 0
 
 
-def _grams(length: int):
+def _grams(firsts, length: int):
     def run(batches):
         for batch in batches:
-            for part, data, begin, many, _ in _pieces(batch, length):
+            for part, data, begin, many, _ in _pieces(batch, firsts.value, length):
                 owner, _, _, gram = _anchors(data, begin, many, length)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), part.column("id").take(pa.array(owner))], ["gram", "id"])
 
     return run
 
 
-CONTEXTS = "id long, mark long, start long, windows int, gram long, a long, b long, context binary"
+CONTEXTS = "gram long, a long, b long, first long, context binary"
+PLACES = "id long, mark long, start long, windows int, gram long, a long, b long"
 
 
-def _contexts(bits, length: int):
-    """Runs of windows whose anchor's gram passes the filter, with all bytes of the run."""
+def _found(firsts, bits, length: int) -> Iterator:
+    """Runs of windows whose anchor's gram passes the filter: rows, bytes and, of each run, its columns of PLACES and its end."""
 
     def run(batches):
-        known = bits.value
         for batch in batches:
-            for part, data, begin, many, before in _pieces(batch, length):
+            for part, data, begin, many, before in _pieces(batch, firsts.value, length):
                 owner, start, windows, gram = _anchors(data, begin, many, length)
-                place = gram & (FILTER_BITS - 1)
-                passed = np.flatnonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                passed = np.flatnonzero(_passes(bits.value, gram))
                 owner, start, windows, gram = owner[passed], start[passed], windows[passed], gram[passed]
-                raw, ends = data.tobytes(), start + windows + length - 1
-                texts = Texts.of(raw)
-                hashes = [pa.array(texts.hashes(start, ends, lane=lane).view(np.int64)) for lane in (0, 1)]
-                taken = pa.array([raw[s:e] for s, e in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary())
-                rows = [part.column(c).take(pa.array(owner)) for c in _MARK]
-                start_in = start - begin[owner] + before
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(start_in), pa.array(windows.astype(np.int32)), pa.array(gram), *hashes, taken], [c.split()[0] for c in CONTEXTS.split(", ")])
+                ends = start + windows + length - 1
+                texts = Texts.of(data.tobytes())
+                a, b = (texts.hashes(start, ends, lane=lane).view(np.int64) for lane in (0, 1))
+                yield part, data, owner, start, ends, (start - begin[owner] + before, windows.astype(np.int32), gram, a, b)
+
+    return run
+
+
+def _places(firsts, bits, length: int):
+    def run(batches):
+        for part, _, owner, _, _, columns in _found(firsts, bits, length)(batches):
+            rows = [part.column(c).take(pa.array(owner)) for c in _MARK]
+            yield pa.RecordBatch.from_arrays([*rows, *map(pa.array, columns)], [c.split()[0] for c in PLACES.split(", ")])
+
+    return run
+
+
+def _contexts(firsts, bits, shared, heads, length: int):
+    """Contexts with all their bytes: of grams that the filter `shared` has, in documents that `heads` has them for."""
+
+    def run(batches):
+        for part, data, owner, start, ends, (_, _, gram, a, b) in _found(firsts, bits, length)(batches):
+            ids = part.column("id").to_numpy()[owner]
+            chosen = np.flatnonzero(_passes(shared.value, gram) & _passes(heads.value, a ^ ids))
+            raw = data.tobytes()
+            taken = [raw[s:e] for s, e in zip(start[chosen].tolist(), ends[chosen].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[chosen]) for x in (gram, a, b, ids)], pa.array(taken, pa.binary())], [c.split()[0] for c in CONTEXTS.split(", ")])
 
     return run
 
@@ -128,7 +169,7 @@ def _ranges(at: np.ndarray) -> list[dict]:
 
 
 def _later_windows(length: int):
-    """Of contexts in order of their gram: windows that stand in a context of a smaller first document too, as (a, b, later)."""
+    """Of contexts in order of gram, hashes and document: windows that stand in a context of a smaller first document too, as (a, b, later)."""
 
     def flush(held):
         a, b, first, raw = zip(*held, strict=True)
@@ -152,8 +193,10 @@ def _later_windows(length: int):
                 if gram != last and size > AT_ONCE:
                     yield flush(held)
                     held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[3]), gram
+                if gram != last or row[:2] != held[-1][:2]:  # else a document that isn't the context's first
+                    held.append(row)
+                    size += len(row[3])
+                last = gram
         if held:
             yield flush(held)
 
@@ -180,48 +223,82 @@ def _windows(length: int):
     return run
 
 
-def _filter(docs: DataFrame, length: int):
-    """A bit for each gram that is an anchor in documents of several ids, by its last bits, as a broadcast of fixed size."""
-    spark = docs.sparkSession
-    grams = docs.select("id", "text").mapInArrow(_grams(length), "gram long, id long").groupBy("gram").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    place = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1))
-    several = grams.where("least < most").select(place.alias("place"))
-    pages = several.groupBy(F.expr("place div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
+def _filter(keys: DataFrame):
+    """The last bits of keys (key), a bit each, as a broadcast of fixed size."""
+    spark = keys.sparkSession
+    place = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))
+    pages = place.groupBy(F.expr("place div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
     bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in pages.collect():
+    for row in pages.toLocalIterator():
         bits[row["page"]] = np.frombuffer(row["bits"], np.uint8)
     return spark.sparkContext.broadcast(bits.reshape(-1))
 
 
-def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, mark, later) of rows (id, mark, text): where strings of `length` bytes start that also start in a document
-    with a smaller id, as ranges of byte offsets.
+def _release(spark: SparkSession) -> None:
+    """Has the driver collect what it no longer holds, on which Spark deletes the shuffle files of steps that are over."""
+    spark._jvm.System.gc()
+
+
+def _key(id_: str) -> Column:
+    return F.xxhash64(id_, "mark").alias("key")
 
-    Windows are dealt by their anchor's gram, together with their neighbours of the same anchor (a context). Contexts of
-    grams that only one document has never leave their task. Of equal contexts the least id stands for all, found with
-    partial aggregates, so thousands of copies cost what one does; different contexts of a gram are sorted together.
+
+def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(id, mark, later) of rows (id, mark, text), mark being the text's xxhash64: where strings of `length` bytes start
+    that also start in a document with a smaller id, as ranges of byte offsets.
+
+    Of equal texts only the first document is looked at; the others go whole. Windows are dealt by their anchor's gram,
+    together with their neighbours of the same anchor (a context). Grams that only one document has never leave their
+    task. Of equal contexts, told by 128 bits of hash, the least id stands for all, found with partial aggregates, and
+    where a gram has a single context that settles it. Other contexts go, once each, with their bytes to where their
+    gram's are sorted together.
     """
     spark = docs.sparkSession
-    docs = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    bits = _filter(docs, length)
-    found = written(docs.mapInArrow(_contexts(bits, length), CONTEXTS), "contexts")
-    bits.unpersist()
-    distinct = written(found.groupBy("gram", "a", "b").agg(F.min("id").alias("first"), F.max("context").alias("context")), "distinct-contexts")
-    grams = written(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-grams")
-    sides = distinct.join(grams.where(F.col("n") <= TOGETHER).select("gram"), "gram", "left_semi")
-    dealt = sides.repartition(partitions(spark), "gram").sortWithinPartitions("gram")
-    sorted_ = written(dealt.mapInArrow(_later_windows(length), f"a long, b long, later {RANGES}"), "later-windows")
-    busy = distinct.join(grams.where(F.col("n") > TOGETHER).select("gram"), "gram", "left_semi")
-    windows = written(busy.mapInArrow(_windows(length), "a long, b long, first long, k long, window binary"), "busy-windows")
-    least = windows.groupBy("window").agg(F.min("first").alias("least"))
-    hot = windows.join(least, "window").where("first > least").groupBy("a", "b").agg(F.collect_set(F.struct(F.col("k").alias("start"), (F.col("k") + 1).alias("end"))).alias("later"))
-    resolved = distinct.select("a", "b", "first").join(sorted_.union(hot), ["a", "b"], "left")
-    known = found.select("id", "mark", "start", "windows", "a", "b").join(resolved, ["a", "b"])
+    docs = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= length)).withColumn("key", _key("id"))
+    texts = docs.select("id", "mark", F.xxhash64(F.lit("text"), "text").alias("other"), F.octet_length("text").alias("size"))
+    same = ["mark", "other", "size"]
+    groups = written(texts.groupBy(*same).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "texts")
+    firsts = _filter(groups.select(_key("first")))
+    copies = texts.join(groups.where("n > 1").drop("n"), same).where("id > first")
+    grams = docs.select("id", "key", "text").mapInArrow(_grams(firsts, length), "gram long, id long").groupBy("gram").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    bits = _filter(grams.where("least < most").select(F.col("gram").alias("key")))
+    del grams
+    _release(spark)
+    places = docs.mapInArrow(_places(firsts, bits, length), PLACES)
+    distinct = written(places.groupBy("gram", "a", "b").agg(F.min("id").alias("first")), "distinct-contexts")
+    _release(spark)
+    several = written(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-grams")
+    shared = _filter(several.select(F.col("gram").alias("key")))
+    heads = _filter(distinct.select(F.col("a").bitwiseXOR(F.col("first")).alias("key")))
+    _release(spark)
+    contexts = written(docs.mapInArrow(_contexts(firsts, bits, shared, heads, length), CONTEXTS), "contexts")
+    crowded = several.where(F.col("n") > TOGETHER).select("gram")
+    busy = crowded.count()
+    crowded = F.broadcast(crowded) if busy <= MOST_BROADCAST else crowded
+    few = contexts.join(crowded, "gram", "left_anti") if busy else contexts
+    dealt = few.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "a", "b", "first")
+    later = together = written(dealt.mapInArrow(_later_windows(length), f"a long, b long, later {RANGES}"), "later-windows")
+    _release(spark)
+    if busy:
+        exact = contexts.join(crowded, "gram", "left_semi").join(distinct, ["gram", "a", "b", "first"], "left_semi")
+        windows = written(exact.mapInArrow(_windows(length), "a long, b long, first long, k long, window binary"), "busy-windows")
+        least = windows.groupBy("window").agg(F.min("first").alias("least"))
+        one = F.struct(F.col("k").alias("start"), (F.col("k") + 1).alias("end"))
+        apart = written(windows.join(least, "window").where("first > least").groupBy("a", "b").agg(F.collect_set(one).alias("later")), "busy-later")
+        later = together.union(apart)
+        dropped(windows)
+        _release(spark)
+    dropped(several, contexts)
+    settled = distinct.select("a", "b", "first").join(later, ["a", "b"], "left")
     shifted = F.transform("later", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), (r["end"] + F.col("start")).alias("end")))
     whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("windows")).alias("end")))
-    pieces = known.select(*_MARK, F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(shifted)).alias("range"))
-    out = written(pieces.groupBy(*_MARK).agg(F.collect_set("range").alias("later")), "removed")
-    dropped(found, distinct, grams, sorted_, windows)
+    pieces = places.join(settled, ["a", "b"]).select(*_MARK, F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(shifted)).alias("range"))
+    gone = copies.select(*_MARK, F.struct(F.lit(0).cast("long").alias("start"), (F.col("size") - length + 1).cast("long").alias("end")).alias("range"))
+    out = written(pieces.union(gone).groupBy(*_MARK).agg(F.collect_set("range").alias("later")), "removed")
+    dropped(groups, distinct, together)
+    for each in (firsts, bits, shared, heads):
+        each.unpersist()
+    _release(spark)
     return out
 
 
