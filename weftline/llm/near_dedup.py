@@ -298,8 +298,14 @@ def link_classes(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, Dat
     strays = written(named.join(centres, "centre").where("component <> home").select("centre", "id", "size", "component"), "strays")
     if strays.isEmpty():
         return made.join(sets, ["h1", "h2", "size"], "left").select("id", "size", "class"), found
-    blocks = strays.groupBy("centre").agg(F.ceil(F.sum("size") / STRAY_BLOCK).cast("int").alias("sb"), F.count(F.lit(1)).alias("strays"))
-    blocks = blocks.join(named.groupBy("centre").agg(F.greatest(F.ceil(F.sum("size") / MEMBER_BLOCK), F.least(F.lit(SPREAD), F.ceil(F.sum("size") / SMALL_BLOCK))).cast("int").alias("mb"), F.count(F.lit(1)).alias("members")), "centre")
+    theirs = strays.groupBy("centre").agg(F.sum("size").alias("stray_size"), F.count(F.lit(1)).alias("strays"))
+    blocks = theirs.join(named.groupBy("centre").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("members")), "centre")
+    # as many tasks as the members' size is worth, dealt so that strays and members are copied least: the fewer strays
+    # there are, the fewer blocks of strays each member goes to
+    tasks = F.least(F.lit(SPREAD), F.ceil(F.col("size") / SMALL_BLOCK))
+    balanced = F.greatest(F.lit(1), F.round(F.sqrt(tasks * F.col("strays") / F.col("members"))))
+    blocks = blocks.withColumn("sb", F.greatest(F.ceil(F.col("stray_size") / STRAY_BLOCK), balanced).cast("int"))
+    blocks = blocks.withColumn("mb", F.greatest(F.ceil(F.col("size") / MEMBER_BLOCK), F.ceil(tasks / F.col("sb"))).cast("int"))
     # a centre and one stray have been compared already
     blocks = written(blocks.where("members > 2").select("centre", "sb", "mb"), "blocks")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
