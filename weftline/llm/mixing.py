@@ -206,17 +206,20 @@ def _crossed(bins: DataFrame, by: str) -> DataFrame:
     return upto.where((F.col("upto") - F.col("words") < F.col("rest")) & (F.col("upto") >= F.col("rest"))).withColumn("rest", F.col("rest") - F.col("upto") + F.col("words")).drop("upto", "words")
 
 
-def mixed_rows(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(row, id, members, size, taken) of each row of docs, row being all its columns, and source_targets() of the mix.
+def _mixed(docs: DataFrame, id_col: str, size: Column, members: Column, weights, share: float, copies: int, seed: int, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
+    """docs with __id, __members, __size and __taken, or these alone, and source_targets() of the mix.
 
-    docs is read twice: for the sizes of groups and bins, and for the result. What is taken of a row hangs on its
-    content alone, so rows without an id or of one id are told apart by their other columns (maps don't count).
+    Whole rows are read again for the result, their sizes counted once more; otherwise a narrow table is read.
     """
     names = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
     content = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    table = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), names.alias("members"), content.alias("tie"))
-    table = table.withColumn("rank", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("bin", F.pmod("rank", F.lit(BINS)).cast("int"))
-    bins = written(table.groupBy("members", "bin").agg(F.sum("size").alias("words")), "mix-bins")
+    sized = lambda df: df.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0))).withColumn("__tie", content)
+    rank = F.xxhash64(F.lit(seed), F.col("__id"))
+    table = docs.select("*", F.col(f"`{id_col}`").alias("__id"), names.alias("__members")).withColumn("__rank", rank).withColumn("__bin", F.pmod("__rank", F.lit(BINS)).cast("int"))
+    complete = sized
+    if not whole_rows:
+        table, complete = written(sized(table).select("__id", "__members", "__rank", "__bin", "__size", "__tie"), "mix-sizes"), lambda df: df
+    bins = written(complete(table).groupBy(F.col("__members").alias("members"), F.col("__bin").alias("bin")).agg(F.sum("__size").alias("words")), "mix-bins")
     patterns = written(bins.groupBy("members").agg(F.sum("words").alias("words")), "mix-patterns")
     wanted = source_targets(patterns.select(F.explode("members").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size")), weights, share, copies)
     plan = written(_plan(patterns, wanted, copies), "mix-plan")
@@ -224,17 +227,27 @@ def mixed_rows(docs: DataFrame, id_col: str, size: Column, members: Column, weig
     coarse = bins.groupBy("members", F.floor(F.col("bin") / FINE).alias("coarse")).agg(F.sum("words").alias("words"))
     first = _crossed(coarse.join(_few(plan.select("members", "rest"), many), "members"), "coarse")
     inside = bins.withColumn("coarse", F.floor(F.col("bin") / FINE)).join(_few(first, many), ["members", "coarse"]).select("members", "rest", "bin", "words")
-    last = _crossed(inside, "bin").select("members", F.col("bin").alias("last_bin"), F.col("rest").alias("last_words"))
-    edge = written(plan.select("members", "whole").join(_few(last, many), "members", "left"), "mix-edge")
+    last = _crossed(inside, "bin").select("members", F.col("bin").alias("__last_bin"), F.col("rest").alias("__last_words"))
+    edge = written(plan.select("members", F.col("whole").alias("__whole")).join(_few(last, many), "members", "left").withColumnRenamed("members", "__members"), "mix-edge")
     dropped(bins, patterns, plan)
-    found = table.join(_few(edge, many), "members")
-    inner = F.col("bin") == F.col("last_bin")
-    outer = found.where(~F.coalesce(inner, F.lit(False)))
-    outer = outer.withColumn("taken", F.col("size") * (F.col("whole") + F.coalesce((F.col("bin") < F.col("last_bin")).cast("long"), F.lit(0))))
-    order = Window.partitionBy("members").orderBy("rank", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    crossing = found.where(inner).withColumn("before", F.sum("size").over(order) - F.col("size"))
-    crossing = crossing.withColumn("taken", F.col("size") * F.col("whole") + F.greatest(F.lit(0), F.least("size", F.col("last_words") - F.col("before")))).drop("before")
-    return outer.unionByName(crossing).select("row", "id", "members", "size", F.col("taken").cast("long").alias("taken")), wanted
+    found = table.join(_few(edge, many), "__members")
+    inner = F.col("__bin") == F.col("__last_bin")
+    outer = complete(found.where(~F.coalesce(inner, F.lit(False))))
+    outer = outer.withColumn("__taken", F.col("__size") * (F.col("__whole") + F.coalesce((F.col("__bin") < F.col("__last_bin")).cast("long"), F.lit(0))))
+    order = Window.partitionBy("__members").orderBy("__rank", "__id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    crossing = complete(found.where(inner)).withColumn("__before", F.sum("__size").over(order) - F.col("__size"))
+    crossing = crossing.withColumn("__taken", F.col("__size") * F.col("__whole") + F.greatest(F.lit(0), F.least("__size", F.col("__last_words") - F.col("__before"))))
+    columns = [*([F.col(f"`{c}`") for c in docs.columns] if whole_rows else []), "__id", "__members", "__size", F.col("__taken").cast("long").alias("__taken")]
+    return outer.select(*columns).unionByName(crossing.select(*columns)), wanted
+
+
+def mixed_rows(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> DataFrame:
+    """docs with all columns, and __id, __members, __size and __taken as mix() gives them.
+
+    What is taken of a row hangs on its content alone, so rows without an id or of one id are told apart by their other
+    columns (maps don't count).
+    """
+    return _mixed(docs, id_col, size, members, weights, share, copies, seed, True)[0]
 
 
 def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> DataFrame:
@@ -247,15 +260,15 @@ def mix(docs: DataFrame, id_col: str, size: Column, members: Column, weights=WEI
     count as documents of their own. Reruns agree. Each component of sources that share documents is a network of its
     own, solved in one task, as large as its membership patterns are many; nothing comes to the driver.
     """
-    rows, _ = mixed_rows(docs, id_col, size, members, weights, share, copies, seed)
-    return rows.select(F.col("id").alias(id_col), "members", "size", "taken")
+    rows, _ = _mixed(docs, id_col, size, members, weights, share, copies, seed, False)
+    return rows.select(F.col("__id").alias(id_col), F.col("__members").alias("members"), F.col("__size").alias("size"), F.col("__taken").alias("taken"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each a member of its own source. Null texts have size 0 and, like wordless ones, give nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    rows, wanted = mixed_rows(docs, "doc_id", n_words(F.col("text")), F.array("source"))
-    mixed = rows.select("id", "size", "taken", F.col("members")[0].alias("source"))
+    rows, wanted = _mixed(docs, "doc_id", n_words(F.col("text")), F.array("source"), WEIGHTS, SHARE, COPIES, SEED, False)
+    mixed = rows.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__taken").alias("taken"), F.col("__members")[0].alias("source"))
     by_source = wanted.withColumnRenamed("source", "source_")
     out = mixed.join(_few(by_source, by_source.count()), F.col("source").eqNullSafe(F.col("source_")))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
