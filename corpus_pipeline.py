@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from weftline.llm.shared import documents, written
+from weftline.llm.shared import documents, dropped, written
 
 
 def _apart(docs: DataFrame, *used: str) -> DataFrame:
@@ -62,10 +62,11 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row counts by itself: rows of one id, or without one, are taken each by their own source's quota.
     """
-    mixed, _ = mixing.mixed_rows(docs, "doc_id", mixing.n_words(F.col("text")), F.array("source"))
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    used = mixed.where("size > 0").withColumn("times", times).where("times > 0")
-    return used.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    mixed = mixing.mixed_rows(docs, "doc_id", mixing.n_words(F.col("text")), F.array("source"))
+    times = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")
+    used = mixed.where("__size > 0").withColumn("__times", times).where("__times > 0")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return used.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__use")).select(*columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
