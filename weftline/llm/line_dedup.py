@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .shared import documents, written
 
 #: A line goes if it stands on more than this share of its host's pages, and on at least so many of them: on a host of
-#: fewer than 1 / RATIO pages every line, repeated or not, exceeds the share, so the share alone would empty its pages.
-RATIO, MIN_PAGES = 0.1, 3
+#: fewer than 1 / RATIO pages every line exceeds the share, so one that a single page has is spared there.
+RATIO, MIN_PAGES = 0.1, 2
 #: Boilerplate lines are broadcast up to this count; beyond it Spark joins them by host, splitting hot hosts.
 BROADCAST_ROWS = 200_000
 
@@ -61,7 +61,7 @@ def drop_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with each source taken as a site."""
+    """Documents with each source taken as a site. Of lines above the ratio those that one page alone has are spared."""
     out = drop_lines(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return out.select("doc_id", "source", F.col("line_dedup.n_lines").alias("n_lines"), F.col("line_dedup.n_dropped").alias("n_dropped"), "text")
 
