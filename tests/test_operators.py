@@ -44,6 +44,14 @@ def test_matching(spark):
     target = spark.createDataFrame([("A", "x", []), ("A", "y", ["t2", "t3"]), ("A", "z", ["t4"]), ("A", "w", ["t4"]), ("B", "clash", [])], schema)
     got = {r.pid: (r.matched, r.how, r.candidates) for r in resolve.match_records(source, target).collect()}
     assert got == {"x": ("x", "pid", []), "new": ("y", "identifier", ["y"]), "two": (None, "ambiguous", ["w", "z"]), "none": (None, "unmatched", []), "clash": (None, "class-conflict", [])}
+    assert {r.pid: (r.matched, r.how, r.candidates) for r in resolve.match_outcomes(source, target).collect()} == got
+
+
+def test_a_token_that_all_records_share_makes_no_pairs(spark):
+    source, target = (spark.range(20_000).selectExpr("'A' AS class", f"concat('{s}', lpad(id, 5, '0')) AS pid", "array('all', concat('own', id)) AS tokens") for s in "st")
+    found = resolve.match_outcomes(source, target)
+    counts = found.groupBy("how", "candidates").count().collect()
+    assert [(r.how, r.candidates, r["count"]) for r in counts] == [("ambiguous", ["t00000", "t19999"], 20_000)]
 
 
 def test_groups(spark):

@@ -78,6 +78,24 @@ def match_records(source: DataFrame, target: DataFrame) -> DataFrame:
     return out.select("class", "pid", matched.alias("matched"), "how", F.when(F.col("how").isin("identifier", "ambiguous"), found).otherwise(F.array().cast("array<string>")).alias("candidates"))
 
 
+def match_outcomes(source: DataFrame, target: DataFrame) -> DataFrame:
+    """match_records() with two candidates at most, the least and the greatest.
+
+    A token's targets are counted by their ends before anything is joined, so no pair of records is made: one token that
+    all records share costs each of them one row.
+    """
+    ends = token_index(target).groupBy("token", "class").agg(F.min("pid").alias("__least"), F.max("pid").alias("__most"))
+    hits = token_index(source).join(ends, ["token", "class"]).groupBy("class", "pid").agg(F.min("__least").alias("__least"), F.max("__most").alias("__most"))
+    exact = target.select("pid", F.col("class").alias("__class"))
+    out = source.select("class", "pid").join(exact, "pid", "left").join(hits, ["class", "pid"], "left")
+    one, none = F.col("__least") == F.col("__most"), F.col("__least").isNull()
+    how = F.when(F.col("__class") == F.col("class"), "pid").when(F.col("__class").isNotNull(), "class-conflict").when(none, "unmatched").when(one, "identifier").otherwise("ambiguous")
+    out = out.withColumn("how", how)
+    matched = F.when(F.col("how") == "pid", F.col("pid")).when(F.col("how") == "identifier", F.col("__least"))
+    both = F.when(F.col("how").isin("identifier", "ambiguous"), F.array_distinct(F.array("__least", "__most"))).otherwise(F.array().cast("array<string>"))
+    return out.select("class", "pid", matched.alias("matched"), "how", both.alias("candidates"))
+
+
 def dependencies(primary: DataFrame, pool: DataFrame, references: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of the pool that primary's arrays of references name, and the references that the pool lacks."""
     wanted = primary.select(F.explode(references).alias(key)).where(F.col(key).isNotNull()).distinct()

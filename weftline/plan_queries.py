@@ -374,3 +374,26 @@ def proposed_claims(spark, sf_dir):
     get = lambda path: F.get_json_object("record", path)
     label = F.coalesce(get("$.given_name"), get("$.title"))
     return plan.select("class", "pid", "operation", "path", "imported_from", label.alias("label"), F.coalesce(F.size("companion"), F.lit(0)).cast("long").alias("owned"), F.size(F.from_json(get("$.attributes"), "array<string>")).cast("long").alias("attributes"), get("$.attributed_to[0].object").alias("author"))
+
+
+@query("""
+WITH s AS (SELECT CASE s_nationkey % 2 WHEN 0 THEN 'A' ELSE 'B' END AS class, 's' || s_suppkey AS pid, 'all' AS shared, 'k' || s_suppkey AS own FROM supplier),
+c AS (SELECT CASE c_nationkey % 2 WHEN 0 THEN 'A' ELSE 'C' END AS class, CASE WHEN c_custkey % 50 = 0 THEN 's' || (c_custkey // 50) ELSE 'c' || c_custkey END AS pid, CASE WHEN c_nationkey % 2 = 0 THEN 'all' END AS shared, 'k' || c_custkey AS own FROM customer),
+a AS (SELECT min(pid) AS least, max(pid) AS most FROM c WHERE class = 'A')
+SELECT s.class, s.pid, CASE WHEN e.class = s.class THEN s.pid WHEN e.class IS NULL AND s.class = 'A' AND least = most THEN least END AS matched,
+  CASE WHEN e.class = s.class THEN 'pid' WHEN e.class IS NOT NULL THEN 'class-conflict' WHEN s.class = 'A' AND least IS NOT NULL THEN CASE WHEN least = most THEN 'identifier' ELSE 'ambiguous' END ELSE 'unmatched' END AS how,
+  CASE WHEN e.class IS NULL AND s.class = 'A' AND least < most THEN [least, most] WHEN e.class IS NULL AND s.class = 'A' AND least = most THEN [least] ELSE [] END AS candidates
+FROM s LEFT JOIN c e ON e.pid = s.pid CROSS JOIN a
+""")
+def token_outcomes(spark, sf_dir):
+    """Suppliers against customers by a token that all of a class share, and one of their own."""
+    def side(table, key, nation, other, pid):
+        even = F.col(nation) % 2 == 0
+        shared = F.when(even, "all").otherwise(None if other == "C" else "all")
+        tokens = F.array_compact(F.array(shared, F.concat(F.lit("k"), key)))
+        return read(spark, sf_dir, table).select(F.when(even, "A").otherwise(other).alias("class"), pid.alias("pid"), tokens.alias("tokens"))
+
+    source = side("supplier", "s_suppkey", "s_nationkey", "B", F.concat(F.lit("s"), "s_suppkey"))
+    number = F.floor(F.col("c_custkey") / 50)
+    target = side("customer", "c_custkey", "c_nationkey", "C", F.when(F.col("c_custkey") % 50 == 0, F.concat(F.lit("s"), number.cast("string"))).otherwise(F.concat(F.lit("c"), "c_custkey")))
+    return resolve.match_outcomes(source, target)

@@ -110,7 +110,7 @@ def source_targets(source: DataFrame, canonical: DataFrame, own_prefix: str, min
         notes = F.from_json(F.get_json_object("record", "$.identifiers"), "array<struct<notation: string>>")
         return df.withColumn("tokens", X.identity_tokens(F.col("pid"), F.transform(notes, lambda i: i["notation"])))
 
-    matched = resolve.match_records(tokens(source), tokens(canonical))
+    matched = resolve.match_outcomes(tokens(source), tokens(canonical))
     new_pid = R.minted_pid(F.col("class"), F.col("pid"), own_prefix, minted)
     named = source.join(matched.select("class", "pid", "matched", "how", "candidates"), ["class", "pid"]).withColumn("minted", new_pid).withColumn("target", F.coalesce("matched", "minted"))
     held = canonical.select(F.col("pid").alias("target"), F.col("rel_path").alias("held_path"), F.col("record").alias("baseline"))
