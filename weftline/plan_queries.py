@@ -13,7 +13,7 @@ from .catalogue import query, read
 from .functions import records as R
 from .functions import text as X
 from .operators import compare, entity, resolve
-from .plans import claims, ingest, publish, schema, targets
+from .plans import claims, graph, ingest, publish, schema, targets
 from .vocabulary import ITEM, PUBLISHING, Options
 
 OPTIONS = Options(group=7, included=("papers",), label_prefix="my ")
@@ -397,3 +397,32 @@ def token_outcomes(spark, sf_dir):
     number = F.floor(F.col("c_custkey") / 50)
     target = side("customer", "c_custkey", "c_nationkey", "C", F.when(F.col("c_custkey") % 50 == 0, F.concat(F.lit("s"), number.cast("string"))).otherwise(F.concat(F.lit("c"), "c_custkey")))
     return resolve.match_outcomes(source, target)
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, 'c' || c_custkey AS pid, c_nationkey AS n, c_mktsegment AS seg FROM customer)
+SELECT pid, 'x:name' AS predicate, 'too few' AS problem, '0' AS value FROM c WHERE k % 5 = 0
+UNION ALL SELECT pid, 'x:segment', 'too many', '2' FROM c WHERE k % 3 = 0
+UNION ALL SELECT pid, 'x:balance', 'another kind', 'unknown' FROM c WHERE k % 7 = 0
+UNION ALL SELECT pid, 'x:nation', 'another class', pid FROM c WHERE k % 11 = 0
+UNION ALL SELECT pid, 'x:nation', 'no record', 'n0' FROM c WHERE k % 11 <> 0 AND n = 0
+UNION ALL SELECT pid, 'color', 'no shape', 'red' FROM c WHERE k % 13 = 0
+UNION ALL SELECT 'n' || n_nationkey, 'x:code', 'too many', '2' FROM nation WHERE n_nationkey > 0 AND n_nationkey % 4 = 2
+UNION ALL SELECT 'n' || n_nationkey, 'x:code', 'another kind', '{"a":1}' FROM nation WHERE n_nationkey % 4 = 1
+UNION ALL SELECT 'n' || n_nationkey, 'x:code', 'another kind', 'c1' FROM nation WHERE n_nationkey > 0 AND n_nationkey % 4 = 2
+""")
+def shape_violations(spark, sf_dir):
+    """People and nations as statements against shapes: cardinality, kinds, references, classes and predicates without a shape."""
+    k = F.col("c_custkey")
+    own, nation = F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")
+    segment = F.when(k % 3 == 0, F.array("c_mktsegment", F.lit("second"))).otherwise(F.array("c_mktsegment"))
+    balance = F.when(k % 7 == 0, F.to_variant_object(F.array(F.lit("unknown")))).otherwise(F.to_variant_object(F.array("c_acctbal")))
+    person = F.to_json(F.struct(F.when(k % 5 != 0, F.col("c_name")).alias("name"), F.when(k % 11 == 0, own).otherwise(nation).alias("nation"), segment.alias("segment"), balance.alias("balance"), F.when(k % 13 == 0, "red").alias("color")))
+    people = read(spark, sf_dir, "customer").select(F.lit("Person").alias("class"), own.alias("pid"), person.alias("record"))
+    code = F.when(F.col("n_nationkey") % 4 == 1, '[{"a": 1}]').when(F.col("n_nationkey") % 4 == 2, '[true, {"object": "c1"}]').otherwise("null")
+    nations = read(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.lit("Nation").alias("class"), F.concat(F.lit("n"), "n_nationkey").alias("pid"), F.concat(F.lit('{"code": '), code, F.lit("}")).alias("record"))
+    records = people.union(nations)
+    rows = lambda ddl, *x: spark.createDataFrame(list(x), ddl)
+    slots = rows("class string, slot string, predicate string, is_object boolean", ("Person", "name", "x:name", False), ("Person", "nation", "x:nation", True), ("Person", "segment", "x:segment", False), ("Person", "balance", "x:balance", False), ("Nation", "code", "x:code", False))
+    shapes = rows("class string, predicate string, least int, most int, kind string, object_class string", ("Person", "x:name", 1, 1, "text", None), ("Person", "x:nation", 1, None, "reference", "Nation"), ("Person", "x:segment", None, 1, None, None), ("Person", "x:balance", None, None, "number", None), ("Nation", "x:code", 0, 1, "boolean", None))
+    return graph.shape_violations(graph.statements(records, slots), records.select("class", "pid"), shapes)
