@@ -80,8 +80,10 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, most: int = LENGTH) -> np.n
 
 def sentence_ends(path: str | None = None) -> np.ndarray:
     """Whether a token ends a sentence, by id: it ends in a stop, an exclamation or question mark, or a line feed."""
-    vocabulary = json.load(open(path or public_tokenizers.path(tokens.VOCABULARY)))["model"]["vocab"]
-    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    with open(path or public_tokenizers.path(tokens.VOCABULARY), encoding="utf-8") as f:
+        stored = json.load(f)
+    vocabulary, added = stored["model"]["vocab"], [t["id"] for t in stored.get("added_tokens", [])]
+    out = np.zeros(max([*vocabulary.values(), *added]) + 1, bool)
     out[[i for t, i in vocabulary.items() if t[-1] in ".!?Ċ"]] = True
     return out
 
