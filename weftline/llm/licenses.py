@@ -386,4 +386,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that each document names. Null and empty texts name none; repeated rows are scanned each."""
     return scan(documents(spark, sf_dir))

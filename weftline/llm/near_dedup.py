@@ -335,4 +335,6 @@ def near_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, per
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by two-word shingles. Null and wordless texts are components of their own; rows of one id
+    are one document, and a null id is never kept."""
     return near_components(documents(spark, sf_dir), "doc_id", "text", k=2)

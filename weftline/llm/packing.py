@@ -179,4 +179,5 @@ def pack(docs: DataFrame, path: str | None = None, n: int | None = None) -> Data
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents. A null or empty text is its end id; repeated rows are packed each, null ids first."""
     return pack(documents(spark, sf_dir))

@@ -174,6 +174,8 @@ def score(docs: DataFrame, model: dict, keep: float = KEEP, clean: float = CLEAN
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document. Null and empty texts have no words, so they fail; labels of null ids and
+    repeated labels of an id are left to fit(); repeated rows are judged alike."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     out = score(docs, fit(docs, labels))

@@ -339,6 +339,8 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LE
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's digest of remove_repeats(). Null texts are empty and lose nothing; nor does a row without an id;
+    rows of one id lose nothing to each other."""
     out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
     removed = F.reduce("spans", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -220,4 +220,6 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all documents' ids, read back. A null or empty text is its end id; null ids come first, repeated rows
+    stand each."""
     return read(written(encode(documents(spark, sf_dir)), "token-files"))

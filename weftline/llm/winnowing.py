@@ -177,4 +177,5 @@ def fingerprints(docs: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents. A null text is empty; null ids come first, equal ids follow their texts."""
     return fingerprints(documents(spark, sf_dir))
