@@ -24,14 +24,17 @@ def _back(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the quality model stay; null and empty texts fail."""
+    """Documents that pass the base rules and the quality model stay; null and empty texts fail. Repeated rows and null
+    ids are judged by their texts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     scored = quality_rules.score(_apart(docs, "doc_id", "text"), quality_rules.fit(docs, labels))
     return _back(scored.where("kept"), docs, "doc_id", "text")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source, and n_chars in step with them; all documents stay."""
+    """Texts without the boilerplate lines of their source, and n_chars in step with them; all documents stay. A null text
+    stays null, with n_chars null; one that loses all its lines becomes empty. A null source is a source; repeated rows
+    count as pages each."""
     used = ("source", "text", "n_chars")
     out = line_dedup.drop_lines(_apart(docs, *used), "source", "text")
     return _back(out.withColumn("n_chars", F.char_length("text").cast("long")), docs, *used)
@@ -70,7 +73,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 1024 ids, in document order."""
+    """Pieces of token sequences of at most 1024 ids, in document order, null ids first. A null or empty text is its end
+    id; repeated rows are packed each."""
     return packing.pack(docs)
 
 
