@@ -84,6 +84,8 @@ def test_diff_and_containment(spark):
     assert rows(compare.projection_violations(bad, good), "path") == [("/gone",), ("/p/ids/1",), ("/p/t",)]
     flat = lambda *x: spark.createDataFrame(list(x), "k string, f map<string,string>")
     assert rows(compare.missing_fields(flat(("a", {"x": "1", "y": "2"}), ("b", {})), flat(("a", {"x": "1", "y": "3"})), "k", "f"), "path") == [("/a/y",), ("/b",)]
+    nulls = flat(("a", {"x": None}), ("b", {"x": None}), ("c", {"x": None}))
+    assert rows(compare.missing_fields(nulls, flat(("a", {}), ("b", {"x": None}), ("c", {"x": "1"})), "k", "f"), "path") == [("/a/x",), ("/c/x",)]
 
 
 def test_containment_uses_up_what_an_unmatched_entry_has_searched(spark):

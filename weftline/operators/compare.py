@@ -27,10 +27,11 @@ def changed_only(df: DataFrame, proposed: Column, baseline: Column) -> DataFrame
 
 
 def missing_fields(left: DataFrame, right: DataFrame, key: str, fields: str) -> DataFrame:
-    """(key, path) where a flat record (map) of left isn't contained in right's: '/key/field', or '/key' without a record."""
+    """(key, path) where a flat record (map) of left isn't contained in right's: '/key/field', or '/key' without a record.
+    A field that is null must stand there as null, as in containment()."""
     theirs = right.select(F.col(key).alias("__key"), F.col(fields).alias("__theirs"))
     both = left.join(theirs, F.col(key) == F.col("__key"), "left")
-    wrong = F.filter(F.map_entries(fields), lambda e: ~F.coalesce(F.col("__theirs")[e["key"]], F.lit("\0none")).eqNullSafe(F.coalesce(e["value"], F.lit("\0none"))))
+    wrong = F.filter(F.map_entries(fields), lambda e: ~(F.map_contains_key("__theirs", e["key"]) & F.col("__theirs")[e["key"]].eqNullSafe(e["value"])))
     paths = F.when(F.col("__key").isNull(), F.array(F.concat(F.lit("/"), key))).otherwise(F.transform(wrong, lambda e: F.concat(F.lit("/"), F.col(key), F.lit("/"), e["key"])))
     return both.select(key, F.explode(paths).alias("path"))
 
