@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .catalogue import query, read
 from .functions import records as R
 from .functions import text as X
 from .operators import compare, entity, resolve
-from .plans import claims, graph, ingest, publish, schema, targets
+from .plans import claims, graph, ingest, publish, schema, site, targets
 from .vocabulary import ITEM, PUBLISHING, Options
 
 OPTIONS = Options(group=7, included=("papers",), label_prefix="my ")
@@ -426,3 +427,24 @@ def shape_violations(spark, sf_dir):
     slots = rows("class string, slot string, predicate string, is_object boolean", ("Person", "name", "x:name", False), ("Person", "nation", "x:nation", True), ("Person", "segment", "x:segment", False), ("Person", "balance", "x:balance", False), ("Nation", "code", "x:code", False))
     shapes = rows("class string, predicate string, least int, most int, kind string, object_class string", ("Person", "x:name", 1, 1, "text", None), ("Person", "x:nation", 1, None, "reference", "Nation"), ("Person", "x:segment", None, 1, None, None), ("Person", "x:balance", None, None, "number", None), ("Nation", "x:code", 0, 1, "boolean", None))
     return graph.shape_violations(graph.statements(records, slots), records.select("class", "pid"), shapes)
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT c_custkey AS k, c_nationkey AS n, c_acctbal AS b FROM customer),
+e AS (SELECT k, 'boss' AS field, 0 AS rank, k // 2 AS target FROM c UNION ALL SELECT k, 'peer', 1, xor(k, 1) FROM c),
+w AS (SELECT 'n' || n AS page, [row_number() OVER (PARTITION BY n ORDER BY b, k)] AS place, k, NULL::VARCHAR AS field, 'embedded' AS status, [k] AS line, 0 AS depth FROM c WHERE b > 0 AND k % 10 <> 9
+  UNION ALL SELECT w.page, w.place || [e.rank], e.target, e.field, CASE WHEN e.target % 10 = 9 THEN 'missing' WHEN list_contains(w.line, e.target) THEN 'cycle' ELSE 'embedded' END, w.line || [e.target], w.depth + 1
+  FROM w JOIN e ON e.k = w.k WHERE w.status = 'embedded' AND w.depth < 3)
+SELECT page, array_to_string(place, '.') AS place, 'c' || k AS pid, field, status FROM w
+""")
+def site_pages(spark, sf_dir):
+    """Nations' pages of customers by balance, with a superior and a peer of each embedded three levels deep."""
+    every = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("b"))
+    pid = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    known = every.where("k % 10 <> 9")
+    place = F.row_number().over(Window.partitionBy("n").orderBy("b", "k"))
+    members = known.where("b > 0").select(F.concat(F.lit("n"), "n").alias("page"), place.alias("pos"), pid(F.col("k")).alias("pid"))
+    boss, peer = F.expr("k div 2"), F.col("k").bitwiseXOR(F.lit(1))
+    edge = lambda field, target: every.select(pid(F.col("k")).alias("pid"), F.lit(field).alias("field"), F.lit(0).cast("long").alias("n"), pid(target).alias("target"))
+    out = site.pages(members, edge("boss", boss).union(edge("peer", peer)), known.select(pid(F.col("k")).alias("pid")), 3)
+    return out.select("page", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "pid", "field", "status")
