@@ -80,3 +80,13 @@ def test_predicates_and_fields_of_records(spark):
     fields = [("T", "1", "pid", 1), ("T", "1", "note", 1), ("T", "1", "tag", 5), ("P", "2", "note", 2), ("P", "2", "pid", 0)]
     got = {tuple(r) for r in schema.unexpected(spark.createDataFrame(fields, "class string, pid string, field string, entries long"), induced).collect()}
     assert got == {("1", "note", "unknown"), ("2", "note", "repeated"), ("2", "pid", "missing")}
+
+
+def test_rounds_grow_with_the_logarithm_of_depth(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(schema, "settled", lambda df, f=schema.settled: rounds.append(1) or f(df))
+    classes = [("C0", None, [])] + [(f"C{i}", f"C{i - 1}", []) for i in range(1, 21)]
+    usage = [("C3", "s", "x:three", None, None, None), ("C10", "s", None, "C0", None, None)]
+    got = view(spark, classes, [("s", "x:s", "string", True, None)], [("C0", "s"), ("C7", "s")], usage)
+    assert len(rounds) < 10
+    assert got == {(f"C{i}", "s"): ("x:s" if i < 3 else "x:three", "string" if i < 10 else "C0", True, False, i >= 10, "C0" if i < 7 else "C7") for i in range(21)}

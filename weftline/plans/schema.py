@@ -4,24 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.validate import IntegrityError, require_none, repeated, violations
 from .settle import settled
 
 #: What a slot says of itself and a class may say otherwise.
 FACETS = ("slot_uri", "range", "multivalued", "required")
+#: Levels that a hierarchy may have: a power of two.
+MOST = 64
+#: General definitions of so many slots at most are sent to all tasks.
+FEW = 1 << 15
 
 
-def ancestors(classes: DataFrame, most: int = 64) -> DataFrame:
+def _above(classes: DataFrame) -> DataFrame:
+    """(class, turn, up) of classes: what stands right above, mixins in their order before the parent."""
+    mixed = classes.select("class", F.posexplode("mixins").alias("turn", "up")).select("class", "turn", "up")
+    return mixed.union(classes.where("is_a IS NOT NULL").select("class", F.lit(1 << 20).alias("turn"), F.col("is_a").alias("up")))
+
+
+def ancestors(classes: DataFrame, most: int = MOST) -> DataFrame:
     """(class, ancestor, distance, nearness) of classes (class, is_a, mixins), each its own nearest ancestor.
 
     Nearer ones come first; of equally near ones a mixin's line before the parent's, mixins in their order: nearness
     sorts them. An ancestor reached by several lines counts by the nearest. Rounds follow the hierarchy's depth; a
     cycle, or more than `most` levels, is an error.
     """
-    mixed = classes.select("class", F.posexplode("mixins").alias("turn", "up")).select("class", "turn", "up")
-    parent = classes.where("is_a IS NOT NULL").select("class", F.lit(1 << 20).alias("turn"), F.col("is_a").alias("up"))
-    above = settled(mixed.union(parent))
+    above = settled(_above(classes))
     found = settled(classes.select("class", F.col("class").alias("ancestor"), F.array().cast("array<int>").alias("line")))
     levels, latest, depth = [found], found, 0
     while True:
@@ -42,6 +51,30 @@ def ancestors(classes: DataFrame, most: int = 64) -> DataFrame:
     return nearest.select("class", "ancestor", F.col("nearness.distance").alias("distance"), "nearness")
 
 
+def jumps(classes: DataFrame) -> list[DataFrame]:
+    """(class, ancestor, rank) of the ancestors by lines of just 1, 2, 4, 8... levels, as far as there are any; rank sorts
+    those of a class by the least line to each, as in ancestors(). Errors are those of ancestors()."""
+    found, levels = [settled(_above(classes).groupBy("class", F.col("up").alias("ancestor")).agg(F.min("turn").alias("rank")))], 1
+    while True:
+        latest = found[-1]
+        rows, loop = latest.agg(F.count(F.lit(1)), F.min(F.when(F.col("class") == F.col("ancestor"), F.col("class")))).first()
+        if loop is not None:
+            raise IntegrityError(f"class is its own ancestor: {loop}")
+        if not rows:
+            return found[:-1]
+        upper = (found[0] if levels == MOST else latest).select(F.col("class").alias("ancestor"), F.col("ancestor").alias("upper"), F.col("rank").alias("then"))
+        longer = latest.join(upper, "ancestor")
+        if levels == MOST:
+            if not longer.isEmpty():
+                # names the class of a loop, if it is one
+                ancestors(classes)
+            return found
+        # lines that meet go on as one
+        longer = longer.repartition("class").groupBy("class", F.col("upper").alias("ancestor")).agg(F.min(F.struct("rank", "then")).alias("line"))
+        found.append(settled(longer.select("class", "ancestor", F.row_number().over(Window.partitionBy("class").orderBy("line")).alias("rank"))))
+        levels *= 2
+
+
 def induced_slots(classes: DataFrame, slots: DataFrame, holds: DataFrame, usage: DataFrame, prefix: str) -> DataFrame:
     """(class, slot, predicate, range, multivalued, required, is_object, declared_by) of all slots that classes have.
 
@@ -65,18 +98,30 @@ def induced_slots(classes: DataFrame, slots: DataFrame, holds: DataFrame, usage:
         lacking(holds, "unknown slot"),
         lacking(usage, "usage of an unknown slot"),
     ])
-    up = settled(ancestors(classes))
-    having = up.join(holds.select(F.col("class").alias("ancestor"), "slot").distinct(), "ancestor")
-    having = having.groupBy("class", "slot").agg(F.min_by("ancestor", "nearness").alias("declared_by"))
-    said = up.join(usage.withColumnRenamed("class", "ancestor"), "ancestor")
-    nearest = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("nearness"))).alias(f"own_{f}") for f in FACETS]
-    said = said.groupBy("class", "slot").agg(*nearest)
-    out = having.join(said, ["class", "slot"], "left").join(slots, "slot")
-    facet = {f: F.coalesce(f"own_{f}", f) for f in FACETS}
-    out = out.select("class", "slot", F.coalesce(facet["slot_uri"], F.concat(F.lit(prefix), "slot")).alias("predicate"), *[facet[f].alias(f) for f in FACETS[1:]], "declared_by")
-    ranges = names.select(F.col("class").alias("range"), F.lit(True).alias("__object"))
-    out = out.join(ranges, "range", "left").withColumn("is_object", F.coalesce("__object", F.lit(False)))
-    return out.select("class", "slot", "predicate", "range", F.coalesce("multivalued", F.lit(False)).alias("multivalued"), F.coalesce("required", F.lit(False)).alias("required"), "is_object", "declared_by")
+    is_class = names.select(F.col("class").alias("range"), F.lit(True).alias("is_object"))
+    own = {f: F.when(F.col(f).isNotNull(), F.struct(F.lit(0).alias("distance"), F.lit(0).alias("rank"), (F.struct("range", "is_object") if f == "range" else F.col(f)).alias("value"))).alias(f) for f in FACETS}
+    said = usage.join(is_class, "range", "left").select("class", "slot", *own.values())
+    declared = F.struct(F.lit(0).alias("distance"), F.lit(0).alias("rank"), F.col("class").alias("value")).alias("declared")
+    near = said.unionByName(holds.select("class", "slot", declared), allowMissingColumns=True)
+    parts = ["declared", *FACETS]
+    near = near.repartition("class").groupBy("class", "slot").agg(*[F.min(f).alias(f) for f in parts])
+    # what is known within 1, 2, 4... levels, and from as many levels further up: nearer ones come first, then ranks
+    for k, step in enumerate(jumps(classes)):
+        step = step.select("class", "ancestor", "rank", F.lit(1 << k).alias("step"))
+        step = step.union(names.select("class", F.col("class").alias("ancestor"), F.lit(0), F.lit(0)))
+        near = step.join(near.withColumnRenamed("class", "ancestor"), "ancestor")
+        further = [F.when(F.col(f).isNotNull(), F.struct((F.col(f)["distance"] + F.col("step")).alias("distance"), "rank", F.col(f)["value"].alias("value"))).alias(f) for f in parts]
+        near = near.select("class", "slot", *further).repartition("class").groupBy("class", "slot").agg(*[F.min(f).alias(f) for f in parts])
+    general = settled(slots.join(is_class, "range", "left").select("slot", *[F.col(f).alias(f"general_{f}") for f in FACETS], "is_object"))
+    general = F.broadcast(general) if general.count() <= FEW else general
+    out = near.where("declared IS NOT NULL").join(general, "slot")
+    facet = {f: F.coalesce(F.col(f)["value"], f"general_{f}") for f in FACETS if f != "range"}
+    of_range = lambda name, otherwise: F.when(F.col("range").isNotNull(), F.col("range")["value"][name]).otherwise(F.col(otherwise))
+    false = F.lit(False)
+    return out.select(
+        "class", "slot", F.coalesce(facet["slot_uri"], F.concat(F.lit(prefix), "slot")).alias("predicate"), of_range("range", "general_range").alias("range"), F.coalesce(facet["multivalued"], false).alias("multivalued"),
+        F.coalesce(facet["required"], false).alias("required"), F.coalesce(of_range("is_object", "is_object"), false).alias("is_object"), F.col("declared")["value"].alias("declared_by"),
+    )
 
 
 def predicate_of(induced: DataFrame) -> DataFrame:
