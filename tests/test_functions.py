@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import records as R
 from weftline.functions import text as X
+from weftline.plans import settle
 
 
 def apply(spark, f, values, type_="string"):
@@ -93,3 +94,16 @@ def test_score_and_roles_and_retarget(spark):
     df = spark.createDataFrame([("t", "", 15, "document", [("x", ["b", "a"]), ("y", None), ("z", ["a"])], ["x", "q"], {"x": "X"})], f"a string, b string, n int, t string, r {rel}, refs array<string>, m map<string,string>")
     out = df.select(R.score([F.col("a"), F.col("b")], F.col("n"), F.col("t") == "document").alias("s"), R.roles(F.col("r")).alias("r"), R.retargeted(F.col("refs"), F.col("m")).alias("t")).first()
     assert (out.s, out.r, out.t) == (11, ["a", "b"], ["X", "q"])
+
+
+def test_keys_that_are_filtered_are_computed_once(spark):
+    rows = spark.range(9).select(X.name_key(F.col("id").cast("string")).alias("key"), "id").where("key <> ''")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert rows.count() == 9
+
+
+def test_rows_of_the_driver_are_read_without_python(spark):
+    rows = settle.local_rows(spark, [("a", ["x", None], 1), ("b", None, None)], "name string, list array<string>, n int")
+    assert [tuple(r) for r in rows.collect()] == [("a", ["x", None], 1), ("b", None, None)]
+    assert "LocalTableScan" in rows._jdf.queryExecution().executedPlan().toString()
+    assert settle.local_rows(spark, [], "name string").isEmpty()

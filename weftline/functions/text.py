@@ -92,7 +92,8 @@ def _name_keys(values: pd.Series) -> pd.Series:
 
 def name_key(value: Column) -> Column:
     """NFKD, case-folded, letters and digits only (null is empty): 'Jürgen Straße-1' is 'jurgenstrasse1'."""
-    return _name_keys(value)
+    # a filter of keys would otherwise be computed below them, in Python workers of its own
+    return _name_keys.asNondeterministic()(value)
 
 
 def name_key_ascii(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,15 @@ def ambiguous(labels: DataFrame, key: str, pid: str) -> DataFrame:
     return labels.groupBy(key).agg(F.min(pid).alias("first"), F.max(pid).alias("last")).where("first <> last")
 
 
-def named(df: DataFrame, keys: str, names: DataFrame, key: str, name: str, out: str, row_id: str) -> DataFrame:
+def named(df: DataFrame, keys: str, names: DataFrame, key: str, name: str, out: str, row_id: str, hold: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """df with `out`: the distinct names of an array of keys, ascending; a key without a name is '[unknown:key]'.
 
-    row_id tells the arrays apart: a row's key, or the array itself where rows have no key of their own.
+    row_id tells the arrays apart: a row's key, or the array itself where rows have no key of their own. What is
+    found by row_id goes through `hold`: arrays that many rows share would otherwise deal those rows to a task each.
     """
     pairs = df.select(*dict.fromkeys((row_id, keys))).distinct().select(row_id, F.explode(keys).alias("__key")).join(names.select(F.col(key).alias("__key"), F.col(name).alias("__name")), "__key", "left")
     found = pairs.groupBy(row_id).agg(F.array_sort(F.collect_set(F.coalesce("__name", F.concat(F.lit("[unknown:"), F.col("__key"), F.lit("]"))))).alias(out))
-    return df.join(found, row_id, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    return df.join(hold(found), row_id, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def resolve_creators(creators: DataFrame, aliases: DataFrame, people: DataFrame, organizations: DataFrame) -> tuple[DataFrame, DataFrame]:

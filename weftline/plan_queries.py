@@ -15,6 +15,7 @@ from .functions import records as R
 from .functions import text as X
 from .operators import compare, entity, resolve
 from .plans import claims, graph, ingest, publish, schema, site, targets
+from .plans.settle import local_rows
 from .vocabulary import ITEM, PUBLISHING, Options
 
 OPTIONS = Options(group=7, included=("papers",), label_prefix="my ")
@@ -52,10 +53,10 @@ def _items(spark, sf_dir) -> DataFrame:
 
 
 def _transformed(spark, sf_dir) -> dict[str, DataFrame]:
-    collections = spark.createDataFrame([("C1", "My Papers"), ("C2", "Other")], "key string, name string")
+    collections = local_rows(spark, [("C1", "My Papers"), ("C2", "Other")], "key string, name string")
     people = read(spark, sf_dir, "nation").select(F.concat(F.lit("own:p/"), "n_nationkey").alias("pid"), F.array(F.concat(F.lit("Ada N"), "n_nationkey")).alias("labels"))
-    labels = lambda *x: spark.createDataFrame(list(x), "pid string, labels array<string>")
-    aliases = spark.createDataFrame([], "key string, pid string")
+    labels = lambda *x: local_rows(spark, x, "pid string, labels array<string>")
+    aliases = local_rows(spark, [], "key string, pid string")
     existing = read(spark, sf_dir, "part").where("p_size < 17").select(F.concat(F.lit("https://doi.org/10.1234/g"), "p_partkey").alias("pid"), F.array(F.lit("file")).alias("files"))
     return ingest.transform(_items(spark, sf_dir), collections, people, labels(("own:o/lab", ["The Lab"])), labels(("own:t/economy", ["Economy"]), ("own:t/small", ["SMALL", "Little"])), aliases, existing, OPTIONS)
 
@@ -174,7 +175,7 @@ UNION SELECT DISTINCT item, name, 'unresolved' FROM t WHERE regexp_replace(lower
 """)
 def term_resolution(spark, sf_dir):
     """Terms by a vocabulary whose keys name one record each; 'shared' names two and none."""
-    labels = spark.createDataFrame([("top", ["1-URGENT", "2-High"]), ("low", ["5 low", "shared"]), ("other", ["Shared"])], "pid string, labels array<string>")
+    labels = local_rows(spark, [("top", ["1-URGENT", "2-High"]), ("low", ["5 low", "shared"]), ("other", ["Shared"])], "pid string, labels array<string>")
     terms = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), X.name_key(F.col("o_orderpriority")).alias("key"), F.col("o_orderpriority").alias("name"))
     found, lacking = resolve.resolve_terms(terms, ingest.name_index(labels))
     return found.select("item", F.col("pid").alias("term"), F.lit("resolved").alias("status")).union(lacking.select("item", F.col("name"), F.lit("unresolved")).distinct())
@@ -245,9 +246,9 @@ def proposed_records(spark, sf_dir):
     path = F.concat(F.lit("Publication/"), F.replace("pid", F.lit(OWN), F.lit("")), F.lit(".yaml"))
     title = lambda name: F.when(c == 1, "Curated").otherwise(F.col(name)).alias(name)
     canonical = rendered.where(c > 0).select(*[title(n) if n in ("title", "display_label") else F.col(n) for n in rendered.columns], path.alias("rel_path"))
-    empty = lambda ddl: spark.createDataFrame([], ddl)
+    empty = lambda ddl: local_rows(spark, [], ddl)
     notes = empty("pid string, path string, assertion_sha256 string, imported_by string, imported_from string")
-    agents = spark.createDataFrame([("own:adapter", "Instrument")], "pid string, class string")
+    agents = local_rows(spark, [("own:adapter", "Instrument")], "pid string, class string")
     plan = publish.proposals(rendered, canonical, notes, empty("pid string, claim_sha256 string"), "own:adapter", agents, OPTIONS.group)
     single = (F.col("operation") == "add") & F.col("source_record_id").startswith("item:") & ~F.col("pid").contains("/doi-")
     return plan.select("pid", "operation", "path", F.col("record.title").alias("title"), F.size("companion").cast("long").alias("owned"), F.size("record.attributes").cast("long").alias("attributes"), single.cast("long").alias("single"))
@@ -261,10 +262,10 @@ UNION ALL SELECT site, 'annotations/Publication/' || replace(site, 'own:publicat
 def proposed_files(spark, sf_dir):
     """The files that accepting all rendered records as new ones would write."""
     rendered = _rendered(spark, sf_dir)["records"]
-    empty = lambda ddl: spark.createDataFrame([], ddl)
+    empty = lambda ddl: local_rows(spark, [], ddl)
     canonical = rendered.limit(0).withColumn("rel_path", F.lit(None).cast("string"))
     notes = empty("pid string, path string, assertion_sha256 string, imported_by string, imported_from string")
-    agents = spark.createDataFrame([("own:adapter", "Instrument")], "pid string, class string")
+    agents = local_rows(spark, [("own:adapter", "Instrument")], "pid string, class string")
     return publish.file_changes(publish.proposals(rendered, canonical, notes, empty("pid string, claim_sha256 string"), "own:adapter", agents, OPTIONS.group))
 
 
@@ -362,7 +363,7 @@ def proposed_claims(spark, sf_dir):
     canonical = canonical.union(roles.where("pid RLIKE '[02468]$'").select("class", "pid", F.concat(F.replace("pid", F.lit("ext:role/"), F.lit("Role/")), F.lit(".yaml")), "record"))
     owned = known.where(k % 3 == 0).select(F.col("own").alias("pid"), F.lit("/attributes").alias("path"), R.digest(F.to_json(old)).alias("assertion_sha256"), F.lit("own:adapter").alias("imported_by"), F.lit("before").alias("imported_from"))
 
-    rows = lambda ddl, *x: spark.createDataFrame(list(x), ddl)
+    rows = lambda ddl, *x: local_rows(spark, x, ddl)
     slots = schema.induced_slots(
         rows("class string, is_a string, mixins array<string>", ("Thing", None, []), ("Person", "Thing", []), ("Publication", "Thing", []), ("Role", "Thing", [])),
         rows("slot string, slot_uri string, range string, multivalued boolean, required boolean", ("title", None, "string", False, False), ("description", "dcterms:description", "string", False, False), ("given_name", None, "string", False, False), ("about", "dcterms:subject", "Thing", True, False)),
@@ -423,7 +424,7 @@ def shape_violations(spark, sf_dir):
     code = F.when(F.col("n_nationkey") % 4 == 1, '[{"a": 1}]').when(F.col("n_nationkey") % 4 == 2, '[true, {"object": "c1"}]').otherwise("null")
     nations = read(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.lit("Nation").alias("class"), F.concat(F.lit("n"), "n_nationkey").alias("pid"), F.concat(F.lit('{"code": '), code, F.lit("}")).alias("record"))
     records = people.union(nations)
-    rows = lambda ddl, *x: spark.createDataFrame(list(x), ddl)
+    rows = lambda ddl, *x: local_rows(spark, x, ddl)
     slots = rows("class string, slot string, predicate string, is_object boolean", ("Person", "name", "x:name", False), ("Person", "nation", "x:nation", True), ("Person", "segment", "x:segment", False), ("Person", "balance", "x:balance", False), ("Nation", "code", "x:code", False))
     shapes = rows("class string, predicate string, least int, most int, kind string, object_class string", ("Person", "x:name", 1, 1, "text", None), ("Person", "x:nation", 1, None, "reference", "Nation"), ("Person", "x:segment", None, 1, None, None), ("Person", "x:balance", None, None, "number", None), ("Nation", "x:code", 0, 1, "boolean", None))
     return graph.shape_violations(graph.statements(records, slots), records.select("class", "pid"), shapes)

@@ -10,7 +10,7 @@ from ..functions import records as R
 from ..functions import text as X
 from ..operators import compare, merge
 from ..operators.validate import repeated, require_none, violations
-from .settle import settled
+from .settle import few, local_rows, settled
 
 #: Fields that a source may give: those with a value of their own in a record, lists of objects, and the rest.
 TOPICAL = (
@@ -154,9 +154,10 @@ def candidates(targets: DataFrame, notes: DataFrame, decisions: DataFrame, agent
     targets = settled(targets.withColumn("imported_from", source_record_uri(namespace, F.col("directory"), F.col("class"), F.col("source_pid"))))
     canonical = targets.where("baseline IS NOT NULL").select("pid", F.col("baseline").alias("record"))
     notes = notes.join(targets.select("pid"), "pid", "left_semi")
+    slots = few(slots)
     mapped = slots.where(F.col("slot").isin(*TOPICAL)).select("predicate").distinct()
     held = settled(_held_assertions(canonical, notes, mapped))
-    agent = spark.createDataFrame([(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti")
+    agent = local_rows(spark, [(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti")
     require_none([violations(agent, "owner isn't an instrument", F.col("pid"), F.lit("")), *_shape_checks(targets, canonical, notes, slots, type_prefix, attribute_type, held)])
 
     claimed = settled(claimed_assertions(targets.select("class", "pid", "record"), slots, attribute_type))

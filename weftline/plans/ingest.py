@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import entity, resolve
 from ..operators.validate import require_none, violations
 from ..vocabulary import COMPLETENESS_FIELDS, CONFLICT_FIELDS, CREATOR_ROLES, JOURNAL_KIND, PROCEEDINGS_KIND, PUBLICATION_KINDS, PUBLISHING, SOFTWARE_KIND, Options
-from .settle import settled
+from .settle import few, settled
 
 
 def _mapped(value: Column, table: dict[str, str]) -> Column:
@@ -26,7 +26,7 @@ def name_index(records: DataFrame) -> DataFrame:
 def source_items(items: DataFrame, collections: DataFrame, options: Options) -> DataFrame:
     """Items that aren't deleted, with `names` of their collections, `item_doi` (normalized), and `bucket`: selected, unfiled or excluded."""
     alive = items.where(~F.coalesce("deleted", F.lit(False))).withColumn("key", F.coalesce("key", F.lit("")))
-    named = resolve.named(alive, "collections", collections, "key", "name", "names", "collections")
+    named = resolve.named(alive, "collections", collections, "key", "name", "names", "collections", few)
     keys = F.transform("names", lambda n: X.label_key(n, options.label_prefix))
     wanted = F.array(*[F.lit(x) for x in options.included]).cast("array<string>")
     bucket = F.when(F.arrays_overlap(keys, wanted), "selected").when(F.size("names") == 0, "unfiled").otherwise("excluded")

@@ -13,11 +13,11 @@ from ..functions import text as X
 from ..operators import compare, merge
 from ..operators.validate import IntegrityError, judged, repeated, require_none, residue, unknown_fields, unused, violations
 from ..vocabulary import FIELD_PREDICATES
-from .settle import settled
+from .settle import local_rows, settled
 
 
 def _table(spark: SparkSession, values, column: str = "target") -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
+    return local_rows(spark, [(v,) for v in values], f"{column} string")
 
 
 def render(publications: DataFrame, policy: dict, item_keys: DataFrame, own_prefix: str, group: int, scheme: str = "library", namespace: str = "dlthings:") -> dict[str, DataFrame]:
@@ -30,7 +30,7 @@ def render(publications: DataFrame, policy: dict, item_keys: DataFrame, own_pref
     spark = publications.sparkSession
     pattern = rf"^{scheme}:group:{group}:item:(.+)$"
     pubs = publications.withColumn("keys", F.filter(F.transform(R.notations(F.col("identifiers"), namespace + "Identifier"), lambda n: F.regexp_extract(n, pattern, 1)), lambda k: k != ""))
-    overrides = spark.createDataFrame(list(policy["pid_overrides"].items()), "__pid string, __override string")
+    overrides = local_rows(spark, policy["pid_overrides"].items(), "__pid string, __override string")
     pubs = pubs.join(F.broadcast(overrides), F.col("pid") == F.col("__pid"), "left").withColumn("site_pid", R.stable_pid(F.col("pid"), R.notations(F.col("identifiers"), namespace + "DOI"), F.col("keys"), F.col("__override"), own_prefix))
     pubs = settled(pubs)
     allowed, omitted = _table(spark, policy["allowed_attribution_targets"]), _table(spark, policy["omitted_attribution_targets"])
@@ -39,11 +39,11 @@ def render(publications: DataFrame, policy: dict, item_keys: DataFrame, own_pref
     events = settled(judged(events, "object", _table(spark, []), _table(spark, policy["omitted_generation_objects"]), "target"))
     topics = pubs.select("pid", F.explode("about").alias("object"))
     curated = [(p, i, g["object"], g.get("at_location"), g.get("at_time")) for p, rows in policy["curated_generations"].items() for i, g in enumerate(rows)]
-    curated = spark.createDataFrame(curated, "pid string, pos int, object string, at_location string, at_time string")
+    curated = local_rows(spark, curated, "pid string, pos int, object string, at_location string, at_time string")
     mine = curated.join(pubs.select("pid"), "pid", "left_semi")
     used = lambda kind, df, column="object": df.select(F.lit(kind).alias("category"), F.col(column).alias("entry"))
     kinds = ["pid_overrides", "allowed_attribution_targets", "omitted_attribution_targets", "allowed_about_targets", "omitted_generation_objects", "allowed_curated_generation_targets", "curated_generations"]
-    declared = spark.createDataFrame([(k, e) for k in kinds for e in policy[k]], "category string, entry string")
+    declared = local_rows(spark, [(k, e) for k in kinds for e in policy[k]], "category string, entry string")
     usage = used(kinds[0], pubs.where("__override IS NOT NULL"), "pid")
     for kind, df, column in ((kinds[1], people.where("status = 'keep'"), "object"), (kinds[2], people.where("status = 'omit'"), "object"), (kinds[3], topics, "object"), (kinds[4], events.where("status = 'omit'"), "object"), (kinds[5], mine, "object"), (kinds[6], mine, "pid")):
         usage = usage.unionByName(used(kind, df, column))
@@ -105,7 +105,7 @@ def candidates(source: DataFrame, baseline: DataFrame, decisions: DataFrame, own
     accepted or rejected before, is left out.
     """
     keys = ["pid", "path", "predicate", "content"]
-    require_none([violations(source.sparkSession.createDataFrame([(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti"), "owner isn't an instrument", F.col("pid"), F.lit(""))])
+    require_none([violations(local_rows(source.sparkSession, [(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti"), "owner isn't an instrument", F.col("pid"), F.lit(""))])
     merged = merge.merge_assertions(baseline.join(source.select("pid").distinct(), "pid", "left_semi"), source, owner, keys)
     changed = merged.groupBy("pid").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed")).where("added + removed > 0")
     out = changed.join(claims(source), "pid").join(known.select("pid", F.lit(True).alias("__known")), "pid", "left")
@@ -161,7 +161,7 @@ def proposals(rendered: DataFrame, canonical: DataFrame, notes: DataFrame, decis
     claim_sha256 digests record path, pid and what the source asserts.
     """
     checks = _shape_checks(rendered, namespace)
-    require_none([violations(rendered.sparkSession.createDataFrame([(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti"), "owner isn't an instrument", F.col("pid"), F.lit("")), *checks])
+    require_none([violations(local_rows(rendered.sparkSession, [(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti"), "owner isn't an instrument", F.col("pid"), F.lit("")), *checks])
     fields = [*TOPICAL, "about", "attributes", *OBJECTS, "generated_by"]
     held = canonical.select("pid", "rel_path", F.struct(*fields).alias("held"))
     both = settled(rendered.select("pid", F.struct(*fields).alias("source")).join(source_identity(rendered, group, namespace=namespace), "pid").join(held, "pid", "left"))

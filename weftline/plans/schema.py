@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.validate import IntegrityError, require_none, repeated, violations
-from .settle import settled
+from .settle import few, settled
 
 #: What a slot says of itself and a class may say otherwise.
 FACETS = ("slot_uri", "range", "multivalued", "required")
 #: Levels that a hierarchy may have: a power of two.
 MOST = 64
-#: General definitions of so many slots at most are sent to all tasks.
-FEW = 1 << 15
 
 
 def _above(classes: DataFrame) -> DataFrame:
@@ -112,8 +110,7 @@ def induced_slots(classes: DataFrame, slots: DataFrame, holds: DataFrame, usage:
         near = step.join(near.withColumnRenamed("class", "ancestor"), "ancestor")
         further = [F.when(F.col(f).isNotNull(), F.struct((F.col(f)["distance"] + F.col("step")).alias("distance"), "rank", F.col(f)["value"].alias("value"))).alias(f) for f in parts]
         near = near.select("class", "slot", *further).repartition("class").groupBy("class", "slot").agg(*[F.min(f).alias(f) for f in parts])
-    general = settled(slots.join(is_class, "range", "left").select("slot", *[F.col(f).alias(f"general_{f}") for f in FACETS], "is_object"))
-    general = F.broadcast(general) if general.count() <= FEW else general
+    general = few(slots.join(is_class, "range", "left").select("slot", *[F.col(f).alias(f"general_{f}") for f in FACETS], "is_object"))
     out = near.where("declared IS NOT NULL").join(general, "slot")
     facet = {f: F.coalesce(F.col(f)["value"], f"general_{f}") for f in FACETS if f != "range"}
     of_range = lambda name, otherwise: F.when(F.col("range").isNotNull(), F.col("range")["value"][name]).otherwise(F.col(otherwise))

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Tables of so many rows at most are sent to all tasks.
+FEW = 1 << 15
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -21,3 +29,18 @@ def settled(df: DataFrame) -> DataFrame:
         alone = context.master.split("[")[0] == "local"
         context.setCheckpointDir(named or (tempfile.mkdtemp(prefix="weftline-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/weftline-checkpoints"))
     return df.checkpoint()
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df settled, and marked to be sent to all tasks if it turns out to have FEW rows: joins then deal out no other rows
+    by keys that many of them share."""
+    out = settled(df)
+    return F.broadcast(out) if out.count() <= FEW else out
+
+
+def local_rows(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
+    """The driver's own rows as a table of known size, so that joins send it to all tasks; no Python worker reads it."""
+    schema, rows = T.StructType.fromDDL(ddl), list(rows)
+    kinds = to_arrow_schema(schema)
+    arrays = [pa.array([r[i] for r in rows], type=kinds.field(i).type) for i in range(len(schema.fields))]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds), schema)
