@@ -147,3 +147,10 @@ def test_dependencies_and_retargeting(spark):
     edges = spark.createDataFrame([("a", "x"), ("b", "y")], "src string, dst string")
     assert rows(resolve.retarget(edges, spark.createDataFrame([("x", "X")], "old string, new string"), "dst"), "src", "dst") == [("a", "X"), ("b", "y")]
     assert rows(compare.dangling(edges, spark.createDataFrame([("x",)], "n string"), "dst", "n"), "src") == [("b",)]
+
+
+def test_rules_of_one_table_are_checked_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "pid string, n int")
+    found = validate.all_violations(rows, (F.col("n") > 0, "positive", F.col("pid"), F.col("n")), (F.col("n") == 2, "two", F.col("pid"), F.lit("")))
+    assert sorted(tuple(r) for r in found.collect()) == [("positive", "a", "1"), ("positive", "b", "2"), ("two", "b", "")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1

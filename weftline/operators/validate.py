@@ -18,6 +18,12 @@ def violations(df: DataFrame, code: str, pid: Column, detail: Column) -> DataFra
     return df.select(F.lit(code).alias("code"), pid.cast("string").alias("pid"), detail.cast("string").alias("detail"))
 
 
+def all_violations(df: DataFrame, *rules: tuple[Column, str, Column, Column]) -> DataFrame:
+    """violations() of several rules (condition, code, pid, detail) in one pass over df."""
+    found = [F.when(when, F.struct(F.lit(code).alias("code"), pid.cast("string").alias("pid"), detail.cast("string").alias("detail"))) for when, code, pid, detail in rules]
+    return df.select(F.inline(F.array_compact(F.array(*found))))
+
+
 def require_none(checks: Iterable[DataFrame], shown: int = 20) -> None:
     """Raises IntegrityError with the first violations (ascending) of all checks together, if there are any."""
     found = reduce(DataFrame.unionByName, checks).orderBy("code", "pid", "detail").limit(shown + 1).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import records as R
 from ..functions import text as X
 from ..operators import resolve
-from ..operators.validate import repeated, require_none, violations
+from ..operators.validate import all_violations, repeated, require_none, violations
 from .settle import settled
 
 #: Fields whose values refer to records: single, lists, and relations whose `object` does.
@@ -75,12 +75,12 @@ def rewritten(record: Column, pid_map: Column) -> Column:
     return change(record, F.to_json(pid_map))
 
 
-def _native(text: str, pid: str, minted: str, type_: str, source_pid: str, identifier_type: str) -> str:
+def _native(text: str, pid: str, minted: str, type_: str, source_pid: str, identifier_type: str, pids: str | None) -> str:
     record = {**json.loads(text), "pid": pid, "schema_type": type_}
     known = record.get("identifiers", [])
     if minted != source_pid and not any(isinstance(i, dict) and i.get("notation") == source_pid for i in known):
         record["identifiers"] = [*known, {"notation": source_pid, "schema_type": identifier_type}]
-    return R.canonical_text(record)
+    return R.canonical_text(_rewritten(record, json.loads(pids) if pids else {}))
 
 
 def with_roles(primary: DataFrame, pool: DataFrame, role_class: str) -> DataFrame:
@@ -110,6 +110,7 @@ def source_targets(source: DataFrame, canonical: DataFrame, own_prefix: str, min
         notes = F.from_json(F.get_json_object("record", "$.identifiers"), "array<struct<notation: string>>")
         return df.withColumn("tokens", X.identity_tokens(F.col("pid"), F.transform(notes, lambda i: i["notation"])))
 
+    source, canonical = settled(source), settled(canonical)
     matched = resolve.match_outcomes(tokens(source), tokens(canonical))
     new_pid = R.minted_pid(F.col("class"), F.col("pid"), own_prefix, minted)
     named = source.join(matched.select("class", "pid", "matched", "how", "candidates"), ["class", "pid"]).withColumn("minted", new_pid).withColumn("target", F.coalesce("matched", "minted"))
@@ -121,13 +122,19 @@ def source_targets(source: DataFrame, canonical: DataFrame, own_prefix: str, min
     type_ = F.concat(F.lit(type_prefix), "class")
     given, listed = F.get_json_object("record", "$.schema_type"), F.get_json_object("record", "$.identifiers")
     require_none([
-        violations(source.where(~F.col("class").rlike(CLASS_NAME)), "class without a directory", F.col("pid"), F.col("class")),
-        violations(source.where(given.isNotNull() & (given != type_)), "type of another class", F.col("pid"), given),
-        violations(source.where(listed.isNotNull() & ~listed.startswith("[")), "identifiers aren't a list", F.col("pid"), F.lit("")),
-        violations(named.where("how = 'ambiguous'"), "ambiguous match", F.col("pid"), F.array_join("candidates", ", ")),
-        violations(named.where("how = 'class-conflict'"), "pid of another class", F.col("pid"), F.col("class")),
-        violations(named.where("path IS NULL"), "no file name", F.col("pid"), F.col("target")),
-        violations(fresh.where("baseline IS NOT NULL"), "new pid is taken", F.col("target"), F.col("pid")),
+        all_violations(
+            source,
+            (~F.col("class").rlike(CLASS_NAME), "class without a directory", F.col("pid"), F.col("class")),
+            (given.isNotNull() & (given != type_), "type of another class", F.col("pid"), given),
+            (listed.isNotNull() & ~listed.startswith("["), "identifiers aren't a list", F.col("pid"), F.lit("")),
+        ),
+        all_violations(
+            named,
+            (F.col("how") == "ambiguous", "ambiguous match", F.col("pid"), F.array_join("candidates", ", ")),
+            (F.col("how") == "class-conflict", "pid of another class", F.col("pid"), F.col("class")),
+            (F.col("path").isNull(), "no file name", F.col("pid"), F.col("target")),
+            (F.col("matched").isNull() & F.col("baseline").isNotNull(), "new pid is taken", F.col("target"), F.col("pid")),
+        ),
         violations(fresh.join(canonical.select(F.col("rel_path").alias("path")), "path", "left_semi"), "new path is taken", F.col("path"), F.col("pid")),
         violations(repeated(named, "target"), "repeated target pid", F.col("target"), F.col("rows")),
         violations(repeated(named, "path"), "repeated target path", F.col("path"), F.col("rows")),
@@ -135,6 +142,6 @@ def source_targets(source: DataFrame, canonical: DataFrame, own_prefix: str, min
     edges = named.select("pid", F.explode(references(F.col("record"))).alias("old"))
     moves = named.where("pid <> target").select(F.col("pid").alias("old"), F.col("target").alias("new"))
     maps = edges.join(moves, "old").groupBy("pid").agg(F.map_from_entries(F.collect_set(F.struct("old", "new"))).alias("pid_map"))
-    native = R.batched(_native, T.StringType())(F.col("record"), F.col("target"), F.col("minted"), type_, F.col("pid"), F.lit(identifier_type))
+    native = R.batched(_native, T.StringType())(F.col("record"), F.col("target"), F.col("minted"), type_, F.col("pid"), F.lit(identifier_type), F.to_json("pid_map"))
     out = named.join(maps, "pid", "left")
-    return out.select("class", F.col("pid").alias("source_pid"), F.col("target").alias("pid"), "path", rewritten(native, F.col("pid_map")).alias("record"), F.when(F.col("matched").isNotNull(), F.col("baseline")).alias("baseline"))
+    return out.select("class", F.col("pid").alias("source_pid"), F.col("target").alias("pid"), "path", native.alias("record"), F.when(F.col("matched").isNotNull(), F.col("baseline")).alias("baseline"))
