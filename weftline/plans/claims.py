@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import records as R
 from ..functions import text as X
 from ..operators import compare, merge
-from ..operators.validate import repeated, require_none, violations
+from ..operators.validate import all_violations, repeated, require_none, violations
 from .settle import few, local_rows, settled
 
 #: Fields that a source may give: those with a value of their own in a record, lists of objects, and the rest.
@@ -123,13 +123,19 @@ def _shape_checks(source: DataFrame, canonical: DataFrame, notes: DataFrame, slo
     own_type = shredded(canonical.join(source.select("pid", "class"), "pid"), "record", "class", "pid").where("field = 'schema_type'")
     given = fields.where("field = 'schema_type'")
     return [
-        violations(fields.where(~F.col("field").isin(*STRUCTURAL, *TOPICAL, *OBJECT_LISTS, "attributes")), "unsupported field", F.col("pid"), detail),
+        all_violations(
+            fields,
+            (~F.col("field").isin(*STRUCTURAL, *TOPICAL, *OBJECT_LISTS, "attributes"), "unsupported field", F.col("pid"), detail),
+            (F.col("field").isin("attributes", *OBJECT_LISTS) & ~text.startswith("["), "field isn't a list of assertions", F.col("pid"), detail),
+        ),
         violations(named.where(F.col("field").isin(*TOPICAL) & F.col("predicate").isNull()), "field without a predicate in its class", F.col("pid"), detail),
         violations(source.select("pid").join(given.where(F.concat(F.lit("["), text, F.lit("]")) == type_), "pid", "left_anti"), "type of another class", F.col("pid"), F.lit("")),
         violations(own_type.where(F.concat(F.lit("["), text, F.lit("]")) != type_), "canonical type of another class", F.col("pid"), text),
-        violations(fields.where(F.col("field").isin("attributes", *OBJECT_LISTS) & ~text.startswith("[")), "field isn't a list of assertions", F.col("pid"), detail),
-        violations(entries.where(~entry.startswith("{")), "assertion isn't a mapping", F.col("pid"), detail),
-        violations(attributes.where(entry.startswith("{") & ~F.coalesce(right, F.lit(False))), "attribute of another shape", F.col("pid"), entry),
+        all_violations(
+            entries,
+            (~entry.startswith("{"), "assertion isn't a mapping", F.col("pid"), detail),
+            ((F.col("field") == "attributes") & entry.startswith("{") & ~F.coalesce(right, F.lit(False)), "attribute of another shape", F.col("pid"), entry),
+        ),
         violations(explicit.join(slots.where(F.col("slot").isin(*TOPICAL)).select("class", "predicate").distinct(), ["class", "predicate"], "left_semi"), "attribute by a field's predicate", F.col("pid"), F.col("predicate")),
         violations(merge.orphan_notes(held.select("pid", "path", F.col("digest").alias("assertion_sha256")), notes.join(canonical.select("pid"), "pid", "left_semi")), "companion entry without an assertion", F.col("pid"), F.col("path")),
         violations(repeated(source, "pid"), "repeated target pid", F.col("pid"), F.col("rows")),
