@@ -62,3 +62,9 @@ def test_contract_without_the_training_operators():
 
     assert set(catalogue.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert (importlib.util.find_spec("weftline.llm") is None) == (not any(n.startswith("op1_") for n in entry.queries()))
+
+
+def test_rows_of_a_small_file_are_dealt_to_all_cores(spark):
+    from weftline import plan_queries
+
+    assert plan_queries._items(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

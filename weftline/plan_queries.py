@@ -15,7 +15,7 @@ from .functions import records as R
 from .functions import text as X
 from .operators import compare, entity, resolve
 from .plans import claims, graph, ingest, publish, schema, site, targets
-from .plans.settle import local_rows
+from .plans.settle import local_rows, spread
 from .vocabulary import ITEM, PUBLISHING, Options
 
 OPTIONS = Options(group=7, included=("papers",), label_prefix="my ")
@@ -49,7 +49,7 @@ def _items(spark, sf_dir) -> DataFrame:
         "tags": F.array(F.struct(F.col("p_type").alias("tag"))),
     }
     schema = T.StructType.fromDDL(ITEM)
-    return read(spark, sf_dir, "part").select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return spread(read(spark, sf_dir, "part")).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def _transformed(spark, sf_dir) -> dict[str, DataFrame]:
@@ -217,7 +217,7 @@ UNION ALL SELECT 'Publication', 'https://doi.org/10.1234/P' || p.k, p.pid, 'Publ
 """)
 def target_records(spark, sf_dir):
     """People and publications of a source matched with canonical ones, renamed, and their references retargeted."""
-    customer, part = read(spark, sf_dir, "customer"), read(spark, sf_dir, "part")
+    customer, part = (spread(read(spark, sf_dir, t)) for t in ("customer", "part"))
     person = F.concat(F.lit("ext:person/"), "c_custkey")
     notes = F.array(F.struct(F.concat(F.lit("ID-"), "c_custkey").alias("notation")))
     people = customer.select(F.lit("Person").alias("class"), person.alias("pid"), F.to_json(F.struct(person.alias("pid"), notes.alias("identifiers"))).alias("record"))
@@ -344,7 +344,7 @@ UNION ALL SELECT 'Role', 'ext:role/' || s_suppkey, 'add', 'Role/ext-role-' || s_
 """)
 def proposed_claims(spark, sf_dir):
     """What accepting people, publications and roles of a source would change in canonical records, over source_targets."""
-    customer, part, supplier = (read(spark, sf_dir, t) for t in ("customer", "part", "supplier"))
+    customer, part, supplier = (spread(read(spark, sf_dir, t)) for t in ("customer", "part", "supplier"))
     k, person = F.col("c_custkey"), F.concat(F.lit("ext:person/"), "c_custkey")
     notes = F.array(F.struct(F.concat(F.lit("ID-"), "c_custkey").alias("notation")))
     record = lambda *fields: F.to_json(F.struct(*fields)).alias("record")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions import text as X
 from ..operators import compare, merge
-from ..operators.validate import IntegrityError, judged, repeated, require_none, residue, unknown_fields, unused, violations
+from ..operators.validate import IntegrityError, all_violations, judged, repeated, require_none, residue, unknown_fields, unused, violations
 from ..vocabulary import FIELD_PREDICATES
 from .settle import local_rows, settled
 
@@ -49,10 +49,13 @@ def render(publications: DataFrame, policy: dict, item_keys: DataFrame, own_pref
         usage = usage.unionByName(used(kind, df, column))
     keyed = pubs.select("pid", F.explode("keys").alias("key"))
     require_none([
-        violations(pubs.where("coalesce(pid, '') = '' OR coalesce(title, '') = ''"), "publication without pid or title", F.col("pid"), F.col("title")),
-        violations(pubs.where("size(keys) = 0"), "publication without a source item", F.col("pid"), F.lit("")),
+        all_violations(
+            pubs,
+            (F.expr("coalesce(pid, '') = '' OR coalesce(title, '') = ''"), "publication without pid or title", F.col("pid"), F.col("title")),
+            (F.size("keys") == 0, "publication without a source item", F.col("pid"), F.lit("")),
+            (F.col("site_pid").isNull(), "no stable identifier", F.col("pid"), F.lit("")),
+        ),
         violations(keyed.join(item_keys, "key", "left_anti"), "item not in the snapshot", F.col("pid"), F.col("key")),
-        violations(pubs.where("site_pid IS NULL"), "no stable identifier", F.col("pid"), F.lit("")),
         violations(repeated(pubs, "site_pid"), "repeated site pid", F.col("site_pid"), F.col("rows")),
         violations(people.where("status = 'unreviewed'"), "unreviewed attribution target", F.col("pid"), F.col("object")),
         violations(events.where("status = 'unreviewed'"), "unreviewed generation target", F.col("pid"), F.col("object")),
@@ -160,6 +163,7 @@ def proposals(rendered: DataFrame, canonical: DataFrame, notes: DataFrame, decis
     one: its absence is an error. A record without a change, and one whose same claim was decided on, is left out;
     claim_sha256 digests record path, pid and what the source asserts.
     """
+    rendered = settled(rendered)
     checks = _shape_checks(rendered, namespace)
     require_none([violations(local_rows(rendered.sparkSession, [(owner,)], "pid string").join(agents.where("class = 'Instrument'"), "pid", "left_anti"), "owner isn't an instrument", F.col("pid"), F.lit("")), *checks])
     fields = [*TOPICAL, "about", "attributes", *OBJECTS, "generated_by"]

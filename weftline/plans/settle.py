@@ -44,3 +44,8 @@ def local_rows(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFram
     kinds = to_arrow_schema(schema)
     arrays = [pa.array([r[i] for r in rows], type=kinds.field(i).type) for i in range(len(schema.fields))]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds), schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores: a small file of many rows is a task or two, whatever is computed of them."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
